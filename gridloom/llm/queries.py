@@ -7,20 +7,80 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import packing, simhash, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", packing.token_count().alias("n_tokens"))
+    return packing.pack(docs)
+
+
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", topk.quantised("embedding").alias("vector"))
+    asked = vectors.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    return topk.top_k(vectors, asked, 5)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.components(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
+    "op2_topk": op2_topk,
     "op9_simhash": op9_simhash,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_packing": f"""
+with recursive whole as (
+  select doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) + 1 as n from documents
+), pieces as (
+  select doc_id, cast(p as integer) as piece, least({packing.MAX_LEN}, n - p * {packing.MAX_LEN}) as n_tokens
+  from whole, lateral (select unnest(range(0, cast(ceil(n / {packing.MAX_LEN}.0) as bigint))) as p)
+), hist as (
+  select n_tokens as len, row_number() over (order by n_tokens) as j,
+         sum(count(*)) over (order by n_tokens) as upto
+  from pieces group by n_tokens
+), dp as (
+  select 1 as b, j, len * upto as cost, cast([len] as bigint[]) as bounds from hist
+  union all
+  select d.b + 1, h.j, min(d.cost + h.len * (h.upto - p.upto)),
+         list_append(arg_min(d.bounds, struct_pack(c := d.cost + h.len * (h.upto - p.upto), i := d.j)), h.len)
+  from dp d join hist p on p.j = d.j join hist h on h.j > d.j
+  where d.b < {packing.BUCKETS}
+  group by d.b, h.j, h.len, h.upto
+), best as (
+  select bounds from dp where j = (select max(j) from hist) order by cost, b limit 1
+), placed as (
+  select p.*, len(list_filter(bounds, lambda x: x < n_tokens)) as bucket, bounds from pieces p, best
+), ranked as (
+  select *, bounds[bucket + 1] as bucket_len,
+         row_number() over (partition by bucket order by doc_id nulls first, piece, n_tokens) - 1 as r
+  from placed
+)
+select doc_id, piece, n_tokens, cast(bucket as integer) as bucket, bucket_len,
+       r // greatest(1, {packing.BATCH_TOKENS} // greatest(bucket_len, 1)) as batch,
+       r % greatest(1, {packing.BATCH_TOKENS} // greatest(bucket_len, 1)) as slot
+from ranked
+""",
+    "op2_topk": """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e
+  from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
+), ranked as (
+  select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from scored
+)
+select query_id, rank, vec_id, score from ranked where rank <= 5
+""",
+}
