@@ -10,10 +10,9 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import settle, shuffle_partitions
+from .shared import ranked, settle
 
 #: Longest sequence, buckets, and tokens of a batch with its padding.
 MAX_LEN, BUCKETS, BATCH_TOKENS = 4096, 16, 65_536
@@ -64,7 +63,6 @@ def pack(docs: DataFrame, key: str = "doc_id", n_tokens: str | Column = "n_token
     length; equal rows keep a place each. An empty table packs to nothing, and
     a null or negative length counts as 0.
     """
-    spark = docs.sparkSession
     n = F.greatest(F.coalesce(F.col(n_tokens) if isinstance(n_tokens, str) else n_tokens, F.lit(0)).cast("long"), F.lit(0))
     whole = docs.select(F.col(key).alias("_key"), n.alias("_all"))
     pieces = whole.select("_key", "_all", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("_all") / max_len) - 1, F.lit(0)).cast("int"))).alias("piece"))
@@ -73,13 +71,7 @@ def pack(docs: DataFrame, key: str = "doc_id", n_tokens: str | Column = "n_token
     histogram = sorted((r[0], r[1]) for r in pieces.groupBy("n_tokens").count().collect())
     bounds = best_boundaries([x for x, _ in histogram], [c for _, c in histogram], buckets) or [0]
     places = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("n_tokens")))
-    order = ["bucket", "_key", "piece", "n_tokens"]
-    ranged = pieces.withColumn("bucket", places).repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
-    placed = settle(ranged.withColumn("_id", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_id", 33))
-    runs = placed.groupBy("bucket", "_part").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.partitionBy("bucket").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    runs = runs.select("bucket", "_part", "_first", before.alias("_before"))
     length = F.element_at(F.array(*map(F.lit, bounds)), F.col("bucket") + 1).cast("long")
     fits = F.greatest(F.lit(1), F.floor(F.lit(batch_tokens) / F.greatest(length, F.lit(1)))).cast("long")
-    ranked = placed.join(runs, ["bucket", "_part"]).withColumn("_rank", F.col("_before") + F.col("_id") - F.col("_first"))
-    return ranked.select(F.col("_key").alias(key), "piece", "n_tokens", "bucket", length.alias("bucket_len"), F.floor(F.col("_rank") / fits).cast("long").alias("batch"), F.pmod("_rank", fits).cast("long").alias("slot"))
+    placed = ranked(pieces.withColumn("bucket", places), ["_key", "piece", "n_tokens"], "bucket")
+    return placed.select(F.col("_key").alias(key), "piece", "n_tokens", "bucket", length.alias("bucket_len"), F.floor(F.col("_rank") / fits).cast("long").alias("batch"), F.pmod("_rank", fits).cast("long").alias("slot"))

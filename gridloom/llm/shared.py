@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -38,6 +39,24 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def ranked(df: DataFrame, order: list[str], by: str | None = None) -> DataFrame:
+    """``df`` with ``_rank``: each row's place from 0 in ``order`` (nulls first), within ``by`` if given.
+
+    One range sort gives places inside each partition, and running counts of
+    the partitions the rest; no task holds more than its own range.
+    """
+    keys = [by, *order] if by else order
+    sorted_ = df.repartitionByRange(shuffle_partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
+    placed = settle(sorted_.withColumn("_id", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_id", 33))
+    group = [F.col(by)] if by else [F.lit(0).alias("_all")]
+    runs = placed.groupBy(*group, "_part").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    name = by or "_all"
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(name).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select(*([by] if by else []), "_part", "_first", before.alias("_before"))
+    joined = placed.join(runs, [*([by] if by else []), "_part"])
+    return joined.withColumn("_rank", F.col("_before") + F.col("_id") - F.col("_first")).drop("_id", "_part", "_first", "_before")
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """(node, component) of every node of edges (a, b): the smallest node reached.
 
