@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, packing, quality, simhash, topk
+from . import bpe, licenses, minhash, packing, quality, simhash, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, drawn = quality.resample(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
     return out.select("doc_id", F.col("_log_ratio").alias("log_ratio"), F.col("_log_odds").alias("log_odds"), F.col("_key").alias("gumbel_key"), drawn.alias("selected"))
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_topk": op2_topk,
     "op3_bpe": op3_bpe,
+    "op6_licenses": op6_licenses,
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_minhash": op10_minhash,
@@ -102,4 +107,5 @@ with v as (
 )
 select query_id, rank, vec_id, score from ranked where rank <= 5
 """,
+    "op6_licenses": licenses.oracle_sql(),
 }
