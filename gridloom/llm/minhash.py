@@ -2,8 +2,8 @@
 
 Every 5-word shingle of a text is hashed once; the top bits of the hash pick
 a bin, which keeps its least value. Empty bins are filled by optimal
-densification: bin i takes the value of the first non-empty bin among probes
-h(i, 1), h(i, 2), ... that are the same for all texts. Of each value the
+densification: bin i takes the value of the first non-empty bin in an order of
+its own, random and the same for all texts. Of each value the
 lowest ``BITS`` bits are packed; a comparison takes off the share of bins that
 agree by chance.
 """
@@ -22,7 +22,7 @@ from .shared import shuffle_partitions
 from .words import blocks, mix, pair, words
 
 #: Bins (a power of 2), packed bits of each, words of a shingle, first probes.
-BINS, BITS, SHINGLE_WORDS, PROBES = 512, 4, 5, 64
+BINS, BITS, SHINGLE_WORDS, PROBES = 512, 4, 5, 12
 _MOST = np.uint64((1 << 64) - 1)
 #: Documents that are worked on at once.
 _ROWS = 256
@@ -42,8 +42,33 @@ def shingle_hashes(w, size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray
     return out, doc
 
 
-def _probe(step: int) -> np.ndarray:
-    return (mix(np.arange(BINS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(step)) >> np.uint64(7)) % np.uint64(BINS)
+def _probes() -> tuple[np.ndarray, np.ndarray]:
+    """The order in which each bin tries all bins, and where each stands in it."""
+    draws = mix(np.arange(BINS * BINS, dtype=np.uint64) + np.uint64(0x5851F42D4C957F2D)).reshape(BINS, BINS)
+    order = draws.argsort(1, kind="stable")
+    return order.astype(np.int64), order.argsort(1).astype(np.int64)
+
+
+_ORDER, _PLACE = _probes()
+
+
+def _densify(least: np.ndarray, full: np.ndarray) -> None:
+    """Fills the empty bins of every row that has a full one."""
+    row, col = np.nonzero(~full & full.any(1)[:, None])
+    for step in range(PROBES):
+        if not len(row):
+            return
+        to = _ORDER[col, step]
+        hit = full[row, to]
+        least[row[hit], col[hit]] = least[row[hit], to[hit]]
+        row, col = row[~hit], col[~hit]
+    # What is left is in rows with few full bins: the first of those in each bin's order.
+    cuts = np.flatnonzero(np.diff(row)) + 1
+    for lo, hi in zip([0, *cuts], [*cuts, len(row)], strict=True):
+        if lo < hi:
+            bins = np.flatnonzero(full[row[lo]])
+            cols = col[lo:hi]
+            least[row[lo], cols] = least[row[lo], bins[_PLACE[cols[:, None], bins].argmin(1)]]
 
 
 def low_bits(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -57,15 +82,7 @@ def low_bits(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         least = least.reshape(len(block), BINS)
         full = least != _MOST
         rows = full.any(1)
-        empty = ~full & rows[:, None]
-        step = 0
-        while empty.any():
-            step += 1
-            row, col = np.nonzero(empty)
-            to = _probe(step)[col].astype(np.int64)
-            hit = full[row, to]
-            least[row[hit], col[hit]] = least[row[hit], to[hit]]
-            empty[row[hit], col[hit]] = False
+        _densify(least, full)
         out[block.first : block.first + len(block)] = (mix(least) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
         some[block.first : block.first + len(block)] = rows
     return out, some
