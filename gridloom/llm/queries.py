@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, minhash, packing, quality, recompress, simhash, topk
+from . import bpe, licenses, minhash, packing, quality, recompress, simhash, substrings, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,11 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, drawn = quality.resample(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
     return out.select("doc_id", F.col("_log_ratio").alias("log_ratio"), F.col("_log_odds").alias("log_odds"), F.col("_key").alias("gumbel_key"), drawn.alias("selected"))
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_recompress": op4_recompress,
     "op6_licenses": op6_licenses,
+    "op7_suffixes": op7_suffixes,
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_minhash": op10_minhash,
