@@ -123,16 +123,20 @@ class Corpus:
 
         mail = self._none
         for k, a in enumerate(answers):
-            mail = mail.unionByName(a.select("block", F.lit(k).alias("turn"), "shard", "payload"))
+            mail = mail.unionByName(a.where("block >= 0").select("block", F.lit(k).alias("turn"), "shard", "payload"))
         return self.rows.groupBy("block").cogroup(mail.groupBy("block")).applyInArrow(one, schema)
 
 def answered(messages: DataFrame, work: Callable[[int, list[bytes]], list[bytes]]) -> DataFrame:
-    """(block, shard, payload): work(shard, payloads in the order of blocks) for each shard, settled."""
+    """(block, shard, payload): work(shard, payloads in the order of blocks) for each shard, settled.
+
+    One payload more than there are blocks is a note of the shard, with block -1.
+    """
 
     def one(t: pa.Table) -> pa.Table:
         t = t.sort_by("block")
         replies = work(t["shard"][0].as_py(), t["payload"].to_pylist())
-        return pa.table({"block": t["block"], "shard": t["shard"], "payload": pa.array(replies, pa.binary())})
+        extra = len(replies) - t.num_rows
+        return pa.table({"block": pa.array([*t["block"].to_pylist(), *[-1] * extra], pa.int64()), "shard": pa.array([t["shard"][0].as_py()] * len(replies), pa.int32()), "payload": pa.array(replies, pa.binary())})
 
     return settle(messages.groupBy("shard").applyInArrow(one, "block long, shard int, payload binary"))
 
