@@ -46,12 +46,12 @@ def simhash(texts: Texts, shingle_words: int = SHINGLE_WORDS, seed: int = SEED)
     return out
 
 
-def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """``keep`` columns and ``fp``, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [simhash(t) for t in blocks(b.column(b.num_columns - 1))]
+            parts = [simhash(t, shingle_words) for t in blocks(b.column(b.num_columns - 1))]
             fp = np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp)], names=[*b.schema.names[:-1], "fp"])
 
@@ -73,14 +73,14 @@ def near_pairs(fps: DataFrame) -> DataFrame:
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
 
 
-def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, fp, component_id of every row: the smallest doc_id that links reach.
 
     Null and blank texts have fingerprint 0 and link like others; rows that
     repeat get a row each; a null doc_id never names a component unless no
     other id is reached. An empty table gives an empty result.
     """
-    fps = settle(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))))
+    fps = settle(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), shingle_words=shingle_words))
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     near = connected_components(near_pairs(nodes.select("fp")))
     nodes = nodes.join(near.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
@@ -89,11 +89,11 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle_words: int = 5) -> DataFrame:
     """The rows of ``docs`` whose doc_id names their component: one document of each group stays.
 
     Rows that repeat the kept doc_id of a group stay as they are; rows with a
     null doc_id stay only where nothing else is in their group.
     """
-    kept = components(docs, text, doc_id).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    kept = components(docs, text, doc_id, shingle_words).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, docs[doc_id].eqNullSafe(kept["_kept"]), "left_semi")

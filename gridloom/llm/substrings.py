@@ -195,16 +195,17 @@ def _smaller_has(span: int):
     return work
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, span: int = SPAN) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, span: int = SPAN, whole_characters: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) and columns ``keep`` as k0, k1, ...: texts without repeats.
 
     Every byte goes that lies in ``span`` bytes that also start in a document
     with a smaller id; repeats inside one document, or in rows of one id, stay.
-    Null texts are empty; a null id is the smallest. The documents' table stays
+    With ``whole_characters`` a character goes only if all its bytes do, so
+    that ``kept`` is UTF-8. Null texts are empty; a null id is the smallest. The documents' table stays
     until ``mail.release`` or the end of Python.
     """
     extra = keep or []
-    slim = docs.select(F.col(doc_id).cast("long").alias("_id"), *(F.col(c).alias(f"_k{i}") for i, c in enumerate(extra)), F.col(text).alias("_text"))
+    slim = docs.select(F.col(doc_id).cast("long").alias("_id"), *(docs[f"`{c}`"].alias(f"_k{i}") for i, c in enumerate(extra)), F.col(text).alias("_text"))
     corpus = mail.Corpus(slim, "_text", ["_id", *(f"_k{i}" for i in range(len(extra)))])
     shards = max(1, corpus.buckets, corpus.bytes // SHARD_BYTES)
 
@@ -255,6 +256,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             edge[x.at[:-1][x.at[:-1] < len(edge)]] = gone[x.at[:-1][x.at[:-1] < len(edge)]]
         total = np.concatenate([[0], np.cumsum(gone)])
         spans = np.concatenate([[0], np.cumsum(edge)])
+        if whole_characters and len(x.data):
+            begins = np.flatnonzero((x.data & 0xC0) != 0x80)
+            whole = np.minimum.reduceat(gone, begins)
+            gone = np.repeat(whole, np.diff(np.append(begins, len(gone))))
         kept = [x.data[a:b][~gone[a:b]].tobytes() for a, b in zip(x.at[:-1], x.at[1:], strict=True)]
         out = {"doc_id": t["c0"], "n_bytes": pa.array(np.diff(x.at)), "n_removed": pa.array(total[x.at[1:]] - total[x.at[:-1]]), "n_spans": pa.array(spans[x.at[1:]] - spans[x.at[:-1]]), "kept": pa.array(kept, pa.binary())}
         return pa.table(out | {f"k{i}": t[f"c{i + 1}"] for i in range(len(extra))})
@@ -262,4 +267,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return corpus.each(finish, schema, shared, smaller)
 
 
-__all__ = ["remove_repeats", "repeated_in", "window_keys"]
+def clean(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", span: int = SPAN) -> DataFrame:
+    """``docs`` with repeats taken out of their texts, in whole characters; a null text stays null."""
+    out = remove_repeats(docs, text, doc_id, docs.columns, span, whole_characters=True)
+    columns = []
+    for i, c in enumerate(docs.columns):
+        value = F.when(F.col(f"k{i}").isNotNull(), F.col("kept").cast("string")) if c == text else F.col(f"k{i}")
+        columns.append(value.alias(c))
+    return out.select(*columns)
+
+
+__all__ = ["clean", "remove_repeats", "repeated_in", "window_keys"]
