@@ -1,7 +1,7 @@
 """Rounds of packed messages between blocks of documents and shards of keys.
 
 Documents are written once as a table bucketed by block, a run of at most
-``BLOCK_BYTES`` bytes of text (or one longer document). In a round every block
+``block_bytes`` bytes of text (or one longer document). In a round every block
 sends each shard one packed message about its own keys, sorted and without
 repeats, so that a hot key costs a block one entry; a shard merges the
 messages it gets and answers each block; the next round finds a block and its
@@ -87,7 +87,7 @@ atexit.register(release)
 class Corpus:
     """Documents bucketed by block, in a table that stays until ``release``: results read it when they are asked for."""
 
-    def __init__(self, docs: DataFrame, text: str, columns: list[str]):
+    def __init__(self, docs: DataFrame, text: str, columns: list[str], block_bytes: int = BLOCK_BYTES):
         """``columns`` are kept as c0, c1, ...; the text (null: null) as text."""
         self.spark = docs.sparkSession
         self.buckets = shuffle_partitions(self.spark)
@@ -98,7 +98,7 @@ class Corpus:
         def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = TaskContext.get().partitionId() << 32
             for b in batches:
-                for t in blocks(b.column(b.num_columns - 1)):
+                for t in blocks(b.column(b.num_columns - 1), block_bytes):
                     piece = b.slice(t.first, len(t))
                     block += 1
                     yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(np.full(len(t), block))], names=[*b.schema.names, "block"])

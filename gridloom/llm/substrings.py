@@ -22,8 +22,8 @@ from . import mail
 from .suffixes import suffix_array
 from .words import mix, utf8
 
-#: Bytes of a repeat, of the substrings that key it, bits of a key in the first exchange, bytes of text for each shard.
-SPAN, KEY_BYTES, KEY_BITS, SHARD_BYTES = 50, 20, 48, 1 << 24
+#: Bytes of a repeat, of the substrings that key it, bits of a key in the first exchange, bytes of text of a block and for each shard.
+SPAN, KEY_BYTES, KEY_BITS, BLOCK_BYTES, SHARD_BYTES = 50, 20, 48, 1 << 19, 1 << 21
 _END = 0xFF  # never in UTF-8
 
 
@@ -206,7 +206,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     extra = keep or []
     slim = docs.select(F.col(doc_id).cast("long").alias("_id"), *(docs[f"`{c}`"].alias(f"_k{i}") for i, c in enumerate(extra)), F.col(text).alias("_text"))
-    corpus = mail.Corpus(slim, "_text", ["_id", *(f"_k{i}" for i in range(len(extra)))])
+    corpus = mail.Corpus(slim, "_text", ["_id", *(f"_k{i}" for i in range(len(extra)))], BLOCK_BYTES)
     shards = max(1, corpus.buckets, corpus.bytes // SHARD_BYTES)
 
     def name(t: pa.Table, _: list) -> pa.Table:

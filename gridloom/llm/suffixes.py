@@ -68,8 +68,8 @@ def _smaller_than_next(t: np.ndarray) -> np.ndarray:
         out[:-1] = t[:-1] < t[1:]
         same = np.zeros(n, bool)
         same[:-1] = t[:-1] == t[1:]
-        at = np.arange(n)
-        last = np.minimum.accumulate(np.where(same, n - 1, at)[::-1])[::-1]
+        at = np.arange(n, dtype=np.int32 if n < 1 << 31 else np.int64)
+        last = np.minimum.accumulate(np.where(same, at.dtype.type(n - 1), at)[::-1])[::-1]
         out = out[last]
     return out
 
@@ -88,7 +88,7 @@ def _induce(t: np.ndarray, small: np.ndarray, symbols: list[int], seeds: Queues)
     """All suffixes in descending order, in pieces, from seeds by ascending symbol."""
     n = len(t)
     large, up = Queues(), Queues()
-    first = np.array([n - 1])
+    first = np.array([n - 1], np.int32 if n < 1 << 31 else np.int64)
     _spread(up, t, first[~small[first]])
     for c in symbols:
         waves = list(up.pop(c))
@@ -139,11 +139,12 @@ def suffix_array(t: np.ndarray, base: int = BASE) -> Iterator[np.ndarray]:
     if n < 2:
         yield np.arange(n)
         return
+    kind = np.int32 if n < 1 << 31 else np.int64
     small = _smaller_than_next(t)
     symbols = np.unique(t).tolist()
     seed = np.zeros(n, bool)
     seed[1:] = small[1:] & ~small[:-1]
-    at = np.flatnonzero(seed)
+    at = np.flatnonzero(seed).astype(kind)
     seeds = Queues()
     if len(at) > 1:
         # Seed substrings in order: one induction from seeds by first symbol alone.
@@ -152,9 +153,8 @@ def suffix_array(t: np.ndarray, base: int = BASE) -> Iterator[np.ndarray]:
         found = [p[seed[p]] for p in _induce(t, small, symbols, rough)]
         order = np.concatenate(found)[::-1]
         end = np.append(at[1:], n - 1)
-        stop = np.zeros(n, np.int64)
-        stop[at] = end
-        size = stop[order] - order + 1
+        stop = end[np.searchsorted(at, order)]
+        size = stop - order + 1
         differs = np.ones(len(order), bool)
         differs[1:] = size[1:] != size[:-1]
         x, y = order[1:], order[:-1]
@@ -166,10 +166,9 @@ def suffix_array(t: np.ndarray, base: int = BASE) -> Iterator[np.ndarray]:
             offset += 1
             open_ = open_[~apart]
             open_ = open_[size[open_ + 1] > offset]
-        differs[1:] |= (stop[x] == n - 1) != (stop[y] == n - 1)
-        name = np.zeros(n, np.int64)
-        name[order] = np.cumsum(differs)
-        reduced = name[at]
+        differs[1:] |= (stop[1:] == n - 1) != (stop[:-1] == n - 1)
+        reduced = np.empty(len(at), np.int64)
+        reduced[np.searchsorted(at, order)] = np.cumsum(differs)
         if int(reduced.max()) == len(at):
             ranked = order
         elif len(at) <= base:
