@@ -103,7 +103,8 @@ def _power(c: np.ndarray) -> np.ndarray:
 def _score_pairs(_: int, payloads: list[bytes]) -> list[bytes]:
     """Codes of each block's pairs from a trie of the shard's training pairs, and evidence for the weights."""
     parts = [mail.unpack(p) for p in payloads]
-    contexts = [mail.undo_deltas(p["d"]) ^ p["x"] for p in parts]
+    # A shard has one range of hashes; mixed again they are even over all values, as the trie's sequences like them.
+    contexts = [mix(mail.undo_deltas(p["d"]) ^ p["x"]) for p in parts]
     x = np.concatenate([np.repeat(c, p["z"]) for c, p in zip(contexts, parts, strict=True)])
     s, k = (np.concatenate([p[n] for p in parts]) for n in ("s", "k"))
     c, u = (np.concatenate([np.repeat(p["c"], p["z"]) for p in parts]), np.concatenate([p["u"] for p in parts]))
