@@ -46,7 +46,9 @@ def window_keys(data: np.ndarray, span: int = SPAN, key_bytes: int = KEY_BYTES)
     while 2 * have <= width:
         h = np.minimum(h[: len(h) - have], h[have:])
         have *= 2
-    return np.minimum(h[: len(h) - (width - have)], h[width - have :]) if width > have else h
+    if width > have:
+        h = np.minimum(h[: len(h) - (width - have)], h[width - have :])
+    return mix(h)  # least hashes are small: mixed again they spread over all shards
 
 
 class _Block:
