@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -302,21 +303,26 @@ def _exact_sql(scale: int, dither: bool) -> str:
     up = _up_cte("emb", Kernel.BICUBIC, scale, 8, 8, "u")
     value = "u.v + b.t" if dither else "u.v"
     return f"""with {_EMB}, {up}, c as (
-  select u.image_id, u.y, u.x, u.y // {scale} as by, u.x // {scale} as bx, (u.y % {scale}) * {scale} + u.x % {scale} as i, greatest(0, least(255, {value})) as c
-  from (select image_id, y, x, round(v, 9) as v from u) u join (values {table}) b(k, t) on b.k = (u.y % 8) * 8 + u.x % 8
+  select u.image_id, u.y, u.x, u.y // {scale} as cy, u.x // {scale} as cx, (u.y % {scale}) * {scale} + u.x % {scale} as i, greatest(0, least(255, {value})) as c
+  from (select image_id, y, x, floor(v * 1048576 + 0.5) / 1048576 as v from u) u join (values {table}) b(k, t) on b.k = (u.y % 8) * 8 + u.x % 8
 ), q as (select *, floor(c + 0.5) as q from c
-), e as (select q.image_id, q.by, q.bx, floor({scale * scale} * any_value(s.v) + 0.5) - sum(q.q) as e from q join emb s on s.image_id = q.image_id and s.y = q.by and s.x = q.bx group by q.image_id, q.by, q.bx
+), e as (select q.image_id, q.cy, q.cx, floor({scale * scale} * any_value(s.v) + 0.5) - sum(q.q) as e from q join emb s on s.image_id = q.image_id and s.y = q.cy and s.x = q.cx group by q.image_id, q.cy, q.cx
 ), steps as (
-  select q.*, e.e, k from q join e using (image_id, by, bx), lateral (select unnest(range(0, cast(least(case when e.e > 0 then 255 - q.q else q.q end, abs(e.e)) as bigint))) as k) where e.e <> 0
+  select q.*, e.e, k from q join e using (image_id, cy, cx), lateral (select unnest(range(0, cast(least(case when e.e > 0 then 255 - q.q else q.q end, abs(e.e)) as bigint))) as k) where e.e <> 0
 ), ranked as (
-  select *, row_number() over (partition by image_id, by, bx order by round(k - (case when e > 0 then c - q else q - c end), 9), i) as r from steps
+  select *, row_number() over (partition by image_id, cy, cx order by k - (case when e > 0 then c - q else q - c end), i) as r from steps
 ), chosen as (select image_id, y, x, count(*) * sign(any_value(e)) as n from ranked where r <= abs(e) group by image_id, y, x)
 select q.image_id, q.y, q.x, cast(q.q + coalesce(n, 0) as integer) as v from q left join chosen using (image_id, y, x)"""
 
 
 def _bytes(s: SparkSession, d: str, scale: int, mode: quantize.Dither) -> DataFrame:
-    df = _up(_emb(s, d), scale).withColumn("x", F.transform("x", lambda a: F.round(a, 9)))
-    return _pixels(df, quantize.exact(F.col("x"), V(), W(), H(), scale, mode), W() * scale, None)
+    """Bytes of enlarged planes whose samples are rounded to 2**-20, so that equal rests are equal in both engines."""
+
+    def work(p: np.ndarray) -> dict[str, np.ndarray]:
+        x = np.floor(numeric.upsample(p, scale, Kernel.BICUBIC) * 1048576 + 0.5) / 1048576
+        return {"q": numeric.quantise(x, p, scale, mode)}
+
+    return _pixels(mapped(_emb(s, d), work, ["q"]), F.transform("q", lambda q: q.cast("int")), W() * scale, None)
 
 
 for _s, _m in ((2, quantize.Dither.NONE), (3, quantize.Dither.NONE), (2, quantize.Dither.ORDERED)):
