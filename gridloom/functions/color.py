@@ -32,3 +32,13 @@ def over_white(v: Column, alpha: Column) -> Column:
 def difference_level(deltas: list[Column]) -> Column:
     """Eight times the mean absolute difference of three channels, at most 255."""
     return F.least(F.lit(255.0), 8.0 * (F.abs(deltas[0]) + F.abs(deltas[1]) + F.abs(deltas[2])) / 3.0)
+
+
+def heat(level: Column) -> tuple[Column, Column, Column]:
+    """Red, green and blue of a difference level: dark blue to cyan below 64, to yellow below 128, then to red."""
+    half = lambda c: F.floor(c + 0.5)
+    low, mid = level < 64, level < 128
+    red = F.when(low, 0.0).when(mid, half((level - 64) * 4)).otherwise(255.0)
+    green = F.when(low, half(level * 4)).when(mid, 255.0).otherwise(F.greatest(F.lit(0.0), 255 - half((level - 128) * 2)))
+    blue = F.when(low, 128 + half(level * 2)).when(mid, 255 - half((level - 64) * 4)).otherwise(0.0)
+    return red.cast("int"), green.cast("int"), blue.cast("int")

@@ -13,9 +13,16 @@ TILE, MB, PEAK_MB, LARGE_SIDE, PROGRESSIVE_SIDE, BURST_FRAMES, BURST_SIDE = 512,
 HALO = 24
 
 
-def working_bytes(w: Column, h: Column, scale: int, planes: int = 8) -> Column:
-    """Bytes of ``planes`` double planes of output size."""
-    return w.cast("long") * h.cast("long") * (scale * scale * 8 * planes)
+def working_bytes(w: Column, h: Column, scale: int) -> Column:
+    """Peak bytes of one image: three double planes and two byte images of output size, two of source size."""
+    source = w.cast("long") * h.cast("long")
+    return source * (scale * scale * (3 * 8 + 2 * 4) + 2 * 4)
+
+
+def burst_bytes(w: Column, h: Column, scale: int, frames: Column) -> Column:
+    """Peak bytes of a burst: six double planes and one byte image of output size, and its frames."""
+    source = w.cast("long") * h.cast("long")
+    return source * (scale * scale * (6 * 8 + 4)) + frames.cast("long") * source * 8
 
 
 def needs_tiling(w: Column, h: Column, scale: int) -> Column:
@@ -28,6 +35,17 @@ def admitted(w: Column, h: Column, scale: int) -> Column:
     return (working_bytes(w, h, scale) <= PEAK_MB * MB) & (F.greatest(w, h) <= PROGRESSIVE_SIDE if scale == 8 else F.lit(True))
 
 
+def burst_admitted(w: Column, h: Column, scale: int, frames: Column) -> Column:
+    """2 to 8 frames, sides up to 1024, under the peak."""
+    return frames.between(*BURST_FRAMES) & (F.greatest(w, h) <= BURST_SIDE) & (burst_bytes(w, h, scale, frames) <= PEAK_MB * MB)
+
+
+def job_budget_ms(w: Column, h: Column, scale: int, frames: Column) -> Column:
+    """Time that a job may take: 30 s and 12 ms for each 1000 output samples and twice the source samples of all frames."""
+    source = (w.cast("long") * h.cast("long")).cast("double")
+    return 30_000 + (source * (scale * scale) + 2 * source * frames) / 1000 * 12
+
+
 def tile_ids(w: Column, h: Column, tile: int = TILE, halo: int = HALO) -> Column:
     """Array of structs: tile_id, the valid box vx0, vy0, vx1, vy1 and the padded box px0, py0, pw, ph."""
     across, down = div(w + (tile - 1), tile), div(h + (tile - 1), tile)

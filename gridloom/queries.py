@@ -47,7 +47,7 @@ _EVT = """evt as materialized (
 
 
 def _emb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rasters.from_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return rasters.from_embeddings(rasters.spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")))
 
 
 def _evt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -375,7 +375,16 @@ def _agree(s: SparkSession, d: str) -> DataFrame:
 
 
 _add("tile_agreement", _agree, f"with {_EVT} select image_id, cast(0 as integer) as worst, count(*) * 4 as n, count(*) * 4 as matched from evt group by image_id")
-_add("needs_tiling", lambda s, d: s.createDataFrame([(512, 512, 2), (513, 10, 2), (100, 100, 2)], "w int, h int, s int").select("w", "h", tiling.needs_tiling(W(), H(), 2).alias("tiled"), tiling.admitted(W(), H(), 2).alias("admitted")), "select w, h, w > 512 or h > 512 as tiled, w * h * 256 <= 768 * 1048576 as admitted from (values (512, 512), (513, 10), (100, 100)) t(w, h)")
+_SIZES = [(512, 512, 1), (513, 10, 2), (100, 100, 5), (1024, 1024, 5), (2000, 2000, 8), (300, 400, 9)]
+_SIZES_SQL = f"(values {', '.join(map(str, _SIZES))}) t(w, h, n)"
+
+
+def _admission(s: SparkSession, _: str) -> DataFrame:
+    n = F.col("n")
+    return s.createDataFrame(_SIZES, "w int, h int, n int").select("w", "h", "n", tiling.needs_tiling(W(), H(), 2).alias("tiled"), tiling.admitted(W(), H(), 2).alias("admitted"), tiling.admitted(W(), H(), 8).alias("admitted_8"), tiling.burst_admitted(W(), H(), 2, n).alias("burst"), F.round(tiling.job_budget_ms(W(), H(), 2, n), 4).alias("budget_ms"))
+
+
+_add("admission", _admission, f"select w, h, n, w > 512 or h > 512 or w::bigint * h * 136 > 268435456 as tiled, w::bigint * h * 136 <= 805306368 as admitted, w::bigint * h * 2056 <= 805306368 and greatest(w, h) <= 512 as admitted_8, n between 2 and 8 and greatest(w, h) <= 1024 and w::bigint * h * 208 + n * w::bigint * h * 8 <= 805306368 as burst, round(30000 + (w::bigint * h * 4.0::double + 2 * w::bigint * h * n) / 1000 * 12, 4) as budget_ms from {_SIZES_SQL}")
 _add("srgb_round_trip", lambda s, d: _pixels(_emb(s, d).withColumn("v", F.transform("v", lambda a: a / 255.0)), F.transform("v", lambda a: color.linear_to_srgb(color.srgb_to_linear(a)) * 255.0)), f"with {_EMB} select * from emb")
 _add("srgb_linear", lambda s, d: _pixels(_emb(s, d), F.transform("v", lambda a: color.srgb_to_linear(a / 255.0))), f"with {_EMB} select image_id, y, x, round(case when v <= 0 then 0 when v / 255 <= 0.04045 then v / 255 / 12.92 else pow((v / 255 + 0.055) / 1.055, 2.4) end, 4) as v from emb")
 
@@ -403,6 +412,16 @@ def _heat(s: SparkSession, d: str) -> DataFrame:
 _add("heatmap", _heat, f"with {_EMB}, {_up_cte('emb', Kernel.BICUBIC, 2, 8, 8, 'u')} select u.image_id, u.y, u.x, round(least(255.0, 8 * 3 * abs(u.v - e.v) / 3), 4) as v from u join emb e on e.image_id = u.image_id and e.y = u.y // 2 and e.x = u.x // 2")
 
 
+def _heat_colors(s: SparkSession, d: str) -> DataFrame:
+    red, green, blue = color.heat(F.col("level"))
+    return s.range(0, 256).select(F.col("id").alias("level")).select("level", red.alias("red"), green.alias("green"), blue.alias("blue"))
+
+
+_add("heat_colors", _heat_colors, "select level, cast(case when level < 64 then 0 when level < 128 then (level - 64) * 4 else 255 end as integer) as red, cast(case when level < 64 then level * 4 when level < 128 then 255 else greatest(0, 255 - (level - 128) * 2) end as integer) as green, cast(case when level < 64 then 128 + level * 2 when level < 128 then 255 - (level - 64) * 4 else 0 end as integer) as blue from range(256) t(level)")
+_add("alpha_over_white", lambda s, d: _pixels(_emb(s, d), F.transform("v", lambda v, i: color.over_white(v, (i * 4).cast("double")))), f"with {_EMB} select image_id, y, x, round(v * ((y * 8 + x) * 4.0::double) / 255 + 255 * (1 - ((y * 8 + x) * 4.0::double) / 255), 4) as v from emb")
+_add("burst_gate", lambda s, d: QUERIES["burst_shifts"](s, d).groupBy("burst_id").agg(F.count("*").alias("n_frames"), F.max(F.when(F.col("frame") == 0, F.col("kept"))).alias("reference_kept")), f"with {_FRAMES} select burst_id, count(*) as n_frames, true as reference_kept from frames group by burst_id")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embedding rasters at twice their size: bytes with exact block sums, and the loop's residual."""
     return upscale(_emb(spark, sf_dir), 2).select("image_id", "w", "h", "v", "residual", "iters")

@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from ..functions.arrays import grid
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it has fewer partitions, as one small file has; larger inputs stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def from_embeddings(embeddings: DataFrame, side: int = 8) -> DataFrame:
     """Vectors of side * side components as byte planes: -1 to 1 becomes 0 to 255."""
     v = F.transform("embedding", lambda x: F.floor(F.least(F.greatest((x.cast("double") + 1.0) * 127.5, F.lit(0.0)), F.lit(255.0)) + 0.5).cast("double"))
