@@ -11,6 +11,7 @@ substrings, and each learns whether a smaller document has it too.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from .suffixes import suffix_array
 from .words import mix, utf8
 
 #: Bytes of a repeat, of the substrings that key it, bits of a key in the first exchange, bytes of text of a block and for each shard.
-SPAN, KEY_BYTES, KEY_BITS, BLOCK_BYTES, SHARD_BYTES = 50, 20, 48, 1 << 19, 1 << 21
+SPAN, KEY_BYTES, KEY_BITS, BLOCK_BYTES, SHARD_BYTES = 50, 20, 48, 1 << 20, 1 << 22
 _END = 0xFF  # never in UTF-8
 
 
@@ -176,6 +177,7 @@ def _smaller_has(span: int):
     def work(_: int, payloads: list[bytes]) -> list[bytes]:
         """For each window of each block's segments, whether a smaller document than the segment's first has it."""
         best: dict[bytes, int] = {}
+        key_of: dict[bytes, int] = {}
         parts = []
         for p in payloads:
             x = mail.unpack(p)
@@ -183,11 +185,16 @@ def _smaller_has(span: int):
             raw = x["text"].tobytes()
             own = [raw[e - n : e] for e, n in zip(ends.tolist(), x["size"].tolist(), strict=True)]
             parts.append((own, x["ids"]))
-            for s, i in zip(own, x["ids"].tolist(), strict=True):
+            for s, i, k in zip(own, x["ids"].tolist(), mail.undo_deltas(x["d"]).tolist(), strict=True):
+                key_of[s] = k
                 if best.get(s, i) >= i:
                     best[s] = i
-        names = list(best)
-        marks = dict(zip(names, repeated_in(names, np.array([best[s] for s in names], np.int64), span), strict=True))
+        # The only segment with a key shares its substrings with none: its smallest document is theirs too.
+        kinds = Counter(key_of.values())
+        marks = {s: np.zeros(len(s) - span + 1, bool) for s, k in key_of.items() if kinds[k] == 1}
+        names = [s for s, k in key_of.items() if kinds[k] > 1]
+        if names:
+            marks.update(zip(names, repeated_in(names, np.array([best[s] for s in names], np.int64), span), strict=True))
         out = []
         for own, ids in parts:
             bits = [marks[s] if best[s] == i else np.ones(len(s) - span + 1, bool) for s, i in zip(own, ids.tolist(), strict=True)]
@@ -228,7 +235,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
         def make(lo: int, hi: int) -> bytes:
             own = [s for (_, s), _ in x.found[lo:hi]]
-            return mail.pack(ids=x.first[lo:hi], size=np.array([len(s) for s in own], np.uint32), text=np.frombuffer(b"".join(own), np.uint8))
+            return mail.pack(d=mail.deltas(x.keys[lo:hi]), ids=x.first[lo:hi], size=np.array([len(s) for s in own], np.uint32), text=np.frombuffer(b"".join(own), np.uint8))
 
         return mail.messages(x.block, cuts, make)
 
