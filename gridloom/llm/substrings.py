@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import mail
-from .suffixes import suffix_array
+from .suffixes import gathered, suffix_array
 from .words import mix, utf8
 
 #: Bytes of a repeat, of the substrings that key it, bits of a key in the first exchange, bytes of text of a block and for each shard.
@@ -120,7 +120,7 @@ def common_prefixes(t: np.ndarray, span: int) -> Iterator[tuple[np.ndarray, np.n
     lanes = np.ndarray((len(t) + span,), "<u8", padded, strides=(1,))
     offsets = [*range(0, span - 7, 8), span - 8] if span >= 8 else []
     last = None
-    for piece in suffix_array(t):
+    for piece in gathered(suffix_array(t), 1 << 16):
         before = np.concatenate([[piece[0] if last is None else last], piece[:-1]])
         same = np.ones(len(piece), bool)
         for o in offsets:

@@ -48,16 +48,26 @@ class Queues:
 
     def pop(self, symbol: int) -> Iterator[np.ndarray]:
         """The symbol's positions in order, in pieces; the queue is empty after."""
+        near: list[np.ndarray] = []
+        size = 0
         for p in self.parts.pop(symbol, []):
             if isinstance(p, np.ndarray):
                 self.held -= len(p)
-                for at in range(0, len(p), PIECE):
-                    yield p[at : at + PIECE]
-            else:
-                at, n = p
-                for done in range(0, n, PIECE):
-                    self.file.seek(at + 8 * done)
-                    yield np.fromfile(self.file, np.int64, min(PIECE, n - done))
+                near.append(p)
+                size += len(p)
+                if size >= PIECE:
+                    yield np.concatenate(near)
+                    near, size = [], 0
+                continue
+            if near:
+                yield np.concatenate(near)
+                near, size = [], 0
+            at, n = p
+            for done in range(0, n, PIECE):
+                self.file.seek(at + 8 * done)
+                yield np.fromfile(self.file, np.int64, min(PIECE, n - done))
+        if near:
+            yield np.concatenate(near)
 
 
 def _smaller_than_next(t: np.ndarray) -> np.ndarray:
@@ -133,6 +143,19 @@ def _doubling(t: np.ndarray) -> np.ndarray:
         step *= 2
 
 
+def gathered(pieces: Iterator[np.ndarray], size: int) -> Iterator[np.ndarray]:
+    """The same positions in pieces of ``size`` or more, the last one aside."""
+    held, n = [], 0
+    for p in pieces:
+        held.append(p)
+        n += len(p)
+        if n >= size:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
 def suffix_array(t: np.ndarray, base: int = BASE) -> Iterator[np.ndarray]:
     """Positions of the suffixes of ``t`` (integers) in descending order, in pieces."""
     n = len(t)
