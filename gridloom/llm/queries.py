@@ -125,4 +125,23 @@ with v as (
 select query_id, rank, vec_id, score from ranked where rank <= 5
 """,
     "op6_licenses": licenses.oracle_sql(),
+    "op4_recompress": f"""
+with docs as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents
+), windows as (
+  select doc_id, p, md5(array_to_string(list_slice(w, p, p + {recompress.WINDOW - 1}), ' ')) as k
+  from docs, lateral (select unnest(range(1, len(w) - {recompress.WINDOW - 2})) as p)
+), starts as (
+  select doc_id, p, row_number() over (partition by k order by doc_id, p) > 1 as later from windows
+), words as (
+  select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from docs
+), covered as (
+  select x.doc_id, x.p, word, coalesce(max(cast(later as integer)) over (partition by x.doc_id order by x.p rows between {recompress.WINDOW - 1} preceding and current row), 0) as gone
+  from words x left join starts s on s.doc_id = x.doc_id and s.p = x.p
+), kept as (
+  select doc_id, cast(sum(gone) as bigint) as n_removed, coalesce(string_agg(case when gone = 0 then word end, ' ' order by p), '') as text from covered group by doc_id
+)
+select doc_id, len(w) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+from docs left join kept using (doc_id)
+""",
 }
