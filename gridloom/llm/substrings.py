@@ -245,19 +245,31 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     def finish(t: pa.Table, got: list[dict[int, bytes]]) -> pa.Table:
         x, cuts = seen(t, got)
-        cover = np.zeros(len(x.data) + 1, np.int64)
+        begins, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        run_start, run_id = x.start[x.run].tolist(), x.ids[x.doc[x.run]].tolist()
         for s in range(len(cuts) - 1):
             if cuts[s] == cuts[s + 1]:
                 continue
-            bits, at = np.unpackbits(np.frombuffer(got[1][s], np.uint8)).astype(bool), 0
+            bits, at = np.unpackbits(np.frombuffer(got[1][s], np.uint8)), 0
+            whole: list[int] = []
+            after: list[int] = []
             for ((_, content), runs), first in zip(x.found[cuts[s] : cuts[s + 1]], x.first[cuts[s] : cuts[s + 1]].tolist(), strict=True):
                 n = len(content) - span + 1
+                hit = None
                 for r in runs:
-                    begin = x.start[x.run[r]]
-                    hit = np.arange(begin, begin + n) if x.ids[x.doc[x.run[r]]] > first else begin + np.flatnonzero(bits[at : at + n])
-                    cover[hit] += 1
-                    cover[hit + span] -= 1
+                    if run_id[r] > first:  # its first document is smaller: all of it goes
+                        whole.append(run_start[r])
+                        after.append(run_start[r] + n - 1 + span)
+                    else:
+                        hit = np.flatnonzero(bits[at : at + n]) if hit is None else hit
+                        if len(hit):
+                            begins.append(run_start[r] + hit)
+                            ends.append(run_start[r] + hit + span)
                 at += n
+            begins.append(np.array(whole, np.int64))
+            ends.append(np.array(after, np.int64))
+        size = len(x.data) + 1
+        cover = np.bincount(np.concatenate(begins), minlength=size) - np.bincount(np.concatenate(ends), minlength=size)
         gone = np.cumsum(cover)[:-1] > 0
         edge = gone.copy()
         edge[1:] &= ~gone[:-1]
