@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import mail
 from .suffixes import gathered, suffix_array
-from .words import mix, utf8
+from .words import mix, range_hashes, utf8
 
 #: Bytes of a repeat, of the substrings that key it, bits of a key in the first exchange, bytes of text of a block and for each shard.
 SPAN, KEY_BYTES, KEY_BITS, BLOCK_BYTES, SHARD_BYTES = 50, 20, 48, 1 << 20, 1 << 22
@@ -77,16 +77,23 @@ class _Block:
         self.low, self.many = low, low != high
 
     def segments(self, shared: np.ndarray) -> None:
-        """Distinct segments of runs with shared keys, by key and content, with their smallest id."""
+        """Runs with shared keys in the order of key, content and id; a group for each distinct segment, its smallest id first."""
         runs = np.flatnonzero(shared[self.of]) if len(self.of) else np.zeros(0, np.int64)
-        raw = self.data.tobytes()
-        found: dict[tuple[int, bytes], list[int]] = {}
-        for r in runs.tolist():
-            s = int(self.start[self.run[r]])
-            found.setdefault((int(self.key[self.run[r]]), raw[s : s + int(self.run_size[r]) + self.span - 1]), []).append(r)
-        self.found = sorted(found.items())
-        self.first = np.array([min(int(self.ids[self.doc[self.run[r]]]) for r in rs) for _, rs in self.found], np.int64)
-        self.keys = np.array([k for (k, _), _ in self.found], np.uint64)
+        start, size = self.start[self.run[runs]], self.run_size[runs] + self.span - 1
+        key, ids = self.key[self.run[runs]], self.ids[self.doc[self.run[runs]]]
+        content = range_hashes(self.data, start, start + size)
+        order = np.lexsort((ids, size, content, key))
+        start, size, key, content, ids = start[order], size[order], key[order], content[order], ids[order]
+        lead = np.ones(len(order), bool)
+        lead[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1]) | (size[1:] != size[:-1])
+        self.run_start, self.run_id, self.group = start, ids, np.cumsum(lead) - 1
+        self.where, self.size, self.keys, self.first = start[lead], size[lead], key[lead], ids[lead]
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1, ... of each of ``sizes`` places, behind one another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def _flags(answers: dict[int, bytes], cuts: np.ndarray) -> np.ndarray:
@@ -234,8 +241,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         x, cuts = seen(t, got)
 
         def make(lo: int, hi: int) -> bytes:
-            own = [s for (_, s), _ in x.found[lo:hi]]
-            return mail.pack(d=mail.deltas(x.keys[lo:hi]), ids=x.first[lo:hi], size=np.array([len(s) for s in own], np.uint32), text=np.frombuffer(b"".join(own), np.uint8))
+            return mail.pack(d=mail.deltas(x.keys[lo:hi]), ids=x.first[lo:hi], size=x.size[lo:hi].astype(np.uint32), text=x.data[_spans(x.where[lo:hi], x.size[lo:hi])])
 
         return mail.messages(x.block, cuts, make)
 
@@ -245,31 +251,23 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     def finish(t: pa.Table, got: list[dict[int, bytes]]) -> pa.Table:
         x, cuts = seen(t, got)
-        begins, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        run_start, run_id = x.start[x.run].tolist(), x.ids[x.doc[x.run]].tolist()
+        n = x.size - span + 1
+        flags = [np.zeros(0, bool)]
         for s in range(len(cuts) - 1):
-            if cuts[s] == cuts[s + 1]:
-                continue
-            bits, at = np.unpackbits(np.frombuffer(got[1][s], np.uint8)), 0
-            whole: list[int] = []
-            after: list[int] = []
-            for ((_, content), runs), first in zip(x.found[cuts[s] : cuts[s + 1]], x.first[cuts[s] : cuts[s + 1]].tolist(), strict=True):
-                n = len(content) - span + 1
-                hit = None
-                for r in runs:
-                    if run_id[r] > first:  # its first document is smaller: all of it goes
-                        whole.append(run_start[r])
-                        after.append(run_start[r] + n - 1 + span)
-                    else:
-                        hit = np.flatnonzero(bits[at : at + n]) if hit is None else hit
-                        if len(hit):
-                            begins.append(run_start[r] + hit)
-                            ends.append(run_start[r] + hit + span)
-                at += n
-            begins.append(np.array(whole, np.int64))
-            ends.append(np.array(after, np.int64))
-        size = len(x.data) + 1
-        cover = np.bincount(np.concatenate(begins), minlength=size) - np.bincount(np.concatenate(ends), minlength=size)
+            if cuts[s] < cuts[s + 1]:
+                flags.append(np.unpackbits(np.frombuffer(got[1][s], np.uint8))[: int(n[cuts[s] : cuts[s + 1]].sum())].astype(bool))
+        hits = np.flatnonzero(np.concatenate(flags))
+        at = np.cumsum(n) - n
+        hit_cuts = np.searchsorted(hits, np.append(at, n.sum()))
+        # Where a segment's first document is smaller than the run's, all of the run goes; else what the shard marked.
+        later = x.run_id > x.first[x.group]
+        own = np.flatnonzero(~later)
+        count = np.diff(hit_cuts)[x.group[own]]
+        marked = hits[_spans(hit_cuts[:-1][x.group[own]], count)] + np.repeat(x.run_start[own] - at[x.group[own]], count)
+        begins = np.concatenate([x.run_start[later], marked])
+        ends = np.concatenate([x.run_start[later] + x.size[x.group[later]], marked + span])
+        length = len(x.data) + 1
+        cover = np.bincount(begins, minlength=length) - np.bincount(ends, minlength=length)
         gone = np.cumsum(cover)[:-1] > 0
         edge = gone.copy()
         edge[1:] &= ~gone[:-1]

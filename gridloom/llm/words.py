@@ -56,6 +56,15 @@ def pair(a: np.ndarray, b: np.ndarray, salt: int = 0) -> np.ndarray:
     return mix(mix(a + np.uint64((2 * salt + 1) * 0x632BE59BD9B4E019 % (1 << 64))) * np.uint64(0xD6E8FEB86659FD93) + b)
 
 
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of data[start[i]:end[i]] for each i."""
+    n = len(data)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTES[data] * _power("up", n), out=sums[1:])
+    raw = (sums[end] - sums[start]) * _power("down", n + 1)[start]
+    return mix(raw ^ (end - start).astype(np.uint64))
+
+
 @dataclass
 class Texts:
     """UTF-8 bytes of consecutive texts; text i is data[at[i]:at[i + 1]]."""
@@ -115,11 +124,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        n = len(self.texts.data)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTES[self.texts.data] * _power("up", n), out=sums[1:])
-        raw = (sums[self.end] - sums[self.start]) * _power("down", n + 1)[self.start]
-        return mix(raw ^ (self.end - self.start).astype(np.uint64))
+        return range_hashes(self.texts.data, self.start, self.end)
 
     def joined(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Words joined by one space each: bytes, starts and ends there."""
