@@ -81,18 +81,19 @@ class EliasFano:
         low = q & np.uint64((1 << self.low_bits) - 1)
         most = int(self.zeros[-1])
         live = np.flatnonzero(high < most)
-        h = high[live]
-        place = np.where(h > 0, self._select0(np.maximum(h - 1, 0)) + 1, 0)
-        while len(live):
-            i = place - h
-            bit = (self.high[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)
-            inside = (bit == 1) & (i < self.n)
-            mine = self._low(np.minimum(i, self.n - 1))
-            go = inside & (mine < low[live])
-            stop = ~go
-            out[live[stop]] = i[stop]
-            equal[live[stop]] = inside[stop] & (mine[stop] == low[live[stop]])
-            live, h, place = live[go], h[go], place[go] + 1
+        h, want = high[live], low[live]
+        # The values with this high part, halved until the first that is large enough is left.
+        first = np.where(h > 0, self._select0(np.maximum(h - 1, 0)) + 1 - h, 0)
+        end = self._select0(h) - h
+        last = end
+        while (first < last).any():
+            open_ = first < last
+            middle = (first + last) // 2
+            less = self._low(np.minimum(middle, self.n - 1)) < want
+            first = np.where(open_ & less, middle + 1, first)
+            last = np.where(open_ & ~less, middle, last)
+        out[live] = first
+        equal[live] = (first < end) & (self._low(np.minimum(first, self.n - 1)) == want)
         return out, equal
 
     def values(self) -> np.ndarray:
