@@ -52,9 +52,9 @@ def _probes() -> tuple[np.ndarray, np.ndarray]:
 _ORDER, _PLACE = _probes()
 
 
-def _densify(least: np.ndarray, full: np.ndarray) -> None:
-    """Fills the empty bins of every row that has a full one."""
-    row, col = np.nonzero(~full & full.any(1)[:, None])
+def _densify(least: np.ndarray, full: np.ndarray, bins: int = BINS) -> None:
+    """Fills the empty ones of the first ``bins`` bins of every row that has a full one."""
+    row, col = np.nonzero(~full[:, :bins] & full.any(1)[:, None])
     for step in range(PROBES):
         if not len(row):
             return
@@ -66,23 +66,27 @@ def _densify(least: np.ndarray, full: np.ndarray) -> None:
     cuts = np.flatnonzero(np.diff(row)) + 1
     for lo, hi in zip([0, *cuts], [*cuts, len(row)], strict=True):
         if lo < hi:
-            bins = np.flatnonzero(full[row[lo]])
+            some = np.flatnonzero(full[row[lo]])
             cols = col[lo:hi]
-            least[row[lo], cols] = least[row[lo], bins[_PLACE[cols[:, None], bins].argmin(1)]]
+            least[row[lo], cols] = least[row[lo], some[_PLACE[cols[:, None], some].argmin(1)]]
+
+
+def minima(h: np.ndarray, doc: np.ndarray, n: int, bins: int = BINS) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``bins`` densified bins of n texts with shingle hashes h of texts doc, and which texts have words."""
+    shift = np.uint64(BINS.bit_length() - 1)
+    least = np.full(n * BINS, _MOST, np.uint64)
+    np.minimum.at(least, doc * BINS + (h >> (np.uint64(64) - shift)).astype(np.int64), h << shift >> shift)
+    least = least.reshape(n, BINS)
+    full = least != _MOST
+    _densify(least, full, bins)
+    return least[:, :bins], full.any(1)
 
 
 def low_bits(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The ``BITS`` lowest bits of each text's bins, and which texts have words."""
     out, some = np.zeros((len(texts), BINS), np.uint8), np.zeros(len(texts), bool)
-    shift = np.uint64(BINS.bit_length() - 1)
     for block in blocks(texts):
-        h, doc = shingle_hashes(words(block.lower()))
-        least = np.full(len(block) * BINS, _MOST, np.uint64)
-        np.minimum.at(least, doc * BINS + (h >> (np.uint64(64) - shift)).astype(np.int64), h << shift >> shift)
-        least = least.reshape(len(block), BINS)
-        full = least != _MOST
-        rows = full.any(1)
-        _densify(least, full)
+        least, rows = minima(*shingle_hashes(words(block.lower())), len(block))
         out[block.first : block.first + len(block)] = (mix(least) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
         some[block.first : block.first + len(block)] = rows
     return out, some

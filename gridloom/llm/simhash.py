@@ -4,6 +4,10 @@ Two fingerprints that differ in at most 2 bits share a variant: a value
 within one bit of either. Every distinct fingerprint emits itself and its
 64 one-bit variants; a shuffle on variants brings together all pairs that
 can link, at most 65 fingerprints on one variant, whatever the data.
+
+``drop_near_duplicates`` asks for a likeness of word shingles instead, at
+which fingerprints differ in up to some 20 bits. There MinHash bands bring
+texts together as well, and each link is verified on the shingles themselves.
 """
 
 from __future__ import annotations
@@ -15,12 +19,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .minhash import minima, shingle_hashes
 from .shared import connected_components, settle
-from .words import Texts, blocks, words
+from .words import Texts, blocks, mix, pair, sums_by, words
 from .xxh64 import xxh64
 
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 2
 
+#: Least Jaccard likeness, in hundredths, of texts that ``drop_near_duplicates`` links; bands and minima of each band,
+#: of which texts at 0.8 share one with a probability of 1 - (1 - 0.8 ** 5) ** 24 = 0.9999.
+LIKE, BANDS, BAND_ROWS = 80, 24, 5
+#: Texts that are worked on at once.
+_ROWS = 256
+
 
 def simhash(texts: Texts, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
     """The 64-bit fingerprint of each text, as uint64.
@@ -89,11 +100,97 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shin
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _distinct(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of shingle hash and text, in order of texts, then hashes."""
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return h[new], doc[new]
+
+
+def _sets(texts: pa.Array, shingle_words: int) -> list[np.ndarray]:
+    """The distinct shingle hashes of each text."""
+    out: list[np.ndarray] = []
+    for block in blocks(texts):
+        h, doc = _distinct(*shingle_hashes(words(block.lower()), shingle_words))
+        out += np.split(h, np.searchsorted(doc, np.arange(1, len(block))))
+    return out
+
+
+def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
+    """doc_id, at, fp, name, bands of rows (doc_id, at, text).
+
+    ``name`` is a hash of a text's set of shingles, so that texts of one name
+    are alike; ``bands`` are hashes of its minima, none for a text without words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, _ROWS):
+                b = whole.slice(first, _ROWS)
+                fps, names, bands, sizes = [], [], [], []
+                for block in blocks(b.column(2)):
+                    h, doc = _distinct(*shingle_hashes(words(block.lower()), shingle_words))
+                    at = np.searchsorted(doc, np.arange(len(block) + 1))
+                    least, some = minima(h, doc, len(block), BANDS * BAND_ROWS)
+                    key = np.tile(np.arange(BANDS, dtype=np.uint64), (len(block), 1))
+                    for k in range(BAND_ROWS):
+                        key = pair(key, least[:, k::BAND_ROWS], 2)
+                    fps.append(simhash(block, shingle_words))
+                    names.append(sums_by(at, mix(h + np.uint64(SEED))))
+                    bands.append(key[some].reshape(-1))
+                    sizes.append(np.where(some, BANDS, 0))
+                ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(bands).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate(fps).view(np.int64)), pa.array(np.concatenate(names).view(np.int64)), lists], names=["doc_id", "at", "fp", "name", "bands"])
+
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, at long, fp long, name long, bands array<long>")
+
+
+def like_pairs(pairs: DataFrame, shingle_words: int) -> DataFrame:
+    """(a, b) of the rows (a, b, text_a, text_b) whose sets of shingles have a Jaccard likeness of ``LIKE`` hundredths or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, _ROWS):
+                b = whole.slice(first, _ROWS)
+                both = zip(_sets(b.column(2), shingle_words), _sets(b.column(3), shingle_words), strict=True)
+                shared = [(len(np.intersect1d(x, y, True)), len(x) + len(y)) for x, y in both]
+                yield b.select(["a", "b"]).filter(pa.array([100 * n >= LIKE * (total - n) for n, total in shared], pa.bool_()))
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle_words: int = 5) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component: one document of each group stays.
+    """The rows of ``docs`` with the smallest doc_id of their group: one document of each group stays.
 
-    Rows that repeat the kept doc_id of a group stay as they are; rows with a
-    null doc_id stay only where nothing else is in their group.
+    Groups are components of texts whose sets of word shingles have a Jaccard
+    likeness of 0.8 or more. Texts of one band, or within 2 bits of one
+    another, are compared with the smallest name among them. Rows that repeat
+    the kept doc_id of a group stay as they are; rows with a null doc_id stay
+    only where nothing else is in their group.
     """
-    kept = components(docs, text, doc_id, shingle_words).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    whole = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("at"), F.col(text).alias("text"))
+    rows = settle(sketches(whole, shingle_words))
+    nodes = settle(rows.groupBy("name").agg(F.min("doc_id").alias("first"), F.min(F.struct("at", "fp", "bands")).alias("one")).select("name", "first", "one.*"))
+
+    keys = nodes.select("name", F.explode("bands").alias("key"))
+    met = keys.groupBy("key").agg(F.min("name").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
+    pairs = keys.join(met, "key").select("a", F.col("name").alias("b"))
+    least = nodes.groupBy("fp").agg(F.min("name").alias("a"))
+    pairs = pairs.unionByName(nodes.join(least, "fp").select("a", F.col("name").alias("b")))
+    near = near_pairs(least.select("fp")).withColumnsRenamed({"a": "x", "b": "y"})
+    near = near.join(least.withColumnRenamed("fp", "x"), "x").join(least.select(F.col("fp").alias("y"), F.col("a").alias("b")), "y")
+    pairs = settle(pairs.unionByName(near.select("a", "b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+    asked = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct()
+    asked = nodes.select("name", "at").join(asked, "name", "left_semi")
+    texts = settle(whole.select("at", "text").join(asked, "at").groupBy("name").agg(F.first("text").alias("text")))
+    both = pairs.join(texts.select(F.col("name").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("name").alias("b"), F.col("text").alias("text_b")), "b")
+    links = like_pairs(both.select("a", "b", "text_a", "text_b"), shingle_words)
+
+    groups = connected_components(links).withColumnRenamed("node", "name")
+    named = nodes.join(groups, "name", "left").groupBy(F.coalesce("component", "name").alias("component")).agg(F.min("first").alias("_kept"))
+    kept = named.select("_kept").distinct()
     return docs.join(kept, docs[doc_id].eqNullSafe(kept["_kept"]), "left_semi")

@@ -336,6 +336,30 @@ def test_simhash_components(docs, empty):
     assert kept.columns == docs.columns and simhash.drop_near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_at_four_fifths(spark):
+    rng = random.Random(5)
+    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    texts = []
+    for k in range(60):
+        w = [f"w{rng.randrange(5000)}" for _ in range(120 + k)]
+        for edits in (0, 2, 4, 9):  # every edited word changes five shingles
+            v = list(w)
+            for at in range(edits):
+                v[10 + 12 * at] = f"e{k}x{at}x{edits}"
+            texts.append(" ".join(v))
+    texts += ["one two three four", "ONE two three  four", "one two three five", "", None, "  "]
+    sets = [shingles(t or "") for t in texts]
+    like = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    group = list(range(len(texts)))
+    for a in range(240):
+        for b in range(a // 4 * 4, a):
+            if like(a, b):
+                group = [min(group[a], group[b]) if g in (group[a], group[b]) else g for g in group]
+    group[241], group[244], group[245] = 240, 243, 243
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r[0] for r in simhash.drop_near_duplicates(table).collect()) == sorted(set(group))
+
+
 def test_chains_of_links(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 105), (105, 103), (7, 7)], "a long, b long")
     assert {tuple(r) for r in connected_components(chain).collect()} == {(i, 0) for i in range(61)} | {(100, 100), (103, 100), (105, 100)}
