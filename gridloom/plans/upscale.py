@@ -132,8 +132,8 @@ def upscale(planes: DataFrame, scale: int, passes: int = PASSES, mode: str = "di
     return df.select(*keep, "w", "h", "v", "_lo", "_hi", "stats").mapInArrow(run, schema)
 
 
-def upscale_tiled(planes: DataFrame, scale: int, tile: int = TILE, halo: int = HALO, **options) -> DataFrame:
-    """Pixels (image_id, c, y, x, v) of images enlarged tile by tile, the same as whole images give.
+def upscaled_tiles(planes: DataFrame, scale: int, tile: int = TILE, halo: int = HALO, **options) -> DataFrame:
+    """Output tiles (image_id, c, size, t, v) with their halos: size has the source's w and h, t the boxes of ``split``.
 
     Range and artifact statistics come from the whole plane, so that every
     tile makes the whole image's decisions; the halo covers the reach of all
@@ -142,12 +142,16 @@ def upscale_tiled(planes: DataFrame, scale: int, tile: int = TILE, halo: int = H
     if halo % 8 or tile % 8:
         raise ValueError("tile and halo keep the 8-sample grid")
     cols = ["image_id", "c", "w", "h", "v"]
-    whole = _checked(planes).select(*cols).withColumn("stats", artifact_stats(F.col("v"), F.col("w"), F.col("h"))).withColumn("_range", value_range(F.col("v")))
+    whole = _checked(planes).select(*cols, F.struct("w", "h").alias("size")).withColumn("stats", artifact_stats(F.col("v"), F.col("w"), F.col("h"))).withColumn("_range", value_range(F.col("v")))
     tiles = split(whole, tile, halo)
     shifted = F.struct(F.col("stats.strength").alias("strength"), F.pmod(F.col("stats.phase_x") - F.col("t.px0"), F.lit(8)).cast("int").alias("phase_x"), F.pmod(F.col("stats.phase_y") - F.col("t.py0"), F.lit(8)).cast("int").alias("phase_y"))
-    ready = tiles.select(F.struct("image_id", "c", "t").alias("image_id"), F.lit(0).alias("c"), "w", "h", "v", shifted.alias("stats"), F.col("_range.lo").alias("lo"), F.col("_range.hi").alias("hi"))
-    done = upscale(ready.repartition("image_id"), scale, **options)
-    return stitch(done.select(F.col("image_id.image_id").alias("image_id"), F.col("image_id.c").alias("c"), F.col("image_id.t").alias("t"), "v"), scale)
+    ready = tiles.select(F.struct("image_id", "c", "size", "t").alias("image_id"), F.lit(0).alias("c"), "w", "h", "v", shifted.alias("stats"), F.col("_range.lo").alias("lo"), F.col("_range.hi").alias("hi"))
+    return upscale(ready.repartition("image_id"), scale, **options).select("image_id.*", "v")
+
+
+def upscale_tiled(planes: DataFrame, scale: int, tile: int = TILE, halo: int = HALO, **options) -> DataFrame:
+    """Pixels (image_id, c, y, x, v) of images enlarged tile by tile, the same as whole images give; see ``upscaled_tiles``."""
+    return stitch(upscaled_tiles(planes, scale, tile, halo, **options), scale)
 
 
 def estimate_shift(ref: np.ndarray, mov: np.ndarray) -> tuple[float, float, float]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Longest side of a decoded bitmap; longer ones are taken at evenly spread samples.
+#: Longest side that a browser decodes; ``read`` takes longer ones at evenly spread samples if given it as ``side``.
 DECODE_SIDE = 2048
 
 
@@ -59,13 +59,14 @@ def fitted(image: np.ndarray, side: int = DECODE_SIDE) -> np.ndarray:
     return image[(np.arange(nh) * h // nh)][:, np.arange(nw) * w // nw]
 
 
-def read(spark: SparkSession, path: str, glob: str = "*.{ppm,bmp}", side: int = DECODE_SIDE) -> DataFrame:
-    """Planes (image_id = path, c = 0, 1, 2) of the image files at ``path``."""
+def read(spark: SparkSession, path: str, glob: str = "*.{ppm,bmp}", side: int | None = None) -> DataFrame:
+    """Planes (image_id = path, c = 0, 1, 2) of the image files at ``path``, whole unless ``side`` caps their sides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, data in zip(b["path"].to_pylist(), b["content"].to_pylist(), strict=True):
-                image = fitted(decode_bmp(data) if data[:2] == b"BM" else decode_ppm(data), side)
+                image = decode_bmp(data) if data[:2] == b"BM" else decode_ppm(data)
+                image = image if side is None else fitted(image, side)
                 h, w, n = image.shape
                 yield pa.RecordBatch.from_pydict({"image_id": [name] * n, "c": pa.array(range(n), pa.int32()), "w": pa.array([w] * n, pa.int32()), "h": pa.array([h] * n, pa.int32()), "v": pa.array([image[:, :, c].reshape(-1).astype(float) for c in range(n)], pa.list_(pa.float64()))})
 
@@ -98,3 +99,29 @@ def write(planes: DataFrame, folder: str, form: str = "ppm") -> None:
                 f.write(encode_bmp(image) if form == "bmp" else encode_ppm(image))
 
     interleaved(planes).foreachPartition(save)
+
+
+def write_tiles(tiles: DataFrame, folder: str, scale: int) -> None:
+    """One PPM file for each image of byte tiles (image_id, c, size, t, v); one task has the tiles of an image and holds one at a time."""
+    import os
+
+    def save(rows: Iterator) -> None:
+        os.makedirs(folder, exist_ok=True)
+        files: dict[str, np.memmap] = {}
+        for r in rows:
+            t, w, h = r["t"], r["size"]["w"] * scale, r["size"]["h"] * scale
+            name = os.path.join(folder, f"{os.path.splitext(os.path.basename(str(r['image_id'])))[0]}.ppm")
+            if name not in files:
+                head = b"P6\n%d %d\n255\n" % (w, h)
+                with open(name, "wb") as f:
+                    f.write(head)
+                    f.truncate(len(head) + 3 * w * h)
+                files[name] = np.memmap(name, np.uint8, "r+", len(head), (h, w, 3))
+            v = np.array(r["v"], np.uint8).reshape(t["ph"] * scale, t["pw"] * scale)
+            y, x, y1, x1 = (t[k] * scale for k in ("vy0", "vx0", "vy1", "vx1"))
+            py, px = t["py0"] * scale, t["px0"] * scale
+            files[name][y:y1, x:x1, r["c"]] = v[y - py : y1 - py, x - px : x1 - px]
+        for m in files.values():
+            m.flush()
+
+    tiles.repartition("image_id").foreachPartition(save)

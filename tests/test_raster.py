@@ -167,6 +167,23 @@ def test_image_files(spark, tmp_path):
     assert images.deinterleaved(images.interleaved(planes), 3).orderBy("c").select("v").collect() == planes.orderBy("c").select("v").collect()
 
 
+def test_large_image_files_stay_whole(spark, tmp_path):
+    from gridloom import cli
+
+    image = np.random.default_rng(2).integers(0, 256, (6, 2100, 3), np.uint8)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "wide.ppm").write_bytes(images.encode_ppm(image))
+    (tmp_path / "in" / "small.ppm").write_bytes(images.encode_ppm(image[:, :9]))
+    assert {(r[0], r[1]) for r in images.read(spark, str(tmp_path / "in")).select("w", "h").collect()} == {(2100, 6), (9, 6)}
+    assert images.read(spark, str(tmp_path / "in"), side=images.DECODE_SIDE).agg(F.max("w")).first()[0] == images.DECODE_SIDE
+    assert cli.main(["upscale", str(tmp_path / "in"), "2", str(tmp_path / "out")]) == 0
+    for name, source in (("wide", image), ("small", image[:, :9])):
+        got = images.decode_ppm((tmp_path / "out" / f"{name}-2x.ppm").read_bytes()).astype(int)
+        h, w, _ = source.shape
+        assert got.shape == (2 * h, 2 * w, 3)
+        assert (got.reshape(h, 2, w, 2, 3).sum((1, 3)) == 4 * source.astype(int)).all()
+
+
 def test_pixels_and_planes(spark):
     planes = frame(spark, texture(6)[0])
     assert metrics.planes(metrics.pixels(planes)).select("v").first() == planes.select("v").first()
