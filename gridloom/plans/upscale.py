@@ -56,7 +56,7 @@ def upscale(planes: DataFrame, scale: int, passes: int = PASSES, mode: str = "di
     """Planes ``scale`` times as large in bytes whose block sums are exact, with residual and passes used.
 
     ``mode`` is direct (2, 3, 4; 4 in stages) or progressive (2, 4, 8);
-    ``clamp``, or columns lo and hi, have a range in place of each plane's own;
+    ``clamp`` (one row for each plane), or columns lo and hi, have a range in place of each plane's own;
     ``iters`` auto stops early, without deblocking or the short way of
     constant planes; ``working_space`` linear works on light. ``floats``
     returns the float planes before bytes. Empty relations give empty ones;
@@ -70,8 +70,11 @@ def upscale(planes: DataFrame, scale: int, passes: int = PASSES, mode: str = "di
         raise ValueError("iters auto takes scale 2 or 3")
     df = _checked(planes)
     if clamp is not None:
-        ok = F.when(F.col("lo").isNull() | F.col("hi").isNull() | F.isnan("lo") | F.isnan("hi") | (F.col("lo") > F.col("hi")) | (F.abs("lo") == float("inf")) | (F.abs("hi") == float("inf")), F.raise_error(F.lit("clamp range is not finite and ascending")).cast("double"))
-        df = df.join(clamp.select("image_id", "c", F.coalesce(ok, F.col("lo").cast("double")).alias("_lo"), F.col("hi").cast("double").alias("_hi")), ["image_id", "c"])
+        bad = F.col("lo").isNull() | F.col("hi").isNull() | F.isnan("lo") | F.isnan("hi") | (F.col("lo") > F.col("hi")) | (F.abs("lo") == float("inf")) | (F.abs("hi") == float("inf"))
+        given = clamp.groupBy("image_id", "c").agg(F.count("*").alias("_given"), F.first(F.col("lo").cast("double")).alias("lo"), F.first(F.col("hi").cast("double")).alias("hi"))
+        given = given.select("image_id", "c", "_given", F.when(bad, F.raise_error(F.lit("clamp range is not finite and ascending")).cast("double")).otherwise(F.col("lo")).alias("_lo"), F.col("hi").alias("_hi"))
+        alone = F.when(F.col("_given").isNull(), F.raise_error(F.lit("plane has no clamp range")).cast("double")).when(F.col("_given") > 1, F.raise_error(F.lit("plane has several clamp ranges")).cast("double")).otherwise(F.col("_lo"))
+        df = df.join(given, ["image_id", "c"], "left").withColumn("_lo", alone).drop("_given")
     elif {"lo", "hi"} <= set(df.columns):
         df = df.withColumnsRenamed({"lo": "_lo", "hi": "_hi"})
     else:

@@ -153,6 +153,17 @@ def test_bad_arguments(spark):
     assert upscale(planes.limit(0), 2).count() == 0
 
 
+def test_clamp_has_one_range_a_plane(spark):
+    planes = frame(spark, texture(8)[0], texture(9)[0])
+    ranges = [(0, 0, 90.0, 110.0), (1, 0, 0.0, 255.0)]
+    table = lambda rows: spark.createDataFrame(rows, "image_id long, c int, lo double, hi double")
+    assert sorted(r[0] for r in upscale(planes, 2, clamp=table(ranges)).select("image_id").collect()) == [0, 1]
+    with pytest.raises(Exception, match="no clamp range"):
+        upscale(planes, 2, clamp=table(ranges[:1])).collect()
+    with pytest.raises(Exception, match="several clamp ranges"):
+        upscale(planes, 2, clamp=table([*ranges, ranges[0]])).collect()
+
+
 def test_image_files(spark, tmp_path):
     image = np.random.default_rng(1).integers(0, 256, (5, 7, 3), np.uint8)
     assert (images.decode_ppm(images.encode_ppm(image)) == image).all() and (images.decode_bmp(images.encode_bmp(image)) == image).all()
