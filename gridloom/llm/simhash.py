@@ -6,7 +6,7 @@ within one bit of either. Every distinct fingerprint emits itself and its
 can link, at most 65 fingerprints on one variant, whatever the data.
 
 ``drop_near_duplicates`` asks for a likeness of word shingles instead, at
-which fingerprints differ in up to some 20 bits. There MinHash bands bring
+which fingerprints differ in more than 2 bits. There MinHash bands bring
 texts together as well, and each link is verified on the shingles themselves.
 """
 
