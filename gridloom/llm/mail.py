@@ -22,9 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import settle, shuffle_partitions
-from .words import BLOCK_BYTES, blocks
+from .shared import settle, shuffle_partitions, small_batches
+from .words import blocks
 
+#: Bytes of text of a block.
+BLOCK_BYTES = 1 << 21
 MESSAGE = "shard int, block long, payload binary"
 _codec = pa.Codec("zstd", compression_level=1)
 
@@ -90,6 +92,7 @@ class Corpus:
     def __init__(self, docs: DataFrame, text: str, columns: list[str], block_bytes: int = BLOCK_BYTES):
         """``columns`` are kept as c0, c1, ...; the text (null: null) as text."""
         self.spark = docs.sparkSession
+        small_batches(self.spark)
         self.buckets = shuffle_partitions(self.spark)
         self.table = f"gridloom_{uuid.uuid4().hex}"
         cut = docs.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(columns)), F.col(text).alias("text"))

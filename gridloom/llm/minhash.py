@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shuffle_partitions
+from .shared import shuffle_partitions, small_batches
 from .words import blocks, mix, pair, words
 
 #: Bins (a power of 2), packed bits of each, words of a shingle, first probes.
@@ -131,6 +131,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
                 b = whole.slice(at, _ROWS)
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(packed(*low_bits(b.column(b.num_columns - 1))), pa.string())], names=[*b.schema.names[:-1], "fingerprint"])
 
+    small_batches(docs.sparkSession)
     cut = docs.select(*keep, F.col(text).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields[:-1])
     return cut.mapInArrow(run, f"{schema}, fingerprint string")
@@ -200,4 +201,5 @@ def edited_likeness(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
                 )
 
     out = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    small_batches(docs.sparkSession)
     return beside_next(docs, text, doc_id).mapInArrow(run, out)

@@ -10,6 +10,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Most bytes of an Arrow batch that goes to Python.
+ARROW_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes too, so that long texts do not fill buffers outside the heap."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
 def settle(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder that all executors share.
 

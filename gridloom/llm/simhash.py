@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .minhash import minima, shingle_hashes
-from .shared import connected_components, settle
+from .shared import connected_components, settle, shuffle_partitions, small_batches, stored
 from .words import Texts, blocks, mix, pair, sums_by, words
 from .xxh64 import xxh64
 
@@ -31,6 +31,7 @@ SHINGLE_WORDS, SEED, RADIUS = 3, 42, 2
 LIKE, BANDS, BAND_ROWS = 80, 24, 5
 #: Texts that are worked on at once.
 _ROWS = 256
+_codec = pa.Codec("zstd", compression_level=1)
 
 
 def simhash(texts: Texts, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
@@ -66,6 +67,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
             fp = np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp)], names=[*b.schema.names[:-1], "fp"])
 
+    small_batches(docs.sparkSession)
     cut = docs.select(*keep, F.col(text).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields[:-1])
     return cut.mapInArrow(run, f"{schema}, fp long")
@@ -78,7 +80,8 @@ def near_pairs(fps: DataFrame) -> DataFrame:
     links to the smallest of them connect them all.
     """
     flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(64)))
-    variants = fps.select("fp", F.explode(F.transform(flips, lambda x: F.col("fp").bitwiseXOR(x))).alias("variant"))
+    spread = fps.repartition(shuffle_partitions(fps.sparkSession), "fp")  # a given number of partitions, which adaptive execution does not merge
+    variants = spread.select("fp", F.explode(F.transform(flips, lambda x: F.col("fp").bitwiseXOR(x))).alias("variant"))
     met = variants.groupBy("variant").agg(F.collect_list("fp").alias("near")).where(F.size("near") > 1)
     pairs = met.select(F.array_min("near").alias("a"), F.explode("near").alias("b")).where("a <> b").distinct()
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
@@ -118,8 +121,19 @@ def _sets(texts: pa.Array, shingle_words: int) -> list[np.ndarray]:
     return out
 
 
+def _packed(text: pa.Array) -> pa.Array:
+    """Each text compressed, so that exchanges carry less; a null text is empty."""
+    raw = [b"" if x is None else x for x in text.cast(pa.large_binary()).to_pylist()]
+    return pa.array([len(x).to_bytes(8, "little") + _codec.compress(x, asbytes=True) for x in raw], pa.binary())
+
+
+def _unpacked(packed: pa.Array) -> pa.Array:
+    """The inverse of ``_packed``."""
+    return pa.array([_codec.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True) for x in packed.to_pylist()], pa.large_binary())
+
+
 def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """doc_id, at, fp, name, bands of rows (doc_id, at, text).
+    """doc_id, at, fp, name, bands, packed of rows (doc_id, at, text).
 
     ``name`` is a hash of a text's set of shingles, so that texts of one name
     are alike; ``bands`` are hashes of its minima, none for a text without words.
@@ -143,19 +157,19 @@ def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
                     sizes.append(np.where(some, BANDS, 0))
                 ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(bands).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate(fps).view(np.int64)), pa.array(np.concatenate(names).view(np.int64)), lists], names=["doc_id", "at", "fp", "name", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate(fps).view(np.int64)), pa.array(np.concatenate(names).view(np.int64)), lists, _packed(b.column(2))], names=["doc_id", "at", "fp", "name", "bands", "packed"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, at long, fp long, name long, bands array<long>")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, at long, fp long, name long, bands array<long>, packed binary")
 
 
 def like_pairs(pairs: DataFrame, shingle_words: int) -> DataFrame:
-    """(a, b) of the rows (a, b, text_a, text_b) whose sets of shingles have a Jaccard likeness of ``LIKE`` hundredths or more."""
+    """(a, b) of the rows (a, b, packed_a, packed_b) whose sets of shingles have a Jaccard likeness of ``LIKE`` hundredths or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for first in range(0, whole.num_rows, _ROWS):
                 b = whole.slice(first, _ROWS)
-                both = zip(_sets(b.column(2), shingle_words), _sets(b.column(3), shingle_words), strict=True)
+                both = zip(_sets(_unpacked(b.column(2)), shingle_words), _sets(_unpacked(b.column(3)), shingle_words), strict=True)
                 shared = [(len(np.intersect1d(x, y, True)), len(x) + len(y)) for x, y in both]
                 yield b.select(["a", "b"]).filter(pa.array([100 * n >= LIKE * (total - n) for n, total in shared], pa.bool_()))
 
@@ -172,8 +186,9 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     only where nothing else is in their group.
     """
     whole = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("at"), F.col(text).alias("text"))
-    rows = settle(sketches(whole, shingle_words))
-    nodes = settle(rows.groupBy("name").agg(F.min("doc_id").alias("first"), F.min(F.struct("at", "fp", "bands")).alias("one")).select("name", "first", "one.*"))
+    small_batches(docs.sparkSession)
+    rows = stored(sketches(whole, shingle_words))
+    nodes = stored(rows.groupBy("name").agg(F.min("doc_id").alias("first"), F.min(F.struct("at", "fp", "bands")).alias("one")).select("name", "first", "one.*"))
 
     keys = nodes.select("name", F.explode("bands").alias("key"))
     met = keys.groupBy("key").agg(F.min("name").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
@@ -182,13 +197,13 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     pairs = pairs.unionByName(nodes.join(least, "fp").select("a", F.col("name").alias("b")))
     near = near_pairs(least.select("fp")).withColumnsRenamed({"a": "x", "b": "y"})
     near = near.join(least.withColumnRenamed("fp", "x"), "x").join(least.select(F.col("fp").alias("y"), F.col("a").alias("b")), "y")
-    pairs = settle(pairs.unionByName(near.select("a", "b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    pairs = stored(pairs.unionByName(near.select("a", "b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
     asked = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct()
     asked = nodes.select("name", "at").join(asked, "name", "left_semi")
-    texts = settle(whole.select("at", "text").join(asked, "at").groupBy("name").agg(F.first("text").alias("text")))
-    both = pairs.join(texts.select(F.col("name").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("name").alias("b"), F.col("text").alias("text_b")), "b")
-    links = like_pairs(both.select("a", "b", "text_a", "text_b"), shingle_words)
+    texts = stored(rows.select("at", "packed").join(asked, "at").groupBy("name").agg(F.first("packed").alias("packed")))
+    both = pairs.join(texts.select(F.col("name").alias("a"), F.col("packed").alias("packed_a")), "a").join(texts.select(F.col("name").alias("b"), F.col("packed").alias("packed_b")), "b")
+    links = like_pairs(both.select("a", "b", "packed_a", "packed_b"), shingle_words)
 
     groups = connected_components(links).withColumnRenamed("node", "name")
     named = nodes.join(groups, "name", "left").groupBy(F.coalesce("component", "name").alias("component")).agg(F.min("first").alias("_kept"))
