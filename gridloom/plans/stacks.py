@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 STACK_SAMPLES = 1 << 20
 
 
-def mapped(planes: DataFrame, work: Callable[[np.ndarray], dict[str, np.ndarray]], outputs: list[str], v: str = "v") -> DataFrame:
-    """``planes`` with array columns ``outputs``: work(stack of shape (n, h, w)) for planes of equal size together."""
+def mapped(planes: DataFrame, work: Callable[..., dict[str, np.ndarray]], outputs: list[str], more: tuple[str, ...] = ()) -> DataFrame:
+    """``planes`` with array columns ``outputs``: work(stack of shape (n, h, w), rows of columns ``more``) for planes of equal size together."""
     keep = planes.columns
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in planes.schema.fields), *(f"`{o}` array<double>" for o in outputs)])
 
@@ -29,7 +29,8 @@ def mapped(planes: DataFrame, work: Callable[[np.ndarray], dict[str, np.ndarray]
                     step = max(1, STACK_SAMPLES // (h * w))
                     for k in range(0, len(rows), step):
                         part = rows[k : k + step]
-                        got = work(np.stack([np.asarray(b[v][i].values, float) for i in part]).reshape(-1, h, w))
+                        flat = [np.stack([np.asarray(b[name][i].values, float) for i in part]) for name in ("v", *more)]
+                        got = work(flat[0].reshape(-1, h, w), *flat[1:])
                         for o in outputs:
                             for i, plane in zip(part, got[o], strict=True):
                                 done[o][i] = plane.reshape(-1)

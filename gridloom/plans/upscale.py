@@ -14,12 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.color import srgb_to_linear
 from ..functions.kernels import Kernel
 from ..operators.descriptors import artifact_stats
 from ..operators.forward import value_range
 from ..operators.quantize import AMPLITUDE, Dither
 from ..operators.regularize import Deblock
-from ..operators.tiling import BURST_FRAMES, HALO, TILE, split, stitch
+from ..operators.tiling import BURST_FRAMES, BURST_SIDE, HALO, TILE, admitted, needs_tiling, split, stitch
 from . import numeric
 
 PASSES, AUTO, DEBLOCK, BURST_CONFIDENCE = 4, (2, 8, 1e-6), Deblock(), 0.05
@@ -58,7 +59,8 @@ def upscale(planes: DataFrame, scale: int, passes: int = PASSES, mode: str = "di
     ``mode`` is direct (2, 3, 4; 4 in stages) or progressive (2, 4, 8);
     ``clamp`` (one row for each plane), or columns lo and hi, have a range in place of each plane's own;
     ``iters`` auto stops early, without deblocking or the short way of
-    constant planes; ``working_space`` linear works on light. ``floats``
+    constant planes; ``working_space`` linear works on light, with ranges given
+    in bytes and statistics, if given, of the light. ``floats``
     returns the float planes before bytes. Empty relations give empty ones;
     planes with null or non-finite samples fail.
     """
@@ -91,6 +93,8 @@ def upscale(planes: DataFrame, scale: int, passes: int = PASSES, mode: str = "di
         own = b["_lo"][rows[0]].as_py() is None
         lo = y.min((1, 2)) if own else np.array([b["_lo"][i].as_py() for i in rows])
         hi = y.max((1, 2)) if own else np.array([b["_hi"][i].as_py() for i in rows])
+        if working_space == "linear" and not own:  # ranges are given in bytes
+            lo, hi = (_srgb(np.asarray(r) / 255.0, False) * 255.0 for r in (lo, hi))
         given = [b["stats"][i].as_py() for i in rows]
         stats = [g or numeric.artifact_stats(p) for g, p in zip(given, y, strict=True)] if deblocking and iters == "fixed" else None
         if iters == "auto":
@@ -136,20 +140,45 @@ def upscale(planes: DataFrame, scale: int, passes: int = PASSES, mode: str = "di
 
 
 def upscaled_tiles(planes: DataFrame, scale: int, tile: int = TILE, halo: int = HALO, **options) -> DataFrame:
-    """Output tiles (image_id, c, size, t, v) with their halos: size has the source's w and h, t the boxes of ``split``.
+    """Output tiles (image_id, c, size, t, v, residual) with their halos: size has the source's w and h, t the boxes of ``split``.
 
     Range and artifact statistics come from the whole plane, so that every
     tile makes the whole image's decisions; the halo covers the reach of all
-    passes. Tiles spread over tasks before they are worked on.
+    passes. Tiles spread over tasks before they are worked on. ``iters`` auto
+    is refused: a tile would stop by itself, not with its image.
     """
+    if options.get("iters", "fixed") != "fixed":
+        raise ValueError("tiles take a fixed number of passes")
     if halo % 8 or tile % 8:
         raise ValueError("tile and halo keep the 8-sample grid")
     cols = ["image_id", "c", "w", "h", "v"]
-    whole = _checked(planes).select(*cols, F.struct("w", "h").alias("size")).withColumn("stats", artifact_stats(F.col("v"), F.col("w"), F.col("h"))).withColumn("_range", value_range(F.col("v")))
+    light = F.transform("v", lambda a: srgb_to_linear(a / 255.0) * 255.0) if options.get("working_space") == "linear" else F.col("v")
+    whole = _checked(planes).select(*cols, F.struct("w", "h").alias("size")).withColumn("stats", artifact_stats(light, F.col("w"), F.col("h"))).withColumn("_range", value_range(F.col("v")))
     tiles = split(whole, tile, halo)
     shifted = F.struct(F.col("stats.strength").alias("strength"), F.pmod(F.col("stats.phase_x") - F.col("t.px0"), F.lit(8)).cast("int").alias("phase_x"), F.pmod(F.col("stats.phase_y") - F.col("t.py0"), F.lit(8)).cast("int").alias("phase_y"))
     ready = tiles.select(F.struct("image_id", "c", "size", "t").alias("image_id"), F.lit(0).alias("c"), "w", "h", "v", shifted.alias("stats"), F.col("_range.lo").alias("lo"), F.col("_range.hi").alias("hi"))
-    return upscale(ready.repartition("image_id"), scale, **options).select("image_id.*", "v")
+    return upscale(ready.repartition("image_id"), scale, **options).select("image_id.*", "v", "residual")
+
+
+def worst_residual(tiles: DataFrame) -> DataFrame:
+    """(image_id, c, residual): the largest residual of each plane's tiles, halos included."""
+    return tiles.groupBy("image_id", "c").agg(F.max("residual").alias("residual"))
+
+
+def enlarged(planes: DataFrame, scale: int, tile: int = TILE, halo: int = HALO, **options) -> DataFrame:
+    """Output tiles as ``upscaled_tiles`` gives them: planes that need tiling are cut, others are one tile each.
+
+    A plane that is neither cut nor within the limits of admission fails.
+    """
+    w, h = F.col("w"), F.col("h")
+    large = needs_tiling(w, h, scale)
+    refused = F.raise_error(F.lit("plane is over the limits of admission")).cast("int")
+    whole = planes.where(~large).withColumn("w", F.when(admitted(w, h, scale), w).otherwise(refused))
+    zero = F.lit(0)
+    box = F.struct(*(c.cast("int").alias(n) for n, c in {"tile_id": zero, "vx0": zero, "vy0": zero, "vx1": w, "vy1": h, "px0": zero, "py0": zero, "pw": w, "ph": h}.items()))
+    named = whole.select(F.struct("image_id", "c", F.struct("w", "h").alias("size"), box.alias("t")).alias("image_id"), F.lit(0).alias("c"), "w", "h", "v")
+    small = upscale(named, scale, **options).select("image_id.*", "v", "residual")
+    return small if scale == 8 else small.unionByName(upscaled_tiles(planes.where(large), scale, tile, halo, **options))
 
 
 def upscale_tiled(planes: DataFrame, scale: int, tile: int = TILE, halo: int = HALO, **options) -> DataFrame:
@@ -216,12 +245,13 @@ def fuse(frames: np.ndarray, scale: int, passes: int, shifts: list[tuple[float,
     return x, [(*f, k in use) for k, f in enumerate(found)], float(numeric.rms(ref[None] - numeric.box_mean(x, s))[0])
 
 
-def fuse_burst(frames: DataFrame, scale: int, passes: int = PASSES, shifts: DataFrame | None = None, confidence: float = BURST_CONFIDENCE) -> DataFrame:
+def fuse_burst(frames: DataFrame, scale: int, passes: int = PASSES, shifts: DataFrame | None = None, confidence: float = BURST_CONFIDENCE, floats: bool = False) -> DataFrame:
     """(burst_id, c, w, h, v, residual, shifts): frames (burst_id, frame, c, w, h, v) fused on frame 0 of each channel.
 
     ``shifts`` (burst_id, frame, dx, dy) replaces registration and its gates.
-    A burst has one size and 2 to 8 frames for fusing; one alone is enlarged
-    as a single image is by the same loop.
+    A burst has one size, sides up to 1024, its frame 0 and at most 8 frames; one
+    alone is enlarged as a single image is by the same loop. ``floats`` returns
+    float planes before bytes.
     """
     _valid(scale, (2, 4), passes)
     df = _checked(frames)
@@ -231,22 +261,26 @@ def fuse_burst(frames: DataFrame, scale: int, passes: int = PASSES, shifts: Data
         df = df.join(shifts.select("burst_id", "frame", F.coalesce(finite, F.col("dx").cast("double")).alias("_dx"), F.col("dy").cast("double").alias("_dy")), ["burst_id", "frame"], "left")
     else:
         df = df.withColumns({"_dx": F.lit(0.0), "_dy": F.lit(0.0)})
-    schema = f"{_fields(df, ['burst_id', 'c'])}, w int, h int, v array<int>, residual double, shifts array<struct<frame: int, dx: double, dy: double, confidence: double, kept: boolean>>"
+    schema = f"{_fields(df, ['burst_id', 'c'])}, w int, h int, v array<{'double' if floats else 'int'}>, residual double, shifts array<struct<frame: int, dx: double, dy: double, confidence: double, kept: boolean>>"
 
     def one(t: pa.Table) -> pa.Table:
         t = t.sort_by("frame")
         w, h = t["w"][0].as_py(), t["h"][0].as_py()
         if len(t["w"].unique()) > 1 or len(t["h"].unique()) > 1 or t.num_rows > BURST_FRAMES[1]:
             raise ValueError("frames of a burst differ in size or are too many")
+        if t["frame"][0].as_py() != 0 or len(t["frame"].unique()) < t.num_rows:
+            raise ValueError("a burst has no frame 0, or a frame twice")
+        if max(w, h) > BURST_SIDE:
+            raise ValueError(f"a side of a burst is over {BURST_SIDE}")
         stack = np.stack([np.asarray(v.values) for v in t["v"]]).reshape(-1, h, w)
         pairs = list(zip(t["_dx"].to_pylist(), t["_dy"].to_pylist(), strict=True)) if known else None
         if pairs and any(a is None for a, _ in pairs[1:]):
             raise ValueError("a frame has no shift")
         x, found, residual = fuse(stack, scale, passes, pairs, confidence)
-        q = numeric.quantise(x, stack[:1], scale)[0].reshape(-1)
+        q = (x if floats else numeric.quantise(x, stack[:1], scale))[0].reshape(-1)
         names = ("dx", "dy", "confidence", "kept")
         told = [{"frame": n} | dict(zip(names, f, strict=True)) for n, f in zip(t["frame"].to_pylist(), found, strict=True)]
         kind = pa.list_(pa.struct([("frame", pa.int32()), ("dx", pa.float64()), ("dy", pa.float64()), ("confidence", pa.float64()), ("kept", pa.bool_())]))
-        return pa.table({"burst_id": t["burst_id"].slice(0, 1), "c": t["c"].slice(0, 1), "w": pa.array([w * scale], pa.int32()), "h": pa.array([h * scale], pa.int32()), "v": pa.array([q], pa.list_(pa.int32())), "residual": [residual], "shifts": pa.array([told], kind)})
+        return pa.table({"burst_id": t["burst_id"].slice(0, 1), "c": t["c"].slice(0, 1), "w": pa.array([w * scale], pa.int32()), "h": pa.array([h * scale], pa.int32()), "v": pa.array([q], pa.list_(pa.float64() if floats else pa.int32())), "residual": [residual], "shifts": pa.array([told], kind)})
 
     return df.select("burst_id", "c", "frame", "w", "h", "v", "_dx", "_dy").groupBy("burst_id", "c").applyInArrow(one, schema)

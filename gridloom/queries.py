@@ -15,7 +15,8 @@ from .operators import descriptors as desc
 from .operators import forward, metrics, quantize, regularize, resample, tiling
 from .plans import numeric
 from .plans.stacks import mapped
-from .plans.upscale import DEBLOCK, fuse_burst, upscale, upscale_tiled
+from .operators.tiling import stitch as stitch_tiles
+from .plans.upscale import BURST_CONFIDENCE, DEBLOCK, enlarged, fuse_burst, upscale, upscale_tiled, upscaled_tiles, worst_residual
 from .sources import rasters
 
 
@@ -75,21 +76,32 @@ def _add(name: str, query: Query, sql: str | None = None) -> None:
 _add("synthetic_checker", lambda s, d: _pixels(rasters.generated(s, 32, 32, rasters.CHECKER), V()), "select cast(0 as bigint) as image_id, cast(i // 32 as integer) as y, cast(i % 32 as integer) as x, case when (i // 32 + i % 32) % 2 = 0 then 0.0::double else 255.0::double end as v from range(1024) t(i)")
 _add("synthetic_ramp", lambda s, d: _pixels(rasters.generated(s, 32, 32, rasters.RAMP), V()), "select cast(0 as bigint) as image_id, cast(i // 32 as integer) as y, cast(i % 32 as integer) as x, least((i % 32) * 8.0::double, 255.0) as v from range(1024) t(i)")
 _add("synthetic_sine", lambda s, d: _pixels(rasters.generated(s, 32, 32, rasters.SINE), V()), "select cast(0 as bigint) as image_id, cast(i // 32 as integer) as y, cast(i % 32 as integer) as x, round(128.0::double + 60 * sin(2 * pi() * (i % 32) / 9) + 40 * sin(2 * pi() * (i // 32) / 13 + 1), 4) as v from range(1024) t(i)")
+_add("synthetic_chroma", lambda s, d: metrics.pixels(rasters.chroma(s, 16, 16)).withColumn("v", F.round("v", 4)), "select cast(0 as bigint) as image_id, c.c, cast(i // 16 as integer) as y, cast(i % 16 as integer) as x, round(case c.c when 0 then 128.0::double + 60 * sin(2 * pi() * (i % 16) / 9) when 1 then 0 else 128.0::double + 60 * sin(2 * pi() * (i // 16) / 7 + 1) end, 4) as v from range(256) t(i), (values (0), (1), (2)) c(c)")
+_add("synthetic_blocky", lambda s, d: _pixels(rasters.generated(s, 16, 16, rasters.BLOCKY), V()), "select cast(0 as bigint) as image_id, cast(i // 16 as integer) as y, cast(i % 16 as integer) as x, round(0.25::double * (30 + 180.0::double * (i % 16 + i // 16) / 62) + 0.75::double * (30 + 180.0::double * ((i % 16) // 8 * 8 + (i // 16) // 8 * 8 + 7) / 62), 4) as v from range(256) t(i)")
+for _name, _value, _sql in (
+    ("step", rasters.STEP, "case when x < 16 then 0 else 255 end"),
+    ("flat", rasters.FLAT, "128"),
+    ("stripes", rasters.STRIPES, "case when (x // 4) % 2 = 1 then 0 else 255 end"),
+    ("modular", rasters.MODULAR, "(7 * x + 13 * y) % 251"),
+    ("zone", rasters.ZONE, "128 + 100 * sin(pi() * ((x - 16) * (x - 16) + (y - 16) * (y - 16)) / 32)"),
+):
+    _add(f"synthetic_{_name}", lambda s, d, f=_value: _pixels(rasters.generated(s, 32, 32, f), V()), f"select cast(0 as bigint) as image_id, y, x, round(cast({_sql} as double), 4) as v from (select cast(i // 32 as integer) as y, cast(i % 32 as integer) as x from range(1024) t(i))")
 _add("raster_emb", lambda s, d: _pixels(_emb(s, d), V()), f"with {_EMB} select * from emb")
 _add("raster_evt", lambda s, d: _pixels(_evt(s, d), V()), f"with {_EVT} select * from evt")
 
 
 def _bursts(spark: SparkSession, sf_dir: str, most: int = 3) -> DataFrame:
-    """The first vectors of each label as frames of a burst."""
+    """Every vector as a frame: those of one label, by vec_id, in bursts of ``most``; a burst is named after its first vector."""
     from pyspark.sql import Window
 
-    labels = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("label").alias("burst_id"))
-    place = F.row_number().over(Window.partitionBy("burst_id").orderBy("vec_id"))
-    first = labels.withColumn("frame", (place - 1).cast("int")).where(F.col("frame") < most)
-    return _emb(spark, sf_dir).join(first, F.col("image_id") == F.col("vec_id")).select("burst_id", "frame", "image_id", "c", "w", "h", "v")
+    labels = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label")
+    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    placed = labels.withColumn("_at", place).withColumn("frame", (F.col("_at") % most).cast("int"))
+    burst = F.first("vec_id").over(Window.partitionBy("label", F.floor(F.col("_at") / most)).orderBy("frame"))
+    return _emb(spark, sf_dir).join(placed.withColumn("burst_id", burst), F.col("image_id") == F.col("vec_id")).select("burst_id", "frame", "image_id", "c", "w", "h", "v")
 
 
-_FRAMES = "frames as (select label as burst_id, cast(row_number() over (partition by label order by vec_id) - 1 as integer) as frame, vec_id from embeddings qualify frame < 3)"
+_FRAMES = "placed as (select vec_id, label, row_number() over (partition by label order by vec_id) - 1 as p from embeddings), frames as materialized (select first(vec_id) over (partition by label, p // 3 order by p) as burst_id, cast(p % 3 as integer) as frame, vec_id from placed)"
 _add("burst_frames", lambda s, d: _bursts(s, d).select("burst_id", "frame", "image_id"), f"with {_FRAMES} select burst_id, frame, vec_id as image_id from frames")
 
 # --- resampling -----------------------------------------------------------
@@ -119,38 +131,45 @@ def _up_cte(source: str, kernel: Kernel, scale: int, w: int, h: int, name: str)
 
 for _k in Kernel:
     _n = 5 if _k is Kernel.MITCHELL else 4  # digits at which no sample of the tables lies on a boundary
-    _add(f"up2_{_k.value}", lambda s, d, k=_k, n=_n: _pixels(_emb(s, d), resample.upsample(V(), W(), H(), 2, k), W() * 2, n), f"with {_EMB}, {_up_cte('emb', _k, 2, 8, 8, 'u')} select image_id, y, x, round(v, {_n}) as v from u")
-_add("up3_lanczos3", lambda s, d: _pixels(_evt(s, d), resample.upsample(V(), W(), H(), 3, Kernel.LANCZOS3), W() * 3), f"with {_EVT}, {_up_cte('evt', Kernel.LANCZOS3, 3, 24, 30, 'u')} select image_id, y, x, round(v, 4) as v from u")
+    _add(f"up2_{_k.value}", lambda s, d, k=_k, n=_n: _pixels(mapped(_emb(s, d), lambda p: {"x": numeric.upsample(p, 2, k)}, ["x"]), F.col("x"), W() * 2, n), f"with {_EMB}, {_up_cte('emb', _k, 2, 8, 8, 'u')} select image_id, y, x, round(v, {_n}) as v from u")
+_add("up3_lanczos3", lambda s, d: _pixels(mapped(_evt(s, d), lambda p: {"x": numeric.upsample(p, 3, Kernel.LANCZOS3)}, ["x"]), F.col("x"), W() * 3), f"with {_EVT}, {_up_cte('evt', Kernel.LANCZOS3, 3, 24, 30, 'u')} select image_id, y, x, round(v, 4) as v from u")
+_add("up2_expression", lambda s, d: _pixels(_emb(s, d), resample.upsample(V(), W(), H(), 2, Kernel.BILINEAR), W() * 2), f"with {_EMB}, {_up_cte('emb', Kernel.BILINEAR, 2, 8, 8, 'u')} select image_id, y, x, round(v, 4) as v from u")
 _add("nearest_resize", lambda s, d: _pixels(_emb(s, d), resample.repeat(V(), W(), H(), 4), W() * 4), f"with {_EMB} select image_id, cast(y * 4 + dy as integer) as y, cast(x * 4 + dx as integer) as x, v from emb, range(4) a(dy), range(4) b(dx)")
 
 
-def _shift_cte(source: str, dx: float, dy: float, w: int, h: int, name: str, fields: str = "") -> str:
-    f = fields
-    return f"""{name}_p as (select *{f}, least({w - 1.0}, greatest(0.0, x - ({dx}::double))) as sx, least({h - 1.0}, greatest(0.0, y - ({dy}::double))) as sy from {source}
-), {name} as (
-  select p.image_id, p.y, p.x, a.v * (1 - (sx - floor(sx))) * (1 - (sy - floor(sy))) + b.v * (sx - floor(sx)) * (1 - (sy - floor(sy))) + c.v * (1 - (sx - floor(sx))) * (sy - floor(sy)) + e.v * (sx - floor(sx)) * (sy - floor(sy)) as v
-  from {name}_p p
-  join {source} a on a.image_id = p.image_id and a.y = floor(sy) and a.x = floor(sx)
-  join {source} b on b.image_id = p.image_id and b.y = floor(sy) and b.x = least({w - 1}, floor(sx) + 1)
-  join {source} c on c.image_id = p.image_id and c.y = least({h - 1}, floor(sy) + 1) and c.x = floor(sx)
-  join {source} e on e.image_id = p.image_id and e.y = least({h - 1}, floor(sy) + 1) and e.x = least({w - 1}, floor(sx) + 1)
-)"""
+def _lists(source: str) -> str:
+    return f"(select image_id, list(v order by y, x) as l from {source} group by image_id)"
+
+
+def _bilinear_sql(sy: str, sx: str, w: int, h: int) -> str:
+    """Interpolated sample of list ``l`` at the row's places, which lie inside the plane."""
+
+    def part(dy: int, dx: int) -> str:
+        place = f"cast(least({h - 1}, floor({sy}) + {dy}) * {w} + least({w - 1}, floor({sx}) + {dx}) + 1 as bigint)"
+        fx, fy = (f"({a} - floor({a}))" if d else f"(1 - ({a} - floor({a})))" for a, d in ((sx, dx), (sy, dy)))
+        return f"l[{place}] * {fx} * {fy}"
+
+    return " + ".join(part(dy, dx) for dy in (0, 1) for dx in (0, 1))
 
 
-_add("shift_half", lambda s, d: _pixels(_emb(s, d), resample.shift(V(), W(), H(), 0.5, -0.25)), f"with {_EMB}, {_shift_cte('emb', 0.5, -0.25, 8, 8, 'm')} select image_id, y, x, round(v, 4) as v from m")
-_add("shift_whole", lambda s, d: _pixels(_emb(s, d), resample.shift(V(), W(), H(), 1.0, 2.0)), f"with {_EMB} select a.image_id, a.y, a.x, b.v from emb a join emb b on a.image_id = b.image_id and b.y = greatest(0, a.y - 2) and b.x = greatest(0, a.x - 1)")
+def _shift_cte(source: str, dx: str, dy: str, w: int, h: int, name: str, fields: str = "") -> str:
+    """Moved planes; dx and dy are SQL over rows of ``source``, whose further ``fields`` stay."""
+    return f"""{name}_p as materialized (
+  select image_id, y, x{fields}, least({w - 1}.0::double, greatest(0.0::double, x - ({dx}))) as sx, least({h - 1}.0::double, greatest(0.0::double, y - ({dy}))) as sy from {source}
+), {name} as materialized (select image_id, y, x{fields}, {_bilinear_sql("sy", "sx", w, h)} as v from {name}_p join {_lists(source)} using (image_id))"""
+
+
+_add("shift_half", lambda s, d: _pixels(_emb(s, d), resample.shift(V(), W(), H(), 0.5, -0.25)), f"with {_EMB}, {_shift_cte('emb', '0.5::double', '-0.25::double', 8, 8, 'm')} select image_id, y, x, round(v, 4) as v from m")
+_add("shift_whole", lambda s, d: _pixels(_emb(s, d), resample.shift(V(), W(), H(), 1.0, 2.0)), f"with {_EMB} select image_id, y, x, l[cast(greatest(0, y - 2) * 8 + greatest(0, x - 1) + 1 as bigint)] as v from emb join {_lists('emb')} using (image_id)")
 
 
 def _lift_cte(source: str, scale: int, w: int, h: int, name: str) -> str:
-    cl = lambda e, n: f"greatest(0, least({n - 1}, {e}))"
-    cx, cy = f"((ox.i + 0.5::double) / {scale} - 0.5)", f"((oy.i + 0.5::double) / {scale} - 0.5)"
-    fx, fy = f"({cx} - floor({cx}))", f"({cy} - floor({cy}))"
-    parts = " + ".join(f"{n}.v * {wx} * {wy}" for n, wx, wy in (("a", f"(1 - {fx})", f"(1 - {fy})"), ("b", fx, f"(1 - {fy})"), ("c", f"(1 - {fx})", fy), ("e", fx, fy)))
-    joins = " ".join(f"join {source} {n} on {'' if n == 'a' else f'{n}.image_id = a.image_id and '}{n}.y = {cl(f'floor({cy}) + {dy}', h)} and {n}.x = {cl(f'floor({cx}) + {dx}', w)}" for n, dy, dx in (("a", 0, 0), ("b", 0, 1), ("c", 1, 0), ("e", 1, 1)))
-    return f"{name} as (select a.image_id, cast(oy.i as integer) as y, cast(ox.i as integer) as x, {parts} as v from range({w * scale}) ox(i) cross join range({h * scale}) oy(i) {joins})"
+    # Where a place lies before the first sample both neighbours are that sample.
+    place = lambda i, n: f"least({n - 1}.0::double, greatest(0.0::double, (({i}) + 0.5::double) / {scale} - 0.5))"
+    return f"{name} as materialized (select image_id, cast(oy.i as integer) as y, cast(ox.i as integer) as x, {_bilinear_sql(place('oy.i', h), place('ox.i', w), w, h)} as v from {_lists(source)} cross join range({w * scale}) ox(i) cross join range({h * scale}) oy(i))"
 
 
-_add("field_lift", lambda s, d: _pixels(_emb(s, d), resample.lift(V(), W(), H(), 2), W() * 2), f"with {_EMB}, {_lift_cte('emb', 2, 8, 8, 'l')} select image_id, y, x, round(v, 4) as v from l")
+_add("field_lift", lambda s, d: _pixels(mapped(_emb(s, d), lambda p: {"x": numeric.lift(p, 2)}, ["x"]), F.col("x"), W() * 2), f"with {_EMB}, {_lift_cte('emb', 2, 8, 8, 'l')} select image_id, y, x, round(v, 4) as v from l")
 
 # --- forward model --------------------------------------------------------
 
@@ -160,7 +179,7 @@ _add("block_sum", lambda s, d: metrics.pixels(_emb(s, d), keep=("image_id",)).gr
 
 
 def _up(df: DataFrame, scale: int = 2, kernel: Kernel = Kernel.BICUBIC) -> DataFrame:
-    return df.withColumn("x", resample.upsample(V(), W(), H(), scale, kernel))
+    return mapped(df, lambda p: {"x": numeric.upsample(p, scale, kernel)}, ["x"])
 
 
 _U = f"{_EMB}, {_up_cte('emb', Kernel.BICUBIC, 2, 8, 8, 'u')}, d as (select image_id, y // 2 as y, x // 2 as x, avg(v) as v from u group by image_id, y // 2, x // 2), r as (select e.image_id, e.y, e.x, e.v - d.v as v from emb e join d using (image_id, y, x))"
@@ -235,12 +254,21 @@ def _artifact_sql(cte: str, source: str) -> str:
   from {n}_s s join (select image_id, sum(own) as every, sum(n) as m from {n}_s group by image_id) t using (image_id)
 ), {n} as (select image_id, case when max(ratio) > 1 then max(ratio) else 1.0 end as ratio, case when max(ratio) > 1 then arg_max(phase, [ratio, -phase]) else 0 end as phase from {n}_r group by image_id)"""
 
-    return f"""with {cte}, {axis("ah", "x")}, {axis("av", "y")}
+    return f"""with {cte}, {axis("ah", "x")}, {axis("av", "y")}{_ARTIFACTS_TAIL}"""
+
+
+_ARTIFACTS_TAIL = """
 select image_id, round(ah.ratio, 4) as ratio_h, round(av.ratio, 4) as ratio_v, cast(ah.phase as integer) as phase_x, cast(av.phase as integer) as phase_y,
        greatest(ah.ratio, av.ratio) > 1.35 as present, round(case when greatest(ah.ratio, av.ratio) > 1.35 then least(1.0, greatest(ah.ratio, av.ratio) - 1.35) else 0 end, 4) as strength
 from ah join av using (image_id)"""
 
 
+def _stats_cte(source: str) -> str:
+    """CTE ``st`` (image_id, strength, px, py) of relation ``source``."""
+    axes = _artifact_sql("x as (select 1)", source).removeprefix("with x as (select 1), ").removesuffix(_ARTIFACTS_TAIL)
+    return f"{axes}, st as materialized (select image_id, case when greatest(ah.ratio, av.ratio) > 1.35 then least(1.0, greatest(ah.ratio, av.ratio) - 1.35) else 0 end as strength, ah.phase as px, av.phase as py from ah join av using (image_id))"
+
+
 def _artifacts(df: DataFrame) -> DataFrame:
     s = df.select("image_id", desc.artifact_stats(V(), W(), H()).alias("s"))
     return s.select("image_id", F.round("s.ratio_h", 4).alias("ratio_h"), F.round("s.ratio_v", 4).alias("ratio_v"), "s.phase_x", "s.phase_y", "s.present", F.round("s.strength", 4).alias("strength"))
@@ -269,42 +297,80 @@ _add("deblock_step", lambda s, d: _pixels(rasters.generated(s, 24, 24, rasters.O
 # --- regularisation and reconstruction ------------------------------------
 
 
-def _map_cte(kind: str) -> str:
-    return f"f_{kind} as (select image_id, y, x, {kind} as v from ds), {_lift_cte(f'f_{kind}', 2, 8, 8, f'm_{kind}')}"
+def _maps_cte(source: str, w: int, h: int, scales: tuple[int, ...]) -> str:
+    """Descriptor fields of ``source`` lifted to each scale, m2_edge and so on; edge, lo and hi."""
+    fields = [f"f_{k} as (select image_id, y, x, {k} as v from ds), {', '.join(_lift_cte(f'f_{k}', n, w, h, f'm{n}_{k}') for n in scales)}" for k in ("edge", "lo", "hi")]
+    return f"{_desc_cte(source, w, h)}, {', '.join(fields)}"
 
 
-_MAPS = f"{_desc_cte('emb', 8, 8)}, {', '.join(_map_cte(k) for k in ('edge', 'lo', 'hi'))}"
-_add("reg_maps", lambda s, d: _pixels(mapped(_emb(s, d), lambda p: numeric.maps(p, 2), ["edge"]), F.col("edge"), W() * 2), f"with {_EMB}, {_MAPS} select image_id, y, x, round(v, 4) as v from m_edge")
+_MAPS = _maps_cte("emb", 8, 8, (2,))
+_add("reg_maps", lambda s, d: _pixels(mapped(_emb(s, d), lambda p: numeric.maps(p, 2), ["edge"]), F.col("edge"), W() * 2), f"with {_EMB}, {_MAPS} select image_id, y, x, round(v, 4) as v from m2_edge")
 _STEP = "2 * 0.05::double * e.v * (case when {x} > hi.v then {x} - hi.v when {x} < lo.v then {x} - lo.v else 0 end)"
-_JOIN = "join m_edge e using (image_id, y, x) join m_lo lo using (image_id, y, x) join m_hi hi using (image_id, y, x)"
+
+
+def _join_maps(scale: int) -> str:
+    return " ".join(f"join m{scale}_{k} {n} using (image_id, y, x)" for k, n in (("edge", "e"), ("lo", "lo"), ("hi", "hi")))
+
+
 _X0 = _up_cte("emb", Kernel.LANCZOS3, 2, 8, 8, "x0")
-_add("reg_step", lambda s, d: _pixels(mapped(_emb(s, d), lambda p: {"r": numeric.edge_step(numeric.upsample(p, 2, Kernel.LANCZOS3), numeric.maps(p, 2))}, ["r"]), F.col("r"), W() * 2), f"with {_EMB}, {_MAPS}, {_X0} select image_id, y, x, round({_STEP.format(x='u.v')}, 4) as v from x0 u {_JOIN}")
+_add("reg_step", lambda s, d: _pixels(mapped(_emb(s, d), lambda p: {"r": numeric.edge_step(numeric.upsample(p, 2, Kernel.LANCZOS3), numeric.maps(p, 2))}, ["r"]), F.col("r"), W() * 2), f"with {_EMB}, {_MAPS}, {_X0} select image_id, y, x, round({_STEP.format(x='u.v')}, 4) as v from x0 u {_join_maps(2)}")
 _add("reg_frequency", lambda s, d: _pixels(mapped(_emb(s, d), lambda p: {"r": numeric.frequency_step(p, numeric.descriptors(p)["alias"], 0.01)}, ["r"]), F.col("r")), f"with {_EMB}, {_desc_cte('emb', 8, 8)}, lap as (select a.image_id, a.y, a.x, 4 * n11.v - n10.v - n12.v - n01.v - n21.v as v {_cells('emb', 8, 8)}), wl as (select lap.image_id, lap.y, lap.x, ds.alias * lap.v as v from lap join ds using (image_id, y, x)) select a.image_id, a.y, a.x, round(0.02 * (4 * n11.v - n10.v - n12.v - n01.v - n21.v), 4) as v {_cells('wl', 8, 8)}")
 
 
-def _pass_cte(t: int) -> str:
-    p, n = f"x{t - 1}", f"x{t}"
-    box = lambda name, src: f"{name} as (select e.image_id, e.y, e.x, e.v - d.v as v from emb e join (select image_id, y // 2 as y, x // 2 as x, avg(v) as v from {src} group by image_id, y // 2, x // 2) d using (image_id, y, x))"
-    return f"""{box(f"{n}_r", p)}, {_up_cte(f"{n}_r", Kernel.BILINEAR, 2, 8, 8, f"{n}_u")},
-{n}_c as (select c.image_id, c.y, c.x, c.v + u.v as v from {p} c join {n}_u u using (image_id, y, x)),
-{n}_h as (select image_id, y, x, greatest(g.lo, least(g.hi, u.v - {_STEP.format(x="u.v")})) as v from {n}_c u {_JOIN} join rng g using (image_id)),
-{box(f"{n}_q", f"{n}_h")}, {n} as (select h.image_id, h.y, h.x, h.v + q.v as v from {n}_h h join {n}_q q on q.image_id = h.image_id and q.y = h.y // 2 and q.x = h.x // 2)"""
+def _box_rest(source: str, planes: str, scale: int, name: str) -> str:
+    """Source samples less the box means of ``planes``."""
+    return f"{name} as materialized (select e.image_id, e.y, e.x, e.v - d.v as v from {source} e join (select image_id, cast(y // {scale} as integer) as y, cast(x // {scale} as integer) as x, avg(v) as v from {planes} group by all) d using (image_id, y, x))"
+
+
+def _loop(source: str, w: int, h: int, scale: int, passes: int, start: str, name: str, deblocked: bool) -> str:
+    """CTEs of the back-projection loop from planes ``start``; ``name`` followed by the pass are its planes.
+
+    Needs the maps at ``scale``, ranges ``rng`` and, if ``deblocked``, statistics ``st``.
+    """
+    wide, high = w * scale, h * scale
+    edges = (("a.x", 0, "px", "a.x > 0", "n10"), ("a.x", 1, "px", f"a.x < {wide - 1}", "n12"), ("a.y", 0, "py", "a.y > 0", "n01"), ("a.y", 1, "py", f"a.y < {high - 1}", "n21"))
+    near = " + ".join(f"case when {_boundary(f'{ax} + {up}', 8 * scale, f'st.{ph} * {scale}')} and {edge} then {n}.v - n11.v else 0 end" for ax, up, ph, edge, n in edges)
+    out, before = [], start
+    for t in range(1, passes + 1):
+        n = f"{name}{t}"
+        soft = f"{n}_b as materialized (select a.image_id, a.y, a.x, case when st.strength > 0 then greatest(-0.5, least(0.5, 0.1 * st.strength * ({near}))) else 0 end as b {_cells(f'{n}_c', wide, high)} join st on st.image_id = a.image_id)" if deblocked else f"{n}_b as (select image_id, y, x, 0 as b from {n}_c)"
+        out.append(f"""{_box_rest(source, before, scale, f"{n}_r")}, {_up_cte(f"{n}_r", Kernel.BILINEAR, scale, w, h, f"{n}_u")},
+{n}_c as materialized (select c.image_id, c.y, c.x, c.v + u.v as v from {before} c join {n}_u u using (image_id, y, x)), {soft},
+{n}_h as materialized (select image_id, y, x, greatest(g.lo, least(g.hi, u.v - {_STEP.format(x="u.v")} + k.b)) as v from {n}_c u join {n}_b k using (image_id, y, x) {_join_maps(scale)} join rng g using (image_id)),
+{_box_rest(source, f"{n}_h", scale, f"{n}_q")}, {n} as materialized (select h.image_id, h.y, h.x, h.v + q.v as v from {n}_h h join {n}_q q on q.image_id = h.image_id and q.y = h.y // {scale} and q.x = h.x // {scale})""")
+        before = n
+    return ", ".join(out)
+
+
+_OWN_RANGE = "rng as materialized (select image_id, min(v) as lo, max(v) as hi from {0} group by image_id)"
+
 
+def _single_sql(cte: str, source: str, w: int, h: int, scale: int, passes: int = 4, deblocked: bool = True, rng: str = _OWN_RANGE, staged: bool = False) -> str:
+    """CTEs of ``upscale``; the last planes are ``done``."""
+    stages = [2**k for k in range(1, scale.bit_length())] if staged else [scale]
+    parts = [cte, rng.format(source), _maps_cte(source, w, h, tuple(stages)), *([_stats_cte(source)] if deblocked else [])]
+    last, size = source, 1
+    for n in stages:
+        parts += [_up_cte(last, Kernel.LANCZOS3, n // size, w * size, h * size, f"s{n}_0"), _loop(source, w, h, n, passes, f"s{n}_0", f"s{n}_", deblocked)]
+        last, size = f"s{n}_{passes}", n
+    return ", ".join([*parts, f"done as materialized (select * from {last})"])
 
-_LOOP = f"{_EMB}, {_MAPS}, rng as (select image_id, min(v) as lo, max(v) as hi from emb group by image_id), {_X0}"
+
+_ROUNDED = "with {0} select image_id, y, x, round(v, 5) as v from done"
 for _t in (1, 4):
-    _add(f"ibp_{_t}", lambda s, d, t=_t: _pixels(upscale(_emb(s, d), 2, passes=t, deblocking=None, floats=True), V()), f"with {_LOOP}, {', '.join(_pass_cte(t) for t in range(1, _t + 1))} select image_id, y, x, round(v, 4) as v from x{_t}")
+    _add(f"ibp_{_t}", lambda s, d, t=_t: _pixels(upscale(_emb(s, d), 2, passes=t, deblocking=None, floats=True), V(), None, 5), _ROUNDED.format(_single_sql(_EMB, "emb", 8, 8, 2, _t, False)))
 
 # --- bytes ----------------------------------------------------------------
 
 
-def _exact_sql(scale: int, dither: bool) -> str:
+def _exact_sql(scale: int, dither: bool, planes: str = "") -> str:
+    """Bytes of enlarged planes; of CTEs ``planes``, whose last is ``done``, in place of bicubic ones."""
     table = ", ".join(f"({i}, {(b / 64.0 - 0.5) * quantize.AMPLITUDE!r}::double)" for i, b in enumerate(quantize.bayer()))
-    up = _up_cte("emb", Kernel.BICUBIC, scale, 8, 8, "u")
+    up = planes or f"{_EMB}, {_up_cte('emb', Kernel.BICUBIC, scale, 8, 8, 'done')}"
     value = "u.v + b.t" if dither else "u.v"
-    return f"""with {_EMB}, {up}, c as (
+    return f"""with {up}, c as (
   select u.image_id, u.y, u.x, u.y // {scale} as cy, u.x // {scale} as cx, (u.y % {scale}) * {scale} + u.x % {scale} as i, greatest(0, least(255, {value})) as c
-  from (select image_id, y, x, floor(v * 1048576 + 0.5) / 1048576 as v from u) u join (values {table}) b(k, t) on b.k = (u.y % 8) * 8 + u.x % 8
+  from (select image_id, y, x, floor(v * 1048576 + 0.5) / 1048576 as v from done) u join (values {table}) b(k, t) on b.k = (u.y % 8) * 8 + u.x % 8
 ), q as (select *, floor(c + 0.5) as q from c
 ), e as (select q.image_id, q.cy, q.cx, floor({scale * scale} * any_value(s.v) + 0.5) - sum(q.q) as e from q join emb s on s.image_id = q.image_id and s.y = q.cy and s.x = q.cx group by q.image_id, q.cy, q.cx
 ), steps as (
@@ -315,12 +381,14 @@ def _exact_sql(scale: int, dither: bool) -> str:
 select q.image_id, q.y, q.x, cast(q.q + coalesce(n, 0) as integer) as v from q left join chosen using (image_id, y, x)"""
 
 
-def _bytes(s: SparkSession, d: str, scale: int, mode: quantize.Dither) -> DataFrame:
-    """Bytes of enlarged planes whose samples are rounded to 2**-20, so that equal rests are equal in both engines."""
+def _grained(x: np.ndarray) -> np.ndarray:
+    """Samples rounded to 2**-20, so that equal rests are equal in both engines."""
+    return np.floor(x * 1048576 + 0.5) / 1048576
+
 
+def _bytes(s: SparkSession, d: str, scale: int, mode: quantize.Dither) -> DataFrame:
     def work(p: np.ndarray) -> dict[str, np.ndarray]:
-        x = np.floor(numeric.upsample(p, scale, Kernel.BICUBIC) * 1048576 + 0.5) / 1048576
-        return {"q": numeric.quantise(x, p, scale, mode)}
+        return {"q": numeric.quantise(_grained(numeric.upsample(p, scale, Kernel.BICUBIC)), p, scale, mode)}
 
     return _pixels(mapped(_emb(s, d), work, ["q"]), F.transform("q", lambda q: q.cast("int")), W() * scale, None)
 
@@ -329,34 +397,123 @@ for _s, _m in ((2, quantize.Dither.NONE), (3, quantize.Dither.NONE), (2, quantiz
     _add(f"{'dither' if _m else 'quantize'}_exact_{_s}", lambda s, d, n=_s, m=_m: _bytes(s, d, n, m), _exact_sql(_s, bool(_m)))
 
 
-def _sums(df: DataFrame, source: DataFrame, scale: int) -> DataFrame:
-    """Bytes in blocks beside what they must add up to."""
+def _floats(source: Callable[[SparkSession, str], DataFrame], scale: int, **options) -> Query:
+    """Planes of the whole product path before bytes, sample by sample."""
+    return lambda s, d: _pixels(upscale(source(s, d), scale, floats=True, **options), V(), None, 5)
+
+
+def _whole_range(df: DataFrame) -> DataFrame:
+    return df.select("image_id", "c", F.lit(0.0).alias("lo"), F.lit(255.0).alias("hi"))
+
+
+_add("upscale_2x", _floats(_emb, 2), _ROUNDED.format(_single_sql(_EMB, "emb", 8, 8, 2)))
+_add("upscale_3x", _floats(_emb, 3), _ROUNDED.format(_single_sql(_EMB, "emb", 8, 8, 3)))
+_add("upscale_4x", _floats(_emb, 4), _ROUNDED.format(_single_sql(_EMB, "emb", 8, 8, 4, staged=True)))
+_add("upscale_8x", _floats(lambda s, d: rasters.generated(s, 24, 24, rasters.OFFSET_GRID), 8, mode="progressive"), _ROUNDED.format(_single_sql(_GRID24, "syn", 24, 24, 8, staged=True)))
+_add("upscale_blocky", lambda s, d: _pixels(upscale(rasters.generated(s, 24, 24, rasters.OFFSET_GRID), 2, floats=True), V(), None, 5), _ROUNDED.format(_single_sql(_GRID24, "syn", 24, 24, 2)))
+_add("upscale_ranged", lambda s, d: _pixels(upscale(_emb(s, d), 2, clamp=_whole_range(_emb(s, d)), floats=True), V(), None, 5), _ROUNDED.format(_single_sql(_EMB, "emb", 8, 8, 2, rng="rng as materialized (select distinct image_id, 0.0::double as lo, 255.0::double as hi from {0})")))
+_LIGHT = f"{_EMB}, light as materialized (select image_id, y, x, 255 * (case when v <= 0 then 0 when v / 255 <= 0.04045 then v / 255 / 12.92 else pow((v / 255 + 0.055) / 1.055, 2.4) end) as v from emb)"
+_add("upscale_linear", _floats(_emb, 2, working_space="linear"), f"with {_single_sql(_LIGHT, 'light', 8, 8, 2)} select image_id, y, x, round(255 * (case when v <= 0 then 0 when v >= 255 then 1 when v / 255 <= 0.0031308 then 12.92 * v / 255 else 1.055 * pow(v / 255, 1 / 2.4::double) - 0.055 end), 5) as v from done")
+
+
+def _dithered(s: SparkSession, d: str) -> DataFrame:
+    """Bytes of the product path's planes, ordered dither, beside their sources."""
+    big = upscale(_emb(s, d), 2, floats=True).select("image_id", F.col("v").alias("x"))
+    both = _emb(s, d).join(big, "image_id")
+
+    def work(p: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
+        return {"q": numeric.quantise(_grained(x.reshape(len(p), p.shape[1] * 2, p.shape[2] * 2)), p, 2, quantize.Dither.ORDERED)}
+
+    return _pixels(mapped(both, work, ["q"], ["x"]), F.transform("q", lambda q: q.cast("int")), W() * 2, None)
+
+
+_add("upscale_dithered", _dithered, _exact_sql(2, True, _single_sql(_EMB, "emb", 8, 8, 2)))
+
+
+def _sums(df: DataFrame, scale: int) -> DataFrame:
+    """Bytes in blocks, to be beside what they must add up to."""
     big = metrics.pixels(df, keep=("image_id", "c")).groupBy("image_id", "c", forward.div(F.col("y"), scale).alias("y"), forward.div(F.col("x"), scale).alias("x")).agg(F.sum("v").alias("block_sum"))
     return big.select("image_id", "y", "x", F.col("block_sum").cast("long").alias("block_sum"))
 
 
-_BLOCKS = "with {cte} select image_id, y, x, cast({n} * v as bigint) as block_sum from {source}"
-for _s in (2, 3, 4):
-    _add(f"upscale_{_s}x", lambda s, d, n=_s: _sums(upscale(_emb(s, d), n), _emb(s, d), n), _BLOCKS.format(cte=_EMB, n=_s * _s, source="emb"))
-_add("upscale_8x", lambda s, d: _sums(upscale(_emb(s, d), 8, mode="progressive"), _emb(s, d), 8), _BLOCKS.format(cte=_EMB, n=64, source="emb"))
-_add("upscale_auto", lambda s, d: _sums(upscale(_evt(s, d), 2, iters="auto"), _evt(s, d), 2), _BLOCKS.format(cte=_EVT, n=4, source="evt"))
-_add("upscale_linear", lambda s, d: _sums(upscale(_emb(s, d), 2, working_space="linear"), _emb(s, d), 2), _BLOCKS.format(cte=_EMB, n=4, source="emb"))
-_add("upscale_dithered", lambda s, d: _sums(upscale(_emb(s, d), 2, dither=1), _emb(s, d), 2), _BLOCKS.format(cte=_EMB, n=4, source="emb"))
-_add("upscale_ranged", lambda s, d: _sums(upscale(_emb(s, d), 2, clamp=_emb(s, d).select("image_id", "c", F.lit(0.0).alias("lo"), F.lit(255.0).alias("hi"))), _emb(s, d), 2), _BLOCKS.format(cte=_EMB, n=4, source="emb"))
-_add("residual_small", lambda s, d: upscale(_emb(s, d), 2).select("image_id", (F.col("residual") < 1e-5).alias("ok"), "iters"), f"with {_EMB} select image_id, true as ok, cast(case when min(v) = max(v) then 0 else 4 end as integer) as iters from emb group by image_id")
+# Where the adaptive loop stops depends on the last bits of residuals near 0; a test compares its planes with as many fixed passes.
+_add("upscale_auto", lambda s, d: _sums(upscale(_evt(s, d), 2, iters="auto"), 2), f"with {_EVT} select image_id, y, x, cast(4 * v as bigint) as block_sum from evt")
+_add("residual_small", lambda s, d: upscale(_emb(s, d), 2).select("image_id", (F.col("residual") < 1e-5).alias("ok"), "iters"), f"with {_single_sql(_EMB, 'emb', 8, 8, 2)}, {_box_rest('emb', 'done', 2, 'rest')} select image_id, sqrt(avg(rest.v * rest.v)) < 1e-5 as ok, cast(case when min(emb.v) = max(emb.v) then 0 else 4 end as integer) as iters from rest join emb using (image_id, y, x) group by image_id")
 
 # --- bursts, tiles, colour, measures --------------------------------------
 
-_add("burst_fuse_2x", lambda s, d: _sums(fuse_burst(_bursts(s, d), 2).withColumnRenamed("burst_id", "image_id"), _emb(s, d), 2), f"with {_EMB}, {_FRAMES} select f.burst_id as image_id, e.y, e.x, cast(4 * e.v as bigint) as block_sum from emb e join frames f on f.vec_id = e.image_id and f.frame = 0")
-_add("burst_shifts", lambda s, d: fuse_burst(_bursts(s, d), 2).select("burst_id", F.explode("shifts").alias("s")).select("burst_id", "s.frame", "s.dx", "s.dy", F.round("s.confidence", 6).alias("confidence"), "s.kept"))
+_REF = "ref as materialized (select emb.* from emb join frames f on f.vec_id = emb.image_id and f.frame = 0)"
+_START = f"{_EMB}, {_FRAMES}, {_REF}, {_up_cte('ref', Kernel.LANCZOS3, 2, 8, 8, 'x0')}, {_OWN_RANGE.format('ref')}"
+
+
+def _grid_sql(steps: tuple[float, ...], middle_last: bool = False) -> str:
+    places = [(dy, dx) for dy in steps for dx in steps if not middle_last or dy or dx] + ([(0.0, 0.0)] if middle_last else [])
+    return "(values " + ", ".join(f"({k}, {dy}::double, {dx}::double)" for k, (dy, dx) in enumerate(places)) + ") t(k, dy, dx)"
+
+
+def _register_sql() -> str:
+    """CTE ``found`` (burst_id, frame, image_id, dx, dy, confidence): gradient fields matched on ever finer grids."""
+    sample = _bilinear_sql("greatest(0.0::double, least(7.0::double, i // 8 - ty))", "greatest(0.0::double, least(7.0::double, i % 8 - tx))", 8, 8)
+    cost = f"list_sum(list_transform(range(64), lambda i: pow(r[i + 1] - ({sample}), 2)))"
+
+    def tried(before: str, grid: str) -> str:
+        return f"(select *, {cost} as cost from (select p.burst_id, p.frame, p.image_id, p.r, p.l, t.k, p.tx + t.dx as tx, p.ty + t.dy as ty from {before} p, {grid}))"
+
+    best = "select burst_id, frame, image_id, any_value(r) as r, any_value(l) as l, arg_min(tx, [cost, k]) as tx, arg_min(ty, [cost, k]) as ty from {0} group by burst_id, frame, image_id"
+    sure = "b[2].cost > 0 and abs(b[1].tx) <= 1.5 and abs(b[1].ty) <= 1.5"
+    return f"""gl as materialized (select a.image_id, a.y, a.x, abs(n12.v - n10.v) + abs(n21.v - n01.v) as v {_cells("emb", 8, 8)}),
+p0 as materialized (select f.burst_id, f.frame, f.vec_id as image_id, r.l as r, m.l, 0.0::double as tx, 0.0::double as ty from frames f join {_lists("gl")} r on r.image_id = f.burst_id join {_lists("gl")} m on m.image_id = f.vec_id where f.frame > 0),
+p1 as materialized ({best.format(tried("p0", _grid_sql((-1.0, -0.5, 0.0, 0.5, 1.0))))}), p2 as materialized ({best.format(tried("p1", _grid_sql((-0.5, 0.0, 0.5))))}),
+p3 as materialized (select burst_id, frame, image_id, list_sort(list(struct_pack(cost := cost, k := k, tx := tx, ty := ty))) as b from {tried("p2", _grid_sql((-0.25, 0.0, 0.25), True))} group by burst_id, frame, image_id),
+found as materialized (select burst_id, frame, image_id, 0.0::double - b[1].tx as dx, 0.0::double - b[1].ty as dy, case when {sure} then 1 - b[1].cost / b[2].cost else 0 end as confidence from p3
+  union all select burst_id, frame, vec_id, 0, 0, 1 from frames where frame = 0)"""
+
+
+def _gates_sql() -> str:
+    """CTE ``used`` (found with kept) and ``using_`` (burst_id, image_id, dx, dy, wt) of registered frames."""
+    moved = "select f.image_id, x0.y, x0.x, x0.v, 2 * f.dx as dx, 2 * f.dy as dy from found f join x0 on x0.image_id = f.burst_id where f.frame > 0"
+    return f"""sure as materialized (select *, confidence >= {BURST_CONFIDENCE} as ok from found),
+apart as materialized (select f.burst_id, avg(abs(m.v - r.v)) as apart from frames f join emb m on m.image_id = f.vec_id join emb r on r.image_id = f.burst_id and r.y = m.y and r.x = m.x where f.frame > 0 group by f.burst_id),
+e1 as materialized ({moved}), {_shift_cte("e1", "dx", "dy", 16, 16, "e2")}, {_box_rest("emb", "e2", 2, "e3")}, {_box_rest("emb", "e1", 2, "e4")},
+errors as materialized (select a.image_id, a.e, b.e as still from (select image_id, avg(v * v) as e from e3 group by image_id) a join (select image_id, avg(v * v) as e from e4 group by image_id) b using (image_id)),
+gate as materialized (select s.burst_id, count(*) filter (ok) > 1 and not (max(abs(dx) + abs(dy)) filter (ok) < 0.25 and any_value(apart) > 0.5) and sum(e) filter (ok) < sum(still) filter (ok) as more
+  from sure s left join apart using (burst_id) left join errors using (image_id) group by s.burst_id),
+used as materialized (select s.*, s.frame = 0 or (s.ok and coalesce(g.more, false)) as kept from sure s join gate g using (burst_id)),
+w1 as materialized (select u.image_id, r.y, r.x, r.v, u.dx, u.dy from used u join ref r on r.image_id = u.burst_id where u.frame > 0 and u.kept), {_shift_cte("w1", "dx", "dy", 8, 8, "w2")},
+off as materialized (select w2.image_id, sqrt(avg(pow(w2.v - emb.v, 2))) as off from w2 join emb using (image_id, y, x) group by w2.image_id),
+middle as materialized (select burst_id, greatest(list_sort(list(off))[cast(count(*) // 2 + 1 as bigint)], 1e-6) as middle from off join used using (image_id) group by burst_id),
+raw as materialized (select u.*, case when u.frame = 0 then 1 else least(1.0, greatest(0.1, confidence)) * exp(-0.5 * pow(off / middle, 2)) end as wt from used u left join off using (image_id) left join middle using (burst_id) where u.kept),
+using_ as materialized (select burst_id, image_id, dx, dy, wt / sum(wt) over (partition by burst_id) as wt from raw)"""
+
+
+def _fused_sql(passes: int = 4) -> str:
+    """CTEs of the burst loop over ``using_``; ``done`` has the planes."""
+    out, before = [], "x0"
+    for t in range(1, passes + 1):
+        n = f"z{t}"
+        out.append(f"""{n}_x as materialized (select u.image_id, p.y, p.x, p.v, 2 * u.dx as dx, 2 * u.dy as dy from {before} p join using_ u on u.burst_id = p.image_id),
+{_shift_cte(f"{n}_x", "dx", "dy", 16, 16, f"{n}_m")}, {_box_rest("emb", f"{n}_m", 2, f"{n}_r")}, {_up_cte(f"{n}_r", Kernel.BILINEAR, 2, 8, 8, f"{n}_u")},
+{n}_b as materialized (select b.*, -2 * u.dx as dx, -2 * u.dy as dy from {n}_u b join using_ u using (image_id)), {_shift_cte(f"{n}_b", "dx", "dy", 16, 16, f"{n}_w")},
+{n}_f as materialized (select u.burst_id as image_id, w.y, w.x, sum(w.v * u.wt) as v from {n}_w w join using_ u using (image_id) group by u.burst_id, w.y, w.x),
+{n}_h as materialized (select image_id, y, x, greatest(g.lo, least(g.hi, p.v + f.v)) as v from {before} p join {n}_f f using (image_id, y, x) join rng g using (image_id)),
+{_box_rest("ref", f"{n}_h", 2, f"{n}_q")}, {n} as materialized (select h.image_id, h.y, h.x, h.v + q.v as v from {n}_h h join {n}_q q on q.image_id = h.image_id and q.y = h.y // 2 and q.x = h.x // 2)""")
+        before = n
+    return ", ".join([*out, f"done as materialized (select * from {before})"])
+
+
+_REGISTERED = f"{_START}, {_register_sql()}, {_gates_sql()}"
+_add("burst_fuse_2x", lambda s, d: _pixels(fuse_burst(_bursts(s, d), 2, floats=True).withColumnRenamed("burst_id", "image_id"), V(), None, 5), _ROUNDED.format(f"{_REGISTERED}, {_fused_sql()}"))
+_add("burst_shifts", lambda s, d: fuse_burst(_bursts(s, d), 2).select("burst_id", F.explode("shifts").alias("s")).select("burst_id", "s.frame", (F.col("s.dx") + 0.0).alias("dx"), (F.col("s.dy") + 0.0).alias("dy"), F.round("s.confidence", 6).alias("confidence"), "s.kept"), f"with {_REGISTERED} select burst_id, frame, dx + 0.0::double as dx, dy + 0.0::double as dy, round(confidence, 6) as confidence, kept from used")
+_add("burst_gate", lambda s, d: QUERIES["burst_shifts"](s, d).groupBy("burst_id").agg(F.count("*").alias("n_frames"), F.count_if("kept").alias("n_kept"), F.max(F.when(F.col("frame") == 0, F.col("kept"))).alias("reference_kept")), f"with {_REGISTERED} select burst_id, count(*) as n_frames, count(*) filter (kept) as n_kept, bool_or(kept and frame = 0) as reference_kept from used group by burst_id")
 
 
 def _known(s: SparkSession, d: str) -> DataFrame:
     frames = _bursts(s, d)
-    return fuse_burst(frames, 2, shifts=frames.select("burst_id", "frame", F.lit(0.5).alias("dx"), F.lit(0.0).alias("dy")).distinct())
+    return fuse_burst(frames, 2, shifts=frames.select("burst_id", "frame", F.lit(0.5).alias("dx"), F.lit(0.0).alias("dy")).distinct(), floats=True)
 
 
-_add("burst_known_shifts", lambda s, d: _sums(_known(s, d).withColumnRenamed("burst_id", "image_id"), _emb(s, d), 2), SQL["burst_fuse_2x"])
+_GIVEN = "using_ as materialized (select burst_id, vec_id as image_id, case when frame = 0 then 0.0::double else 0.5::double end as dx, 0.0::double as dy, 1.0::double / count(*) over (partition by burst_id) as wt from frames)"
+_add("burst_known_shifts", lambda s, d: _pixels(_known(s, d).withColumnRenamed("burst_id", "image_id"), V(), None, 5), _ROUNDED.format(f"{_START}, {_GIVEN}, {_fused_sql()}"))
 _add("burst_ssd", lambda s, d: _bursts(s, d).alias("m").join(_bursts(s, d).where("frame = 0").select("burst_id", F.col("v").alias("ref")), "burst_id").select("burst_id", "frame", (metrics.mse(F.col("ref"), V()) * F.size(V())).alias("ssd")), f"with {_EMB}, {_FRAMES}, p as (select f.burst_id, f.frame, e.y, e.x, e.v from frames f join emb e on e.image_id = f.vec_id) select m.burst_id, m.frame, sum((m.v - r.v) * (m.v - r.v)) as ssd from p m join p r on r.burst_id = m.burst_id and r.frame = 0 and r.y = m.y and r.x = m.x group by m.burst_id, m.frame")
 _BOX = ("vx0", "vy0", "vx1", "vy1", "px0", "py0", "pw", "ph")
 _add("tile_assign", lambda s, d: s.createDataFrame([(600, 600), (1600, 1000), (100, 513)], "w int, h int").select("w", "h", F.explode(tiling.tile_ids(W(), H(), 512, 16)).alias("t")).select("w", "h", "t.tile_id", *(f"t.{b}" for b in _BOX)), """
@@ -375,6 +532,15 @@ def _agree(s: SparkSession, d: str) -> DataFrame:
 
 
 _add("tile_agreement", _agree, f"with {_EVT} select image_id, cast(0 as integer) as worst, count(*) * 4 as n, count(*) * 4 as matched from evt group by image_id")
+_WIDE = "syn as materialized (select cast(0 as bigint) as image_id, cast(i // 520 as integer) as y, cast(i % 520 as integer) as x, case when i % 520 < 260 then 0.0::double else 255.0::double end as v from range(8320) t(i))"
+
+
+def _wide_step(s: SparkSession) -> DataFrame:
+    return rasters.generated(s, 520, 16, rasters.STEP)
+
+
+_add("upscale_dispatch", lambda s, d: stitch_tiles(enlarged(_wide_step(s).unionByName(rasters.generated(s, 24, 24, rasters.RAMP).withColumn("image_id", F.lit(1).cast("long"))), 2), 2).groupBy("image_id").agg(F.count("*").alias("n"), F.sum(F.col("v").cast("long")).alias("bytes")), f"with {_WIDE} select image_id, count(*) * 4 as n, cast(4 * sum(v) as bigint) as bytes from syn group by image_id union all select cast(1 as bigint), 2304, cast(4 * sum(least((i % 24) * 8, 255)) as bigint) from range(576) t(i)")
+_add("tile_residual", lambda s, d: worst_residual(upscaled_tiles(_evt(s, d), 2, 8, 24)).select("image_id", (F.col("residual") < 1e-5).alias("ok")), f"with {_single_sql(_EVT, 'evt', 24, 30, 2)}, {_box_rest('evt', 'done', 2, 'rest')} select image_id, sqrt(avg(v * v)) < 1e-5 as ok from rest group by image_id")
 _SIZES = [(512, 512, 1), (513, 10, 2), (100, 100, 5), (1024, 1024, 5), (2000, 2000, 8), (300, 400, 9)]
 _SIZES_SQL = f"(values {', '.join(map(str, _SIZES))}) t(w, h, n)"
 
@@ -390,16 +556,19 @@ _add("srgb_linear", lambda s, d: _pixels(_emb(s, d), F.transform("v", lambda a:
 
 
 def _ycocg(s: SparkSession, d: str) -> DataFrame:
-    r, g, b = at(V(), F.lit(0)), at(V(), F.lit(1)), at(V(), F.lit(2))
+    """Every sample with the two after it as red, green and blue."""
+    px = _emb(s, d).select("image_id", F.posexplode("v").alias("i", "r"), "v")
+    r, g, b = F.col("r"), at(V(), (F.col("i") + 1) % 64), at(V(), (F.col("i") + 2) % 64)
     y, co, cg = color.to_ycocg(r, g, b)
     back = color.from_ycocg(y, co, cg)
-    return _emb(s, d).select("image_id", y.alias("luma"), co.alias("co"), cg.alias("cg"), ((back[0] == r) & (back[1] == g) & (back[2] == b)).alias("lossless"))
+    return px.select("image_id", "i", y.alias("luma"), co.alias("co"), cg.alias("cg"), back[0].alias("red"), back[1].alias("green"), back[2].alias("blue"))
 
 
-_add("ycocg", _ycocg, f"with {_EMB}, p as (select image_id, max(case when y = 0 and x = 0 then v end) as r, max(case when y = 0 and x = 1 then v end) as g, max(case when y = 0 and x = 2 then v end) as b from emb group by image_id) select image_id, 0.25::double * r + 0.5::double * g + 0.25::double * b as luma, 0.5::double * r - 0.5::double * b as co, -0.25::double * r + 0.5::double * g - 0.25::double * b as cg, true as lossless from p")
+_add("ycocg", _ycocg, f"with {_EMB}, p as (select image_id, cast(y * 8 + x as integer) as i, v as r, l[cast((y * 8 + x + 1) % 64 + 1 as bigint)] as g, l[cast((y * 8 + x + 2) % 64 + 1 as bigint)] as b from emb join {_lists('emb')} using (image_id)) select image_id, i, 0.25::double * r + 0.5::double * g + 0.25::double * b as luma, 0.5::double * r - 0.5::double * b as co, -0.25::double * r + 0.5::double * g - 0.25::double * b as cg, r as red, g as green, b as blue from p")
+_add("psnr_truth", lambda s, d: mapped(_emb(s, d), lambda p: {"x": numeric.upsample(numeric.box_mean(p, 2), 2, Kernel.BILINEAR)}, ["x"]).select("image_id", F.round(metrics.psnr(F.col("x"), V()), 4).alias("psnr")), f"with {_EMB}, half as materialized (select image_id, cast(y // 2 as integer) as y, cast(x // 2 as integer) as x, avg(v) as v from emb group by all), {_up_cte('half', Kernel.BILINEAR, 2, 4, 4, 'u')}, m as (select image_id, avg(pow(u.v - emb.v, 2)) as e from u join emb using (image_id, y, x) group by image_id) select image_id, round(case when e = 0 then 1e9 else 10 * log10(65025.0 / e) end, 4) as psnr from m")
 _add("psnr_round_trip", lambda s, d: _up(_emb(s, d)).select("image_id", F.round(metrics.psnr(forward.box_mean(F.col("x"), W() * 2, H() * 2, 2), V()), 4).alias("psnr")), f"with {_U}, m as (select image_id, avg(v * v) as e from r group by image_id) select image_id, round(case when e = 0 then 1e9 else 10 * log10(65025.0 / e) end, 4) as psnr from m")
 _add("max_difference", lambda s, d: _emb(s, d).select("image_id", metrics.max_difference(V(), resample.shift(V(), W(), H(), 1.0, 0.0)).alias("worst")), f"with {_EMB} select a.image_id, max(abs(a.v - b.v)) as worst from emb a join emb b on a.image_id = b.image_id and a.y = b.y and b.x = greatest(0, a.x - 1) group by a.image_id")
-_add("block_audit", lambda s, d: metrics.block_audit(metrics.pixels(upscale(_emb(s, d), 2)), metrics.pixels(_emb(s, d)), 2).groupBy().agg(F.count("*").alias("broken")), "select cast(0 as bigint) as broken")
+_add("block_audit", lambda s, d: metrics.block_audit(metrics.pixels(upscale(_emb(s, d), 2)), metrics.pixels(_emb(s, d)), 2).groupBy().agg(F.count("*").alias("broken")), f"with {_EMB} select cast(count(*) filter (v < 0) as bigint) as broken from emb")
 _add("alpha_used", lambda s, d: _emb(s, d).select("image_id", metrics.alpha_used(V()).alias("alpha")), f"with {_EMB} select image_id, bool_or(v < 255) as alpha from emb group by image_id")
 
 
@@ -419,8 +588,6 @@ def _heat_colors(s: SparkSession, d: str) -> DataFrame:
 
 _add("heat_colors", _heat_colors, "select level, cast(case when level < 64 then 0 when level < 128 then (level - 64) * 4 else 255 end as integer) as red, cast(case when level < 64 then level * 4 when level < 128 then 255 else greatest(0, 255 - (level - 128) * 2) end as integer) as green, cast(case when level < 64 then 128 + level * 2 when level < 128 then 255 - (level - 64) * 4 else 0 end as integer) as blue from range(256) t(level)")
 _add("alpha_over_white", lambda s, d: _pixels(_emb(s, d), F.transform("v", lambda v, i: color.over_white(v, (i * 4).cast("double")))), f"with {_EMB} select image_id, y, x, round(v * ((y * 8 + x) * 4.0::double) / 255 + 255 * (1 - ((y * 8 + x) * 4.0::double) / 255), 4) as v from emb")
-_add("burst_gate", lambda s, d: QUERIES["burst_shifts"](s, d).groupBy("burst_id").agg(F.count("*").alias("n_frames"), F.max(F.when(F.col("frame") == 0, F.col("kept"))).alias("reference_kept")), f"with {_FRAMES} select burst_id, count(*) as n_frames, true as reference_kept from frames group by burst_id")
-
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embedding rasters at twice their size: bytes with exact block sums, and the loop's residual."""

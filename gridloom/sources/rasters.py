@@ -41,6 +41,18 @@ OFFSET_GRID: Callable = lambda y, x, w, h: 50.0 + 35.0 * F.floor((x + 13) / 8) +
 SINE: Callable = lambda y, x, w, h: 128.0 + 60.0 * F.sin(2 * 3.141592653589793 * x / 9) + 40.0 * F.sin(2 * 3.141592653589793 * y / 13 + 1)
 ZONE: Callable = lambda y, x, w, h: 128.0 + 100.0 * F.sin(3.141592653589793 * ((x - w / 2) * (x - w / 2) + (y - h / 2) * (y - h / 2)) / 32)
 
+CHROMA_RED: Callable = lambda y, x, w, h: 128.0 + 60.0 * F.sin(2 * 3.141592653589793 * x / 9)
+CHROMA_BLUE: Callable = lambda y, x, w, h: 128.0 + 60.0 * F.sin(2 * 3.141592653589793 * y / 7 + 1)
+DIAGONAL: Callable = lambda y, x, w, h: 30.0 + 180.0 * (x + y) / (2.0 * (2 * w - 1))
+#: The diagonal ramp with each 8 x 8 block pulled three quarters to its mean, as strong compression leaves it.
+BLOCKY: Callable = lambda y, x, w, h: 0.25 * DIAGONAL(y, x, w, h) + 0.75 * DIAGONAL(F.floor(y / 8) * 8 + 3.5, F.floor(x / 8) * 8 + 3.5, w, h)
+
+
+def chroma(spark: SparkSession, w: int, h: int) -> DataFrame:
+    """One image of three channels: sines across in red and down in blue, no green."""
+    planes = [generated(spark, w, h, f).withColumn("c", F.lit(c)) for c, f in enumerate((CHROMA_RED, lambda y, x, w, h: F.lit(0.0), CHROMA_BLUE))]
+    return planes[0].unionByName(planes[1]).unionByName(planes[2])
+
 
 def generated(spark: SparkSession, w: int, h: int, value: Callable[[Column, Column, int, int], Column], count: int = 1) -> DataFrame:
     """``count`` planes of value(y, x, w, h), numbered from 0."""

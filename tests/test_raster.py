@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from gridloom.functions.kernels import Kernel, phases
 from gridloom.operators import descriptors, forward, metrics, quantize, regularize, resample
 from gridloom.plans import numeric, reconstruct
-from gridloom.plans.upscale import estimate_shift, fuse, fuse_burst, upscale, upscale_tiled
+from gridloom.operators.tiling import stitch
+from gridloom.plans.upscale import enlarged, estimate_shift, fuse, fuse_burst, upscale, upscale_tiled, worst_residual
 from gridloom.sources import images, rasters
 
 W, H = "w", "h"
@@ -120,6 +121,68 @@ def test_tiles_equal_the_whole(spark):
     assert {key(r): r["v"] for r in whole} == {key(r): r["v"] for r in tiled}
 
 
+@pytest.mark.parametrize("options", [{}, {"working_space": "linear"}, {"dither": 1}, {"passes": 1}, {"deblocking": None}])
+def test_tiles_equal_the_whole_for_every_option(spark, options):
+    y, x = np.mgrid[:40, :56]
+    p = np.clip(np.rint(texture(56)[0, :40, :56] + 40 * ((x // 8 + y // 8) % 2)), 0, 255)[None]
+    whole = plane(upscale(frame(spark, *p), 2, **options).first()).reshape(80, 112)
+    tiled = np.full((80, 112), -1.0)
+    for r in upscale_tiled(frame(spark, *p), 2, 16, 24, **options).collect():
+        tiled[r["y"], r["x"]] = r["v"]
+    assert (whole == tiled).all()
+
+
+def test_tiles_refuse_to_stop_by_themselves(spark):
+    with pytest.raises(ValueError):
+        upscale_tiled(frame(spark, *step(32, 16)), 2, 16, 24, iters="auto")
+
+
+def test_adaptive_planes_are_those_of_as_many_passes(spark):
+    df = frame(spark, *texture(), *step(32, 16))
+    got = {r["image_id"]: r for r in upscale(df, 2, iters="auto", floats=True).collect()}
+    assert all(2 <= r["iters"] <= 8 and r["residual"] < 1e-5 for r in got.values())
+    for i, r in got.items():
+        fixed = upscale(df.where(f"image_id = {i}"), 2, passes=r["iters"], deblocking=None, floats=True).first()
+        assert np.abs(plane(fixed) - plane(r)).max() < 1e-9
+
+
+def test_given_ranges_are_in_bytes_for_light_too(spark):
+    df = frame(spark, *np.rint(texture()))
+    own = df.select("image_id", "c", F.array_min("v").alias("lo"), F.array_max("v").alias("hi"))
+    assert plane(upscale(df, 2, working_space="linear").first()).tolist() == plane(upscale(df, 2, clamp=own, working_space="linear").first()).tolist()
+
+
+def test_large_planes_are_tiled_and_others_not(spark):
+    small, large = np.rint(texture()), np.tile(step(16, 9)[0], (1, 33))[None]
+    df = frame(spark, *small, *large)
+    out = enlarged(df, 2)
+    assert {r["image_id"]: r["n"] for r in out.groupBy("image_id").agg(F.count("*").alias("n")).collect()} == {0: 1, 1: 2}
+    assert {r["image_id"]: r["residual"] < 1e-5 for r in worst_residual(out).collect()} == {0: True, 1: True}
+    for i, p in enumerate((small, large)):
+        h, w = p.shape[1] * 2, p.shape[2] * 2
+        got = np.zeros((h, w))
+        for r in stitch(out.where(F.col("image_id") == i), 2).collect():
+            got[r["y"], r["x"]] = r["v"]
+        assert (got == plane(upscale(df.where(F.col("image_id") == i), 2).first()).reshape(h, w)).all()
+
+
+def test_golden_step(spark):
+    truth = step(32, 16)
+    low = numeric.box_mean(truth, 2)
+    x, *_ = numeric.reconstruct(low, 2, 4, low.min((1, 2)), low.max((1, 2)))
+    psnr = 10 * np.log10(65025 / ((x - truth) ** 2).mean())
+    assert abs(psnr - 47.62) < 0.15
+
+
+def test_a_burst_has_its_reference_once_and_a_bounded_side(spark):
+    rows = [(1, f, 0, 8, 8, texture()[0, :8, :8].reshape(-1).tolist()) for f in (1, 2)]
+    with pytest.raises(Exception, match="frame 0"):
+        fuse_burst(spark.createDataFrame(rows, "burst_id long, frame int, c int, w int, h int, v array<double>"), 2).collect()
+    long = [(1, f, 0, 1025, 1, [1.0] * 1025) for f in (0, 1)]
+    with pytest.raises(Exception, match="1024"):
+        fuse_burst(spark.createDataFrame(long, "burst_id long, frame int, c int, w int, h int, v array<double>"), 2).collect()
+
+
 def test_shift_is_found():
     a = texture(32)
     dx, dy, sure = estimate_shift(a[0], numeric.shift(a, 0.5, 0.0)[0])
