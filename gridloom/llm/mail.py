@@ -75,12 +75,22 @@ def by_shard(key: np.ndarray, shards: int, bits: int = 64) -> np.ndarray:
 _tables: dict[str, SparkSession] = {}
 
 
-def release() -> None:
-    """Drops the tables of operators whose results are no longer needed."""
-    for table, spark in list(_tables.items()):
+def release(tables: set[str] | None = None) -> None:
+    """Drops the given tables, or all that operators of this process have left."""
+    for table in list(_tables) if tables is None else tables:
         with contextlib.suppress(Exception):  # the session may be gone at exit
-            spark.sql(f"DROP TABLE IF EXISTS {table}")
-        del _tables[table]
+            _tables[table].sql(f"DROP TABLE IF EXISTS {table}")
+        _tables.pop(table, None)
+
+
+@contextlib.contextmanager
+def released() -> Iterator[None]:
+    """Drops at its end the tables that operators made inside; earlier results keep theirs."""
+    before = set(_tables)
+    try:
+        yield
+    finally:
+        release(set(_tables) - before)
 
 
 atexit.register(release)
@@ -155,4 +165,4 @@ def messages(block: int, cuts: np.ndarray, make: Callable[[int, int], bytes]) ->
     return pa.table({"shard": pa.array(full, pa.int32()), "block": pa.array([block] * len(full), pa.int64()), "payload": pa.array([make(cuts[s], cuts[s + 1]) for s in full], pa.binary())})
 
 
-__all__ = ["BLOCK_BYTES", "MESSAGE", "Corpus", "answered", "by_shard", "crc32", "deltas", "messages", "pack", "release", "undo_deltas", "unpack"]
+__all__ = ["BLOCK_BYTES", "MESSAGE", "Corpus", "answered", "by_shard", "crc32", "deltas", "messages", "pack", "release", "released", "undo_deltas", "unpack"]
