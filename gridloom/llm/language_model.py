@@ -25,6 +25,8 @@ FOLDS, HELD_OUT, SHARD_BYTES, WHOLE = 5, 1, 1 << 22, 1 << 18
 #: Marks of a text's end and begin among word hashes.
 _END, _BEGIN = np.uint64(0xE4D0_0000_0000_0001), np.uint64(0xBE61_0000_0000_0001)
 _SIZES, _RATIOS = 64, 512
+#: Bits of a successor's hash: in one of a context's parts, of at most WHOLE successors or so, two have equal ones with a chance of 3 in 100.
+SUCCESSOR_BITS = 40
 
 
 class _Block:
@@ -63,9 +65,9 @@ class _Block:
         place[self.at[:-1]] = len(self.unique)
         count = np.concatenate([self.c, [texts]])
         self.history = count[place]
-        successor = (pair(self.context, self.tokens, 5) >> np.uint64(32)).astype(np.uint32)
+        successor = pair(self.context, self.tokens, 5) >> np.uint64(64 - SUCCESSOR_BITS)
         fan = (self.history // WHOLE + 1).astype(np.uint64)
-        route = np.where(fan > 1, mix(self.context + successor.astype(np.uint64) % fan * np.uint64(0x9E3779B97F4A7C15)), self.context)
+        route = np.where(fan > 1, mix(self.context + successor % fan * np.uint64(0x9E3779B97F4A7C15)), self.context)
         order = np.lexsort((successor, before[place], route))
         r, x, s = route[order], self.context[order], successor[order]
         lead = np.ones(len(order), bool)
@@ -106,7 +108,8 @@ def _score_pairs(_: int, payloads: list[bytes]) -> list[bytes]:
     # A shard has one range of hashes; mixed again they are even over all values, as the trie's sequences like them.
     contexts = [mix(mail.undo_deltas(p["d"]) ^ p["x"]) for p in parts]
     x = np.concatenate([np.repeat(c, p["z"]) for c, p in zip(contexts, parts, strict=True)])
-    s, k = (np.concatenate([p[n] for p in parts]) for n in ("s", "k"))
+    s, k = np.concatenate([p["s"].astype(np.uint64) << np.uint64(8) | p["s8"] for p in parts]), np.concatenate([p["k"] for p in parts])
+    asked = s
     c, u = (np.concatenate([np.repeat(p["c"], p["z"]) for p in parts]), np.concatenate([p["u"] for p in parts]))
     order = np.lexsort((s, x))
     x, s, k, c, u = x[order], s[order], k[order].astype(np.int64), c[order].astype(np.int64), u[order]
@@ -119,8 +122,12 @@ def _score_pairs(_: int, payloads: list[bytes]) -> list[bytes]:
     x, s, c, u, k = x[seen], s[seen], c[seen], u[seen], k[seen]
     every, starts = np.unique(x, return_index=True)
     trie = Trie(every, np.append(starts, len(x)), s, quantised(k / np.maximum(c, 1)))
-    out = [mail.pack(q=trie.find(ctx, p["s"], p["z"])) for ctx, p in zip(contexts, parts, strict=True)]
+    codes = trie.find(np.concatenate(contexts), asked, np.concatenate([p["z"] for p in parts]))
     trie.close()
+    out, done = [], 0
+    for p in parts:
+        out.append(mail.pack(q=codes[done : done + len(p["s"])]))
+        done += len(p["s"])
     again = c > 1
     ratio = (k[again] - 1) / (c[again] - 1) / probability(u[again]).clip(1e-12)
     cell = _power(c[again] - 1) * _RATIOS + _ratio_bin(ratio)
@@ -146,7 +153,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
 
     Words of A-Z-folded text and one end are tokens. ``base_score`` is the
     smoothed single-word model; ``score`` the interpolated one, a probability
-    of the text whose sum over texts is at most 1. Null and blank texts have
+    of the text, summing to at most 1 over all texts with all unknown words as one. Null and blank texts have
     the end alone; a null id trains; rows that repeat count each. Without
     training documents all tokens are unknown. The documents' table stays
     until ``mail.release`` or the end of Python.
@@ -175,7 +182,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
             head = np.ones(len(x), bool)
             head[1:] = (x[1:] != x[:-1]) | (r[1:] != r[:-1])
             at = np.flatnonzero(head)
-            return mail.pack(d=mail.deltas(r[at]), x=r[at] ^ x[at], z=np.diff(np.append(at, len(x))).astype(np.uint32), c=b.history[b.first[lo:hi]][at].astype(np.uint32), s=b.s[lo:hi], k=b.k[lo:hi].astype(np.uint32), u=uni[lo:hi])
+            return mail.pack(d=mail.deltas(r[at]), x=r[at] ^ x[at], z=np.diff(np.append(at, len(x))).astype(np.uint32), c=b.history[b.first[lo:hi]][at].astype(np.uint32), s=(b.s[lo:hi] >> np.uint64(8)).astype(np.uint32), s8=b.s[lo:hi].astype(np.uint8), k=b.k[lo:hi].astype(np.uint32), u=uni[lo:hi])
 
         return mail.messages(b.block, mail.by_shard(b.route, shards), make)
 

@@ -2,8 +2,9 @@
 
 Level one has the contexts in order, level two the successors of every
 context behind one another, made one ascending sequence by their context's
-place. Monotone pointers say where a context's successors begin. Each
-successor has a quantised probability of one byte.
+place; successors are places in the shard's own list of words. Monotone
+pointers say where a context's successors begin, and a successor is searched
+for in its context's range alone. Each has a quantised probability of one byte.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray):
         self.n, self.low_bits, self.low, self.high, self.zeros = n, low_bits, low, high, zeros
+        self.ones = 512 * np.arange(len(zeros)) - zeros
 
     @staticmethod
     def arrays(values: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
@@ -43,17 +45,19 @@ class EliasFano:
         zeros = np.concatenate([[0], np.cumsum(512 - unary.reshape(-1, 512).sum(1, dtype=np.int64))])
         return n, bits, low, high, zeros
 
-    def _select0(self, k: np.ndarray) -> np.ndarray:
-        """The place of zero number k (from 0)."""
-        block = np.searchsorted(self.zeros, k, "right") - 1
-        rest = k - self.zeros[block]
+    def _select(self, k: np.ndarray, one: bool) -> np.ndarray:
+        """The place of zero, or one, number k (from 0)."""
+        before = self.ones if one else self.zeros
+        block = np.searchsorted(before, k, "right") - 1
+        rest = k - before[block]
         word = block * 8
         for _ in range(7):
-            here = 64 - np.bitwise_count(self.high[word]).astype(np.int64)
+            ones = np.bitwise_count(self.high[word]).astype(np.int64)
+            here = ones if one else 64 - ones
             go = rest >= here
             rest = np.where(go, rest - here, rest)
             word = np.where(go, word + 1, word)
-        bits, at = ~self.high[word], np.zeros(len(k), np.int64)
+        bits, at = self.high[word] if one else ~self.high[word], np.zeros(len(k), np.int64)
         for width in (32, 16, 8, 4, 2, 1):
             part = (bits >> at.astype(np.uint64)) & np.uint64((1 << width) - 1)
             here = np.bitwise_count(part).astype(np.int64)
@@ -72,6 +76,12 @@ class EliasFano:
         out[over] |= self.low[word[over] + 1] << (np.uint64(64) - shift[over])
         return out & np.uint64((1 << self.low_bits) - 1)
 
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """The values at indices i."""
+        if not len(i):
+            return np.zeros(0, np.uint64)
+        return ((self._select(i, True) - i).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(i)
+
     def successor(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The index of the first value that is at least q (n if none), and whether it equals q."""
         out, equal = np.full(len(q), self.n, np.int64), np.zeros(len(q), bool)
@@ -83,8 +93,8 @@ class EliasFano:
         live = np.flatnonzero(high < most)
         h, want = high[live], low[live]
         # The values with this high part, halved until the first that is large enough is left.
-        first = np.where(h > 0, self._select0(np.maximum(h - 1, 0)) + 1 - h, 0)
-        end = self._select0(h) - h
+        first = np.where(h > 0, self._select(np.maximum(h - 1, 0), False) + 1 - h, 0)
+        end = self._select(h, False) - h
         last = end
         while (first < last).any():
             open_ = first < last
@@ -106,9 +116,12 @@ class Trie:
     """Successors of contexts with one-byte codes; ``close`` lets the file go."""
 
     def __init__(self, contexts: np.ndarray, starts: np.ndarray, successors: np.ndarray, codes: np.ndarray):
-        """contexts ascending uint64; successors (uint32) ascending in each; starts: where each context's begin, and the end."""
+        """contexts ascending uint64; successors (uint64) ascending in each; starts: where each context's begin, and the end."""
         of = np.repeat(np.arange(len(contexts), dtype=np.uint64), np.diff(starts))
-        levels = [EliasFano.arrays(x) for x in (contexts, starts.astype(np.uint64), of << np.uint64(32) | successors.astype(np.uint64))]
+        kinds = np.unique(successors)
+        self.kinds = np.uint64(max(1, len(kinds)))
+        relative = of * self.kinds + np.searchsorted(kinds, successors).astype(np.uint64)
+        levels = [EliasFano.arrays(x) for x in (contexts, starts.astype(np.uint64), relative, kinds)]
         arrays = [a for _, _, *three in levels for a in three] + [codes.astype(np.uint8)]
         self.file = tempfile.TemporaryFile(prefix="gridloom-")  # noqa: SIM115  held open while it is mapped
         places = []
@@ -118,21 +131,38 @@ class Trie:
             self.file.write(a.tobytes())
         self.file.flush()
         mapped = [np.memmap(self.file, a.dtype, "r", p, a.shape) if a.size else a for p, a in zip(places, arrays, strict=True)]
-        self.contexts, self.pointers, self.successors = (EliasFano(n, bits, *mapped[3 * k : 3 * k + 3]) for k, (n, bits, *_) in enumerate(levels))
+        self.contexts, self.pointers, self.successors, self.words = (EliasFano(n, bits, *mapped[3 * k : 3 * k + 3]) for k, (n, bits, *_) in enumerate(levels))
         self.codes = mapped[-1]
 
     def find(self, contexts: np.ndarray, successors: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Codes of successors (uint32) of contexts, ``size`` of them for each; NONE where the trie has none."""
-        place, known = self.contexts.successor(contexts)
-        of = np.repeat(place, size).astype(np.uint64)
-        at, found = self.successors.successor(of << np.uint64(32) | successors.astype(np.uint64))
-        found &= np.repeat(known, size)
+        """Codes of successors (uint64) of contexts, ``size`` of them for each; NONE where the trie has none.
+
+        Pointers give each context's range, which is halved until the
+        successor, relative to the context, is found.
+        """
         out = np.full(len(successors), NONE, np.uint8)
-        out[found] = self.codes[at[found]]
+        place, known = self.contexts.successor(contexts)
+        word, spelt = self.words.successor(successors)
+        live = np.flatnonzero(np.repeat(known, size) & spelt)
+        of = np.repeat(place, size)[live]
+        want = of.astype(np.uint64) * self.kinds + word[live].astype(np.uint64)
+        begin, end = (np.repeat(self.pointers.get(np.where(known, place + k, 0)), size)[live].astype(np.int64) for k in (0, 1)) if self.contexts.n else (np.zeros(0, np.int64),) * 2
+        first, last = begin, end.copy()
+        while True:
+            open_ = np.flatnonzero(first < last)
+            if not len(open_):
+                break
+            middle = (first[open_] + last[open_]) // 2
+            less = self.successors.get(middle) < want[open_]
+            first[open_] = np.where(less, middle + 1, first[open_])
+            last[open_] = np.where(less, last[open_], middle)
+        hit = np.flatnonzero(first < end)
+        hit = hit[self.successors.get(first[hit]) == want[hit]]
+        out[live[hit]] = self.codes[first[hit]]
         return out
 
     def close(self) -> None:
-        del self.contexts, self.pointers, self.successors, self.codes
+        del self.contexts, self.pointers, self.successors, self.words, self.codes
         self.file.close()
 
 
