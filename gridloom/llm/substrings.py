@@ -3,7 +3,8 @@
 A substring of ``SPAN`` bytes is keyed by the least hash of the shorter
 substrings in it, so that equal substrings have equal keys. Keys that only one
 document has rule their substrings out. Runs of the others with one key go as
-a segment, with the smallest document that has it, to the key's shard. A shard
+a segment, with the smallest document that has it, to the key's shard; the
+windows of a key with many distinct segments are dealt over many shards. A shard
 sorts all suffixes of its distinct segments by external induced sorting;
 neighbours in that order with a common prefix of ``SPAN`` bytes are equal
 substrings, and each learns whether a smaller document has it too.
@@ -25,6 +26,8 @@ from .words import mix, range_hashes, utf8
 
 #: Bytes of a repeat, of the substrings that key it, bits of a key in the first exchange, bytes of text of a block and for each shard.
 SPAN, KEY_BYTES, KEY_BITS, BLOCK_BYTES, SHARD_BYTES = 50, 20, 48, 1 << 20, 1 << 22
+#: Bytes of distinct segments, over all blocks, beyond which the windows of a key are dealt over several shards.
+HOT_BYTES = 1 << 18
 _END = 0xFF  # never in UTF-8
 
 
@@ -76,11 +79,27 @@ class _Block:
         np.maximum.at(high, self.of, ids)
         self.low, self.many = low, low != high
 
-    def segments(self, shared: np.ndarray) -> None:
-        """Runs with shared keys in the order of key, content and id; a group for each distinct segment, its smallest id first."""
-        runs = np.flatnonzero(shared[self.of]) if len(self.of) else np.zeros(0, np.int64)
-        start, size = self.start[self.run[runs]], self.run_size[runs] + self.span - 1
-        key, ids = self.key[self.run[runs]], self.ids[self.doc[self.run[runs]]]
+    def sizes(self) -> np.ndarray:
+        """Bytes of the distinct segments of each key."""
+        start, size = self.start[self.run], self.run_size + self.span - 1
+        _, first = np.unique(range_hashes(self.data, start, start + size), return_index=True)
+        return np.bincount(self.of[first], size[first], len(self.unique)).astype(np.int64)
+
+    def segments(self, fan: np.ndarray) -> None:
+        """Runs with shared keys in the order of key, content and id; a group for each distinct segment, its smallest id first.
+
+        ``fan`` is 0 for keys of one document, 1 for others; windows of a key
+        with more are segments of their own, dealt over so many keys by content.
+        """
+        wide = fan[self.of] if len(self.of) else np.zeros(0, np.int64)
+        runs, hot = np.flatnonzero(wide == 1), np.flatnonzero(wide > 1)
+        windows = _spans(self.run[hot], self.run_size[hot])
+        start = np.concatenate([self.start[self.run[runs]], self.start[windows]])
+        size = np.concatenate([self.run_size[runs] + self.span - 1, np.full(len(windows), self.span)])
+        second = range_hashes(self.data, self.start[windows], self.start[windows] + self.span)
+        second %= np.repeat(wide[hot], self.run_size[hot]).astype(np.uint64)
+        key = np.concatenate([self.key[self.run[runs]], mix(self.key[windows] + (second + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))])
+        ids = self.ids[self.doc[np.concatenate([self.run[runs], windows])]] if len(self.doc) else np.zeros(0, np.int64)
         content = range_hashes(self.data, start, start + size)
         order = np.lexsort((ids, size, content, key))
         start, size, key, content, ids = start[order], size[order], key[order], content[order], ids[order]
@@ -96,15 +115,15 @@ def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def _flags(answers: dict[int, bytes], cuts: np.ndarray) -> np.ndarray:
-    out = np.zeros(cuts[-1], bool)
+def _fans(answers: dict[int, bytes], cuts: np.ndarray) -> np.ndarray:
+    out = np.zeros(cuts[-1], np.int64)
     for s, payload in answers.items():
-        out[cuts[s] : cuts[s + 1]] = np.unpackbits(np.frombuffer(payload, np.uint8))[: cuts[s + 1] - cuts[s]]
+        out[cuts[s] : cuts[s + 1]] = mail.unpack(payload)["f"]
     return out
 
 
-def _in_two(_: int, payloads: list[bytes]) -> list[bytes]:
-    """Which of each block's keys more than one document has."""
+def _in_two(payloads: list[bytes], hot_bytes: int) -> list[bytes]:
+    """For each of a block's keys 0 if one document alone has it, else over how many keys its windows are dealt."""
     parts = [mail.unpack(p) for p in payloads]
     keys = [mail.undo_deltas(p["d"]) for p in parts]
     every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
@@ -114,9 +133,11 @@ def _in_two(_: int, payloads: list[bytes]) -> list[bytes]:
     np.maximum.at(high, inverse, ids)
     shared = low != high
     shared[inverse[many]] = True
-    flags, at, out = shared[inverse], 0, []
+    total = np.bincount(inverse, np.concatenate([p["b"] for p in parts]), len(every))
+    fan = np.where(shared, np.minimum(total // hot_bytes + 1, (1 << 32) - 1), 0).astype(np.uint32)[inverse]
+    at, out = 0, []
     for k in keys:
-        out.append(np.packbits(flags[at : at + len(k)]).tobytes())
+        out.append(mail.pack(f=fan[at : at + len(k)]))
         at += len(k)
     return out
 
@@ -211,7 +232,7 @@ def _smaller_has(span: int):
     return work
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, span: int = SPAN, whole_characters: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, span: int = SPAN, whole_characters: bool = False, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) and columns ``keep`` as k0, k1, ...: texts without repeats.
 
     Every byte goes that lies in ``span`` bytes that also start in a document
@@ -227,14 +248,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     def name(t: pa.Table, _: list) -> pa.Table:
         x = _Block(t, span)
-        cuts = mail.by_shard(x.unique, shards, KEY_BITS)
-        return mail.messages(x.block, cuts, lambda lo, hi: mail.pack(d=mail.deltas(x.unique[lo:hi]), m=np.packbits(x.many[lo:hi]), i=x.low[lo:hi]))
+        cuts, size = mail.by_shard(x.unique, shards, KEY_BITS), x.sizes().astype(np.uint32)
+        return mail.messages(x.block, cuts, lambda lo, hi: mail.pack(d=mail.deltas(x.unique[lo:hi]), m=np.packbits(x.many[lo:hi]), i=x.low[lo:hi], b=size[lo:hi]))
 
-    shared = mail.answered(corpus.each(name, mail.MESSAGE), _in_two)
+    shared = mail.answered(corpus.each(name, mail.MESSAGE), lambda _, payloads: _in_two(payloads, hot_bytes))
 
     def seen(t: pa.Table, got: list[dict[int, bytes]]) -> tuple[_Block, np.ndarray]:
         x = _Block(t, span)
-        x.segments(_flags(got[0], mail.by_shard(x.unique, shards, KEY_BITS)))
+        x.segments(_fans(got[0], mail.by_shard(x.unique, shards, KEY_BITS)))
         return x, mail.by_shard(x.keys, shards)
 
     def send(t: pa.Table, got: list[dict[int, bytes]]) -> pa.Table:
