@@ -2,28 +2,29 @@
 
 Two generative models, one of target text (labelled good) and one of all raw
 text, are bags of hashed n-grams: words, word pairs, and triples of word
-shapes. A document's log importance weight is the mean log ratio of its
-n-grams; labels turn it into log odds of being good. As many documents as are
-more likely good than not are drawn without replacement in proportion to
-those odds, by Gumbel top-k.
+shapes. A document's log importance weight is the summed log ratio of its
+n-grams; documents are drawn without replacement in proportion to their
+weights, by Gumbel top-k. Labels say how many, unless the caller does.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ranked, settle
+from .shared import ranked, settle, small_batches
 from .words import Texts, blocks, pair, sums_by, words
 
 #: Buckets of word, word-pair and shape-triple hashes; labelled rows used at most; seed of the draw.
 WORD_BUCKETS, SHAPE_BUCKETS, LABELLED_ROWS, SEED = 1 << 14, 1 << 12, 20_000, 7
 _SIZES = (WORD_BUCKETS, WORD_BUCKETS, SHAPE_BUCKETS)
 _STARTS = (0, WORD_BUCKETS, 2 * WORD_BUCKETS)
-#: Log odds of a text without words, which is never good.
-_NO_WORDS = -50.0
+#: What stands for the log weight of a text without words, in keys.
+_NO_WORDS = -1e12
 
 _CLASS = np.full(256, 4, np.uint64)
 _CLASS[0x61:0x7B] = 0
@@ -87,39 +88,42 @@ def _scorer(ratios: np.ndarray):
             ids, at = features(t)
             n = np.diff(at)
             total = sums_by(at, sum((ratios[x] for x in ids), np.zeros(len(ids[0]))))
-            out[t.first : t.first + len(t)] = np.where(n > 0, total / np.maximum(n, 1), np.nan)
-        return pa.array(out)
+            out[t.first : t.first + len(t)] = np.where(n > 0, total, np.nan)
+        return pa.array(out, mask=np.isnan(out))
 
     return score
 
 
-def _calibrated(x: np.ndarray, good: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of the log odds over standardised scores, by a ridge logistic fit."""
-    if not len(x) or good.all() or not good.any():
-        return 0.0, 1.0 if not len(x) or good.all() else -1.0
-    a, b = 0.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        w = p * (1 - p) + 1e-9
-        grad = np.array([((good - p) * x).sum() - 1e-2 * a, (good - p).sum()])
-        hess = np.array([[(w * x * x).sum() + 1e-2, (w * x).sum()], [(w * x).sum(), w.sum()]])
-        step = np.clip(np.linalg.solve(hess, grad), -2, 2)
-        a, b = a + step[0], b + step[1]
-        if abs(step).max() < 1e-8:
-            break
-    return float(a), float(b)
+def _cut(x: np.ndarray, good: np.ndarray, bad: np.ndarray) -> float:
+    """The log weight that splits labelled texts with the fewest errors, in the middle of its gap; x ascending, with counts of each kind."""
+    if not bad.sum():
+        return -math.inf
+    if not good.sum():
+        return math.inf
+    errors = np.concatenate([[0], np.cumsum(good)]) + bad.sum() - np.concatenate([[0], np.cumsum(bad)])
+    at = int(errors.argmin())
+    if at in (0, len(x)):
+        return -math.inf if at == 0 else math.inf
+    return float((x[at - 1] + x[at]) / 2)
 
 
-def resample(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", count: int | None = None, labelled_rows: int = LABELLED_ROWS, seed: int = SEED) -> tuple[DataFrame, Column]:
-    """``docs`` with _log_ratio, _log_odds and _key, and the condition that selects the drawn rows.
+def resample(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", count: int | None = None, labelled_rows: int = LABELLED_ROWS, seed: int = SEED) -> DataFrame:
+    """``docs`` with a struct ``importance``: log_weight, gumbel_key, drawn (a column of that name is replaced).
 
     ``labels`` has the id and ``quality`` (1 good, 0 not); at most
     ``labelled_rows`` of them, those with the least hashes, train the target
-    model and the odds. Raw counts, scores and the draw cover all rows.
-    ``count`` documents are drawn, by default as many as have odds of 1 or
-    more. Null or blank texts have no ratio and are drawn last; equal rows are
-    drawn together; without labels of both kinds all odds are alike.
+    model and the default count. A text's log weight is the sum of the log
+    ratios of its n-grams, log p(target) - log p(raw); ``count`` rows with the
+    highest log weight plus Gumbel noise are drawn, which is a draw without
+    replacement in proportion to the weights. By default as many are drawn as
+    have a weight above the one that best splits labelled rows: all without
+    bad labels, none without good ones. Raw counts, weights and the draw cover
+    all rows. Null or blank texts have a null weight and are not drawn by
+    default, else last; rows equal in id and text have one key and are drawn
+    together, even beyond ``count``; very long texts are read whole. An empty
+    table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     sample = labels.where(f"`{doc_id}` is not null and quality in (0, 1)").groupBy(doc_id).agg(F.max("quality").cast("int").alias("_good"))
     sample = settle(sample.orderBy(F.xxhash64(doc_id), doc_id).limit(labelled_rows).select(F.col(doc_id).alias("_labelled"), "_good"))
     slim = docs.select(F.col(text).alias("_text"), F.col(doc_id).alias("_id"))
@@ -129,26 +133,27 @@ def resample(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
     counts = np.zeros((2, sum(_SIZES)), np.int64)
     for r in summed.collect():  # at most two rows for each bucket
         counts[r[0], r[1]] = r[2]
-    score = _scorer(_ratios(counts))
-    known = slim.join(F.broadcast(sample), slim["_id"] == sample["_labelled"]).select(score("_text").alias("x"), "_good").where(~F.isnan("x"))
-    got = known.groupBy(F.round("x", 4).alias("x")).agg(F.sum("_good").alias("g"), F.count("*").alias("n")).orderBy(F.xxhash64("x")).limit(labelled_rows).collect()
-    x, g, n = (np.array([r[k] for r in got], float) for k in range(3))
-    mean, spread = (np.average(x, weights=n), max(float(np.sqrt(np.average((x - np.average(x, weights=n)) ** 2, weights=n))), 1e-9)) if len(x) else (0.0, 1.0)
-    z = (x - mean) / spread
-    a, b = _calibrated(np.concatenate([z.repeat(g.astype(int)), z.repeat((n - g).astype(int))]), np.concatenate([np.ones(int(g.sum())), np.zeros(int((n - g).sum()))])) if len(x) else (0.0, 1.0)
-    odds = F.when(F.isnan("_log_ratio"), F.lit(_NO_WORDS)).otherwise(F.lit(a) * (F.col("_log_ratio") - mean) / spread + b)
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id), 11).cast("double") + 0.5) / float(1 << 53)
-    gumbel = -F.log(-F.log(uniform))
-    out = docs.withColumn("_log_ratio", score(text)).withColumn("_log_odds", odds).withColumn("_key", F.col("_log_odds") + gumbel)
-    drawn = settle(out.select("_key", "_log_odds"))
-    wanted = count if count is not None else drawn.where("_log_odds >= 0").count()
-    if wanted <= 0:
-        return out, F.lit(False)
-    last = ranked(drawn.select((-F.col("_key")).alias("_down")), ["_down"]).where(F.col("_rank") == wanted - 1).first()
-    return out, F.lit(True) if last is None else F.col("_key") >= -last["_down"]
+    weight = _scorer(_ratios(counts))
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)), 11).cast("double") + 0.5) / float(1 << 53)
+    key = F.coalesce(F.col("_w"), F.lit(_NO_WORDS)) - F.log(-F.log(uniform))
+    scored = settle(docs.select(weight(F.col(text)).alias("_w"), F.col(doc_id), F.col(text)).select("_w", key.alias("_key"), F.col(doc_id).alias("_id")))
+    known = scored.join(F.broadcast(sample), scored["_id"] == sample["_labelled"]).where("_w is not null")
+    got = known.groupBy(F.round("_w", 6).alias("x")).agg(F.sum("_good").alias("g"), F.count("*").alias("n")).orderBy(F.xxhash64("x")).limit(labelled_rows).collect()
+    x, good, every = (np.array([r[k] for r in sorted(got)], float) for k in range(3))
+    cut = _cut(x, good, every - good)
+    wanted = count if count is not None else scored.where(F.col("_w") >= cut).count()
+    last = ranked(scored.select((-F.col("_key")).alias("_up")), ["_up"]).where(F.col("_rank") == wanted - 1).first() if wanted > 0 else None
+    least = math.inf if wanted <= 0 else -math.inf if last is None else -last["_up"]
+    again = weight(F.col(text))
+    return docs.withColumn("importance", again).withColumn("importance", F.struct(F.col("importance").alias("log_weight"), (F.coalesce("importance", F.lit(_NO_WORDS)) - F.log(-F.log(uniform))).alias("gumbel_key"))).withColumn("importance", F.struct("importance.*", (F.col("importance.gumbel_key") >= least).alias("drawn")))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The drawn rows of ``docs`` with its own columns; documents that are not drawn go."""
-    out, drawn = resample(docs, labels, **options)
-    return out.where(drawn).select(*[docs[c] for c in docs.columns]) if len(set(docs.columns)) == len(docs.columns) else out.where(drawn).drop("_log_ratio", "_log_odds", "_key")
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    given = {"text": "text", "doc_id": "doc_id"} | options
+    place = {c: n for c, n in zip(docs.columns, names, strict=True)}
+    renamed = labels.withColumnRenamed(given["doc_id"], place[given["doc_id"]])
+    out = resample(plain, renamed, **(options | {"text": place[given["text"]], "doc_id": place[given["doc_id"]]}))
+    return out.where("importance.drawn").select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
