@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import settle, shuffle_partitions
+from .shared import settle, shuffle_partitions, small_batches
 
 #: Queries of a block, candidates scored at once, and bins of a histogram.
 QUERY_BLOCK, CANDIDATE_BLOCK, BINS = 1024, 1024, 1024
@@ -49,7 +49,7 @@ def _grid(queries: DataFrame, vectors: DataFrame, blocks: int, parts: int) -> Da
     blocks_of = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
     q = queries.select("block", parts_of, F.lit(0).alias("kind"), F.col("slot").alias("id"), F.col("query_id").alias("own"), "vector", "low", "width")
     none = F.lit(None).cast("long")
-    c = vectors.select(blocks_of, F.pmod(F.xxhash64("vec_id", "vector"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), F.col("vec_id").alias("id"), none.alias("own"), "vector", none.alias("low"), none.alias("width"))
+    c = vectors.select(blocks_of, F.pmod(F.xxhash64("vec_id", "vector"), F.lit(parts)).cast("int").alias("part"), F.when(F.col("vec_id").isNull(), 2).otherwise(1).alias("kind"), F.coalesce("vec_id", F.lit(0)).alias("id"), none.alias("own"), "vector", none.alias("low"), none.alias("width"))
     return q.unionByName(c).repartition(blocks * parts, "block", "part").sortWithinPartitions("block", "part", "kind", "id")
 
 
@@ -77,7 +77,7 @@ class _Pass:
                     if self.q is None:
                         self.start(held)
                     for at in range(lo, hi, CANDIDATE_BLOCK):
-                        self.score(b.slice(at, min(CANDIDATE_BLOCK, hi - at)))
+                        self.score(b.slice(at, min(CANDIDATE_BLOCK, hi - at)), kind[lo] == 2)
         if here is not None:
             yield from self.done(here[0])
 
@@ -88,21 +88,31 @@ class _Pass:
         self.q = _matrix(t.column("vector"), self.dim).astype(self.kind)
         self.slot, self.own, self.low, self.width = (np.asarray(t.column(n)) for n in ("id", "own", "low", "width"))
         self.bins = np.zeros((len(self.slot), BINS), np.int64)
-        self.best = [np.zeros(0, np.int64)] * 3
-
-    def score(self, c: pa.RecordBatch) -> None:
+        self.best = [np.zeros(0, np.int64)] * 4
+        self.met = np.zeros(len(self.slot), bool)
+
+    def others(self, ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+        """Which candidates are not the query's own row: of the rows with its id and vector, which all come to one task, one is."""
+        mine = np.ones((len(self.slot), len(ids)), bool)
+        for row, col in np.argwhere(self.own[:, None] == ids[None, :]):
+            if not self.met[row] and (self.q[row] == vectors[col]).all():
+                self.met[row], mine[row, col] = True, False
+        return mine
+
+    def score(self, c: pa.RecordBatch, nameless: bool) -> None:
         if self.q is None:
             return
         ids = np.asarray(c.column("id"))
-        s = (self.q @ _matrix(c.column("vector"), self.dim).astype(self.kind).T).astype(np.int64)
-        mine = ids[None, :] != self.own[:, None]
+        vectors = _matrix(c.column("vector"), self.dim).astype(self.kind)
+        s = (self.q @ vectors.T).astype(np.int64)
+        mine = np.ones(s.shape, bool) if nameless else self.others(ids, vectors)
         if self.last:
             row, col = np.nonzero((s >= self.low[:, None]) & mine)
-            row, value, vec = (np.concatenate(x) for x in zip(self.best, (row, s[row, col], ids[col]), strict=True))
-            order = np.lexsort((vec, -value, row))
-            row, value, vec = row[order], value[order], vec[order]
-            keep = np.arange(len(row)) - np.searchsorted(row, row) < self.k
-            self.best = [row[keep], value[keep], vec[keep]]
+            found = (row, s[row, col], ids[col], np.full(len(row), int(nameless)))
+            row, value, vec, none = (np.concatenate(x) for x in zip(self.best, found, strict=True))
+            order = np.lexsort((vec, none, -value, row))
+            order = order[np.arange(len(row)) - np.searchsorted(row[order], row[order]) < self.k]
+            self.best = [row[order], value[order], vec[order], none[order]]
         else:
             n = (s - self.low[:, None]) // self.width[:, None]
             row, col = np.nonzero((n >= 0) & (n < BINS) & mine)
@@ -112,8 +122,8 @@ class _Pass:
         if self.q is None:
             return
         if self.last:
-            row, value, vec = self.best
-            yield pa.RecordBatch.from_arrays([pa.array(self.slot[row]), pa.array(vec), pa.array(value)], names=["slot", "vec_id", "score"])
+            row, value, vec, none = self.best
+            yield pa.RecordBatch.from_arrays([pa.array(self.slot[row]), pa.array(vec, mask=none > 0), pa.array(value)], names=["slot", "vec_id", "score"])
             return
         above = self.bins[:, ::-1].cumsum(1)[:, ::-1] - self.bins
         row, col = np.nonzero((self.bins > 0) & (above < self.k))
@@ -124,15 +134,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k highest integer inner products.
 
     ``vectors`` (vec_id long, vector array<long>) and ``queries`` (query_id
-    long, vector). A vector with the query's own id is no candidate; ties go
-    to the smaller vec_id; fewer than k candidates are all returned. Rows with
-    a null id or vector take no part; missing components of a shorter vector
+    long, vector). One row with the query's id and vector, its own, is no
+    candidate, others of its id are; ties go to the smaller vec_id, a null one
+    last; fewer than k candidates are all returned. Rows with a null vector
+    take no part, nor do queries with a null id; missing components of a shorter vector
     count as 0. Equal rows are candidates each; a query that repeats is
     answered for each row. Scores wrap as 64-bit integers where they do not
     fit in one, which a squared length below 2**62 rules out.
     """
     spark = vectors.sparkSession
-    vectors = vectors.where("vec_id is not null and vector is not null").select("vec_id", "vector")
+    small_batches(spark)
+    vectors = vectors.where("vector is not null").select("vec_id", "vector")
     queries = queries.where("query_id is not null and vector is not null").select("query_id", "vector")
     square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     most, dim = vectors.agg(F.max(square), F.max(F.size("vector"))).first()
@@ -161,6 +173,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             break
         width = after
     kept = _grid(state, vectors, blocks, parts).mapInArrow(_Pass(k, dim, exact, True).run, "slot long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("slot").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(W.partitionBy("slot").orderBy(F.desc("score"), F.asc_nulls_last("vec_id")))
     best = kept.withColumn("rank", rank).where(F.col("rank") <= k)
     return best.join(state.select("slot", "query_id"), "slot").select("query_id", "rank", "vec_id", "score")
