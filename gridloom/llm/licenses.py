@@ -1,9 +1,12 @@
 """Licence scans: Dice coefficient of word bigrams against licence templates.
 
 Built-in DataFrame functions only. Every line, every blank-line-separated
-paragraph and the whole text of a document is a span. A span is normalised and
-turned into its set of word bigrams; only templates whose number of bigrams
-lets the coefficient reach the threshold are compared with it.
+paragraph and the whole text of a document is a span, and so is every passage:
+a run of words from one bigram of any template to the last that follows with
+fewer than ``GAP`` words between one and the next, over lines, paragraphs and
+comment marks alike. A span is normalised and turned into its set of word
+bigrams; only templates whose number of bigrams lets the coefficient reach the
+threshold are compared with it.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Least Dice coefficient of a match.
 THRESHOLD = 0.8
+#: Words without a bigram of a template that end a passage.
+GAP = 12
 
 # Short public licence texts and notices, as licences word them.
 TEMPLATES: dict[str, str] = {
@@ -50,6 +55,46 @@ TEMPLATES: dict[str, str] = {
  If not, see https://www.gnu.org/licenses/.""",
     "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the
  MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted
+ provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright
+ notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the
+ above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+ materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+ AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND
+ FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR
+ ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+ PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED
+ AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
+ ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted
+ provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright
+ notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the
+ above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+ materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its
+ contributors may be used to endorse or promote products derived from this software without specific prior written
+ permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+ WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+ PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+ INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE
+ GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+ LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT
+ OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy,
+ modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary,
+ for any purpose, commercial or non-commercial, and by any means.""",
+    "zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be
+ held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software
+ for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the
+ following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote
+ the original software. If you use this software in a product, an acknowledgment in the product documentation would be
+ appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be
+ misrepresented as being the original software. 3. This notice may not be removed or altered from any source
+ distribution.""",
+    "GPL-2.0-or-later": """This program is free software; you can redistribute it and/or modify it under the terms of the
+ GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your
+ option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
+ without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public
+ License for more details.""",
     "MIT notice": "Released under the MIT License.",
     "MIT notice, licensed": "This project is licensed under the MIT License.",
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
@@ -89,7 +134,8 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", templates:
 
     Null and empty texts, and spans of fewer than two words, match nothing; a
     row that repeats is scanned as one with its double, so that n_spans counts
-    both. No templates or no documents give no rows.
+    both. No templates or no documents give no rows. Very long texts are
+    scanned whole: passages start and end anywhere in them.
     """
     known = [(name, template_bigrams(t)) for name, t in (TEMPLATES if templates is None else templates).items()]
     sized = [(name, b, *size_bounds(len(b), threshold)) for name, b in known if b]
@@ -111,9 +157,27 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", templates:
     def bigrams(w: Column) -> Column:
         return F.array_distinct(F.transform(F.slice(w, F.lit(2), F.size(w) - 1), lambda x, i: F.concat_ws(" ", F.element_at(w, i + 1), x)))
 
+    def matched(w: Column) -> Column:
+        return F.when(F.size(w) > max(least, 1), _let(bigrams(w), compared)).otherwise(none)
+
+    def cut_out(w: Column) -> Column:
+        """The words of each passage."""
+        places = F.filter(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)).isin(every))
+
+        def runs(p: Column) -> Column:
+            first = F.filter(p, lambda x, k: (k == 0) | (x - F.try_element_at(p, F.greatest(k, F.lit(1))) > GAP))
+            last = F.filter(p, lambda x, k: (k == F.size(p) - 1) | (F.try_element_at(p, F.least(k + 2, F.size(p))) - x > GAP))
+            return F.zip_with(first, last, lambda a, b: F.slice(w, a, b - a + 2))
+
+        return F.when(F.size(w) > max(least, 1), _let(places, runs)).otherwise(F.array().cast("array<array<string>>"))
+
+    every = sorted({b for _, t, *_ in sized for b in t})
+    if not every:
+        return docs.select(F.col(doc_id), F.lit("").alias("license"), F.lit(0).cast("long").alias("n_spans"), F.lit(0.0).alias("best_dice")).limit(0)
     split = F.split(normalised(F.col("_span")), " ")
-    matches = _let(split, lambda w: F.when(F.size(w) > max(least, 1), _let(bigrams(w), compared)).otherwise(none))
-    met = whole.select("_id", F.explode(spans).alias("_span")).select("_id", F.explode(matches).alias("m"))
+    cut_spans = whole.select("_id", F.explode(spans).alias("_span")).select("_id", F.explode(_let(split, matched)).alias("m"))
+    passages = whole.select("_id", F.explode(_let(F.split(normalised(F.col("_text")), " "), cut_out)).alias("_w")).select("_id", F.explode(matched(F.col("_w"))).alias("m"))
+    met = cut_spans.unionByName(passages)
     return met.groupBy("_id", F.col("m.license").alias("license")).agg(F.count("*").alias("n_spans"), F.round(F.max("m.dice"), 6).alias("best_dice")).withColumnRenamed("_id", doc_id)
 
 
@@ -130,8 +194,20 @@ with templates(license, tb) as (values
   select doc_id, unnest(list_concat(list_concat(case when len(lines) > 1 then lines else [] end, case when len(paragraphs) > 1 then paragraphs else [] end), [text])) as span from cuts
 ), folded as (
   select doc_id, string_split(trim(regexp_replace(translate(span, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') as w from spans
+), whole as (
+  select row_number() over () as n, doc_id, string_split(trim(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') as w from documents where text is not null
+), pairs as (
+  select n, doc_id, i, w[i] || ' ' || w[i + 1] as b from whole, lateral (select unnest(range(1, len(w))) as i)
+), hits as (
+  select *, case when i - lag(i) over (partition by n order by i) <= {GAP} then 0 else 1 end as fresh from pairs where b in (select unnest(tb) from templates)
+), numbered as (
+  select *, sum(fresh) over (partition by n order by i) as run from hits
+), runs as (
+  select n, run, min(i) as a, max(i) as z from numbered group by n, run
 ), sets as (
   select doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as b from folded where len(w) > 1
+  union all
+  select doc_id, list_distinct(list_transform(range(a, z + 1), lambda i: w[i] || ' ' || w[i + 1])) from runs join whole using (n)
 ), scored as (
   select doc_id, license, 2.0::double * len(list_intersect(b, tb)) / (len(b) + len(tb)) as dice
   from sets join templates on len(b) <= {(2 - threshold) / threshold} * len(tb) + 1e-6 and len(b) + 1e-6 >= {threshold / (2 - threshold)} * len(tb)
