@@ -51,8 +51,8 @@ def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, drawn = quality.resample(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
-    return out.select("doc_id", F.col("_log_ratio").alias("log_ratio"), F.col("_log_odds").alias("log_odds"), F.col("_key").alias("gumbel_key"), drawn.alias("selected"))
+    out = quality.resample(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "importance.log_weight", "importance.gumbel_key", F.col("importance.drawn").alias("selected"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,15 +112,14 @@ from ranked
 """,
     "op2_topk": """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e
+  select row_number() over () as n, vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e
   from embeddings
-  where vec_id is not null and embedding is not null
-    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), scored as (
   select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score
-  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
+  from v q join v c on q.n <> c.n where q.vec_id % 50 = 0
 ), ranked as (
-  select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from scored
+  select *, cast(row_number() over (partition by query_id order by score desc, vec_id nulls last) as integer) as rank from scored
 )
 select query_id, rank, vec_id, score from ranked where rank <= 5
 """,

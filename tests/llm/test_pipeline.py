@@ -39,6 +39,30 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).exceptAll(seen["packing"]).count() == 0
 
 
+def test_stages_on_odd_tables(spark, tmp_path):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    text = [" ".join(word() for _ in range(60)) for _ in range(6)]
+    rows = [(1, text[0]), (1, text[0]), (2, text[1]), (None, text[2]), (None, text[0]), (3, None), (4, ""), (5, f"{text[1]} {text[3]}"), (6, " ".join([text[4]] * 300))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _key string, name string, block long, importance string"
+    full = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), "k", "n", 7, "i") for i, t in rows], schema)
+    labels = spark.createDataFrame([(i, 1, 0) for i in (1, 2, 5)], "doc_id long, quality int, toxic int")
+    for k, docs in enumerate((full, full.limit(0))):
+        path = tmp_path / str(k)
+        docs.write.parquet(str(path / "documents.parquet"))
+        labels.write.parquet(str(path / "labels.parquet"))
+        now = spark.read.parquet(str(path / "documents.parquet"))
+        for name, stage in corpus_pipeline.STAGES:
+            now = stored(stage(spark, now, str(path)))
+            if name != "packing":
+                assert now.columns == docs.columns
+                ids = sorted((r[0] for r in now.collect()), key=lambda i: (i is None, i))
+                if not k:
+                    # All have words but 3 and 4; rows of the kept id stay, the null one with its text goes.
+                    assert ids == ([1, 1, 2, 5, 6, None, None] if name == "quality" else [1, 1, 2, 5, 6, None])
+        assert (now.count() == 0) == bool(k)
+
+
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert set(queries.SQL) <= set(queries.QUERIES)
