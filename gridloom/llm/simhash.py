@@ -181,14 +181,16 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
 
     Groups are components of texts whose sets of word shingles have a Jaccard
     likeness of 0.8 or more. Texts of one band, or within 2 bits of one
-    another, are compared with the smallest name among them. Rows that repeat
-    the kept doc_id of a group stay as they are; rows with a null doc_id stay
-    only where nothing else is in their group.
+    another, are compared with the smallest name among them. Rows equal to the
+    kept one in id and text stay with it; rows with a null doc_id stay only
+    where no others are in their group. Null and blank texts are one group; an
+    empty table gives an empty one.
     """
     whole = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("at"), F.col(text).alias("text"))
     small_batches(docs.sparkSession)
     rows = stored(sketches(whole, shingle_words))
-    nodes = stored(rows.groupBy("name").agg(F.min("doc_id").alias("first"), F.min(F.struct("at", "fp", "bands")).alias("one")).select("name", "first", "one.*"))
+    # The row of the smallest id stands for its name, one without an id only for lack of others.
+    nodes = stored(rows.groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at", "fp", "bands")).alias("one")).select("name", "one.*"))
 
     keys = nodes.select("name", F.explode("bands").alias("key"))
     met = keys.groupBy("key").agg(F.min("name").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
@@ -206,6 +208,6 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     links = like_pairs(both.select("a", "b", "packed_a", "packed_b"), shingle_words)
 
     groups = connected_components(links).withColumnRenamed("node", "name")
-    named = nodes.join(groups, "name", "left").groupBy(F.coalesce("component", "name").alias("component")).agg(F.min("first").alias("_kept"))
-    kept = named.select("_kept").distinct()
-    return docs.join(kept, docs[doc_id].eqNullSafe(kept["_kept"]), "left_semi")
+    best = F.min(F.struct("none", "doc_id", "at")).alias("best")
+    kept = nodes.join(groups, "name", "left").groupBy(F.coalesce("component", "name").alias("component")).agg(best).select("best.doc_id", "best.at")
+    return docs.join(kept, docs[doc_id].eqNullSafe(kept["doc_id"]) & (F.xxhash64(docs[text]) == kept["at"]), "left_semi")
