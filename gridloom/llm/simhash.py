@@ -80,7 +80,8 @@ def near_pairs(fps: DataFrame) -> DataFrame:
     links to the smallest of them connect them all.
     """
     flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(64)))
-    spread = fps.repartition(shuffle_partitions(fps.sparkSession), "fp")  # a given number of partitions, which adaptive execution does not merge
+    # A given number of partitions, which adaptive execution does not merge; by a hash, as a partitioning by fp itself would be taken for the one at hand.
+    spread = fps.repartition(shuffle_partitions(fps.sparkSession), F.xxhash64("fp"))
     variants = spread.select("fp", F.explode(F.transform(flips, lambda x: F.col("fp").bitwiseXOR(x))).alias("variant"))
     met = variants.groupBy("variant").agg(F.collect_list("fp").alias("near")).where(F.size("near") > 1)
     pairs = met.select(F.array_min("near").alias("a"), F.explode("near").alias("b")).where("a <> b").distinct()
