@@ -82,8 +82,8 @@ class EliasFano:
             return np.zeros(0, np.uint64)
         return ((self._select(i, True) - i).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(i)
 
-    def successor(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The index of the first value that is at least q (n if none), and whether it equals q."""
+    def successor(self, q: np.ndarray, begin: np.ndarray | int = 0, end: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The index of the first value that is at least q, and whether it equals q, among those from ``begin`` to before ``end`` (else n)."""
         out, equal = np.full(len(q), self.n, np.int64), np.zeros(len(q), bool)
         if not self.n or not len(q):
             return out, equal
@@ -94,8 +94,10 @@ class EliasFano:
         h, want = high[live], low[live]
         # The values with this high part, halved until the first that is large enough is left.
         first = np.where(h > 0, self._select(np.maximum(h - 1, 0), False) + 1 - h, 0)
-        end = self._select(h, False) - h
-        last = end
+        until = self._select(h, False) - h
+        if end is not None:
+            first, until = np.maximum(first, begin[live]), np.minimum(until, end[live])
+        last = until
         while (first < last).any():
             open_ = first < last
             middle = (first + last) // 2
@@ -103,7 +105,7 @@ class EliasFano:
             first = np.where(open_ & less, middle + 1, first)
             last = np.where(open_ & ~less, middle, last)
         out[live] = first
-        equal[live] = (first < end) & (self._low(np.minimum(first, self.n - 1)) == want)
+        equal[live] = (first < until) & (self._low(np.minimum(first, self.n - 1)) == want)
         return out, equal
 
     def values(self) -> np.ndarray:
@@ -137,8 +139,8 @@ class Trie:
     def find(self, contexts: np.ndarray, successors: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Codes of successors (uint64) of contexts, ``size`` of them for each; NONE where the trie has none.
 
-        Pointers give each context's range, which is halved until the
-        successor, relative to the context, is found.
+        Pointers give each context's range, in which the successor, relative to
+        the context, is searched for.
         """
         out = np.full(len(successors), NONE, np.uint8)
         place, known = self.contexts.successor(contexts)
@@ -147,18 +149,8 @@ class Trie:
         of = np.repeat(place, size)[live]
         want = of.astype(np.uint64) * self.kinds + word[live].astype(np.uint64)
         begin, end = (np.repeat(self.pointers.get(np.where(known, place + k, 0)), size)[live].astype(np.int64) for k in (0, 1)) if self.contexts.n else (np.zeros(0, np.int64),) * 2
-        first, last = begin, end.copy()
-        while True:
-            open_ = np.flatnonzero(first < last)
-            if not len(open_):
-                break
-            middle = (first[open_] + last[open_]) // 2
-            less = self.successors.get(middle) < want[open_]
-            first[open_] = np.where(less, middle + 1, first[open_])
-            last[open_] = np.where(less, last[open_], middle)
-        hit = np.flatnonzero(first < end)
-        hit = hit[self.successors.get(first[hit]) == want[hit]]
-        out[live[hit]] = self.codes[first[hit]]
+        at, found = self.successors.successor(want, begin, end)
+        out[live[found]] = self.codes[at[found]]
         return out
 
     def close(self) -> None:
