@@ -29,59 +29,74 @@ SPAN, KEY_BYTES, KEY_BITS, BLOCK_BYTES, SHARD_BYTES = 50, 20, 48, 1 << 20, 1 <<
 #: Bytes of distinct segments, over all blocks, beyond which the windows of a key are dealt over several shards.
 HOT_BYTES = 1 << 18
 _END = 0xFF  # never in UTF-8
+#: Windows whose keys are made at once.
+_PIECE = 1 << 14
 
 
 def window_keys(data: np.ndarray, span: int = SPAN, key_bytes: int = KEY_BYTES) -> np.ndarray:
-    """The key of the ``span`` bytes from each position where so many follow."""
-    n = len(data)
-    if n < span:
+    """The key of the ``span`` bytes from each position where so many follow: the least hash of ``key_bytes`` bytes in them.
+
+    Least hashes are small numbers: ``mix`` spreads them over all shards.
+    """
+    n = len(data) - span + 1
+    if n <= 0:
         return np.zeros(0, np.uint64)
-    padded = np.zeros(n + 8, np.uint8)
-    padded[:n] = data
-    lanes = np.ndarray((n + 1,), "<u8", padded, strides=(1,))
-    at, h = 0, np.zeros(n - key_bytes + 1, np.uint64)
-    while at < key_bytes:
-        at = min(at, key_bytes - 8)
-        h = (h ^ lanes[at : at + len(h)]) * np.uint64(0x9FB21C651E98DF25)
-        h ^= h >> np.uint64(29)
-        at += 8
-    h = mix(h)
-    width, have = span - key_bytes + 1, 1
-    while 2 * have <= width:
-        h = np.minimum(h[: len(h) - have], h[have:])
-        have *= 2
-    if width > have:
-        h = np.minimum(h[: len(h) - (width - have)], h[width - have :])
-    return mix(h)  # least hashes are small: mixed again they spread over all shards
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    out = np.empty(n, np.uint64)
+    for first in range(0, n, _PIECE):  # pieces that stay in the processor's cache
+        last = min(first + _PIECE, n)
+        size = last - first + span - key_bytes
+        read = lanes[first : first + size + key_bytes - 8].copy()
+        at, h = 0, np.zeros(size, np.uint64)
+        while at < key_bytes:
+            at = min(at, key_bytes - 8)
+            h ^= read[at : at + size]
+            h *= np.uint64(0x9FB21C651E98DF25)
+            h ^= h >> np.uint64(29)
+            at += 8
+        h = mix(h)
+        width, have = span - key_bytes + 1, 1
+        while 2 * have <= width:
+            h = np.minimum(h[: len(h) - have], h[have:])
+            have *= 2
+        out[first:last] = np.minimum(h[: len(h) - (width - have)], h[width - have :])
+    return out
 
 
 class _Block:
+    """Runs of a block: neighbouring windows of one document with one key."""
+
     def __init__(self, t: pa.Table, span: int):
         self.block = t["block"][0].as_py()
         self.table, self.span = t, span
         self.ids = np.asarray(t["c0"].combine_chunks().fill_null(-(1 << 63)), np.int64)
         self.data, self.at = utf8(t["text"].combine_chunks())
-        size = np.diff(self.at)
-        self.doc = np.repeat(np.arange(len(size)), np.maximum(size - span + 1, 0))
-        fits = self.at[:-1][self.doc] + np.arange(len(self.doc)) - np.repeat(np.cumsum(np.maximum(size - span + 1, 0)) - np.maximum(size - span + 1, 0), np.maximum(size - span + 1, 0)) if len(self.doc) else np.zeros(0, np.int64)
-        self.start = fits
-        self.key = window_keys(self.data, span)[fits] if len(fits) else np.zeros(0, np.uint64)
-        # Runs of windows of one document with one key.
-        fresh = np.ones(len(fits), bool)
-        fresh[1:] = (self.key[1:] != self.key[:-1]) | (self.doc[1:] != self.doc[:-1])
-        self.run = np.flatnonzero(fresh)
-        self.run_size = np.diff(np.append(self.run, len(fits)))
-        short = self.key[self.run] >> np.uint64(64 - KEY_BITS)
+        least = window_keys(self.data, span)
+        # Where a document's windows begin, and where the first that leaves it does.
+        begin, stop = self.at[:-1], np.maximum(self.at[1:] - span + 1, self.at[:-1])
+        fresh = np.ones(len(least) + 1, bool)
+        np.not_equal(least[1:], least[:-1], out=fresh[1:-1])
+        fresh[begin[begin < len(fresh)]] = True
+        fresh[stop[stop < len(fresh)]] = True
+        edges = np.flatnonzero(fresh)
+        run, size = edges[:-1], np.diff(edges)
+        doc = np.searchsorted(self.at, run, "right") - 1
+        inside = run < stop[doc]
+        self.run, self.run_size, self.doc = run[inside], size[inside], doc[inside]
+        self.key = mix(least[self.run])
+        short = self.key >> np.uint64(64 - KEY_BITS)
         self.unique, self.of = np.unique(short, return_inverse=True)
         low, high = np.full(len(self.unique), np.iinfo(np.int64).max), np.full(len(self.unique), np.iinfo(np.int64).min)
-        ids = self.ids[self.doc[self.run]] if len(self.run) else np.zeros(0, np.int64)
+        ids = self.ids[self.doc]
         np.minimum.at(low, self.of, ids)
         np.maximum.at(high, self.of, ids)
         self.low, self.many = low, low != high
 
     def sizes(self) -> np.ndarray:
         """Bytes of the distinct segments of each key."""
-        start, size = self.start[self.run], self.run_size + self.span - 1
+        start, size = self.run, self.run_size + self.span - 1
         _, first = np.unique(range_hashes(self.data, start, start + size), return_index=True)
         return np.bincount(self.of[first], size[first], len(self.unique)).astype(np.int64)
 
@@ -91,15 +106,14 @@ class _Block:
         ``fan`` is 0 for keys of one document, 1 for others; windows of a key
         with more are segments of their own, dealt over so many keys by content.
         """
-        wide = fan[self.of] if len(self.of) else np.zeros(0, np.int64)
+        wide = fan[self.of]
         runs, hot = np.flatnonzero(wide == 1), np.flatnonzero(wide > 1)
-        windows = _spans(self.run[hot], self.run_size[hot])
-        start = np.concatenate([self.start[self.run[runs]], self.start[windows]])
+        windows, each = _spans(self.run[hot], self.run_size[hot]), np.repeat(hot, self.run_size[hot])
+        start = np.concatenate([self.run[runs], windows])
         size = np.concatenate([self.run_size[runs] + self.span - 1, np.full(len(windows), self.span)])
-        second = range_hashes(self.data, self.start[windows], self.start[windows] + self.span)
-        second %= np.repeat(wide[hot], self.run_size[hot]).astype(np.uint64)
-        key = np.concatenate([self.key[self.run[runs]], mix(self.key[windows] + (second + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))])
-        ids = self.ids[self.doc[np.concatenate([self.run[runs], windows])]] if len(self.doc) else np.zeros(0, np.int64)
+        second = range_hashes(self.data, windows, windows + self.span) % wide[each].astype(np.uint64)
+        key = np.concatenate([self.key[runs], mix(self.key[each] + (second + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))])
+        ids = self.ids[self.doc[np.concatenate([runs, each])]]
         content = range_hashes(self.data, start, start + size)
         order = np.lexsort((ids, size, content, key))
         start, size, key, content, ids = start[order], size[order], key[order], content[order], ids[order]

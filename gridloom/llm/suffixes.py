@@ -89,9 +89,9 @@ def _spread(queues: Queues, t: np.ndarray, positions: np.ndarray) -> None:
         key = t[positions]
         order = np.argsort(key, kind="stable")
         key, positions = key[order], positions[order]
-        cuts = np.flatnonzero(np.diff(key)) + 1
-        for symbol, part in zip(key[np.concatenate([[0], cuts])].tolist(), np.split(positions, cuts), strict=True):
-            queues.push(symbol, part)
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            queues.push(int(key[lo]), positions[lo:hi])
 
 
 def _induce(t: np.ndarray, small: np.ndarray, symbols: list[int], seeds: Queues) -> Iterator[np.ndarray]:
@@ -128,19 +128,28 @@ def _induce(t: np.ndarray, small: np.ndarray, symbols: list[int], seeds: Queues)
 
 
 def _doubling(t: np.ndarray) -> np.ndarray:
+    """Positions of the suffixes of ``t``, whose symbols count from 1, in ascending order; each step sorts those with an equal."""
     n, step = len(t), 1
-    rank = np.unique(t, return_inverse=True)[1].astype(np.int64) + 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: max(n - step, 0)] = rank[step:]
-        key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
-        fresh = np.ones(n, np.int64)
-        fresh[1:] = key[order[1:]] != key[order[:-1]]
-        rank[order] = np.cumsum(fresh)
-        if rank[order[-1]] == n:
-            return order
+    count = np.bincount(t)
+    rank = (np.cumsum(count) - count + 1)[t]  # the place of the first suffix that looks the same so far
+    tied = np.flatnonzero(count[t] > 1)
+    while len(tied):
+        after = np.zeros(len(tied), np.int64)
+        more = tied + step < n
+        after[more] = rank[tied[more] + step]
+        key = rank[tied] * (n + 1) + after
+        order = np.argsort(key)
+        tied, key = tied[order], key[order]
+        group, place = rank[tied], np.arange(len(tied))
+        first, fresh = np.ones(len(tied), bool), np.ones(len(tied) + 1, bool)
+        first[1:] = group[1:] != group[:-1]
+        fresh[1:-1] = key[1:] != key[:-1]
+        rank[tied] = group + np.maximum.accumulate(np.where(fresh[:-1], place, 0)) - np.maximum.accumulate(np.where(first, place, 0))
+        tied = tied[~(fresh[:-1] & fresh[1:])]
         step *= 2
+    out = np.empty(n, np.int64)
+    out[rank - 1] = np.arange(n)
+    return out
 
 
 def gathered(pieces: Iterator[np.ndarray], size: int) -> Iterator[np.ndarray]:
@@ -176,7 +185,9 @@ def suffix_array(t: np.ndarray, base: int = BASE) -> Iterator[np.ndarray]:
         found = [p[seed[p]] for p in _induce(t, small, symbols, rough)]
         order = np.concatenate(found)[::-1]
         end = np.append(at[1:], n - 1)
-        stop = end[np.searchsorted(at, order)]
+        place = np.empty(n, kind)
+        place[at] = np.arange(len(at), dtype=kind)
+        stop = end[place[order]]
         size = stop - order + 1
         differs = np.ones(len(order), bool)
         differs[1:] = size[1:] != size[:-1]
@@ -191,7 +202,7 @@ def suffix_array(t: np.ndarray, base: int = BASE) -> Iterator[np.ndarray]:
             open_ = open_[size[open_ + 1] > offset]
         differs[1:] |= (stop[1:] == n - 1) != (stop[:-1] == n - 1)
         reduced = np.empty(len(at), np.int64)
-        reduced[np.searchsorted(at, order)] = np.cumsum(differs)
+        reduced[place[order]] = np.cumsum(differs)
         if int(reduced.max()) == len(at):
             ranked = order
         elif len(at) <= base:

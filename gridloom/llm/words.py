@@ -26,6 +26,8 @@ _LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTES = np.random.default_rng(20_261).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes that are hashed at once, so that they stay in the processor's cache.
+_PIECE = 1 << 14
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -59,8 +61,12 @@ def pair(a: np.ndarray, b: np.ndarray, salt: int = 0) -> np.ndarray:
 def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of data[start[i]:end[i]] for each i."""
     n = len(data)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTES[data] * _power("up", n), out=sums[1:])
+    sums, up = np.zeros(n + 1, np.uint64), _power("up", n)
+    for a in range(0, n, _PIECE):
+        part = _BYTES[data[a : a + _PIECE]]
+        part *= up[a : a + _PIECE]
+        part[:1] += sums[a : a + 1]
+        np.cumsum(part, out=sums[a + 1 : a + 1 + len(part)])
     raw = (sums[end] - sums[start]) * _power("down", n + 1)[start]
     return mix(raw ^ (end - start).astype(np.uint64))
 
