@@ -106,23 +106,29 @@ def _score_pairs(_: int, payloads: list[bytes]) -> list[bytes]:
     """Codes of each block's pairs from a trie of the shard's training pairs, and evidence for the weights."""
     parts = [mail.unpack(p) for p in payloads]
     # A shard has one range of hashes; mixed again they are even over all values, as the trie's sequences like them.
-    contexts = [mix(mail.undo_deltas(p["d"]) ^ p["x"]) for p in parts]
-    x = np.concatenate([np.repeat(c, p["z"]) for c, p in zip(contexts, parts, strict=True)])
+    contexts = np.concatenate([mix(mail.undo_deltas(p["d"]) ^ p["x"]) for p in parts])
+    size = np.concatenate([p["z"] for p in parts])
+    every, place = np.unique(contexts, return_inverse=True)
     s, k = np.concatenate([p["s"].astype(np.uint64) << np.uint64(8) | p["s8"] for p in parts]), np.concatenate([p["k"] for p in parts])
-    asked = s
     c, u = (np.concatenate([np.repeat(p["c"], p["z"]) for p in parts]), np.concatenate([p["u"] for p in parts]))
-    order = np.lexsort((s, x))
-    x, s, k, c, u = x[order], s[order], k[order].astype(np.int64), c[order].astype(np.int64), u[order]
-    lead = np.ones(len(x), bool)
-    lead[1:] = (x[1:] != x[:-1]) | (s[1:] != s[:-1])
+    words, word = np.unique(s, return_inverse=True)
+    # Blocks ask for the same pairs: each is searched for once.
+    name = np.repeat(place, size) * len(words) + word
+    order = np.argsort(name)
+    name = name[order]
+    lead = np.ones(len(name), bool)
+    lead[1:] = name[1:] != name[:-1]
     at = np.flatnonzero(lead)
-    k = np.add.reduceat(k, at) if len(at) else k
-    x, s, c, u = x[at], s[at], c[at], u[at]
+    k = np.add.reduceat(k[order].astype(np.int64), at) if len(at) else k
+    x, s, c, u = name[at] // max(1, len(words)), s[order[at]], c[order[at]].astype(np.int64), u[order[at]]
+    asked = s
     seen = k > 0
+    each = np.bincount(x, minlength=len(every))
     x, s, c, u, k = x[seen], s[seen], c[seen], u[seen], k[seen]
-    every, starts = np.unique(x, return_index=True)
-    trie = Trie(every, np.append(starts, len(x)), s, quantised(k / np.maximum(c, 1)))
-    codes = trie.find(np.concatenate(contexts), asked, np.concatenate([p["z"] for p in parts]))
+    known, starts = np.unique(x, return_index=True)
+    trie = Trie(every[known], np.append(starts, len(x)), s, quantised(k / np.maximum(c, 1)))
+    codes = np.empty(len(name), np.uint8)
+    codes[order] = trie.find(every, asked, each)[np.cumsum(lead) - 1]
     trie.close()
     out, done = [], 0
     for p in parts:
