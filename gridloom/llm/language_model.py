@@ -1,12 +1,16 @@
 """Language-model scores from Elias-Fano n-gram tries.
 
-The model interpolates word pairs with single words. Every fifth document (by
-crc32 of its id) is held out; all others train. Blocks send their words and
-then their pairs to shards, which count over all training documents. Each
-shard keeps its pairs in a memory-mapped trie and answers with quantised
-probabilities; contexts that are frequent are split over shards. Weights of
-the interpolation, one for each power of 2 of a context's count, come from
-leave-one-out expectation maximisation over all training pairs.
+The model has single words, pairs and triples. Every fifth document (by crc32
+of its id) is held out; all others train. Blocks send their words and then
+their triples to shards, which count over all training documents. A triple
+goes with its last two words, so that one message serves pairs and triples.
+Each shard keeps them in memory-mapped tries (word, its successor, the word
+before both) and answers with quantised probabilities of pairs and counts of
+triples. Contexts that are frequent are split over shards, and the words
+before a pair of frequent words are a context of their own, split alike.
+Weights between pairs and single words, one for each power of 2 of a context's
+count, come from leave-one-out expectation maximisation over all training
+pairs; pairs are the Dirichlet prior of triples.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import mail
-from .trie import Trie, probability, quantised
+from .trie import NONE, Trie, at_most, count_codes, counts, probability, quantised
 from .words import Texts, mix, pair, sums_by, utf8, words
 
 #: One document of FOLDS is held out; bytes of text for each shard; occurrences of a context that one shard holds.
@@ -25,7 +29,9 @@ FOLDS, HELD_OUT, SHARD_BYTES, WHOLE = 5, 1, 1 << 22, 1 << 18
 #: Marks of a text's end and begin among word hashes.
 _END, _BEGIN = np.uint64(0xE4D0_0000_0000_0001), np.uint64(0xBE61_0000_0000_0001)
 _SIZES, _RATIOS = 64, 512
-#: Bits of a successor's hash: in one of a context's parts, of at most WHOLE successors or so, two have equal ones with a chance of 3 in 100.
+#: Occurrences that the pairs' distribution is worth against a triple's context (mass of the Dirichlet prior).
+PRIOR = 4.0
+#: Bits of a successor's hash, and of the hash of the word before: in one of a context's parts, of at most WHOLE successors or so, two have equal ones with a chance of 3 in 100.
 SUCCESSOR_BITS = 40
 
 
@@ -57,26 +63,74 @@ class _Block:
         for s, payload in answers.items():
             self.c[cuts[s] : cuts[s + 1]] = mail.unpack(payload)["c"]
 
-    def pairs(self, total: int, kinds: int, texts: int) -> None:
-        """Distinct pairs in the order of their route to shards, context and successor."""
+    def triples(self, total: int, kinds: int, texts: int, whole: int) -> None:
+        """Distinct triples, and pairs of them, in the order of their route to shards, successor and word before.
+
+        Records are the tokens and, for those that end a pair of two frequent
+        words, one more each with the pair as context and the word before as
+        successor; the token's own record then has no word before.
+        """
+        n, low = len(self.tokens), np.uint64(64 - SUCCESSOR_BITS)
         self.p = (self.c + 0.5) / (total + 0.5 * (kinds + 1))
-        before = np.concatenate([self.unique, [_BEGIN]])
-        place = np.concatenate([[0], self.of[:-1]]) if len(self.of) else self.of
+        place = np.concatenate([[0], self.of[:-1]]) if n else self.of
         place[self.at[:-1]] = len(self.unique)
-        count = np.concatenate([self.c, [texts]])
-        self.history = count[place]
-        successor = pair(self.context, self.tokens, 5) >> np.uint64(64 - SUCCESSOR_BITS)
-        fan = (self.history // WHOLE + 1).astype(np.uint64)
-        route = np.where(fan > 1, mix(self.context + successor % fan * np.uint64(0x9E3779B97F4A7C15)), self.context)
-        order = np.lexsort((successor, before[place], route))
-        r, x, s = route[order], self.context[order], successor[order]
+        self.history = np.concatenate([self.c, [texts]])[place]
+        earlier = np.empty_like(self.context)
+        earlier[1:] = self.context[:-1]
+        earlier[self.at[:-1]] = _BEGIN
+        least = np.minimum(self.history, self.c[self.of])
+        self.frequent = np.flatnonzero(least >= whole)
+        f = self.frequent
+        self.size = np.concatenate([self.history, least[f]])
+        x = np.concatenate([self.context, pair(self.context[f], self.tokens[f], 7)])
+        successor = pair(x, np.concatenate([self.tokens, earlier[f]]), 5) >> low
+        before = np.concatenate([mix(earlier) >> low, np.zeros(len(f), np.uint64)])
+        before[f] = 0
+        fan = (self.size // whole + 1).astype(np.uint64)
+        route = np.where(fan > 1, mix(x + successor % fan * np.uint64(0x9E3779B97F4A7C15)), x)
+        order = np.lexsort((before, successor, route))
+        r, x, s, w = route[order], x[order], successor[order], before[order]
         lead = np.ones(len(order), bool)
         lead[1:] = (r[1:] != r[:-1]) | (x[1:] != x[:-1]) | (s[1:] != s[:-1])
-        self.pair_of = np.empty(len(order), np.int64)
-        self.pair_of[order] = np.cumsum(lead) - 1
+        each = lead.copy()
+        each[1:] |= w[1:] != w[:-1]
+        self.pair_of, self.triple_of = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        self.pair_of[order], self.triple_of[order] = np.cumsum(lead) - 1, np.cumsum(each) - 1
         self.first = order[lead]
-        self.route, self.x, self.s = r[lead], x[lead], s[lead]
-        self.k = np.bincount(self.pair_of, self.train, len(self.first)).astype(np.int64)
+        self.route, self.x, self.s, self.w = r[lead], x[lead], s[lead], w[each]
+        self.begin = np.append(np.flatnonzero(lead[each]), len(self.w))
+        train = np.concatenate([self.train, self.train[f]])
+        self.k = np.bincount(self.triple_of, train, len(self.w)).astype(np.int64)
+
+    def message(self, lo: int, hi: int) -> bytes:
+        """Contexts, pairs lo to hi and their triples."""
+        x, r, n = self.x[lo:hi], self.route[lo:hi], len(self.tokens)
+        head = np.ones(len(x), bool)
+        head[1:] = (x[1:] != x[:-1]) | (r[1:] != r[:-1])
+        at, token, t = np.flatnonzero(head), self.first[lo:hi], slice(self.begin[lo], self.begin[hi])
+        # Records of frequent pairs lie behind the tokens and say nothing about weights.
+        said = token < n
+        u = np.zeros(hi - lo, np.uint8)
+        u[said] = quantised(self.p)[self.of[token[said]]]
+        return mail.pack(
+            d=mail.deltas(r[at]), x=r[at] ^ x[at], z=np.diff(np.append(at, len(x))).astype(np.uint32), c=self.size[token][at].astype(np.uint64), e=said[at].astype(np.uint8),
+            s=(self.s[lo:hi] >> np.uint64(8)).astype(np.uint32), s8=self.s[lo:hi].astype(np.uint8), u=u, y=np.diff(self.begin[lo : hi + 1]).astype(np.uint32),
+            w=(self.w[t] >> np.uint64(8)).astype(np.uint32), w8=self.w[t].astype(np.uint8), k=self.k[t].astype(np.uint32),
+        )
+
+    def likely(self, codes: np.ndarray, seen: np.ndarray, weights: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of all tokens by single words and by all levels, from codes of pairs and of triples."""
+        n, single = len(self.tokens), self.p[self.of]
+        q = codes[self.pair_of]
+        w = np.where(self.history > 0, weights[_power(self.history)], 1.0)
+        two = (1 - w) * probability(q[:n]) + w * single
+        k = counts(seen[self.triple_of[:n]])
+        k[self.frequent] = probability(q[n:]) * self.size[n:]
+        # The pair before has the context's count, rounded up, so that shares of triples add up to at most 1.
+        c = self.history.astype(float)
+        c[1:] = np.minimum(c[1:], at_most(q[: n - 1], self.history[:-1]))
+        c[self.at[:-1]] = self.history[self.at[:-1]]
+        return single, (k + prior * two) / (c + prior)
 
 
 def _count_words(_: int, payloads: list[bytes]) -> list[bytes]:
@@ -102,39 +156,47 @@ def _power(c: np.ndarray) -> np.ndarray:
     return np.frexp(np.maximum(c, 1).astype(float))[1] - 1
 
 
-def _score_pairs(_: int, payloads: list[bytes]) -> list[bytes]:
-    """Codes of each block's pairs from a trie of the shard's training pairs, and evidence for the weights."""
-    parts = [mail.unpack(p) for p in payloads]
-    # A shard has one range of hashes; mixed again they are even over all values, as the trie's sequences like them.
-    contexts = np.concatenate([mix(mail.undo_deltas(p["d"]) ^ p["x"]) for p in parts])
-    size = np.concatenate([p["z"] for p in parts])
-    every, place = np.unique(contexts, return_inverse=True)
-    s, k = np.concatenate([p["s"].astype(np.uint64) << np.uint64(8) | p["s8"] for p in parts]), np.concatenate([p["k"] for p in parts])
-    c, u = (np.concatenate([np.repeat(p["c"], p["z"]) for p in parts]), np.concatenate([p["u"] for p in parts]))
-    words, word = np.unique(s, return_inverse=True)
-    # Blocks ask for the same pairs: each is searched for once.
-    name = np.repeat(place, size) * len(words) + word
+def _merged(upper: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (upper, hash) in order: both columns, an index of each one's first, and the place of every one given."""
+    words, word = np.unique(hashes, return_inverse=True)
+    name = upper * max(1, len(words)) + word
     order = np.argsort(name)
-    name = name[order]
     lead = np.ones(len(name), bool)
-    lead[1:] = name[1:] != name[:-1]
-    at = np.flatnonzero(lead)
-    k = np.add.reduceat(k[order].astype(np.int64), at) if len(at) else k
-    x, s, c, u = name[at] // max(1, len(words)), s[order[at]], c[order[at]].astype(np.int64), u[order[at]]
-    asked = s
-    seen = k > 0
-    each = np.bincount(x, minlength=len(every))
-    x, s, c, u, k = x[seen], s[seen], c[seen], u[seen], k[seen]
-    known, starts = np.unique(x, return_index=True)
-    trie = Trie(every[known], np.append(starts, len(x)), s, quantised(k / np.maximum(c, 1)))
-    codes = np.empty(len(name), np.uint8)
-    codes[order] = trie.find(every, asked, each)[np.cumsum(lead) - 1]
-    trie.close()
-    out, done = [], 0
+    lead[1:] = name[order[1:]] != name[order[:-1]]
+    first = order[lead]
+    place = np.empty(len(name), np.int64)
+    place[order] = np.cumsum(lead) - 1
+    return upper[first], hashes[first], first, place
+
+
+def _score_triples(_: int, payloads: list[bytes]) -> list[bytes]:
+    """Codes of each block's pairs and triples from tries of the shard's training text, and evidence for the weights."""
+    parts = [mail.unpack(p) for p in payloads]
+    join = lambda f: np.concatenate([f(p) for p in parts])
+    wide = lambda name: join(lambda p: p[name].astype(np.uint64) << np.uint64(8) | p[f"{name}8"])
+    # A shard has one range of hashes; mixed again they are even over all values, as the trie's sequences like them.
+    every, context = np.unique(join(lambda p: mix(mail.undo_deltas(p["d"]) ^ p["x"])), return_inverse=True)
+    sizes = join(lambda p: p["z"])
+    # Blocks ask for the same pairs and triples: each is searched for once.
+    x, s, first, pair_of = _merged(np.repeat(context, sizes), wide("s"))
+    of, w, _, triple_of = _merged(np.repeat(pair_of, join(lambda p: p["y"])), wide("w"))
+    k3 = np.bincount(triple_of, join(lambda p: p["k"]), len(of))
+    k = np.bincount(of, k3, len(x))
+    c, evident, u = np.repeat(join(lambda p: p["c"]), sizes)[first].astype(np.int64), np.repeat(join(lambda p: p["e"]), sizes)[first] > 0, join(lambda p: p["u"])[first]
+    two, three = k > 0, k3 > 0
+    known, starts = np.unique(x[two], return_index=True)
+    pairs = Trie(every[known], np.append(starts, two.sum()), s[two], quantised(k[two] / np.maximum(c[two], 1)))
+    codes, node = pairs.find(every, s, np.bincount(x, minlength=len(every)))
+    pairs.close()
+    known, starts = np.unique(node[of[three]], return_index=True)
+    triples = Trie(known, np.append(starts, three.sum()), w[three], count_codes(k3[three]))
+    seen, _ = triples.find(node, w, np.bincount(of, minlength=len(x)))
+    triples.close()
+    out, done, past = [], 0, 0
     for p in parts:
-        out.append(mail.pack(q=codes[done : done + len(p["s"])]))
-        done += len(p["s"])
-    again = c > 1
+        out.append(mail.pack(q=codes[pair_of[done : done + len(p["s"])]], r=seen[triple_of[past : past + len(p["w"])]]))
+        done, past = done + len(p["s"]), past + len(p["w"])
+    again = two & evident & (c > 1)
     ratio = (k[again] - 1) / (c[again] - 1) / probability(u[again]).clip(1e-12)
     cell = _power(c[again] - 1) * _RATIOS + _ratio_bin(ratio)
     total = np.bincount(cell, k[again], _SIZES * _RATIOS)
@@ -154,15 +216,17 @@ def _weights(cells: dict[int, int]) -> np.ndarray:
     return np.clip(w, 1e-3, 1.0)
 
 
-def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", prior: float = PRIOR, whole: int = WHOLE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row: log10 probabilities.
 
     Words of A-Z-folded text and one end are tokens. ``base_score`` is the
     smoothed single-word model; ``score`` the interpolated one, a probability
     of the text, summing to at most 1 over all texts with all unknown words as one. Null and blank texts have
     the end alone; a null id trains; rows that repeat count each. Without
-    training documents all tokens are unknown. The documents' table stays
-    until ``mail.release`` or the end of Python.
+    training documents all tokens are unknown. ``prior`` is how many occurrences
+    the pairs are worth against a triple's context, ``whole`` how many occurrences
+    of a context one shard holds; beyond, counts of triples are rounded down by up
+    to a tenth. The documents' table stays until ``mail.release`` or the end of Python.
     """
     corpus = mail.Corpus(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")), "_text", ["_id"])
     shards = max(1, corpus.bytes // SHARD_BYTES)
@@ -177,22 +241,13 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     sums = counted.where("block < 0").select(*(note[i].cast("long").alias(n) for i, n in enumerate("vnt"))).agg(*(F.coalesce(F.sum(n), F.lit(0)) for n in "vnt")).first()
     kinds, total, texts = (int(x) for x in sums)
 
-    def send_pairs(t: pa.Table, got: list[dict[int, bytes]]) -> pa.Table:
+    def send_triples(t: pa.Table, got: list[dict[int, bytes]]) -> pa.Table:
         b = _Block(t)
         b.counted(got[0], shards)
-        b.pairs(total, kinds, texts)
-        uni = quantised(b.p)[b.of[b.first]]
-
-        def make(lo: int, hi: int) -> bytes:
-            x, r = b.x[lo:hi], b.route[lo:hi]
-            head = np.ones(len(x), bool)
-            head[1:] = (x[1:] != x[:-1]) | (r[1:] != r[:-1])
-            at = np.flatnonzero(head)
-            return mail.pack(d=mail.deltas(r[at]), x=r[at] ^ x[at], z=np.diff(np.append(at, len(x))).astype(np.uint32), c=b.history[b.first[lo:hi]][at].astype(np.uint32), s=(b.s[lo:hi] >> np.uint64(8)).astype(np.uint32), s8=b.s[lo:hi].astype(np.uint8), k=b.k[lo:hi].astype(np.uint32), u=uni[lo:hi])
-
-        return mail.messages(b.block, mail.by_shard(b.route, shards), make)
+        b.triples(total, kinds, texts, whole)
+        return mail.messages(b.block, mail.by_shard(b.route, shards), b.message)
 
-    found = mail.answered(corpus.each(send_pairs, mail.MESSAGE, counted), _score_pairs)
+    found = mail.answered(corpus.each(send_triples, mail.MESSAGE, counted), _score_triples)
     parts = F.explode(F.split(F.col("payload").cast("string"), ";")).alias("part")
     cells = found.where("block < 0 and length(payload) > 0").select(parts).select(F.split("part", ":").alias("x")).groupBy(F.col("x")[0].cast("long")).agg(F.sum(F.col("x")[1].cast("long")))
     weights = _weights(dict(cells.collect()))  # at most _SIZES * _RATIOS rows
@@ -200,14 +255,14 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     def finish(t: pa.Table, got: list[dict[int, bytes]]) -> pa.Table:
         b = _Block(t)
         b.counted(got[0], shards)
-        b.pairs(total, kinds, texts)
+        b.triples(total, kinds, texts, whole)
         cuts = mail.by_shard(b.route, shards)
-        codes = np.full(len(b.first), 255, np.uint8)
+        codes, seen = np.full(len(b.first), NONE, np.uint8), np.full(len(b.w), NONE, np.uint8)
         for s, payload in got[1].items():
-            codes[cuts[s] : cuts[s + 1]] = mail.unpack(payload)["q"]
-        single = b.p[b.of]
-        w = np.where(b.history > 0, weights[_power(b.history)], 1.0)
-        both = (1 - w) * probability(codes[b.pair_of]) + w * single
+            told = mail.unpack(payload)
+            codes[cuts[s] : cuts[s + 1]] = told["q"]
+            seen[b.begin[cuts[s]] : b.begin[cuts[s + 1]]] = told["r"]
+        single, all_levels = b.likely(codes, seen, weights, prior)
         n = len(b.counts)
         return pa.table(
             {
@@ -217,7 +272,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
                 "n_known": pa.array(sums_by(b.at, (b.c[b.of] > 0).astype(np.int64))),
                 "train_tokens": pa.array(np.full(n, total)),
                 "base_score": pa.array(np.add.reduceat(np.log10(single), b.at[:-1])),
-                "score": pa.array(np.add.reduceat(np.log10(both), b.at[:-1])),
+                "score": pa.array(np.add.reduceat(np.log10(all_levels), b.at[:-1])),
             }
         )
 

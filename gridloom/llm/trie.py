@@ -1,10 +1,11 @@
-"""A two-level n-gram trie in Elias-Fano sequences, in one memory-mapped file.
+"""Levels of an n-gram trie in Elias-Fano sequences, each pair of levels in one memory-mapped file.
 
-Level one has the contexts in order, level two the successors of every
+The upper level has the contexts in order, the lower one the successors of every
 context behind one another, made one ascending sequence by their context's
 place; successors are places in the shard's own list of words. Monotone
 pointers say where a context's successors begin, and a successor is searched
-for in its context's range alone. Each has a quantised probability of one byte.
+for in its context's range alone. Each has a code of one byte, for a quantised
+probability or count. The places of successors are the contexts of a next level.
 """
 
 from __future__ import annotations
@@ -136,13 +137,13 @@ class Trie:
         self.contexts, self.pointers, self.successors, self.words = (EliasFano(n, bits, *mapped[3 * k : 3 * k + 3]) for k, (n, bits, *_) in enumerate(levels))
         self.codes = mapped[-1]
 
-    def find(self, contexts: np.ndarray, successors: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Codes of successors (uint64) of contexts, ``size`` of them for each; NONE where the trie has none.
+    def find(self, contexts: np.ndarray, successors: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes and places of successors (uint64) of contexts, ``size`` of them for each; NONE and the number of places where the trie has none.
 
         Pointers give each context's range, in which the successor, relative to
         the context, is searched for.
         """
-        out = np.full(len(successors), NONE, np.uint8)
+        out, places = np.full(len(successors), NONE, np.uint8), np.full(len(successors), self.successors.n, np.uint64)
         place, known = self.contexts.successor(contexts)
         word, spelt = self.words.successor(successors)
         live = np.flatnonzero(np.repeat(known, size) & spelt)
@@ -151,7 +152,8 @@ class Trie:
         begin, end = (np.repeat(self.pointers.get(np.where(known, place + k, 0)), size)[live].astype(np.int64) for k in (0, 1)) if self.contexts.n else (np.zeros(0, np.int64),) * 2
         at, found = self.successors.successor(want, begin, end)
         out[live[found]] = self.codes[at[found]]
-        return out
+        places[live[found]] = at[found]
+        return out, places
 
     def close(self) -> None:
         del self.contexts, self.pointers, self.successors, self.words, self.codes
@@ -166,3 +168,17 @@ def quantised(p: np.ndarray) -> np.ndarray:
 
 def probability(codes: np.ndarray) -> np.ndarray:
     return np.where(codes == NONE, 0.0, 2.0 ** (-codes.astype(float) / STEPS))
+
+
+def at_most(codes: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """The largest count that has this code as its share of ``whole``; ``whole`` itself at most."""
+    return np.minimum(np.floor(2.0 ** ((1 - codes.astype(float)) / STEPS) * whole + 1e-6), whole)
+
+
+def count_codes(k: np.ndarray) -> np.ndarray:
+    """One-byte codes of counts, rounded down (exact up to 11)."""
+    return np.where(k > 0, np.minimum(np.floor(STEPS * np.log2(np.maximum(k, 1)) + 1e-9), NONE - 1), NONE).astype(np.uint8)
+
+
+def counts(codes: np.ndarray) -> np.ndarray:
+    return np.where(codes == NONE, 0.0, np.ceil(2.0 ** (codes.astype(float) / STEPS) - 1e-6))

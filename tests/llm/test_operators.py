@@ -210,42 +210,62 @@ def test_elias_fano_and_trie():
     asked = np.concatenate([contexts, contexts + np.uint64(1)])
     tried = [rng.choice(words_, 20) for _ in asked]
     known = {(int(c), int(w)): int(x) for (c, w), x in zip(((c, w) for c, a in zip(contexts, after) for w in a), codes)}
-    got = held.find(asked, np.concatenate(tried), np.full(len(asked), 20))
+    got, places = held.find(asked, np.concatenate(tried), np.full(len(asked), 20))
     held.close()
     assert got.tolist() == [known.get((int(c), int(w)), trie.NONE) for c, t in zip(asked, tried) for w in t]
+    inside = got != trie.NONE
+    assert (codes[places[inside].astype(int)] == got[inside]).all() and (places[~inside] == len(codes)).all()
+    k = np.array([0, *range(1, 12), 500, 1 << 31, 1 << 40])
+    back = trie.counts(trie.count_codes(k))
+    assert (back[:12] == k[:12]).all() and (back <= k).all() and (back[:-1] >= 0.9 * k[:-1]).all()
+    assert (trie.at_most(trie.quantised(k[1:13] / 700), np.full(12, 700)) >= k[1:13]).all()
     p = np.array([1.0, 0.5, 0.3, 1e-12, 0.0])
     back = trie.probability(trie.quantised(p))
     assert (back <= p + 1e-12).all() and (back[:3] >= p[:3] * 0.9).all()
 
 
-def test_language_model(spark, docs, empty):
-    got = Counter((order(r[0]), *r[1:5], round(r["base_score"], 6), round(r["score"], 6)) for r in language_model.score(docs).collect())
+@pytest.mark.parametrize("whole", [language_model.WHOLE, 20])
+def test_language_model(spark, docs, whole):
+    got = Counter((order(r[0]), *r[1:5], round(r["base_score"], 6), round(r["score"], 6)) for r in language_model.score(docs, whole=whole).collect())
     texts = [(i, [*t.lower().split(), None]) for i, t in rows()]
     held = {i: zlib.crc32(b"" if i == order(None) else str(i).encode()) % 5 == 1 for i, _ in texts}
     c = Counter(w for i, t in texts if not held[i] for w in t)
     n, v = sum(c.values()), len(c)
-    # The interpolated model, pair by pair.
+    # The whole model, triple by triple.
     single = {w: (c[w] + 0.5) / (n + 0.5 * (v + 1)) for _, t in texts for w in t}
-    pairs = Counter((a, b) for i, t in texts if not held[i] for a, b in zip([b"<"] + t, t))
-    c[b"<"] = sum(not held[i] for i, _ in texts)
-    told = lambda p: float(trie.probability(trie.quantised(np.array([p])))[0])
+    grams = lambda t: zip([b"<", b"<"] + t, [b"<"] + t, t)
+    triples = Counter(g for i, t in texts if not held[i] for g in grams(t))
+    pairs = Counter()
+    for (_, a, b), k in triples.items():
+        pairs[a, b] += k
+    c[b"<"] = pairs[b"<", b"<"] = sum(not held[i] for i, _ in texts)
+    code = lambda k, of: trie.quantised(np.array([k / max(1, of)]))
+    told = lambda k, of: float(trie.probability(code(k, of))[0])
     cells = Counter()
     for (a, b), k in pairs.items():
-        if c[a] > 1:
-            ratio = (k - 1) / (c[a] - 1) / max(told(single[b]), 1e-12)
+        if c[a] > 1 and b != b"<":
+            ratio = (k - 1) / (c[a] - 1) / max(told(single[b], 1), 1e-12)
             cells[int(language_model._power(np.array([c[a] - 1]))[0]) * language_model._RATIOS + int(language_model._ratio_bin(np.array([ratio]))[0])] += k
     weights = language_model._weights(cells)
     want = Counter()
     for i, t in texts:
-        base = whole = 0.0
-        for a, b in zip([b"<"] + t, t):
-            w = weights[int(language_model._power(np.array([c[a]]))[0])] if c[a] else 1.0
-            base += math.log10(single[b])
-            whole += math.log10((1 - w) * (told(pairs[a, b] / c[a]) if pairs[a, b] else 0.0) + w * single[b])
-        want[i, held[i], len(t), sum(c[w] > 0 for w in t), n, round(base, 6), round(whole, 6)] += 1
+        base = every = 0.0
+        for a, b, d in grams(t):
+            w = weights[int(language_model._power(np.array([c[b]]))[0])] if c[b] else 1.0
+            two = (1 - w) * told(pairs[b, d], c[b]) + w * single[d]
+            least = min(c[b], c[d])
+            k = told(triples[a, b, d], least) * least if least >= whole else float(trie.counts(trie.count_codes(np.array([triples[a, b, d]])))[0])
+            of = c[b] if b == b"<" else min(c[b], float(trie.at_most(code(pairs[a, b], c[a]), np.array([c[a]]))[0]))
+            assert triples[a, b, d] <= of + 1e-9
+            base += math.log10(single[d])
+            every += math.log10((k + language_model.PRIOR * two) / (of + language_model.PRIOR))
+        want[i, held[i], len(t), sum(c[w] > 0 for w in t), n, round(base, 6), round(every, 6)] += 1
     close = lambda x, y: x[:5] == y[:5] and abs(x[5] - y[5]) < 1e-4 and abs(x[6] - y[6]) < 1e-4
     for x, y in zip(sorted(got.elements()), sorted(want.elements()), strict=True):
         assert close(x, y), (x, y)
+
+
+def test_language_model_learns(spark, empty):
     assert language_model.score(empty).count() == 0
     rng = random.Random(4)
     follow = {w: [rng.choice("abcdefghij") for _ in range(2)] for w in "abcdefghij"}
@@ -258,6 +278,17 @@ def test_language_model(spark, docs, empty):
         chain.append((i, " ".join(text)))
     scored = language_model.score(spark.createDataFrame(chain, "doc_id long, text string")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert scored[0] > 0.6 * scored[1]
+    # A source whose words depend on the two before: pairs alone (a prior without end) know much less of held-out texts.
+    follow = {(a, b): rng.choice("abcdefghij") for a in "abcdefghij" for b in "abcdefghij"}
+    chain = []
+    for i in range(300):
+        text = rng.choices("abcdefghij", k=2)
+        for _ in range(40):
+            text.append(follow[text[-2], text[-1]] if rng.random() < 0.8 else rng.choice("abcdefghij"))
+        chain.append((i, " ".join(text)))
+    second = spark.createDataFrame(chain, "doc_id long, text string")
+    three, two = (language_model.score(second, prior=p).where("held_out").agg(F.sum("score")).first()[0] for p in (language_model.PRIOR, 1e12))
+    assert three > 0.7 * two
     # All texts over a tiny vocabulary have a probability of at most 1 together.
     tiny = [(i, t) for i, t in enumerate(["a b", "b a", "a", "b", "a a", "b b", ""] * 4)]
     out = language_model.score(spark.createDataFrame(tiny, "doc_id long, text string")).join(spark.createDataFrame(tiny, "doc_id long, text string"), "doc_id")
