@@ -2,8 +2,9 @@
 
 The model has single words, pairs and triples. Every fifth document (by crc32
 of its id) is held out; all others train. Blocks send their words and then
-their triples to shards, which count over all training documents. A triple
-goes with its last two words, so that one message serves pairs and triples.
+their triples to shards, which count over all training documents. Words
+are numbered by their shards, frequent ones first, and go by number from then
+on, which names them without collisions and packs well. A triple goes with its last two words, so that one message serves pairs and triples.
 Each shard keeps them in memory-mapped tries (word, its successor, the word
 before both) and answers with quantised probabilities of pairs and counts of
 triples. Contexts that are frequent are split over shards, and the words
@@ -31,8 +32,8 @@ _END, _BEGIN = np.uint64(0xE4D0_0000_0000_0001), np.uint64(0xBE61_0000_0000_0001
 _SIZES, _RATIOS = 64, 512
 #: Occurrences that the pairs' distribution is worth against a triple's context (mass of the Dirichlet prior).
 PRIOR = 4.0
-#: Bits of a successor's hash, and of the hash of the word before: in one of a context's parts, of at most WHOLE successors or so, two have equal ones with a chance of 3 in 100.
-SUCCESSOR_BITS = 40
+#: Numbers of a text's begin and of no word; words' own come after.
+_FIRST, _NOTHING, _WORDS = 0, 1, 2
 
 
 class _Block:
@@ -59,9 +60,11 @@ class _Block:
 
     def counted(self, answers: dict[int, bytes], shards: int) -> None:
         cuts = self.word_cuts(shards)
-        self.c = np.zeros(len(self.unique), np.int64)
+        self.c, number = np.zeros(len(self.unique), np.int64), np.zeros(len(self.unique), np.uint64)
         for s, payload in answers.items():
-            self.c[cuts[s] : cuts[s + 1]] = mail.unpack(payload)["c"]
+            told, part = mail.unpack(payload), slice(cuts[s], cuts[s + 1])
+            self.c[part], number[part] = told["c"], told["i"].astype(np.uint64) * np.uint64(shards) + np.uint64(s + _WORDS)
+        self.number = np.concatenate([number, np.array([_FIRST, _NOTHING], np.uint64)])
 
     def triples(self, total: int, kinds: int, texts: int, whole: int) -> None:
         """Distinct triples, and pairs of them, in the order of their route to shards, successor and word before.
@@ -70,26 +73,36 @@ class _Block:
         words, one more each with the pair as context and the word before as
         successor; the token's own record then has no word before.
         """
-        n, low = len(self.tokens), np.uint64(64 - SUCCESSOR_BITS)
+        n, begin, nothing = len(self.tokens), len(self.unique), len(self.unique) + 1
         self.p = (self.c + 0.5) / (total + 0.5 * (kinds + 1))
+        # Places in the list of numbers: of the word before, and of the one before that.
         place = np.concatenate([[0], self.of[:-1]]) if n else self.of
-        place[self.at[:-1]] = len(self.unique)
+        place[self.at[:-1]] = begin
+        earlier = np.concatenate([[0], place[:-1]]) if n else place
+        earlier[self.at[:-1]] = begin
         self.history = np.concatenate([self.c, [texts]])[place]
-        earlier = np.empty_like(self.context)
-        earlier[1:] = self.context[:-1]
-        earlier[self.at[:-1]] = _BEGIN
         least = np.minimum(self.history, self.c[self.of])
         self.frequent = np.flatnonzero(least >= whole)
         f = self.frequent
         self.size = np.concatenate([self.history, least[f]])
-        x = np.concatenate([self.context, pair(self.context[f], self.tokens[f], 7)])
-        successor = pair(x, np.concatenate([self.tokens, earlier[f]]), 5) >> low
-        before = np.concatenate([mix(earlier) >> low, np.zeros(len(f), np.uint64)])
-        before[f] = 0
+        x = np.concatenate([self.number[place], pair(self.number[place[f]], self.number[self.of[f]], 7) | np.uint64(1 << 63)])
+        successor = np.concatenate([self.of, earlier[f]])
+        before = np.concatenate([earlier, np.full(len(f), nothing)])
+        before[f] = nothing
         fan = (self.size // whole + 1).astype(np.uint64)
-        route = np.where(fan > 1, mix(x + successor % fan * np.uint64(0x9E3779B97F4A7C15)), x)
-        order = np.lexsort((before, successor, route))
-        r, x, s, w = route[order], x[order], successor[order], before[order]
+        route = mix(x)
+        split = np.flatnonzero(fan > 1)
+        route[split] = mix(x[split] + mix(self.number[successor[split]]) % fan[split] * np.uint64(0x9E3779B97F4A7C15))
+        # In the order of numbers, so that the gaps between them are small.
+        rank = np.empty(len(self.number), np.uint64)
+        rank[np.argsort(self.number)] = np.arange(len(rank), dtype=np.uint64)
+        routes, way = np.unique(route, return_inverse=True)
+        bits = len(rank).bit_length()
+        if len(routes).bit_length() + 2 * bits <= 64:
+            order = np.argsort(way.astype(np.uint64) << np.uint64(2 * bits) | rank[successor] << np.uint64(bits) | rank[before])
+        else:
+            order = np.lexsort((rank[before], rank[successor], way))
+        r, x, s, w = route[order], x[order], self.number[successor[order]], self.number[before[order]]
         lead = np.ones(len(order), bool)
         lead[1:] = (r[1:] != r[:-1]) | (x[1:] != x[:-1]) | (s[1:] != s[:-1])
         each = lead.copy()
@@ -112,10 +125,10 @@ class _Block:
         said = token < n
         u = np.zeros(hi - lo, np.uint8)
         u[said] = quantised(self.p)[self.of[token[said]]]
+        z, y, pairs = np.diff(np.append(at, len(x))), np.diff(self.begin[lo : hi + 1]), self.begin[lo:hi] - self.begin[lo]
         return mail.pack(
-            d=mail.deltas(r[at]), x=r[at] ^ x[at], z=np.diff(np.append(at, len(x))).astype(np.uint32), c=self.size[token][at].astype(np.uint64), e=said[at].astype(np.uint8),
-            s=(self.s[lo:hi] >> np.uint64(8)).astype(np.uint32), s8=self.s[lo:hi].astype(np.uint8), u=u, y=np.diff(self.begin[lo : hi + 1]).astype(np.uint32),
-            w=(self.w[t] >> np.uint64(8)).astype(np.uint32), w8=self.w[t].astype(np.uint8), k=self.k[t].astype(np.uint32),
+            x=_narrow(x[at]), z=_narrow(z), c=_narrow(self.size[token][at]), e=said[at].astype(np.uint8),
+            s=_narrow(_gaps(self.s[lo:hi], at)), u=u, y=_narrow(y), w=_narrow(_gaps(self.w[t], pairs)), k=_narrow(self.k[t]),
         )
 
     def likely(self, codes: np.ndarray, seen: np.ndarray, weights: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
@@ -133,14 +146,34 @@ class _Block:
         return single, (k + prior * two) / (c + prior)
 
 
+def _narrow(a: np.ndarray) -> np.ndarray:
+    """Integers from 0 up in as few bytes as they need."""
+    return a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
+
+
+def _gaps(a: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Differences inside the ascending runs that begin at ``at``; the first of each is kept."""
+    out = mail.deltas(a)
+    out[at] = a[at]
+    return out
+
+
+def _undo_gaps(d: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    total, at = mail.undo_deltas(d), np.cumsum(sizes) - sizes
+    return total - np.repeat(total[at] - d[at].astype(np.uint64), sizes)
+
+
 def _count_words(_: int, payloads: list[bytes]) -> list[bytes]:
     parts = [mail.unpack(p) for p in payloads]
     keys = [mail.undo_deltas(p["d"]) for p in parts]
     every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     c = np.bincount(inverse, np.concatenate([p["c"] for p in parts]), len(every)).astype(np.int64)
+    rank = np.empty(len(c), np.int64)
+    rank[np.argsort(-c, kind="stable")] = np.arange(len(c))
     out, at = [], 0
     for k in keys:
-        out.append(mail.pack(c=c[inverse[at : at + len(k)]]))
+        mine = inverse[at : at + len(k)]
+        out.append(mail.pack(c=_narrow(c[mine]), i=_narrow(rank[mine])))
         at += len(k)
     end = c[every == _END]
     return [*out, f"{(c > 0).sum()},{c.sum()},{end.sum()}".encode()]
@@ -156,30 +189,32 @@ def _power(c: np.ndarray) -> np.ndarray:
     return np.frexp(np.maximum(c, 1).astype(float))[1] - 1
 
 
-def _merged(upper: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (upper, hash) in order: both columns, an index of each one's first, and the place of every one given."""
-    words, word = np.unique(hashes, return_inverse=True)
-    name = upper * max(1, len(words)) + word
+def _merged(upper: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (upper, number) in order: both columns, an index of each one's first, and the place of every one given."""
+    bits = int(numbers.max()).bit_length() if len(numbers) else 0
+    name = upper.astype(np.uint64) << np.uint64(bits) | numbers
+    if len(upper) and bits + int(upper.max()).bit_length() > 64:
+        words, word = np.unique(numbers, return_inverse=True)
+        name = upper * len(words) + word
     order = np.argsort(name)
     lead = np.ones(len(name), bool)
     lead[1:] = name[order[1:]] != name[order[:-1]]
     first = order[lead]
     place = np.empty(len(name), np.int64)
     place[order] = np.cumsum(lead) - 1
-    return upper[first], hashes[first], first, place
+    return upper[first], numbers[first], first, place
 
 
 def _score_triples(_: int, payloads: list[bytes]) -> list[bytes]:
     """Codes of each block's pairs and triples from tries of the shard's training text, and evidence for the weights."""
     parts = [mail.unpack(p) for p in payloads]
     join = lambda f: np.concatenate([f(p) for p in parts])
-    wide = lambda name: join(lambda p: p[name].astype(np.uint64) << np.uint64(8) | p[f"{name}8"])
-    # A shard has one range of hashes; mixed again they are even over all values, as the trie's sequences like them.
-    every, context = np.unique(join(lambda p: mix(mail.undo_deltas(p["d"]) ^ p["x"])), return_inverse=True)
-    sizes = join(lambda p: p["z"])
+    # Mixed, contexts are even over all values, as the trie's sequences like them.
+    every, context = np.unique(join(lambda p: mix(p["x"].astype(np.uint64) + np.uint64(1))), return_inverse=True)
+    sizes = join(lambda p: p["z"]).astype(np.int64)
     # Blocks ask for the same pairs and triples: each is searched for once.
-    x, s, first, pair_of = _merged(np.repeat(context, sizes), wide("s"))
-    of, w, _, triple_of = _merged(np.repeat(pair_of, join(lambda p: p["y"])), wide("w"))
+    x, s, first, pair_of = _merged(np.repeat(context, sizes), join(lambda p: _undo_gaps(p["s"], p["z"].astype(np.int64))))
+    of, w, _, triple_of = _merged(np.repeat(pair_of, join(lambda p: p["y"]).astype(np.int64)), join(lambda p: _undo_gaps(p["w"], p["y"].astype(np.int64))))
     k3 = np.bincount(triple_of, join(lambda p: p["k"]), len(of))
     k = np.bincount(of, k3, len(x))
     c, evident, u = np.repeat(join(lambda p: p["c"]), sizes)[first].astype(np.int64), np.repeat(join(lambda p: p["e"]), sizes)[first] > 0, join(lambda p: p["u"])[first]
