@@ -23,7 +23,7 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray):
         self.n, self.low_bits, self.low, self.high, self.zeros = n, low_bits, low, high, zeros
-        self.ones = 512 * np.arange(len(zeros)) - zeros
+        self.ones = 64 * np.arange(len(zeros)) - zeros
 
     @staticmethod
     def arrays(values: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
@@ -40,24 +40,17 @@ class EliasFano:
             np.bitwise_or.at(low, word[over] + 1, part[over] >> (np.uint64(64) - shift[over]))
         places = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         size = (int(places[-1]) + 1 if n else 0) + 64
-        unary = np.zeros(-(-size // 512) * 512, np.uint8)
+        unary = np.zeros(-(-size // 64) * 64, np.uint8)
         unary[places] = 1
         high = np.packbits(unary, bitorder="little").view(np.uint64)
-        zeros = np.concatenate([[0], np.cumsum(512 - unary.reshape(-1, 512).sum(1, dtype=np.int64))])
+        zeros = np.concatenate([[0], np.cumsum(64 - np.bitwise_count(high).astype(np.int64))])
         return n, bits, low, high, zeros
 
     def _select(self, k: np.ndarray, one: bool) -> np.ndarray:
         """The place of zero, or one, number k (from 0)."""
         before = self.ones if one else self.zeros
-        block = np.searchsorted(before, k, "right") - 1
-        rest = k - before[block]
-        word = block * 8
-        for _ in range(7):
-            ones = np.bitwise_count(self.high[word]).astype(np.int64)
-            here = ones if one else 64 - ones
-            go = rest >= here
-            rest = np.where(go, rest - here, rest)
-            word = np.where(go, word + 1, word)
+        word = np.searchsorted(before, k, "right") - 1
+        rest = k - before[word]
         bits, at = self.high[word] if one else ~self.high[word], np.zeros(len(k), np.int64)
         for width in (32, 16, 8, 4, 2, 1):
             part = (bits >> at.astype(np.uint64)) & np.uint64((1 << width) - 1)
@@ -145,7 +138,8 @@ class Trie:
         """
         out, places = np.full(len(successors), NONE, np.uint8), np.full(len(successors), self.successors.n, np.uint64)
         place, known = self.contexts.successor(contexts)
-        word, spelt = self.words.successor(successors)
+        asked, name = np.unique(successors, return_inverse=True)
+        word, spelt = (x[name] for x in self.words.successor(asked))
         live = np.flatnonzero(np.repeat(known, size) & spelt)
         of = np.repeat(place, size)[live]
         want = of.astype(np.uint64) * self.kinds + word[live].astype(np.uint64)
