@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_model, licenses, minhash, packing, quality, recompress, simhash, substrings, topk
+from . import bpe, contamination, language_model, licenses, minhash, packing, quality, recompress, simhash, substrings, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,11 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.edited_likeness(_table(spark, sf_dir, "documents"))
 
 
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contamination.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_topk": op2_topk,
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_minhash": op10_minhash,
+    "op13_decontaminate": op13_decontaminate,
 }
 
 SQL: dict[str, str] = {
@@ -124,6 +130,7 @@ with v as (
 select query_id, rank, vec_id, score from ranked where rank <= 5
 """,
     "op6_licenses": licenses.oracle_sql(),
+    "op13_decontaminate": contamination.oracle_sql(),
     "op4_recompress": f"""
 with docs as (
   select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents
