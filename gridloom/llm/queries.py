@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, contamination, language_model, licenses, minhash, packing, quality, recompress, simhash, substrings, topk
+from . import bpe, contamination, hard_negatives, language_model, licenses, minhash, packing, quality, recompress, simhash, substrings, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,12 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.edited_likeness(_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", topk.quantised("embedding").alias("vector"), moved.cast("long").alias("label"), (F.col("vec_id") % 100 == 0).alias("anchor"))
+    return hard_negatives.mine(rows)
+
+
 def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_minhash": op10_minhash,
+    "op11_hard_negatives": op11_hard_negatives,
     "op13_decontaminate": op13_decontaminate,
 }
 
@@ -130,6 +137,23 @@ with v as (
 select query_id, rank, vec_id, score from ranked where rank <= 5
 """,
     "op6_licenses": licenses.oracle_sql(),
+    "op11_hard_negatives": """
+with v as (
+  select row_number() over () as n, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select a.n as a, a.vec_id as anchor_id, c.n as c, c.vec_id, a.label = c.label as same, cast(list_inner_product(a.e, c.e) as bigint) as score
+  from v a join v c on a.n <> c.n where a.vec_id % 100 = 0
+), positives as (
+  select * from (select *, row_number() over (partition by a order by score desc, vec_id nulls last, c) as place from scored where same) where place <= 5
+), windows as (
+  select p.anchor_id, p.vec_id as positive_id, p.score as positive_score, s.vec_id as negative_id, s.score as negative_score,
+         cast(row_number() over (partition by p.a, p.c order by s.score desc, s.vec_id nulls last, s.c) as integer) as rank
+  from positives p join scored s on s.a = p.a and not s.same and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score
+)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from windows where rank <= 10
+""",
     "op13_decontaminate": contamination.oracle_sql(),
     "op4_recompress": f"""
 with docs as (
