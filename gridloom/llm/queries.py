@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, contamination, hard_negatives, language_model, licenses, minhash, packing, quality, recompress, simhash, substrings, topk
+from . import bpe, contamination, hard_negatives, language_model, licenses, minhash, packing, quality, recompress, simhash, substrings, target_sampling, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows)
 
 
+def op12_target_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = target_sampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_minhash": op10_minhash,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_target_sampling": op12_target_sampling,
     "op13_decontaminate": op13_decontaminate,
 }
 
@@ -154,6 +160,7 @@ with v as (
 )
 select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from windows where rank <= 10
 """,
+    "op12_target_sampling": target_sampling.oracle_sql(),
     "op13_decontaminate": contamination.oracle_sql(),
     "op4_recompress": f"""
 with docs as (
