@@ -126,14 +126,14 @@ def _packed_chunks(rows: DataFrame, dim: int) -> DataFrame:
     return rows.groupBy("leaf", "cls", "chunk").applyInArrow(one, "leaf int, cls int, chunk int, n long, low_label long, high_label long, lo array<long>, hi array<long>, payload binary")
 
 
-def _cells(chunks: DataFrame) -> dict[str, np.ndarray]:
+def _cells(chunks: DataFrame, dim: int) -> dict[str, np.ndarray]:
     """Boxes, counts and label ranges of all cells: at most leaves times classes, whatever the number of rows."""
     flat = chunks.select("leaf", "cls", "n", "low_label", "high_label", F.posexplode(F.arrays_zip("lo", "hi")).alias("d", "e"))
     per = flat.groupBy("leaf", "cls", "d").agg(F.min("e.lo").alias("lo"), F.max("e.hi").alias("hi"), F.sum("n").alias("n"), F.min("low_label").alias("low_label"), F.max("high_label").alias("high_label"))
     whole = per.groupBy("leaf", "cls").agg(F.sort_array(F.collect_list(F.struct("d", "lo", "hi"))).alias("e"), F.first("n").alias("n"), F.min("low_label").alias("low_label"), F.max("high_label").alias("high_label"))
     t = whole.select("leaf", "cls", "n", "low_label", "high_label", F.col("e.lo").alias("lo"), F.col("e.hi").alias("hi")).toArrow()
     out = {k: np.asarray(t[k]) for k in ("leaf", "cls", "n", "low_label", "high_label")}
-    return out | {k: np.array([np.asarray(x.values, float) for x in t[k]]).reshape(len(t), -1) for k in ("lo", "hi")}
+    return out | {k: np.array([np.asarray(x.values, float) for x in t[k]]).reshape(len(t), dim) for k in ("lo", "hi")}
 
 
 def _groups(requests: DataFrame, dim: int, leaves: int, total: int, same: bool) -> DataFrame:
@@ -259,7 +259,7 @@ def mine(rows: DataFrame, positives: int = 5, negatives: int = 10, low_percent:
 
     placed = stored(valid.withColumn("leaf", leaf("vector")).withColumn("cls", F.pmod("label", F.lit(CLASSES)).cast("int")))
     chunks = stored(_packed_chunks(_chunked(placed, ["leaf", "cls"], chunk_rows, F.xxhash64("n")), dim))
-    cells = _cells(chunks)
+    cells = _cells(chunks, dim)
     far = F.lit(1 << 62).cast("long")
     asked = placed.where("anchor").select(F.col("n").alias("req"), "n", "label", "leaf", "cls", "vector", (-far).alias("low"), far.alias("high"))
     near = stored(_search(asked, chunks, cells, dim, leaves, exact, True, positives))
