@@ -196,14 +196,22 @@ def test_hard_negatives_of_odd_tables(spark):
     assert hard_negatives.mine(spark.createDataFrame([(1, [3], 1, True), (2, [3], 1, False), (3, [2], 2, False)], schema)).collect() == [(1, 2, 1, 3, 9, 6)]
 
 
-def test_bounds_rule_out_cells_of_clustered_rows(spark):
+def test_bounds_rule_out_cells_of_clustered_rows(spark, monkeypatch):
     """Boxes of tight clusters leave most pairs of nodes unscored, and bounds hold every inner product."""
     rng = np.random.default_rng(1)
     a, b = rng.integers(-9, 9, (20, 5)), rng.integers(-9, 9, (30, 5))
     low, high = hard_negatives.interval(a.min(0), a.max(0), b.min(0), b.max(0))
     assert low <= (a @ b.T).min() and high >= (a @ b.T).max()
-    x = np.concatenate([rng.normal(c, 0.01, (64, 4)) for c in np.eye(4) * 50])
+    x = np.concatenate([rng.normal(c, 0.01, (64, 4)) for c in np.outer([0, 10, 20, 30], [1, 0, 0, 0])])
     tree = hard_negatives.fit_tree(x, 4)
     leaf = hard_negatives.leaf_of(tree, x)
     assert len(tree) == 3 and all(len(set(leaf[k * 64 : k * 64 + 64])) == 1 for k in range(4)) and len(set(leaf)) == 4
     assert hard_negatives.leaf_of([], x).tolist() == [0] * 256 and hard_negatives.fit_tree(np.ones((50, 3)), 8) == []
+    seen, real = [], hard_negatives._pairs
+    monkeypatch.setattr(hard_negatives, "_pairs", lambda *a: seen.append(real(*a).count()) or real(*a))
+    centres = rng.normal(0, 1, (8, 32))
+    rows = [(k, [int(v) for v in 1000 * (centres[k % 8] + rng.normal(0, 0.01, 32))], 0, k < 8) for k in range(1024)]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<long>, label long, anchor boolean")
+    assert hard_negatives.mine(df, chunk_rows=32).count() == 0
+    chunks = 1024 // 32
+    assert sum(seen) < 8 * chunks / 2
