@@ -3,9 +3,10 @@
 Every 5-word shingle of a text is hashed once; the top bits of the hash pick
 a bin, which keeps its least value. Empty bins are filled by optimal
 densification: bin i takes the value of the first non-empty bin in an order of
-its own, random and the same for all texts. Of each value the
-lowest ``BITS`` bits are packed; a comparison takes off the share of bins that
-agree by chance.
+its own, random and the same for all texts. Each value
+is mixed with its bin's number, so that a value that fills many bins has
+other bits in each; the lowest ``BITS`` bits of that are packed. A comparison
+takes off the share of bins that agree by chance.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .words import blocks, mix, pair, words
 #: Bins (a power of 2), packed bits of each, words of a shingle, first probes.
 BINS, BITS, SHINGLE_WORDS, PROBES = 512, 4, 5, 12
 _MOST = np.uint64((1 << 64) - 1)
+#: What each bin adds to its value before the lowest bits are taken.
+_OWN = np.arange(BINS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 #: Documents that are worked on at once.
 _ROWS = 256
 
@@ -87,7 +90,7 @@ def low_bits(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     out, some = np.zeros((len(texts), BINS), np.uint8), np.zeros(len(texts), bool)
     for block in blocks(texts):
         least, rows = minima(*shingle_hashes(words(block.lower())), len(block))
-        out[block.first : block.first + len(block)] = (mix(least) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
+        out[block.first : block.first + len(block)] = (mix(least + _OWN) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
         some[block.first : block.first + len(block)] = rows
     return out, some
 

@@ -502,7 +502,7 @@ def slow_fingerprint(text):
     for x in h:
         least[x >> (64 - shift)] = min(least.get(x >> (64 - shift), 1 << 64), x & (1 << (64 - shift)) - 1)
     filled = [least[k] if k in least else least[next(int(j) for j in minhash._ORDER[k] if int(j) in least)] for k in range(size)]
-    bits = [int(minhash.mix(np.array([x], np.uint64))[0]) & (1 << minhash.BITS) - 1 for x in filled]
+    bits = [int(minhash.mix(np.array([(x + k * 0x9E3779B97F4A7C15) % (1 << 64)], np.uint64))[0]) & (1 << minhash.BITS) - 1 for k, x in enumerate(filled)]
     return bytes(sum(bits[k + j] << (minhash.BITS * j) for j in range(per)) for k in range(0, size, per)).hex()
 
 
@@ -529,6 +529,11 @@ def test_fingerprints(docs, empty):
         off.append(abs(minhash.likeness(bits[:1], some[:1], bits[1:2], some[1:2])[0] - len(x & y) / len(x | y)))
         assert (bits[0] == bits[2]).all()
     assert max(off) < 0.12
+    for n in (1, 5, 6, 8, 40):  # texts of one shingle, two, four, many: none is like another
+        texts = [" ".join(f"w{k}x{j}" for j in range(n)) for k in range(200)]
+        bits, some = minhash.low_bits(pa.array(texts))
+        near = np.concatenate([minhash.likeness(bits[k + 1 :], some[k + 1 :], np.repeat(bits[k : k + 1], 199 - k, 0), np.repeat(some[k : k + 1], 199 - k)) for k in range(199)])
+        assert near.max() < 0.2 and near.mean() < 0.01, (n, near.max(), near.mean())
     hexes = minhash.packed(*minhash.low_bits(pa.array(["a b c d e f", None])))
     assert hexes[1] == "" and (minhash.unpacked(hexes)[0][0] == minhash.low_bits(pa.array(["a b c d e f"]))[0][0]).all()
 
