@@ -26,7 +26,7 @@ from .words import mix, range_hashes, utf8
 
 #: Bytes of a repeat, of the substrings that key it, bits of a key in the first exchange, bytes of text of a block and for each shard.
 SPAN, KEY_BYTES, KEY_BITS, BLOCK_BYTES, SHARD_BYTES = 50, 20, 48, 1 << 20, 1 << 22
-#: Bytes of distinct segments, over all blocks, beyond which the windows of a key are dealt over several shards.
+#: Bytes of segments that differ, over all blocks, beyond which the windows of a key are dealt over several shards.
 HOT_BYTES = 1 << 18
 _END = 0xFF  # never in UTF-8
 #: Windows whose keys are made at once.
@@ -94,11 +94,13 @@ class _Block:
         np.maximum.at(high, self.of, ids)
         self.low, self.many = low, low != high
 
-    def sizes(self) -> np.ndarray:
-        """Bytes of the distinct segments of each key."""
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each distinct segment, in the order of keys: which key has it, its bytes, 16 bits of its hash."""
         start, size = self.run, self.run_size + self.span - 1
-        _, first = np.unique(range_hashes(self.data, start, start + size), return_index=True)
-        return np.bincount(self.of[first], size[first], len(self.unique)).astype(np.int64)
+        name, first = np.unique(range_hashes(self.data, start, start + size), return_index=True)
+        order = np.argsort(self.of[first], kind="stable")
+        first = first[order]
+        return self.of[first], size[first], (name[order] >> np.uint64(20)).astype(np.uint16)
 
     def segments(self, fan: np.ndarray) -> None:
         """Runs with shared keys in the order of key, content and id; a group for each distinct segment, its smallest id first.
@@ -147,7 +149,10 @@ def _in_two(payloads: list[bytes], hot_bytes: int) -> list[bytes]:
     np.maximum.at(high, inverse, ids)
     shared = low != high
     shared[inverse[many]] = True
-    total = np.bincount(inverse, np.concatenate([p["b"] for p in parts]), len(every))
+    # A segment that many blocks have counts once; 16 bits tell a key's segments apart well enough to see that it is hot.
+    owner = np.repeat(inverse, np.concatenate([p["c"] for p in parts]))
+    _, once = np.unique(owner << 16 | np.concatenate([p["h"] for p in parts]), return_index=True)
+    total = np.bincount(owner[once], np.concatenate([p["b"] for p in parts])[once], len(every)).astype(np.int64)
     fan = np.where(shared, np.minimum(total // hot_bytes + 1, (1 << 32) - 1), 0).astype(np.uint32)[inverse]
     at, out = 0, []
     for k in keys:
@@ -262,8 +267,15 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     def name(t: pa.Table, _: list) -> pa.Table:
         x = _Block(t, span)
-        cuts, size = mail.by_shard(x.unique, shards, KEY_BITS), x.sizes().astype(np.uint32)
-        return mail.messages(x.block, cuts, lambda lo, hi: mail.pack(d=mail.deltas(x.unique[lo:hi]), m=np.packbits(x.many[lo:hi]), i=x.low[lo:hi], b=size[lo:hi]))
+        cuts, (of, size, name_) = mail.by_shard(x.unique, shards, KEY_BITS), x.distinct()
+        at, size = np.searchsorted(of, np.arange(len(x.unique) + 1)), size.astype(np.uint32)
+        count = np.diff(at).astype(np.uint32)
+
+        def make(lo: int, hi: int) -> bytes:
+            here = slice(at[lo], at[hi])
+            return mail.pack(d=mail.deltas(x.unique[lo:hi]), m=np.packbits(x.many[lo:hi]), i=x.low[lo:hi], c=count[lo:hi], b=size[here], h=name_[here])
+
+        return mail.messages(x.block, cuts, make)
 
     shared = mail.answered(corpus.each(name, mail.MESSAGE), lambda _, payloads: _in_two(payloads, hot_bytes))
 

@@ -378,6 +378,15 @@ def test_a_hot_key_is_dealt_over_shards(spark):
     for hot in (100, 2000):
         got = substrings.remove_repeats(df, hot_bytes=hot).collect()
         assert Counter((r[0], r[1], r[2], r[3], bytes(r[4])) for r in got) == brute_substrings(texts)
+    # One segment in every block is one segment; as many that differ are hot.
+    blocks_ = [substrings._Block(pa.table({"block": [k] * 2, "c0": [2 * k, 2 * k + 1], "text": [line] * 2}), 50) for k in range(300)]
+
+    def told(x, salt=0):
+        of, size, name = x.distinct()
+        return mail.pack(d=mail.deltas(x.unique), m=np.packbits(x.many), i=x.low, c=np.bincount(of, minlength=len(x.unique)).astype(np.uint32), b=size.astype(np.uint32), h=name + np.uint16(salt))
+
+    fans = lambda payloads: {int(f) for p in substrings._in_two(payloads, 2000) for f in mail.unpack(p)["f"]}
+    assert fans([told(x) for x in blocks_]) == {1} and min(fans([told(x, k) for k, x in enumerate(blocks_)])) > 1
     block = substrings._Block(pa.table({"block": [1] * 200, "c0": [i for i, _ in texts], "text": [t.decode() for _, t in texts]}), 50)
     shared = block.many
     block.segments(shared.astype(np.int64))
