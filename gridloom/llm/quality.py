@@ -2,9 +2,12 @@
 
 Two generative models, one of target text (labelled good) and one of all raw
 text, are bags of hashed n-grams: words, word pairs, and triples of word
-shapes. A document's log importance weight is the summed log ratio of its
-n-grams; documents are drawn without replacement in proportion to their
-weights, by Gumbel top-k. Labels say how many, unless the caller does.
+shapes. A document's log importance weight is that of ``TOKENS`` words like
+its own: the mean log ratio of its n-grams, drawn towards 0 by ``PRIOR`` words
+of ratio 0, times ``TOKENS``. Sums over whole texts would be in the thousands,
+where noise of a draw decides nothing. Documents are drawn without replacement
+in proportion to their weights, by Gumbel top-k. Labels say how many, unless
+the caller does.
 """
 
 from __future__ import annotations
@@ -16,11 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ranked, settle, small_batches
+from .shared import settle, small_batches, stored
 from .words import Texts, blocks, pair, sums_by, words
 
 #: Buckets of word, word-pair and shape-triple hashes; labelled rows used at most; seed of the draw.
 WORD_BUCKETS, SHAPE_BUCKETS, LABELLED_ROWS, SEED = 1 << 14, 1 << 12, 20_000, 7
+#: Words that a weight stands for, and words of ratio 0 that each text has besides its own.
+TOKENS, PRIOR = 16, 20
+#: Bins of a histogram of keys, and keys that may reach the driver at the end.
+BINS, LAST = 4096, 10_000
 _SIZES = (WORD_BUCKETS, WORD_BUCKETS, SHAPE_BUCKETS)
 _STARTS = (0, WORD_BUCKETS, 2 * WORD_BUCKETS)
 #: What stands for the log weight of a text without words, in keys.
@@ -88,7 +95,7 @@ def _scorer(ratios: np.ndarray):
             ids, at = features(t)
             n = np.diff(at)
             total = sums_by(at, sum((ratios[x] for x in ids), np.zeros(len(ids[0]))))
-            out[t.first : t.first + len(t)] = np.where(n > 0, total, np.nan)
+            out[t.first : t.first + len(t)] = np.where(n > 0, TOKENS * total / (n + PRIOR), np.nan)
         return pa.array(out, mask=np.isnan(out))
 
     return score
@@ -107,13 +114,41 @@ def _cut(x: np.ndarray, good: np.ndarray, bad: np.ndarray) -> float:
     return float((x[at - 1] + x[at]) / 2)
 
 
+def kth_largest(keys: DataFrame, k: int) -> float:
+    """The k-th largest value of the one column of ``keys``, by histograms of ever smaller ranges; -inf if there are fewer.
+
+    A round sends ``BINS`` counts to the driver at most, the last one ``LAST``
+    values with their counts.
+    """
+    c = F.col(keys.columns[0])
+    low, high, count = keys.agg(F.min(c), F.max(c), F.count(c)).first()
+    if count < k:
+        return -math.inf
+    above = 0
+    while True:
+        inside = keys.where((c >= low) & (c <= high))
+        step = (high - low) / BINS
+        if count <= LAST or not low + step > low:
+            for value, n in inside.groupBy(c).count().orderBy(c.desc()).collect():
+                above += n
+                if above >= k:
+                    return value
+        place = F.least(F.floor((c - low) / step), F.lit(BINS - 1)).cast("int").alias("bin")
+        for _, n, low, high in sorted(inside.groupBy(place).agg(F.count("*"), F.min(c), F.max(c)).collect(), reverse=True):
+            if above + n >= k:
+                count = n
+                break
+            above += n
+
+
 def resample(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", count: int | None = None, labelled_rows: int = LABELLED_ROWS, seed: int = SEED) -> DataFrame:
     """``docs`` with a struct ``importance``: log_weight, gumbel_key, drawn (a column of that name is replaced).
 
     ``labels`` has the id and ``quality`` (1 good, 0 not); at most
     ``labelled_rows`` of them, those with the least hashes, train the target
-    model and the default count. A text's log weight is the sum of the log
-    ratios of its n-grams, log p(target) - log p(raw); ``count`` rows with the
+    model and the default count. A text's log weight is ``TOKENS`` times the
+    mean, shrunk by ``PRIOR`` words, of the log ratios of its n-grams, log
+    p(target) - log p(raw); ``count`` rows with the
     highest log weight plus Gumbel noise are drawn, which is a draw without
     replacement in proportion to the weights. By default as many are drawn as
     have a weight above the one that best splits labelled rows: all without
@@ -136,14 +171,13 @@ def resample(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
     weight = _scorer(_ratios(counts))
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)), 11).cast("double") + 0.5) / float(1 << 53)
     key = F.coalesce(F.col("_w"), F.lit(_NO_WORDS)) - F.log(-F.log(uniform))
-    scored = settle(docs.select(weight(F.col(text)).alias("_w"), F.col(doc_id), F.col(text)).select("_w", key.alias("_key"), F.col(doc_id).alias("_id")))
+    scored = stored(docs.select(weight(F.col(text)).alias("_w"), F.col(doc_id), F.col(text)).select("_w", key.alias("_key"), F.col(doc_id).alias("_id")))
     known = scored.join(F.broadcast(sample), scored["_id"] == sample["_labelled"]).where("_w is not null")
     got = known.groupBy(F.round("_w", 6).alias("x")).agg(F.sum("_good").alias("g"), F.count("*").alias("n")).orderBy(F.xxhash64("x")).limit(labelled_rows).collect()
     x, good, every = (np.array([r[k] for r in sorted(got)], float) for k in range(3))
     cut = _cut(x, good, every - good)
     wanted = count if count is not None else scored.where(F.col("_w") >= cut).count()
-    last = ranked(scored.select((-F.col("_key")).alias("_up")), ["_up"]).where(F.col("_rank") == wanted - 1).first() if wanted > 0 else None
-    least = math.inf if wanted <= 0 else -math.inf if last is None else -last["_up"]
+    least = kth_largest(scored.select("_key"), wanted) if wanted > 0 else math.inf
     again = weight(F.col(text))
     return docs.withColumn("importance", again).withColumn("importance", F.struct(F.col("importance").alias("log_weight"), (F.coalesce("importance", F.lit(_NO_WORDS)) - F.log(-F.log(uniform))).alias("gumbel_key"))).withColumn("importance", F.struct("importance.*", (F.col("importance.gumbel_key") >= least).alias("drawn")))
 

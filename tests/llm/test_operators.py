@@ -420,7 +420,7 @@ def test_quality_on_held_out_labels(spark, empty):
             target.update(b[kind] if r["doc_id"] in marked else [])
         ratio |= {x: math.log((target[x] + 0.5) / (target.total() + 0.5 * size)) - math.log((raw[x] + 0.5) / (raw.total() + 0.5 * size)) for x in raw}
     for r, b in zip(out, buckets, strict=True):
-        weight = sum(ratio[x] for part in b for x in part) if any(b) else None
+        weight = quality.TOKENS * sum(ratio[x] for part in b for x in part) / (len(b[0]) + quality.PRIOR) if any(b) else None
         assert (r["log_weight"] is None) == (weight is None) and (weight is None or abs(r["log_weight"] - weight) < 1e-6)
         assert weight is None or -3.5 < r["gumbel_key"] - weight < 12
     count = sum(r["drawn"] for r in out)
@@ -435,6 +435,37 @@ def test_quality_on_held_out_labels(spark, empty):
     assert quality.keep_good(df, labels.where("quality = 0")).count() == 0
 
 
+def test_quality_draws_by_weight(spark):
+    """Two seeds draw other rows, how often a row is drawn follows its weight, and the k-th key is that of a sort."""
+    rng = random.Random(3)
+    word = lambda v: rng.choice(v)
+    both = [[f"g{k}" for k in range(30)], [f"r{k}" for k in range(30)]]
+    data = [(i, " ".join(word(both[rng.random() > i / 300]) for _ in range(30))) for i in range(300)]
+    df = spark.createDataFrame(data, "doc_id long, text string").cache()
+    labels = spark.createDataFrame([(i, int(i > 150)) for i in range(300)], "doc_id long, quality int")
+    draws, weights = [], {}
+    for seed in range(5):
+        out = quality.resample(df, labels, count=60, seed=seed).select("doc_id", "importance.*").collect()
+        draws.append({r["doc_id"] for r in out if r["drawn"]})
+        weights = {r["doc_id"]: r["log_weight"] for r in out}
+    best = {i for i in sorted(weights, key=lambda i: -weights[i])[:60]}
+    assert all(len(d) == 60 and d != best for d in draws) and len({frozenset(d) for d in draws}) == 5
+    order_ = sorted(weights, key=lambda i: weights[i])
+    share = [sum(i in d for d in draws for i in order_[a : a + 100]) for a in (0, 100, 200)]
+    assert share[0] < share[1] < share[2]
+    # The share of top-k draws that weights foretell: exponential races, simulated.
+    race = np.array([weights[i] for i in order_])[None, :] - np.log(-np.log(np.random.default_rng(1).random((4000, 300))))
+    told = (race.argsort(1).argsort(1) >= 240).mean(0)
+    assert abs(sum(told[200:]) - share[2] / 5) < 8 and abs(sum(told[:100]) - share[0] / 5) < 6
+    for values in ([1.0] * 50 + [2.0] * 3, [rng.gauss(0, 1e6) for _ in range(3000)], [-1e12] * 9 + [1e-9 * k for k in range(900)]):
+        keys = spark.createDataFrame([(v,) for v in values], "k double")
+        for at in (1, 3, 5, 51, len(values), len(values) + 1):
+            want = sorted(values, reverse=True)[at - 1] if at <= len(values) else -math.inf
+            with pytest.MonkeyPatch.context() as m:
+                m.setattr(quality, "LAST", 20)
+                assert quality.kth_largest(keys, at) == want
+
+
 # 9
 
 
