@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -298,34 +299,95 @@ def test_language_model_learns(spark, empty):
 # 6
 
 
+PROSE = """This library helps you to read and to write the tables of a small shop, and it is one of the few that do so without a
+server. In the first part of the guide you will find out how to install it and how to use it in your own project; the
+second part is for those who want to know what happens in the background when an order is made.
+
+If you have any questions, or if you are not sure that the software does what you need, you may ask on the mailing
+list. We do not promise to answer all of them in time, but we read every one, and the most useful answers are put into
+the documentation for others to read. The conditions of use of the list are the same as those of other lists.
+
+To build it from source you need a compiler and the usual tools. The results of a build are in the folder of that
+name, and the version of the package is part of the file names. In no case should you copy files from one version to
+the other: the form in which they are kept may be different, and with the next release it will be different again."""
+
+
+def wrapped(text, size=12):
+    w = text.split()
+    return "\n".join(" ".join(w[k : k + size]) for k in range(0, len(w), size))
+
+
+def best_dice(text, template):
+    """The best coefficient over all windows of a text, by trying all starts and ends at bigrams of the template."""
+    w = re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
+    bigrams, known = list(zip(w, w[1:])), {tuple(b.split()) for b in licenses.template_bigrams(template)}
+    at = [i for i, b in enumerate(bigrams) if b in known]
+    best = 0.0
+    for k, a in enumerate(at):
+        seen, hits, last = set(), set(), a
+        for z in at[k:]:
+            if z - a > 2 * len(known):
+                break
+            seen.update(bigrams[last : z + 1])
+            hits.add(bigrams[z])
+            last = z + 1
+            best = max(best, 2 * len(hits) / (len(seen) + len(known)))
+    return best
+
+
 def test_license_scan(spark, docs, empty):
     notice = licenses.TEMPLATES["Apache-2.0 notice"]
-    rows_ = [(1, f"some other text that is here\n{notice}\nand then even more of it"), (2, licenses.TEMPLATES["MIT"].replace("\n", " ")), (3, "Licensed under the Apache"), (4, None), (5, ""), (6, f"{notice}\n{notice.upper()}"), (7, "x " * 5000)]
-    got = {(r[0], r[1]): (r[2], r[3]) for r in licenses.scan(spark.createDataFrame(rows_, "doc_id long, text string")).collect()}
-    assert got[1, "Apache-2.0 notice"] == (2, 1.0)  # as a line and as a passage
-    assert got[2, "MIT"] == (2, 1.0) and got[6, "Apache-2.0 notice"][0] == 4  # two lines, and both together twice
-    assert {d for d, _ in got} == {1, 2, 6}
-    names = ["MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "zlib", "GPL-2.0-or-later"]
+    scan = lambda data: {(r[0], r[1]): (r[2], r[3]) for r in licenses.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    got = scan([(1, f"some other text that is here\n{notice}\nand then even more of it"), (2, licenses.TEMPLATES["MIT"].replace("\n", " ")), (3, "Licensed under the Apache"), (4, None), (5, ""), (6, f"{notice}\n{PROSE}\n{notice.upper()}"), (7, "x " * 5000), (8, PROSE)])
+    assert got == {(1, "Apache-2.0 notice"): (1, 1.0), (2, "MIT"): (1, 1.0), (6, "Apache-2.0 notice"): (2, 1.0)}
+    names = [n for n in licenses.TEMPLATES if "notice" not in n]
     code = "\n".join(f"    value_{k} = compute(value_{k - 1}, {k})" for k in range(60))
 
     def inside(text, mark):
-        words_ = text.split()
-        lines = [" ".join(words_[k : k + 9]) for k in range(0, len(words_), 9)]
+        lines = wrapped(text, 9).split("\n")
         lines[len(lines) // 3 : len(lines) // 3] = [""]
         lines[2 * len(lines) // 3 : 2 * len(lines) // 3] = [""]
         return f"{code}\n" + "\n".join(f"{mark} {x}" for x in lines) + f"\n{code}"
 
     files = [(10 * k + j, inside(licenses.TEMPLATES[name], mark)) for k, name in enumerate(names) for j, mark in enumerate((" *", "#", "//", ""))]
-    found = {(r[0], r[1]): r[3] for r in licenses.scan(spark.createDataFrame(files, "doc_id long, text string")).collect()}
-    assert all(found.get((10 * k + j, name), 0) >= 0.95 for k, name in enumerate(names) for j in range(4))
+    files += [(10 * k + 4, wrapped(PROSE) + "\n\n" + wrapped(licenses.TEMPLATES[name]) + "\n\n" + wrapped(PROSE)) for k, name in enumerate(names)]
+    found = scan(files)
+    assert {i for i, _ in found} == {i for i, _ in files}
+    assert all(found.pop((10 * k + j, name))[1] >= 0.95 for k, name in enumerate(names) for j in range(5)) and not found
     repeated = [(1, notice), (1, notice), (None, notice)]
-    assert {(r[0], r[2]) for r in licenses.scan(spark.createDataFrame(repeated, "doc_id long, text string")).collect() if r[1] == "Apache-2.0 notice"} == {(1, 4), (None, 2)}
+    assert {(r[0], r[2]) for r in licenses.scan(spark.createDataFrame(repeated, "doc_id long, text string")).collect() if r[1] == "Apache-2.0 notice"} == {(1, 2), (None, 1)}
     assert licenses.scan(empty).count() == 0 and licenses.scan(docs, templates={}).count() == 0
     for n in range(1, 60):
         lo, hi = licenses.size_bounds(n)
         assert all((2 * min(k, n) / (k + n) >= 0.8 - 1e-12) == (lo <= k <= hi) for k in range(1, 200))
 
 
+def test_license_texts_and_edits_against_all_windows(spark):
+    """Whole texts in prose, and damaged notices: found where some window reaches the threshold clearly, not where none does."""
+    rng = random.Random(14)
+    whole = licenses.whole_texts()
+    files = [(k, f"{wrapped(PROSE)}\n\n{wrapped(t, 11)}\n\n{wrapped(PROSE)}") for k, t in enumerate(whole.values())]
+    scan = lambda data, **o: {(r[0], r[1]): r[3] for r in licenses.scan(spark.createDataFrame(data, "doc_id long, text string"), **o).collect()}
+    found = scan(files)
+    assert {(i, n) for i, n in found if n in whole} == {(k, n) for k, n in enumerate(whole)} and min(found[k, n] for k, n in enumerate(whole)) >= 0.98
+    names = ["MIT", "ISC", "zlib", "GPL-3.0-or-later", "Apache-2.0"]
+    edited, clear = [], 0
+    for k in range(60):
+        w = licenses.TEMPLATES[names[k % 5]].split()
+        for _ in range(rng.randint(0, len(w) // 4)):
+            w[rng.randrange(len(w))] = rng.choice(PROSE.split())
+        w[len(w) // 2 : len(w) // 2] = PROSE.split()[: rng.choice([0, 0, 10, 60])]
+        edited.append((k, f"{PROSE}\n{' '.join(w)}\n{PROSE}"))
+    found = scan(edited, templates={n: licenses.TEMPLATES[n] for n in names})
+    for k, t in edited:
+        best = best_dice(t, licenses.TEMPLATES[names[k % 5]])
+        got = found.get((k, names[k % 5]), 0)
+        clear += best >= 0.82
+        assert best >= 0.8 - 1e-9 or not got
+        assert got <= best + 1e-6 and (best < 0.82 or got >= best - 0.02), (k, best, got)
+    assert 10 < clear < 60
+
+
 # 7
 
 
