@@ -47,10 +47,10 @@ def blocks(r: np.ndarray, s: int) -> np.ndarray:
     return r.repeat(s, 1).repeat(s, 2)
 
 
-def _bilinear(p: np.ndarray, sy: np.ndarray, sx: np.ndarray) -> np.ndarray:
+def _bilinear(p: np.ndarray, y: np.ndarray, fy: np.ndarray, x: np.ndarray, fx: np.ndarray) -> np.ndarray:
+    """Samples between rows y and y + 1, columns x and x + 1, at fractions fy and fx; borders held."""
     h, w = p.shape[1:]
-    y, x = np.floor(sy).astype(int), np.floor(sx).astype(int)
-    fy, fx = (sy - y)[:, None], (sx - x)[None, :]
+    fy, fx = fy[:, None], fx[None, :]
     y0, y1, x0, x1 = (i.clip(0, n - 1) for i, n in ((y, h), (y + 1, h), (x, w), (x + 1, w)))
     top, low = p[:, y0], p[:, y1]
     return top[:, :, x0] * (1 - fx) * (1 - fy) + top[:, :, x1] * fx * (1 - fy) + low[:, :, x0] * (1 - fx) * fy + low[:, :, x1] * fx * fy
@@ -58,12 +58,21 @@ def _bilinear(p: np.ndarray, sy: np.ndarray, sx: np.ndarray) -> np.ndarray:
 
 def shift(p: np.ndarray, dx: float, dy: float) -> np.ndarray:
     h, w = p.shape[1:]
-    return _bilinear(p, np.clip(np.arange(h) - dy, 0.0, h - 1.0), np.clip(np.arange(w) - dx, 0.0, w - 1.0))
+    sy, sx = np.clip(np.arange(h) - dy, 0.0, h - 1.0), np.clip(np.arange(w) - dx, 0.0, w - 1.0)
+    y, x = np.floor(sy).astype(int), np.floor(sx).astype(int)
+    return _bilinear(p, y, sy - y, x, sx - x)
 
 
 def lift(p: np.ndarray, s: int) -> np.ndarray:
+    """Fields of source samples at output samples; fractions depend on the phase alone, so that a tile has those of its image."""
+
+    def places(n: int) -> tuple[np.ndarray, np.ndarray]:
+        off = (np.arange(s) + 0.5) / s - 0.5
+        low = np.floor(off).astype(int)
+        return (np.arange(n)[:, None] + low).reshape(-1), np.tile(off - low, n)
+
     h, w = p.shape[1:]
-    return _bilinear(p, (np.arange(h * s) + 0.5) / s - 0.5, (np.arange(w * s) + 0.5) / s - 0.5)
+    return _bilinear(p, *places(h), *places(w))
 
 
 def _cells(p: np.ndarray) -> list[np.ndarray]:
@@ -158,6 +167,56 @@ def rms(r: np.ndarray) -> np.ndarray:
     return np.sqrt((r * r).mean((1, 2)))
 
 
+#: Bits behind the point of exact sums of squares, and bits of a limb.
+SQUARE_BITS, LIMB_BITS, LIMBS = 200, 32, 10
+
+
+def square_sum(r: np.ndarray) -> int:
+    """The sum of squares of finite samples, in units of 2**-200: exact, so that it is the same in any order and any parts."""
+    m, e = np.frexp(r.reshape(-1) * r.reshape(-1))
+    m = np.ldexp(m, 53).astype(np.int64)
+    at = (e - e.min()).astype(np.int64) if len(e) else e
+    total = 0
+    for part, up in ((m >> 27, 27), (m & ((1 << 27) - 1), 0)):
+        sums = np.zeros(int(at.max()) + 1 if len(at) else 0, np.int64)
+        np.add.at(sums, at, part)
+        for k in np.flatnonzero(sums):
+            move = int(k) + int(e.min()) - 53 + up + SQUARE_BITS
+            total += int(sums[k]) << move if move >= 0 else int(sums[k]) >> -move
+    return total
+
+
+def limbs(total: int) -> list[int]:
+    """A sum as numbers of 32 bits, the lowest first, which add up limb by limb."""
+    return [total >> LIMB_BITS * k & ((1 << LIMB_BITS) - 1) for k in range(LIMBS - 1)] + [total >> LIMB_BITS * (LIMBS - 1)]
+
+
+def root_mean(parts: list[int], count: int) -> float:
+    """The root of the mean of ``count`` squares whose limbs add up to ``parts``."""
+    return float(np.sqrt(sum(int(x) << LIMB_BITS * k for k, x in enumerate(parts)) / (count << SQUARE_BITS)))
+
+
+def exact_rms(r: np.ndarray) -> np.ndarray:
+    """``rms`` by exact sums: which pass an image stops at does not depend on how it is cut."""
+    return np.array([root_mean([square_sum(p)], p.size) for p in r])
+
+
+def stops(before: float, now: float, tolerance: float) -> bool:
+    """Whether a pass has not made the residual worse and gained no more than the tolerance."""
+    return now <= before and (before - now) / max(before, 1e-15) <= tolerance
+
+
+def one_pass(y: np.ndarray, x: np.ndarray, s: int, edge: np.ndarray, low: np.ndarray, high: np.ndarray, lo: np.ndarray, hi: np.ndarray, deblocking: Deblock | None = None, stats: list[dict] | None = None) -> np.ndarray:
+    """Back-projection of the residual, held to the local range at edges, clamped and projected; it reads one source sample around."""
+    moved = x + upsample(y - box_mean(x, s), s, Kernel.BILINEAR)
+    beyond = np.where(moved > high, moved - high, np.where(moved < low, moved - low, 0.0))
+    out = moved - 2.0 * ETA_EDGE * edge * beyond
+    if deblocking and stats:
+        out = out + deblock(moved, s, stats, deblocking)
+    out = np.clip(out, lo[:, None, None], hi[:, None, None])
+    return out + blocks(y - box_mean(out, s), s)
+
+
 def reconstruct(y: np.ndarray, s: int, passes: int, lo: np.ndarray, hi: np.ndarray, x: np.ndarray | None = None, deblocking: Deblock | None = None, stats: list[dict] | None = None, auto: tuple[int, int, float] | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """Iterative back-projection of a stack: planes, residuals before the first and after each pass, passes used.
 
@@ -167,23 +226,15 @@ def reconstruct(y: np.ndarray, s: int, passes: int, lo: np.ndarray, hi: np.ndarr
     x = upsample(y, s, Kernel.LANCZOS3) if x is None else x
     d = descriptors(y)
     edge, low, high = (lift(d[k], s) for k in ("edge", "lo", "hi"))
-    history = [rms(y - box_mean(x, s))]
+    size = exact_rms if auto else rms
+    history = [size(y - box_mean(x, s))]
     used, live = np.zeros(len(y), int), np.ones(len(y), bool)
     for t in range(auto[1] if auto else passes):
-        up = upsample(y - box_mean(x, s), s, Kernel.BILINEAR)
-        moved = x + up
-        beyond = np.where(moved > high, moved - high, np.where(moved < low, moved - low, 0.0))
-        nxt = moved - 2.0 * ETA_EDGE * edge * beyond
-        if deblocking and stats:
-            nxt = nxt + deblock(moved, s, stats, deblocking)
-        nxt = np.clip(nxt, lo[:, None, None], hi[:, None, None])
-        nxt = nxt + blocks(y - box_mean(nxt, s), s)
-        x = np.where(live[:, None, None], nxt, x)
+        x = np.where(live[:, None, None], one_pass(y, x, s, edge, low, high, lo, hi, deblocking, stats), x)
         used += live
-        history.append(np.where(live, rms(y - box_mean(x, s)), history[-1]))
+        history.append(np.where(live, size(y - box_mean(x, s)), history[-1]))
         if auto and t + 1 >= auto[0]:
-            before, now = history[-2], history[-1]
-            live &= ~((now <= before) & ((before - now) / np.maximum(before, 1e-15) <= auto[2]))
+            live &= ~np.array([stops(a, b, auto[2]) for a, b in zip(history[-2].tolist(), history[-1].tolist(), strict=True)])
             if not live.any():
                 break
     return x, history, used

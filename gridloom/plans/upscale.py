@@ -14,13 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.color import srgb_to_linear
 from ..functions.kernels import Kernel
-from ..operators.descriptors import artifact_stats
-from ..operators.forward import value_range
+from ..operators import mosaic
 from ..operators.quantize import AMPLITUDE, Dither
 from ..operators.regularize import Deblock
-from ..operators.tiling import BURST_FRAMES, BURST_SIDE, HALO, TILE, admitted, needs_tiling, split, stitch
+from ..operators.tiling import BURST_FRAMES, BURST_SIDE, HALO, TILE, admitted, needs_tiling, stitch
 from . import numeric
 
 PASSES, AUTO, DEBLOCK, BURST_CONFIDENCE = 4, (2, 8, 1e-6), Deblock(), 0.05
@@ -142,22 +140,16 @@ def upscale(planes: DataFrame, scale: int, passes: int = PASSES, mode: str = "di
 def upscaled_tiles(planes: DataFrame, scale: int, tile: int = TILE, halo: int = HALO, **options) -> DataFrame:
     """Output tiles (image_id, c, size, t, v, residual) with their halos: size has the source's w and h, t the boxes of ``split``.
 
-    Range and artifact statistics come from the whole plane, so that every
-    tile makes the whole image's decisions; the halo covers the reach of all
-    passes. Tiles spread over tasks before they are worked on. ``iters`` auto
-    is refused: a tile would stop by itself, not with its image.
+    Planes are cut into a tile relation at once; see ``tiled.enlarged_tiles``.
+    With ``iters`` auto each image stops where the whole image would, and
+    tiles have no halos; ``residual`` is the image's then.
     """
-    if options.get("iters", "fixed") != "fixed":
-        raise ValueError("tiles take a fixed number of passes")
-    if halo % 8 or tile % 8:
-        raise ValueError("tile and halo keep the 8-sample grid")
-    cols = ["image_id", "c", "w", "h", "v"]
-    light = F.transform("v", lambda a: srgb_to_linear(a / 255.0) * 255.0) if options.get("working_space") == "linear" else F.col("v")
-    whole = _checked(planes).select(*cols, F.struct("w", "h").alias("size")).withColumn("stats", artifact_stats(light, F.col("w"), F.col("h"))).withColumn("_range", value_range(F.col("v")))
-    tiles = split(whole, tile, halo)
-    shifted = F.struct(F.col("stats.strength").alias("strength"), F.pmod(F.col("stats.phase_x") - F.col("t.px0"), F.lit(8)).cast("int").alias("phase_x"), F.pmod(F.col("stats.phase_y") - F.col("t.py0"), F.lit(8)).cast("int").alias("phase_y"))
-    ready = tiles.select(F.struct("image_id", "c", "size", "t").alias("image_id"), F.lit(0).alias("c"), "w", "h", "v", shifted.alias("stats"), F.col("_range.lo").alias("lo"), F.col("_range.hi").alias("hi"))
-    return upscale(ready.repartition("image_id"), scale, **options).select("image_id.*", "v", "residual")
+    from . import tiled
+
+    tiles = mosaic.cut(_checked(planes).select("image_id", "c", "w", "h", "v"), tile)
+    if options.get("iters", "fixed") == "auto":
+        return tiled.boxed(tiled.enlarged_tiles(tiles, scale, tile, **options), tile, scale)
+    return upscale(tiled.ready(tiles, tile, halo, options.get("working_space") == "linear"), scale, **options).select("image_id.*", "v", "residual")
 
 
 def worst_residual(tiles: DataFrame) -> DataFrame:

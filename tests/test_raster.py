@@ -1,12 +1,14 @@
 """Contracts of the raster operators: exact sums, residuals, fixed points, tiles, bursts, both paths."""
 
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions.kernels import Kernel, phases
-from gridloom.operators import descriptors, forward, metrics, quantize, regularize, resample
-from gridloom.plans import numeric, reconstruct
+from gridloom.operators import descriptors, forward, metrics, mosaic, quantize, regularize, resample
+from gridloom.plans import numeric, reconstruct, tiled
 from gridloom.operators.tiling import stitch
 from gridloom.plans.upscale import enlarged, estimate_shift, fuse, fuse_burst, upscale, upscale_tiled, worst_residual
 from gridloom.sources import images, rasters
@@ -111,6 +113,58 @@ def test_artifact_phase(spark):
     assert numeric.artifact_stats(30 + 180 * (x + y) / 62)["strength"] == 0
 
 
+def test_exact_sums_of_squares_add_up_in_any_order():
+    rng = np.random.default_rng(1)
+    r = rng.normal(0, 1, 1000) * 10.0 ** rng.integers(-20, 3, 1000)
+    r[:3] = 0.0
+    want = sum(Fraction(float(v * v)) for v in r)
+    parts = [numeric.limbs(numeric.square_sum(p)) for p in np.split(rng.permutation(r), [10, 11, 700])]
+    added = [sum(x) for x in zip(*parts)]
+    assert abs(numeric.root_mean(added, 1000) - float(want / 1000) ** 0.5) < 1e-12 and numeric.root_mean(added, 1000) == numeric.exact_rms(r.reshape(1, 10, 100))[0]
+    assert numeric.square_sum(np.zeros((2, 2))) == 0 and numeric.square_sum(np.zeros(0)) == 0
+
+
+def test_statistics_of_tiles_are_those_of_the_whole(spark):
+    rng = np.random.default_rng(8)
+    y, x = np.mgrid[:40, :56]
+    shapes = [np.clip(np.rint(np.floor(x / 8) * 9 + np.floor((y + 3) / 8) * 7 + (x * y) % 5), 0, 255), rng.integers(0, 256, (33, 50)).astype(float), np.full((24, 24), 7.0), rng.integers(0, 9, (1, 40)).astype(float), rng.integers(0, 9, (2, 2)).astype(float), step(32, 16)[0]]
+    planes = frame(spark, *shapes)
+    want = {r["image_id"]: (r["lo"], r["hi"], r["s"]) for r in planes.select("image_id", F.array_min("v").alias("lo"), F.array_max("v").alias("hi"), descriptors.artifact_stats(F.col("v"), F.col(W), F.col(H)).alias("s")).collect()}
+    for tile in (1, 5, 16, 64):
+        tiles = mosaic.cut(planes, tile)
+        assert {r["image_id"]: (r["lo"], r["hi"], r["stats"]) for r in mosaic.merged_stats(tiles, tile).collect()} == want
+    back = {(r["image_id"], r["y"], r["x"]): r["v"] for r in mosaic.pixels(mosaic.cut(planes, 7), 7).collect()}
+    assert back == {(r["image_id"], r["y"], r["x"]): r["v"] for r in metrics.pixels(planes).collect()}
+    sized = metrics.pixels(planes, keep=("image_id", "c", "w", "h"))
+    assert sorted(mosaic.gathered(sized, 7).select(*mosaic.KEYS, "v").collect()) == sorted(mosaic.cut(planes, 7).select(*mosaic.KEYS, "v").collect())
+
+
+@pytest.mark.parametrize("tile, halo", [(16, 8), (8, 24), (5, 7), (16, 0)])
+def test_halos_are_what_lies_around(spark, tile, halo):
+    p = np.arange(33 * 21, dtype=float).reshape(33, 21)
+    rows = mosaic.padded(mosaic.cut(frame(spark, p), tile), tile, halo).collect()
+    assert len(rows) == -(-33 // tile) * -(-21 // tile)
+    for r in rows:
+        t = r["t"]
+        x0, y0, x1, y1 = max(0, t["vx0"] - halo), max(0, t["vy0"] - halo), min(21, t["vx1"] + halo), min(33, t["vy1"] + halo)
+        assert (t["px0"], t["py0"], t["pw"], t["ph"]) == (x0, y0, x1 - x0, y1 - y0) == (t["px0"], t["py0"], r["w"], r["h"])
+        assert (np.array(r["v"]).reshape(r["h"], r["w"]) == p[y0:y1, x0:x1]).all()
+
+
+def test_an_image_that_no_row_holds_is_enlarged(spark):
+    """Tiles are made, padded, enlarged and audited as tiles: no row of any stage has more samples than a tile with its halo."""
+    w, h, tile = 1500, 1100, 128
+    tiles = mosaic.generated(spark, w, h, lambda y, x, w, h: (x * 7 + y * 13 + F.floor(x / 40) * F.floor(y / 56)) % 251, tile)
+    assert tiles.agg(F.max(F.size("v"))).first()[0] == tile * tile
+    assert mosaic.padded(tiles, tile, 24).agg(F.max(F.size("v"))).first()[0] == (tile + 48) ** 2
+    out = tiled.enlarged_tiles(tiles, 2, tile).cache()
+    assert out.agg(F.max(F.size("v")), F.sum(F.size("v"))).first()[:] == (4 * tile * tile, 4 * w * h)
+    big = out.select(*mosaic.KEYS, (F.least(F.lit(w) - F.col("tx") * tile, F.lit(tile)) * 2).alias("s"), F.posexplode("v").alias("i", "v"))
+    sums = big.groupBy(*mosaic.KEYS, F.expr("i div s div 2 * (s div 2) + i % s div 2").alias("i")).agg(F.sum("v").alias("n"))
+    source = tiles.select(*mosaic.KEYS, F.posexplode("v").alias("i", "v"))
+    assert sums.join(source, [*mosaic.KEYS, "i"]).where(F.col("n") == 4 * F.col("v")).count() == w * h
+
+
 def test_tiles_equal_the_whole(spark):
     y, x = np.mgrid[:40, :56]
     blocky = np.floor(x / 8) * 9 + np.floor((y + 3) / 8) * 7 + (x * y) % 5
@@ -132,9 +186,22 @@ def test_tiles_equal_the_whole_for_every_option(spark, options):
     assert (whole == tiled).all()
 
 
-def test_tiles_refuse_to_stop_by_themselves(spark):
-    with pytest.raises(ValueError):
-        upscale_tiled(frame(spark, *step(32, 16)), 2, 16, 24, iters="auto")
+@pytest.mark.parametrize("scale", [2, 3])
+def test_adaptive_tiles_stop_where_the_whole_image_does(spark, scale):
+    y, x = np.mgrid[:40, :56]
+    planes = frame(spark, np.clip(np.rint(texture(56)[0, :40, :56]), 0, 255), np.full((24, 24), 77.0), step(32, 16)[0], ((x * 7 + y * 13) % 251).astype(float))
+    for floats in (True, False):
+        want = {r["image_id"]: r for r in upscale(planes, scale, iters="auto", floats=floats).collect()}
+        out = tiled.adaptive(mosaic.cut(planes, 16), scale, 16, floats=floats)
+        got = {i: np.full((r["h"], r["w"]), -1.0) for i, r in want.items()}
+        for r in mosaic.pixels(out, 16, scale).collect():
+            got[r["image_id"]][r["y"], r["x"]] = r["v"]
+        assert all((got[i].reshape(-1) == plane(r)).all() for i, r in want.items())
+        assert {(r[0], r[1], r[2]) for r in out.select("image_id", "iters", "residual").collect()} == {(i, r["iters"], r["residual"]) for i, r in want.items()}
+    assert {r["iters"] for r in want.values()} > {2}
+    whole = {(r["image_id"], r["y"], r["x"]): r["v"] for r in metrics.pixels(upscale(planes, scale, iters="auto")).collect()}
+    assert {(r["image_id"], r["y"], r["x"]): r["v"] for r in upscale_tiled(planes, scale, 16, 24, iters="auto").collect()} == whole
+    assert tiled.adaptive(mosaic.cut(planes.limit(0), 16), scale, 16).count() == 0
 
 
 def test_adaptive_planes_are_those_of_as_many_passes(spark):
