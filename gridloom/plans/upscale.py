@@ -51,7 +51,7 @@ def _srgb(v: np.ndarray, back: bool) -> np.ndarray:
     return np.where(v <= 0, 0.0, np.where(v <= 0.04045, v / 12.92, ((np.maximum(v, 0) + 0.055) / 1.055) ** 2.4))
 
 
-def upscale(planes: DataFrame, scale: int, passes: int = PASSES, mode: str = "direct", clamp: DataFrame | None = None, dither: Dither | int = Dither.NONE, amplitude: float = AMPLITUDE, iters: str = "fixed", working_space: str = "gamma", deblocking: Deblock | None = DEBLOCK, floats: bool = False) -> DataFrame:
+def upscale(planes: DataFrame, scale: int, passes: int = PASSES, mode: str = "direct", clamp: DataFrame | None = None, dither: Dither | int = Dither.NONE, amplitude: float = AMPLITUDE, iters: str = "fixed", working_space: str = "gamma", deblocking: Deblock | None = DEBLOCK, floats: bool = False, grain: int | None = None) -> DataFrame:
     """Planes ``scale`` times as large in bytes whose block sums are exact, with residual and passes used.
 
     ``mode`` is direct (2, 3, 4; 4 in stages) or progressive (2, 4, 8);
@@ -59,7 +59,9 @@ def upscale(planes: DataFrame, scale: int, passes: int = PASSES, mode: str = "di
     ``iters`` auto stops early, without deblocking or the short way of
     constant planes; ``working_space`` linear works on light, with ranges given
     in bytes and statistics, if given, of the light. ``floats``
-    returns the float planes before bytes. Empty relations give empty ones;
+    returns the float planes before bytes; with ``grain`` those are rounded to
+    so many bits behind the point first, so that samples that are equal but
+    for rounding are equal, and other engines make the same bytes. Empty relations give empty ones;
     planes with null or non-finite samples fail.
     """
     _valid(scale, (2, 4, 8) if mode == "progressive" else (2, 3, 4), passes)
@@ -106,6 +108,8 @@ def upscale(planes: DataFrame, scale: int, passes: int = PASSES, mode: str = "di
             worst, used = history[-1], np.full(len(y), passes)
         if working_space == "linear":
             x = _srgb(x / 255.0, True) * 255.0
+        if grain is not None:
+            x = np.floor(x * 2.0**grain + 0.5) / 2.0**grain
         return src, x, worst, used
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

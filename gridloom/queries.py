@@ -12,8 +12,9 @@ from .functions import color
 from .functions.arrays import at
 from .functions.kernels import Kernel, phases
 from .operators import descriptors as desc
-from .operators import forward, metrics, quantize, regularize, resample, tiling
-from .plans import numeric
+from .operators import forward, metrics, mosaic, quantize, regularize, resample, tiling
+from .operators.numbering import numbered
+from .plans import numeric, tiled
 from .plans.stacks import mapped
 from .operators.tiling import stitch as stitch_tiles
 from .plans.upscale import BURST_CONFIDENCE, DEBLOCK, enlarged, fuse_burst, upscale, upscale_tiled, upscaled_tiles, worst_residual
@@ -73,23 +74,71 @@ def _add(name: str, query: Query, sql: str | None = None) -> None:
 
 # --- sources --------------------------------------------------------------
 
-_add("synthetic_checker", lambda s, d: _pixels(rasters.generated(s, 32, 32, rasters.CHECKER), V()), "select cast(0 as bigint) as image_id, cast(i // 32 as integer) as y, cast(i % 32 as integer) as x, case when (i // 32 + i % 32) % 2 = 0 then 0.0::double else 255.0::double end as v from range(1024) t(i)")
-_add("synthetic_ramp", lambda s, d: _pixels(rasters.generated(s, 32, 32, rasters.RAMP), V()), "select cast(0 as bigint) as image_id, cast(i // 32 as integer) as y, cast(i % 32 as integer) as x, least((i % 32) * 8.0::double, 255.0) as v from range(1024) t(i)")
-_add("synthetic_sine", lambda s, d: _pixels(rasters.generated(s, 32, 32, rasters.SINE), V()), "select cast(0 as bigint) as image_id, cast(i // 32 as integer) as y, cast(i % 32 as integer) as x, round(128.0::double + 60 * sin(2 * pi() * (i % 32) / 9) + 40 * sin(2 * pi() * (i // 32) / 13 + 1), 4) as v from range(1024) t(i)")
-_add("synthetic_chroma", lambda s, d: metrics.pixels(rasters.chroma(s, 16, 16)).withColumn("v", F.round("v", 4)), "select cast(0 as bigint) as image_id, c.c, cast(i // 16 as integer) as y, cast(i % 16 as integer) as x, round(case c.c when 0 then 128.0::double + 60 * sin(2 * pi() * (i % 16) / 9) when 1 then 0 else 128.0::double + 60 * sin(2 * pi() * (i // 16) / 7 + 1) end, 4) as v from range(256) t(i), (values (0), (1), (2)) c(c)")
-_add("synthetic_blocky", lambda s, d: _pixels(rasters.generated(s, 16, 16, rasters.BLOCKY), V()), "select cast(0 as bigint) as image_id, cast(i // 16 as integer) as y, cast(i % 16 as integer) as x, round(0.25::double * (30 + 180.0::double * (i % 16 + i // 16) / 62) + 0.75::double * (30 + 180.0::double * ((i % 16) // 8 * 8 + (i // 16) // 8 * 8 + 7) / 62), 4) as v from range(256) t(i)")
+def _patterns(spark: SparkSession, sf_dir: str, value: Callable) -> DataFrame:
+    """A pattern for each vector, moved down by its label and right by its id."""
+    rows = rasters.spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("image_id"), "label"))
+    return rasters.patterned(rows, 16, 16, value, F.col("label"), (F.col("image_id") % 8).cast("int"))
+
+
+def _chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planes = [_patterns(spark, sf_dir, f).withColumn("c", F.lit(c)) for c, f in enumerate((rasters.CHROMA_RED, lambda y, x, w, h: F.lit(0.0), rasters.CHROMA_BLUE))]
+    return planes[0].unionByName(planes[1]).unionByName(planes[2])
+
+
+_MOVED = "(select vec_id as image_id, cast(i // 16 as integer) as py, cast(i % 16 as integer) as px, cast(i // 16 + label as integer) as y, cast(i % 16 + vec_id % 8 as integer) as x from embeddings, range(256) t(i))"
+_DIAGONAL = "30 + 180.0::double * ({0} + {1}) / 62"
 for _name, _value, _sql in (
-    ("step", rasters.STEP, "case when x < 16 then 0 else 255 end"),
+    ("checker", rasters.CHECKER, "case when (x + y) % 2 = 0 then 0 else 255 end"),
+    ("ramp", rasters.RAMP, "least(x * 8.0::double, 255)"),
+    ("sine", rasters.SINE, "128.0::double + 60 * sin(2 * pi() * x / 9) + 40 * sin(2 * pi() * y / 13 + 1)"),
+    ("blocky", rasters.BLOCKY, f"0.25::double * ({_DIAGONAL.format('x', 'y')}) + 0.75::double * ({_DIAGONAL.format('x // 8 * 8 + 3.5', 'y // 8 * 8 + 3.5')})"),
+    ("step", rasters.STEP, "case when x < 8 then 0 else 255 end"),
     ("flat", rasters.FLAT, "128"),
     ("stripes", rasters.STRIPES, "case when (x // 4) % 2 = 1 then 0 else 255 end"),
     ("modular", rasters.MODULAR, "(7 * x + 13 * y) % 251"),
-    ("zone", rasters.ZONE, "128 + 100 * sin(pi() * ((x - 16) * (x - 16) + (y - 16) * (y - 16)) / 32)"),
+    ("zone", rasters.ZONE, "128 + 100 * sin(pi() * ((x - 8) * (x - 8) + (y - 8) * (y - 8)) / 32)"),
 ):
-    _add(f"synthetic_{_name}", lambda s, d, f=_value: _pixels(rasters.generated(s, 32, 32, f), V()), f"select cast(0 as bigint) as image_id, y, x, round(cast({_sql} as double), 4) as v from (select cast(i // 32 as integer) as y, cast(i % 32 as integer) as x from range(1024) t(i))")
+    _add(f"synthetic_{_name}", lambda s, d, f=_value: _pixels(_patterns(s, d, f), V()), f"select image_id, py as y, px as x, round(cast({_sql} as double), 4) as v from {_MOVED}")
+_add("synthetic_chroma", lambda s, d: metrics.pixels(_chroma(s, d)).withColumn("v", F.round("v", 4)), f"select image_id, c.c, py as y, px as x, round(case c.c when 0 then 128.0::double + 60 * sin(2 * pi() * x / 9) when 1 then 0 else 128.0::double + 60 * sin(2 * pi() * y / 7 + 1) end, 4) as v from {_MOVED}, (values (0), (1), (2)) c(c)")
 _add("raster_emb", lambda s, d: _pixels(_emb(s, d), V()), f"with {_EMB} select * from emb")
 _add("raster_evt", lambda s, d: _pixels(_evt(s, d), V()), f"with {_EVT} select * from evt")
 
 
+#: Vectors of a page, across and down, and samples of a side of its tiles.
+_ACROSS, _DOWN, _TILE = 8, 4, 24
+
+
+def _page_tiles(spark: SparkSession, sf_dir: str, across: int = _ACROSS, down: int = _DOWN, tile: int = _TILE) -> DataFrame:
+    """All vectors of a label as the patches of its pages, as tiles; a page has the number 100000 * label + its place."""
+    labels = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("size(embedding) = 64").select("vec_id", "label")
+    placed = numbered(labels, "label", "vec_id")
+    planes = _emb(spark, sf_dir).join(placed, F.col("image_id") == F.col("vec_id"))
+    place, size = F.col("place"), across * down
+    return mosaic.pages(planes, across, down, F.col("label").cast("long") * 100_000 + F.call_function("div", place, F.lit(size)), (place % size).cast("int"), tile)
+
+
+def _pages_sql(across: int = _ACROSS, down: int = _DOWN, name: str = "pg") -> str:
+    return f"""{name}_at as materialized (
+  select vec_id, cast(label as bigint) * 100000 + p // {across * down} as page, p % {across * down} as slot
+  from (select vec_id, label, row_number() over (partition by label order by vec_id) - 1 as p from embeddings where len(embedding) = 64)
+), {name} as materialized (
+  select q.page as image_id, cast(s.j // {across} * 8 + r.i // 8 as integer) as y, cast(s.j % {across} * 8 + r.i % 8 as integer) as x, coalesce(e.v, 128.0) as v
+  from (select distinct page from {name}_at) q cross join range({across * down}) s(j) cross join range(64) r(i)
+  left join {name}_at a on a.page = q.page and a.slot = s.j left join emb e on e.image_id = a.vec_id and e.y = r.i // 8 and e.x = r.i % 8
+)"""
+
+
+_PAGES = f"{_EMB}, {_pages_sql()}"
+_add("mosaic_tiles", lambda s, d: mosaic.pixels(_page_tiles(s, d), _TILE).drop("c"), f"with {_PAGES} select * from pg")
+_add(
+    "mosaic_halo",
+    lambda s, d: mosaic.padded(_page_tiles(s, d), _TILE, 10).select("image_id", "t.tile_id", "t.px0", "t.py0", "t.pw", "t.ph", F.aggregate(F.transform("v", lambda v, i: v * (i % 1009 + 1)), F.lit(0.0), lambda a, x: a + x).alias("check_sum")),
+    f"""with {_PAGES}, t as (select a.i * 3 + b.i as tile_id, greatest(0, b.i * 24 - 10) as px0, greatest(0, a.i * 24 - 10) as py0, least(64, b.i * 24 + 34) as px1, least(32, a.i * 24 + 34) as py1 from range(2) a(i), range(3) b(i))
+select image_id, cast(tile_id as integer) as tile_id, cast(px0 as integer) as px0, cast(py0 as integer) as py0, cast(px1 - px0 as integer) as pw, cast(py1 - py0 as integer) as ph, sum(v * (((y - py0) * (px1 - px0) + x - px0) % 1009 + 1)) as check_sum
+from pg join t on x >= px0 and x < px1 and y >= py0 and y < py1 group by all""",
+)
+
+
 def _bursts(spark: SparkSession, sf_dir: str, most: int = 3) -> DataFrame:
     """Every vector as a frame: those of one label, by vec_id, in bursts of ``most``; a burst is named after its first vector."""
     from pyspark.sql import Window
@@ -274,16 +323,21 @@ def _artifacts(df: DataFrame) -> DataFrame:
     return s.select("image_id", F.round("s.ratio_h", 4).alias("ratio_h"), F.round("s.ratio_v", 4).alias("ratio_v"), "s.phase_x", "s.phase_y", "s.present", F.round("s.strength", 4).alias("strength"))
 
 
-_GRID24 = "syn as (select cast(0 as bigint) as image_id, cast(i // 24 as integer) as y, cast(i % 24 as integer) as x, 50.0 + 35.0::double * ((i % 24 + 13) // 8) + 45.0::double * ((i // 24 + 11) // 8) + 0.5::double * (i % 24 + i // 24) as v from range(576) t(i))"
+def _page_stats(s: SparkSession, d: str) -> DataFrame:
+    st = mosaic.merged_stats(_page_tiles(s, d), _TILE)
+    return st.select("image_id", F.round("stats.ratio_h", 4).alias("ratio_h"), F.round("stats.ratio_v", 4).alias("ratio_v"), "stats.phase_x", "stats.phase_y", "stats.present", F.round("stats.strength", 4).alias("strength"))
+
+
 _add("artifact_stats_evt", lambda s, d: _artifacts(_evt(s, d)), _artifact_sql(_EVT, "evt"))
-_add("artifact_stats_grid", lambda s, d: _artifacts(rasters.generated(s, 24, 24, rasters.OFFSET_GRID)), _artifact_sql(_GRID24, "syn"))
+_add("artifact_stats_grid", _page_stats, _artifact_sql(_PAGES, "pg"))
+_add("mosaic_ranges", lambda s, d: mosaic.merged_stats(_page_tiles(s, d), _TILE).select("image_id", "lo", "hi"), f"with {_PAGES} select image_id, min(v) as lo, max(v) as hi from pg group by image_id")
 
 
 def _boundary(source: str, period: int, phase: str) -> str:
     return f"(({source} - {phase}) % {period} + {period}) % {period} = 0"
 
 
-_add("boundary_energy", lambda s, d: rasters.generated(s, 24, 24, rasters.OFFSET_GRID).select("image_id", F.round(metrics.boundary_energy(V(), W(), H(), 3, 5), 4).alias("energy")), f"with {_GRID24} select image_id, round(sum(e), 4) as energy from (select p.image_id, (p.v - q.v) * (p.v - q.v) as e from syn p join syn q on p.y = q.y and p.x = q.x + 1 where {_boundary('p.x', 8, '3')} union all select p.image_id, (p.v - q.v) * (p.v - q.v) from syn p join syn q on p.x = q.x and p.y = q.y + 1 where {_boundary('p.y', 8, '5')}) group by image_id")
+_add("boundary_energy", lambda s, d: _evt(s, d).select("image_id", F.round(metrics.boundary_energy(V(), W(), H(), 3, 5), 4).alias("energy")), f"with {_EVT} select image_id, round(sum(e), 4) as energy from (select p.image_id, (p.v - q.v) * (p.v - q.v) as e from evt p join evt q on p.image_id = q.image_id and p.y = q.y and p.x = q.x + 1 where {_boundary('p.x', 8, '3')} union all select p.image_id, (p.v - q.v) * (p.v - q.v) from evt p join evt q on p.image_id = q.image_id and p.x = q.x and p.y = q.y + 1 where {_boundary('p.y', 8, '5')}) group by image_id")
 
 
 
@@ -291,8 +345,8 @@ def _stats() -> Column:
     return F.struct(F.lit(1.0).alias("strength"), F.lit(3).alias("phase_x"), F.lit(5).alias("phase_y"))
 
 
-_DB = " + ".join(f"case when {_boundary(f'a.{ax} + {up}', 8, ph)} and {edge} then {n}.v - n11.v else 0 end" for ax, up, ph, edge, n in (("x", 0, "3", "a.x > 0", "n10"), ("x", 1, "3", "a.x < 23", "n12"), ("y", 0, "5", "a.y > 0", "n01"), ("y", 1, "5", "a.y < 23", "n21")))
-_add("deblock_step", lambda s, d: _pixels(rasters.generated(s, 24, 24, rasters.OFFSET_GRID), regularize.deblock(V(), W(), H(), 1, _stats(), DEBLOCK)), f"with {_GRID24} select a.image_id, a.y, a.x, round(greatest(-0.5, least(0.5, 0.1 * ({_DB}))), 4) as v {_cells('syn', 24, 24)}")
+_DB = " + ".join(f"case when {_boundary(f'a.{ax} + {up}', 8, ph)} and {edge} then {n}.v - n11.v else 0 end" for ax, up, ph, edge, n in (("x", 0, "3", "a.x > 0", "n10"), ("x", 1, "3", "a.x < 23", "n12"), ("y", 0, "5", "a.y > 0", "n01"), ("y", 1, "5", "a.y < 29", "n21")))
+_add("deblock_step", lambda s, d: _pixels(_evt(s, d), regularize.deblock(V(), W(), H(), 1, _stats(), DEBLOCK)), f"with {_EVT} select a.image_id, a.y, a.x, round(greatest(-0.5, least(0.5, 0.1 * ({_DB}))), 4) as v {_cells('evt', 24, 30)}")
 
 # --- regularisation and reconstruction ------------------------------------
 
@@ -353,7 +407,7 @@ def _single_sql(cte: str, source: str, w: int, h: int, scale: int, passes: int =
     for n in stages:
         parts += [_up_cte(last, Kernel.LANCZOS3, n // size, w * size, h * size, f"s{n}_0"), _loop(source, w, h, n, passes, f"s{n}_0", f"s{n}_", deblocked)]
         last, size = f"s{n}_{passes}", n
-    return ", ".join([*parts, f"done as materialized (select * from {last})"])
+    return ", ".join([*filter(None, parts), f"done as materialized (select * from {last})"])
 
 
 _ROUNDED = "with {0} select image_id, y, x, round(v, 5) as v from done"
@@ -409,25 +463,25 @@ def _whole_range(df: DataFrame) -> DataFrame:
 _add("upscale_2x", _floats(_emb, 2), _ROUNDED.format(_single_sql(_EMB, "emb", 8, 8, 2)))
 _add("upscale_3x", _floats(_emb, 3), _ROUNDED.format(_single_sql(_EMB, "emb", 8, 8, 3)))
 _add("upscale_4x", _floats(_emb, 4), _ROUNDED.format(_single_sql(_EMB, "emb", 8, 8, 4, staged=True)))
-_add("upscale_8x", _floats(lambda s, d: rasters.generated(s, 24, 24, rasters.OFFSET_GRID), 8, mode="progressive"), _ROUNDED.format(_single_sql(_GRID24, "syn", 24, 24, 8, staged=True)))
-_add("upscale_blocky", lambda s, d: _pixels(upscale(rasters.generated(s, 24, 24, rasters.OFFSET_GRID), 2, floats=True), V(), None, 5), _ROUNDED.format(_single_sql(_GRID24, "syn", 24, 24, 2)))
+_add("upscale_8x", _floats(_emb, 8, mode="progressive"), _ROUNDED.format(_single_sql(_EMB, "emb", 8, 8, 8, staged=True)))
+def _tiled_floats(scale: int, **options) -> Query:
+    """Pages of embeddings enlarged as tile relations: patches meet at block edges, tiles at others."""
+    return lambda s, d: mosaic.pixels(tiled.enlarged_tiles(_page_tiles(s, d), scale, _TILE, 24, floats=True, **options), _TILE, scale).select("image_id", "y", "x", F.round("v", 5).alias("v"))
+
+
+_add("upscale_blocky", _tiled_floats(2), _ROUNDED.format(_single_sql(_PAGES, "pg", 64, 32, 2)))
+_add("mosaic_upscale_3x", _tiled_floats(3, passes=1), _ROUNDED.format(_single_sql(_PAGES, "pg", 64, 32, 3, 1)))
 _add("upscale_ranged", lambda s, d: _pixels(upscale(_emb(s, d), 2, clamp=_whole_range(_emb(s, d)), floats=True), V(), None, 5), _ROUNDED.format(_single_sql(_EMB, "emb", 8, 8, 2, rng="rng as materialized (select distinct image_id, 0.0::double as lo, 255.0::double as hi from {0})")))
 _LIGHT = f"{_EMB}, light as materialized (select image_id, y, x, 255 * (case when v <= 0 then 0 when v / 255 <= 0.04045 then v / 255 / 12.92 else pow((v / 255 + 0.055) / 1.055, 2.4) end) as v from emb)"
 _add("upscale_linear", _floats(_emb, 2, working_space="linear"), f"with {_single_sql(_LIGHT, 'light', 8, 8, 2)} select image_id, y, x, round(255 * (case when v <= 0 then 0 when v >= 255 then 1 when v / 255 <= 0.0031308 then 12.92 * v / 255 else 1.055 * pow(v / 255, 1 / 2.4::double) - 0.055 end), 5) as v from done")
 
 
-def _dithered(s: SparkSession, d: str) -> DataFrame:
-    """Bytes of the product path's planes, ordered dither, beside their sources."""
-    big = upscale(_emb(s, d), 2, floats=True).select("image_id", F.col("v").alias("x"))
-    both = _emb(s, d).join(big, "image_id")
-
-    def work(p: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
-        return {"q": numeric.quantise(_grained(x.reshape(len(p), p.shape[1] * 2, p.shape[2] * 2)), p, 2, quantize.Dither.ORDERED)}
-
-    return _pixels(mapped(both, work, ["q"], ["x"]), F.transform("q", lambda q: q.cast("int")), W() * 2, None)
+def _exact(**options) -> Query:
+    return lambda s, d: _pixels(upscale(_emb(s, d), 2, grain=20, **options), V(), None, None)
 
 
-_add("upscale_dithered", _dithered, _exact_sql(2, True, _single_sql(_EMB, "emb", 8, 8, 2)))
+_add("upscale_dithered", _exact(dither=quantize.Dither.ORDERED), _exact_sql(2, True, _single_sql(_EMB, "emb", 8, 8, 2)))
+_add("upscale_bytes", _exact(), _exact_sql(2, False, _single_sql(_EMB, "emb", 8, 8, 2)))
 
 
 def _sums(df: DataFrame, scale: int) -> DataFrame:
@@ -438,6 +492,7 @@ def _sums(df: DataFrame, scale: int) -> DataFrame:
 
 # Where the adaptive loop stops depends on the last bits of residuals near 0; a test compares its planes with as many fixed passes.
 _add("upscale_auto", lambda s, d: _sums(upscale(_evt(s, d), 2, iters="auto"), 2), f"with {_EVT} select image_id, y, x, cast(4 * v as bigint) as block_sum from evt")
+_add("residual_start", lambda s, d: upscale(_emb(s, d), 2, passes=0, floats=True).select("image_id", F.round("residual", 5).alias("residual")), f"with {_single_sql(_EMB, 'emb', 8, 8, 2, 0)}, {_box_rest('emb', 'done', 2, 'rest')} select image_id, round(case when min(emb.v) = max(emb.v) then 0 else sqrt(avg(rest.v * rest.v)) end, 5) as residual from rest join emb using (image_id, y, x) group by image_id")
 _add("residual_small", lambda s, d: upscale(_emb(s, d), 2).select("image_id", (F.col("residual") < 1e-5).alias("ok"), "iters"), f"with {_single_sql(_EMB, 'emb', 8, 8, 2)}, {_box_rest('emb', 'done', 2, 'rest')} select image_id, sqrt(avg(rest.v * rest.v)) < 1e-5 as ok, cast(case when min(emb.v) = max(emb.v) then 0 else 4 end as integer) as iters from rest join emb using (image_id, y, x) group by image_id")
 
 # --- bursts, tiles, colour, measures --------------------------------------
@@ -516,11 +571,20 @@ _GIVEN = "using_ as materialized (select burst_id, vec_id as image_id, case when
 _add("burst_known_shifts", lambda s, d: _pixels(_known(s, d).withColumnRenamed("burst_id", "image_id"), V(), None, 5), _ROUNDED.format(f"{_START}, {_GIVEN}, {_fused_sql()}"))
 _add("burst_ssd", lambda s, d: _bursts(s, d).alias("m").join(_bursts(s, d).where("frame = 0").select("burst_id", F.col("v").alias("ref")), "burst_id").select("burst_id", "frame", (metrics.mse(F.col("ref"), V()) * F.size(V())).alias("ssd")), f"with {_EMB}, {_FRAMES}, p as (select f.burst_id, f.frame, e.y, e.x, e.v from frames f join emb e on e.image_id = f.vec_id) select m.burst_id, m.frame, sum((m.v - r.v) * (m.v - r.v)) as ssd from p m join p r on r.burst_id = m.burst_id and r.frame = 0 and r.y = m.y and r.x = m.x group by m.burst_id, m.frame")
 _BOX = ("vx0", "vy0", "vx1", "vy1", "px0", "py0", "pw", "ph")
-_add("tile_assign", lambda s, d: s.createDataFrame([(600, 600), (1600, 1000), (100, 513)], "w int, h int").select("w", "h", F.explode(tiling.tile_ids(W(), H(), 512, 16)).alias("t")).select("w", "h", "t.tile_id", *(f"t.{b}" for b in _BOX)), """
-with i(w, h) as (values (600, 600), (1600, 1000), (100, 513)), t as (
-  select w, h, a.i as tx, b.i as ty from i, range(8) a(i), range(8) b(i) where a.i * 512 < w and b.i * 512 < h
+_SIZED = "(select doc_id, cast(coalesce(len(text), 0) % 3000 + 1 as integer) as w, cast(doc_id % 1500 + 1 as integer) as h, cast(doc_id % 11 as integer) as n from documents)"
+
+
+def _sized(s: SparkSession, d: str) -> DataFrame:
+    """Sizes of images and bursts that documents give: lengths of texts and ids."""
+    docs = s.read.parquet(f"{d}/documents.parquet")
+    return docs.select("doc_id", (F.coalesce(F.length("text"), F.lit(0)) % 3000 + 1).cast("int").alias("w"), (F.col("doc_id") % 1500 + 1).cast("int").alias("h"), (F.col("doc_id") % 11).cast("int").alias("n"))
+
+
+_add("tile_assign", lambda s, d: _sized(s, d).select("doc_id", "w", "h", F.explode(tiling.tile_ids(W(), H(), 512, 16)).alias("t")).select("doc_id", "w", "h", "t.tile_id", *(f"t.{b}" for b in _BOX)), f"""
+with t as (
+  select doc_id, w, h, a.i as tx, b.i as ty from {_SIZED}, range(8) a(i), range(8) b(i) where a.i * 512 < w and b.i * 512 < h
 ), v as (select *, tx * 512 as vx0, ty * 512 as vy0, least(w, tx * 512 + 512) as vx1, least(h, ty * 512 + 512) as vy1 from t)
-select w, h, cast(ty * ((w + 511) // 512) + tx as integer) as tile_id, cast(vx0 as integer) as vx0, cast(vy0 as integer) as vy0, cast(vx1 as integer) as vx1, cast(vy1 as integer) as vy1,
+select doc_id, w, h, cast(ty * ((w + 511) // 512) + tx as integer) as tile_id, cast(vx0 as integer) as vx0, cast(vy0 as integer) as vy0, cast(vx1 as integer) as vx1, cast(vy1 as integer) as vy1,
   cast(greatest(0, vx0 - 16) as integer) as px0, cast(greatest(0, vy0 - 16) as integer) as py0, cast(least(w, vx1 + 16) - greatest(0, vx0 - 16) as integer) as pw, cast(least(h, vy1 + 16) - greatest(0, vy0 - 16) as integer) as ph from v""")
 _add("tile_stitch", lambda s, d: tiling.stitch(tiling.split(_evt(s, d), 16, 8), 1, ("image_id",)), f"with {_EVT} select * from evt")
 
@@ -532,25 +596,39 @@ def _agree(s: SparkSession, d: str) -> DataFrame:
 
 
 _add("tile_agreement", _agree, f"with {_EVT} select image_id, cast(0 as integer) as worst, count(*) * 4 as n, count(*) * 4 as matched from evt group by image_id")
-_WIDE = "syn as materialized (select cast(0 as bigint) as image_id, cast(i // 520 as integer) as y, cast(i % 520 as integer) as x, case when i % 520 < 260 then 0.0::double else 255.0::double end as v from range(8320) t(i))"
+_WIDE = f"{_EMB}, {_pages_sql(66, 1, 'wide')}"
 
 
-def _wide_step(s: SparkSession) -> DataFrame:
-    return rasters.generated(s, 520, 16, rasters.STEP)
+def _dispatched(s: SparkSession, d: str) -> DataFrame:
+    """Pages of 528 x 8 samples, which are cut, beside planes of 8 x 8, which are not."""
+    wide = _page_tiles(s, d, 66, 1, 528).select(F.concat(F.lit("page "), F.col("image_id").cast("string")).alias("image_id"), "c", "w", "h", "v")
+    small = _emb(s, d).withColumn("image_id", F.col("image_id").cast("string"))
+    return stitch_tiles(enlarged(wide.unionByName(small), 2, floats=True), 2).select("image_id", "y", "x", F.round("v", 5).alias("v"))
 
 
-_add("upscale_dispatch", lambda s, d: stitch_tiles(enlarged(_wide_step(s).unionByName(rasters.generated(s, 24, 24, rasters.RAMP).withColumn("image_id", F.lit(1).cast("long"))), 2), 2).groupBy("image_id").agg(F.count("*").alias("n"), F.sum(F.col("v").cast("long")).alias("bytes")), f"with {_WIDE} select image_id, count(*) * 4 as n, cast(4 * sum(v) as bigint) as bytes from syn group by image_id union all select cast(1 as bigint), 2304, cast(4 * sum(least((i % 24) * 8, 255)) as bigint) from range(576) t(i)")
-_add("tile_residual", lambda s, d: worst_residual(upscaled_tiles(_evt(s, d), 2, 8, 24)).select("image_id", (F.col("residual") < 1e-5).alias("ok")), f"with {_single_sql(_EVT, 'evt', 24, 30, 2)}, {_box_rest('evt', 'done', 2, 'rest')} select image_id, sqrt(avg(v * v)) < 1e-5 as ok from rest group by image_id")
-_SIZES = [(512, 512, 1), (513, 10, 2), (100, 100, 5), (1024, 1024, 5), (2000, 2000, 8), (300, 400, 9)]
-_SIZES_SQL = f"(values {', '.join(map(str, _SIZES))}) t(w, h, n)"
+_add("upscale_dispatch", _dispatched, f"with {_single_sql(_WIDE, 'wide', 528, 8, 2).replace('done as', 'wide_done as')}, small as ({_ROUNDED.format(_single_sql(_EMB, 'emb', 8, 8, 2))}) select 'page ' || image_id as image_id, y, x, round(v, 5) as v from wide_done union all select cast(image_id as varchar), y, x, v from small")
+_add("tile_auto", lambda s, d: _auto_agree(s, d), f"with {_PAGES} select image_id, 0.0::double as worst, count(*) * 4 as n, count(*) * 4 as matched, true as passes_equal from pg group by image_id")
+
+
+def _auto_agree(s: SparkSession, d: str) -> DataFrame:
+    """The adaptive loop over tiles beside that over whole pages: samples that differ most, and whether passes agree."""
+    tiles = _page_tiles(s, d)
+    parts = tiled.adaptive(tiles, 2, _TILE, floats=True)
+    whole = upscale(_page_tiles(s, d, tile=64).select("image_id", "c", "w", "h", "v"), 2, iters="auto", floats=True)
+    a = metrics.pixels(whole, keep=("image_id", "iters")).select("image_id", "y", "x", F.col("v").alias("a"), "iters")
+    b = mosaic.pixels(parts, _TILE, 2).select("image_id", "y", "x", F.col("v").alias("b"))
+    used = parts.groupBy("image_id").agg(F.max("iters").alias("passes"), F.min("iters").alias("least"))
+    met = a.join(b, ["image_id", "y", "x"], "full").groupBy("image_id").agg(F.max(F.abs(F.col("a") - F.col("b"))).alias("worst"), F.count("*").alias("n"), F.count("b").alias("matched"), F.max("iters").alias("iters"))
+    return met.join(used, "image_id").select("image_id", "worst", "n", "matched", ((F.col("iters") == F.col("passes")) & (F.col("passes") == F.col("least"))).alias("passes_equal"))
 
 
-def _admission(s: SparkSession, _: str) -> DataFrame:
+_add("tile_residual", lambda s, d: worst_residual(upscaled_tiles(_evt(s, d), 2, 8, 24)).select("image_id", (F.col("residual") < 1e-5).alias("ok")), f"with {_single_sql(_EVT, 'evt', 24, 30, 2)}, {_box_rest('evt', 'done', 2, 'rest')} select image_id, sqrt(avg(v * v)) < 1e-5 as ok from rest group by image_id")
+def _admission(s: SparkSession, d: str) -> DataFrame:
     n = F.col("n")
-    return s.createDataFrame(_SIZES, "w int, h int, n int").select("w", "h", "n", tiling.needs_tiling(W(), H(), 2).alias("tiled"), tiling.admitted(W(), H(), 2).alias("admitted"), tiling.admitted(W(), H(), 8).alias("admitted_8"), tiling.burst_admitted(W(), H(), 2, n).alias("burst"), F.round(tiling.job_budget_ms(W(), H(), 2, n), 4).alias("budget_ms"))
+    return _sized(s, d).select("doc_id", "w", "h", "n", tiling.needs_tiling(W(), H(), 2).alias("tiled"), tiling.admitted(W(), H(), 2).alias("admitted"), tiling.admitted(W(), H(), 8).alias("admitted_8"), tiling.burst_admitted(W(), H(), 2, n).alias("burst"), F.round(tiling.job_budget_ms(W(), H(), 2, n), 4).alias("budget_ms"))
 
 
-_add("admission", _admission, f"select w, h, n, w > 512 or h > 512 or w::bigint * h * 136 > 268435456 as tiled, w::bigint * h * 136 <= 805306368 as admitted, w::bigint * h * 2056 <= 805306368 and greatest(w, h) <= 512 as admitted_8, n between 2 and 8 and greatest(w, h) <= 1024 and w::bigint * h * 208 + n * w::bigint * h * 8 <= 805306368 as burst, round(30000 + (w::bigint * h * 4.0::double + 2 * w::bigint * h * n) / 1000 * 12, 4) as budget_ms from {_SIZES_SQL}")
+_add("admission", _admission, f"select doc_id, w, h, n, w > 512 or h > 512 or w::bigint * h * 136 > 268435456 as tiled, w::bigint * h * 136 <= 805306368 as admitted, w::bigint * h * 2056 <= 805306368 and greatest(w, h) <= 512 as admitted_8, n between 2 and 8 and greatest(w, h) <= 1024 and w::bigint * h * 208 + n * w::bigint * h * 8 <= 805306368 as burst, round(30000 + (w::bigint * h * 4.0::double + 2 * w::bigint * h * n) / 1000 * 12, 4) as budget_ms from {_SIZED}")
 _add("srgb_round_trip", lambda s, d: _pixels(_emb(s, d).withColumn("v", F.transform("v", lambda a: a / 255.0)), F.transform("v", lambda a: color.linear_to_srgb(color.srgb_to_linear(a)) * 255.0)), f"with {_EMB} select * from emb")
 _add("srgb_linear", lambda s, d: _pixels(_emb(s, d), F.transform("v", lambda a: color.srgb_to_linear(a / 255.0))), f"with {_EMB} select image_id, y, x, round(case when v <= 0 then 0 when v / 255 <= 0.04045 then v / 255 / 12.92 else pow((v / 255 + 0.055) / 1.055, 2.4) end, 4) as v from emb")
 
@@ -568,7 +646,13 @@ _add("ycocg", _ycocg, f"with {_EMB}, p as (select image_id, cast(y * 8 + x as in
 _add("psnr_truth", lambda s, d: mapped(_emb(s, d), lambda p: {"x": numeric.upsample(numeric.box_mean(p, 2), 2, Kernel.BILINEAR)}, ["x"]).select("image_id", F.round(metrics.psnr(F.col("x"), V()), 4).alias("psnr")), f"with {_EMB}, half as materialized (select image_id, cast(y // 2 as integer) as y, cast(x // 2 as integer) as x, avg(v) as v from emb group by all), {_up_cte('half', Kernel.BILINEAR, 2, 4, 4, 'u')}, m as (select image_id, avg(pow(u.v - emb.v, 2)) as e from u join emb using (image_id, y, x) group by image_id) select image_id, round(case when e = 0 then 1e9 else 10 * log10(65025.0 / e) end, 4) as psnr from m")
 _add("psnr_round_trip", lambda s, d: _up(_emb(s, d)).select("image_id", F.round(metrics.psnr(forward.box_mean(F.col("x"), W() * 2, H() * 2, 2), V()), 4).alias("psnr")), f"with {_U}, m as (select image_id, avg(v * v) as e from r group by image_id) select image_id, round(case when e = 0 then 1e9 else 10 * log10(65025.0 / e) end, 4) as psnr from m")
 _add("max_difference", lambda s, d: _emb(s, d).select("image_id", metrics.max_difference(V(), resample.shift(V(), W(), H(), 1.0, 0.0)).alias("worst")), f"with {_EMB} select a.image_id, max(abs(a.v - b.v)) as worst from emb a join emb b on a.image_id = b.image_id and a.y = b.y and b.x = greatest(0, a.x - 1) group by a.image_id")
-_add("block_audit", lambda s, d: metrics.block_audit(metrics.pixels(upscale(_emb(s, d), 2)), metrics.pixels(_emb(s, d)), 2).groupBy().agg(F.count("*").alias("broken")), f"with {_EMB} select cast(count(*) filter (v < 0) as bigint) as broken from emb")
+def _broken(s: SparkSession, d: str) -> DataFrame:
+    """The audit of output bytes of which every seventh image has one sample changed: those blocks and no others are found."""
+    out = metrics.pixels(upscale(_emb(s, d), 2)).withColumn("v", F.col("v") + F.when((F.col("image_id") % 7 == 0) & (F.col("y") == 5) & (F.col("x") == F.col("image_id") % 16), 1).otherwise(0))
+    return metrics.block_audit(out, metrics.pixels(_emb(s, d)), 2).select("image_id", "y", "x", F.col("block_sum").cast("long").alias("block_sum"), F.col("src").cast("double").alias("src"))
+
+
+_add("block_audit", _broken, f"with {_EMB} select image_id, y, x, cast(4 * v + 1 as bigint) as block_sum, v as src from emb where image_id % 7 = 0 and y = 2 and x = image_id % 16 // 2")
 _add("alpha_used", lambda s, d: _emb(s, d).select("image_id", metrics.alpha_used(V()).alias("alpha")), f"with {_EMB} select image_id, bool_or(v < 255) as alpha from emb group by image_id")
 
 
@@ -582,11 +666,12 @@ _add("heatmap", _heat, f"with {_EMB}, {_up_cte('emb', Kernel.BICUBIC, 2, 8, 8, '
 
 
 def _heat_colors(s: SparkSession, d: str) -> DataFrame:
-    red, green, blue = color.heat(F.col("level"))
-    return s.range(0, 256).select(F.col("id").alias("level")).select("level", red.alias("red"), green.alias("green"), blue.alias("blue"))
+    """Colours of the differences that ``heatmap`` has."""
+    red, green, blue = color.heat(F.floor("v").cast("int"))
+    return _heat(s, d).select("image_id", "y", "x", red.alias("red"), green.alias("green"), blue.alias("blue"))
 
 
-_add("heat_colors", _heat_colors, "select level, cast(case when level < 64 then 0 when level < 128 then (level - 64) * 4 else 255 end as integer) as red, cast(case when level < 64 then level * 4 when level < 128 then 255 else greatest(0, 255 - (level - 128) * 2) end as integer) as green, cast(case when level < 64 then 128 + level * 2 when level < 128 then 255 - (level - 64) * 4 else 0 end as integer) as blue from range(256) t(level)")
+_add("heat_colors", _heat_colors, f"with {_EMB}, {_up_cte('emb', Kernel.BICUBIC, 2, 8, 8, 'u')}, l as (select u.image_id, u.y, u.x, cast(floor(round(least(255.0, 8 * 3 * abs(u.v - e.v) / 3), 4)) as integer) as level from u join emb e on e.image_id = u.image_id and e.y = u.y // 2 and e.x = u.x // 2) select image_id, y, x, cast(case when level < 64 then 0 when level < 128 then (level - 64) * 4 else 255 end as integer) as red, cast(case when level < 64 then level * 4 when level < 128 then 255 else greatest(0, 255 - (level - 128) * 2) end as integer) as green, cast(case when level < 64 then 128 + level * 2 when level < 128 then 255 - (level - 64) * 4 else 0 end as integer) as blue from l")
 _add("alpha_over_white", lambda s, d: _pixels(_emb(s, d), F.transform("v", lambda v, i: color.over_white(v, (i * 4).cast("double")))), f"with {_EMB} select image_id, y, x, round(v * ((y * 8 + x) * 4.0::double) / 255 + 255 * (1 - ((y * 8 + x) * 4.0::double) / 255), 4) as v from emb")
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,6 +48,12 @@ DIAGONAL: Callable = lambda y, x, w, h: 30.0 + 180.0 * (x + y) / (2.0 * (2 * w -
 BLOCKY: Callable = lambda y, x, w, h: 0.25 * DIAGONAL(y, x, w, h) + 0.75 * DIAGONAL(F.floor(y / 8) * 8 + 3.5, F.floor(x / 8) * 8 + 3.5, w, h)
 
 
+def patterned(images: DataFrame, w: int, h: int, value: Callable[[Column, Column, int, int], Column], dy: Column, dx: Column) -> DataFrame:
+    """A plane of value(y + dy, x + dx, w, h) for each image_id of ``images``: patterns that each row moves by its own columns."""
+    v = grid(w, h, lambda y, x: value(y + dy, x + dx, w, h).cast("double"))
+    return images.select("image_id", F.lit(0).alias("c"), F.lit(w).alias("w"), F.lit(h).alias("h"), v.alias("v"))
+
+
 def chroma(spark: SparkSession, w: int, h: int) -> DataFrame:
     """One image of three channels: sines across in red and down in blue, no green."""
     planes = [generated(spark, w, h, f).withColumn("c", F.lit(c)) for c, f in enumerate((CHROMA_RED, lambda y, x, w, h: F.lit(0.0), CHROMA_BLUE))]
