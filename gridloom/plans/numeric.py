@@ -63,6 +63,17 @@ def shift(p: np.ndarray, dx: float, dy: float) -> np.ndarray:
     return _bilinear(p, y, sy - y, x, sx - x)
 
 
+def shift_each(p: np.ndarray, dx: np.ndarray, dy: np.ndarray) -> np.ndarray:
+    """``shift`` with each plane's own dx and dy."""
+    n, h, w = p.shape
+    sy, sx = np.clip(np.arange(h) - dy[:, None], 0.0, h - 1.0), np.clip(np.arange(w) - dx[:, None], 0.0, w - 1.0)
+    y, x = np.floor(sy).astype(int), np.floor(sx).astype(int)
+    fy, fx = (sy - y)[:, :, None], (sx - x)[:, None, :]
+    k = np.arange(n)[:, None, None]
+    y0, y1, x0, x1 = y[:, :, None], (y + 1).clip(0, h - 1)[:, :, None], x[:, None, :], (x + 1).clip(0, w - 1)[:, None, :]
+    return p[k, y0, x0] * (1 - fx) * (1 - fy) + p[k, y0, x1] * fx * (1 - fy) + p[k, y1, x0] * (1 - fx) * fy + p[k, y1, x1] * fx * fy
+
+
 def lift(p: np.ndarray, s: int) -> np.ndarray:
     """Fields of source samples at output samples; fractions depend on the phase alone, so that a tile has those of its image."""
 

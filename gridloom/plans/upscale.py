@@ -2,7 +2,7 @@
 
 A plane is a row (image_id, c, w, h, v): a channel's samples row by row. A
 batch of planes goes through Arrow to NumPy in stacks of equal size, without
-a shuffle; burst frames meet in one shuffle on (burst_id, c).
+a shuffle; bursts are relations of frames, see ``bursts``.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from ..functions.kernels import Kernel
 from ..operators import mosaic
 from ..operators.quantize import AMPLITUDE, Dither
 from ..operators.regularize import Deblock
-from ..operators.tiling import BURST_FRAMES, BURST_SIDE, HALO, TILE, admitted, needs_tiling, stitch
-from . import numeric
+from ..operators.tiling import HALO, TILE, admitted, needs_tiling, stitch
+from . import bursts, numeric
 
 PASSES, AUTO, DEBLOCK, BURST_CONFIDENCE = 4, (2, 8, 1e-6), Deblock(), 0.05
 _OUT = "w int, h int, v array<int>, residual double, iters int"
@@ -182,65 +182,6 @@ def upscale_tiled(planes: DataFrame, scale: int, tile: int = TILE, halo: int = H
     return stitch(upscaled_tiles(planes, scale, tile, halo, **options), scale)
 
 
-def estimate_shift(ref: np.ndarray, mov: np.ndarray) -> tuple[float, float, float]:
-    """(dx, dy, confidence) of a frame against the reference: gradient fields matched on ever finer grids."""
-    r, m = numeric.gradient_l1(ref[None])[0], numeric.gradient_l1(mov[None])
-
-    def cost(dx: float, dy: float) -> float:
-        d = r - numeric.shift(m, dx, dy)[0]
-        return float((d * d).sum())
-
-    x = y = 0.0
-    for steps in ((-1.0, -0.5, 0.0, 0.5, 1.0), (-0.5, 0.0, 0.5)):
-        tried = [(cost(x + dx, y + dy), k, x + dx, y + dy) for k, (dy, dx) in enumerate((a, b) for a in steps for b in steps)]
-        _, _, x, y = min(tried)
-    fine = (-0.25, 0.0, 0.25)
-    around = [(dy, dx) for dy in fine for dx in fine if dx or dy] + [(0.0, 0.0)]  # the middle last: it wins no tie
-    tried = sorted((cost(x + dx, y + dy), k, x + dx, y + dy) for k, (dy, dx) in enumerate(around))
-    best, second = tried[0], tried[1][0]
-    sure = second > 0 and abs(best[2]) <= 1.5 and abs(best[3]) <= 1.5
-    return -best[2], -best[3], 1.0 - best[0] / second if sure else 0.0
-
-
-def fuse(frames: np.ndarray, scale: int, passes: int, shifts: list[tuple[float, float]] | None = None, confidence: float = BURST_CONFIDENCE) -> tuple[np.ndarray, list[tuple[float, float, float, bool]], float]:
-    """One channel of a burst (frame 0 is the reference): the float plane, shifts with which frames were used, residual."""
-    ref, s = frames[0], scale
-    if shifts is None:
-        found = [(0.0, 0.0, 1.0)] + [estimate_shift(ref, f) for f in frames[1:]]
-        use = [0] + [k for k in range(1, len(frames)) if found[k][2] >= confidence]
-        if len(use) > 1:
-            moved = max(abs(found[k][0]) + abs(found[k][1]) for k in use)
-            if moved < 0.25 and np.abs(frames[1:] - ref).mean() > 0.5:
-                use = [0]
-        if len(use) > 1:
-            up = numeric.upsample(ref[None], s, Kernel.LANCZOS3)
-
-            def error(dx: float, dy: float, f: np.ndarray) -> float:
-                return float(((numeric.box_mean(numeric.shift(up, dx * s, dy * s), s)[0] - f) ** 2).mean())
-
-            if sum(error(*found[k][:2], frames[k]) for k in use[1:]) >= sum(error(0.0, 0.0, frames[k]) for k in use[1:]):
-                use = [0]
-    else:
-        found = [(0.0, 0.0, 1.0)] + [(float(x), float(y), 1.0) for x, y in shifts[1:]]
-        use = list(range(len(frames)))
-    weights = np.ones(len(use))
-    if shifts is None and len(use) > 1:
-        off = [float(np.sqrt(((numeric.shift(ref[None], found[k][0], found[k][1])[0] - frames[k]) ** 2).mean())) for k in use[1:]]
-        middle = max(sorted(off)[len(off) // 2], 1e-6)
-        weights[1:] = [min(1.0, max(0.1, found[k][2])) * np.exp(-0.5 * (r / middle) ** 2) for k, r in zip(use[1:], off, strict=True)]
-    weights = weights / weights.sum()
-    x = numeric.upsample(ref[None], s, Kernel.LANCZOS3)
-    for _ in range(passes):
-        fix = np.zeros_like(x)
-        for k, wt in zip(use, weights, strict=True):
-            dx, dy = found[k][0] * s, found[k][1] * s
-            r = frames[k][None] - numeric.box_mean(numeric.shift(x, dx, dy), s)
-            fix = fix + numeric.shift(numeric.upsample(r, s, Kernel.BILINEAR), -dx, -dy) * wt
-        x = np.clip(x + fix, ref.min(), ref.max())
-        x = x + numeric.blocks(ref[None] - numeric.box_mean(x, s), s)
-    return x, [(*f, k in use) for k, f in enumerate(found)], float(numeric.rms(ref[None] - numeric.box_mean(x, s))[0])
-
-
 def fuse_burst(frames: DataFrame, scale: int, passes: int = PASSES, shifts: DataFrame | None = None, confidence: float = BURST_CONFIDENCE, floats: bool = False) -> DataFrame:
     """(burst_id, c, w, h, v, residual, shifts): frames (burst_id, frame, c, w, h, v) fused on frame 0 of each channel.
 
@@ -250,33 +191,4 @@ def fuse_burst(frames: DataFrame, scale: int, passes: int = PASSES, shifts: Data
     float planes before bytes.
     """
     _valid(scale, (2, 4), passes)
-    df = _checked(frames)
-    known = shifts is not None
-    if known:
-        finite = F.when(F.col("dx").isNull() | F.col("dy").isNull() | F.isnan("dx") | F.isnan("dy") | (F.abs("dx") == float("inf")) | (F.abs("dy") == float("inf")), F.raise_error(F.lit("shift is not finite")).cast("double"))
-        df = df.join(shifts.select("burst_id", "frame", F.coalesce(finite, F.col("dx").cast("double")).alias("_dx"), F.col("dy").cast("double").alias("_dy")), ["burst_id", "frame"], "left")
-    else:
-        df = df.withColumns({"_dx": F.lit(0.0), "_dy": F.lit(0.0)})
-    schema = f"{_fields(df, ['burst_id', 'c'])}, w int, h int, v array<{'double' if floats else 'int'}>, residual double, shifts array<struct<frame: int, dx: double, dy: double, confidence: double, kept: boolean>>"
-
-    def one(t: pa.Table) -> pa.Table:
-        t = t.sort_by("frame")
-        w, h = t["w"][0].as_py(), t["h"][0].as_py()
-        if len(t["w"].unique()) > 1 or len(t["h"].unique()) > 1 or t.num_rows > BURST_FRAMES[1]:
-            raise ValueError("frames of a burst differ in size or are too many")
-        if t["frame"][0].as_py() != 0 or len(t["frame"].unique()) < t.num_rows:
-            raise ValueError("a burst has no frame 0, or a frame twice")
-        if max(w, h) > BURST_SIDE:
-            raise ValueError(f"a side of a burst is over {BURST_SIDE}")
-        stack = np.stack([np.asarray(v.values) for v in t["v"]]).reshape(-1, h, w)
-        pairs = list(zip(t["_dx"].to_pylist(), t["_dy"].to_pylist(), strict=True)) if known else None
-        if pairs and any(a is None for a, _ in pairs[1:]):
-            raise ValueError("a frame has no shift")
-        x, found, residual = fuse(stack, scale, passes, pairs, confidence)
-        q = (x if floats else numeric.quantise(x, stack[:1], scale))[0].reshape(-1)
-        names = ("dx", "dy", "confidence", "kept")
-        told = [{"frame": n} | dict(zip(names, f, strict=True)) for n, f in zip(t["frame"].to_pylist(), found, strict=True)]
-        kind = pa.list_(pa.struct([("frame", pa.int32()), ("dx", pa.float64()), ("dy", pa.float64()), ("confidence", pa.float64()), ("kept", pa.bool_())]))
-        return pa.table({"burst_id": t["burst_id"].slice(0, 1), "c": t["c"].slice(0, 1), "w": pa.array([w * scale], pa.int32()), "h": pa.array([h * scale], pa.int32()), "v": pa.array([q], pa.list_(pa.float64() if floats else pa.int32())), "residual": [residual], "shifts": pa.array([told], kind)})
-
-    return df.select("burst_id", "c", "frame", "w", "h", "v", "_dx", "_dy").groupBy("burst_id", "c").applyInArrow(one, schema)
+    return bursts.fused(_checked(frames), scale, passes, shifts, confidence, floats)

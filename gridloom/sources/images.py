@@ -1,8 +1,9 @@
-"""PPM and BMP files to planes and back."""
+"""PPM, PNG and BMP files to planes and back."""
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +51,118 @@ def encode_bmp(image: np.ndarray) -> bytes:
     return b"BM" + b"".join(v.to_bytes(n, "little") for v, n in head) + rows.tobytes()
 
 
+_SIGNATURE = b"\x89PNG\r\n\x1a\n"
+#: Samples of a pixel by the PNG's kind of colour; a palette has 1.
+_SAMPLES = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+
+
+def _chunk(kind: bytes, body: bytes) -> bytes:
+    return len(body).to_bytes(4, "big") + kind + body + zlib.crc32(kind + body).to_bytes(4, "big")
+
+
+def _paeth(left: np.ndarray, up: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    """Of three neighbours the one nearest to left + up - corner, in that order."""
+    a, b, c = (x.astype(np.int16) for x in (left, up, corner))
+    near_left, near_up, near_corner = np.abs(b - c), np.abs(a - c), np.abs(a + b - 2 * c)
+    return np.where((near_left <= near_up) & (near_left <= near_corner), a, np.where(near_up <= near_corner, b, c)).astype(np.uint8)
+
+
+def encode_png(image: np.ndarray) -> bytes:
+    """A lossless PNG of 1, 2, 3 or 4 channels of bytes; each row is filtered the way whose rests are smallest."""
+    h, w, n = image.shape
+    rows = np.ascontiguousarray(image, np.uint8).reshape(h, w * n)
+    up = np.zeros_like(rows)
+    up[1:] = rows[:-1]
+    left, corner = np.zeros_like(rows), np.zeros_like(rows)
+    left[:, n:], corner[:, n:] = rows[:, :-n], up[:, :-n]
+    mean = ((left.astype(np.uint16) + up) >> 1).astype(np.uint8)
+    ways = np.stack([rows, rows - left, rows - up, rows - mean, rows - _paeth(left, up, corner)])
+    best = np.abs(ways.view(np.int8).astype(np.int16)).sum(2).argmin(0)
+    data = np.concatenate([best[:, None].astype(np.uint8), ways[best, np.arange(h)]], 1)
+    kind = {1: 0, 2: 4, 3: 2, 4: 6}[n]
+    head = w.to_bytes(4, "big") + h.to_bytes(4, "big") + bytes((8, kind, 0, 0, 0))
+    return _SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(data.tobytes(), 6)) + _chunk(b"IEND", b"")
+
+
+def _unfiltered(way: int, row: np.ndarray, up: np.ndarray, n: int) -> np.ndarray:
+    """A row of (w, n) rests as samples; what depends on the left neighbour goes pixel by pixel."""
+    if way == 0:
+        return row
+    if way == 1:
+        return row.cumsum(0, dtype=np.uint8)
+    if way == 2:
+        return row + up
+    if way not in (3, 4):
+        raise ValueError("no filter of PNG")
+    out, left, corner = np.empty_like(row), np.zeros(n, np.uint8), np.zeros(n, np.uint8)
+    for k in range(len(row)):
+        guess = ((left.astype(np.uint16) + up[k]) >> 1).astype(np.uint8) if way == 3 else _paeth(left, up[k], corner)
+        left, corner = row[k] + guess, up[k]
+        out[k] = left
+    return out
+
+
+def decode_png(data: bytes) -> np.ndarray:
+    """(h, w, 1, 2, 3 or 4) of a PNG of 8 bits a sample that is not interlaced; palettes become colours, with alpha where they have it."""
+    if data[:8] != _SIGNATURE:
+        raise ValueError("no PNG file")
+    at, parts = 8, {}
+    while at + 12 <= len(data):
+        size, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+        body, check = data[at + 8 : at + 8 + size], data[at + 8 + size : at + 12 + size]
+        if len(check) < 4 or zlib.crc32(kind + body) != int.from_bytes(check, "big"):
+            raise ValueError("a chunk of the PNG file is damaged")
+        parts[kind] = parts.get(kind, b"") + body
+        at += 12 + size
+        if kind == b"IEND":
+            break
+    else:
+        raise ValueError("the PNG file ends early")
+    head = parts[b"IHDR"]
+    w, h, depth, colour, interlaced = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big"), head[8], head[9], head[12]
+    if depth != 8 or interlaced or colour not in _SAMPLES or not w or not h:
+        raise ValueError("no plain 8-bit PNG file")
+    n = _SAMPLES[colour]
+    raw = np.frombuffer(zlib.decompress(parts[b"IDAT"]), np.uint8)
+    if len(raw) < h * (1 + w * n):
+        raise ValueError("the PNG file ends early")
+    raw = raw[: h * (1 + w * n)].reshape(h, 1 + w * n)
+    out, up = np.empty((h, w, n), np.uint8), np.zeros((w, n), np.uint8)
+    for y in range(h):
+        up = out[y] = _unfiltered(int(raw[y, 0]), raw[y, 1:].reshape(w, n), up, n)
+    if colour == 3:
+        palette = np.frombuffer(parts[b"PLTE"], np.uint8).reshape(-1, 3)
+        if b"tRNS" in parts:
+            alpha = np.full((len(palette), 1), 255, np.uint8)
+            alpha[: len(parts[b"tRNS"]), 0] = np.frombuffer(parts[b"tRNS"], np.uint8)
+            palette = np.concatenate([palette, alpha], 1)
+        out = palette[out[:, :, 0]]
+    return out
+
+
+def over_white(image: np.ndarray) -> np.ndarray:
+    """Three channels: one as grey, alpha (the second or fourth) over white."""
+    n = image.shape[2]
+    if n in (2, 4):
+        alpha = image[:, :, n - 1 :].astype(float) / 255.0
+        image = np.floor(image[:, :, : n - 1] * alpha + 255.0 * (1.0 - alpha) + 0.5).astype(np.uint8)
+    return image if image.shape[2] == 3 else image.repeat(3, 2)
+
+
+def decode(data: bytes) -> np.ndarray:
+    """(h, w, channels) of a file of any known form, told by its first bytes."""
+    return decode_bmp(data) if data[:2] == b"BM" else decode_png(data) if data[:8] == _SIGNATURE else decode_ppm(data)
+
+
+def encode(image: np.ndarray, form: str) -> bytes:
+    """A file's bytes; forms without alpha show it over white."""
+    if form == "png":
+        return encode_png(image)
+    if form not in ("ppm", "bmp"):
+        raise ValueError(f"unknown form {form}")
+    return (encode_bmp if form == "bmp" else encode_ppm)(over_white(image))
+
+
 def fitted(image: np.ndarray, side: int = DECODE_SIDE) -> np.ndarray:
     """The image with no side over ``side``, proportions kept, each side at least 1."""
     h, w = image.shape[:2]
@@ -59,13 +172,13 @@ def fitted(image: np.ndarray, side: int = DECODE_SIDE) -> np.ndarray:
     return image[(np.arange(nh) * h // nh)][:, np.arange(nw) * w // nw]
 
 
-def read(spark: SparkSession, path: str, glob: str = "*.{ppm,bmp}", side: int | None = None) -> DataFrame:
-    """Planes (image_id = path, c = 0, 1, 2) of the image files at ``path``, whole unless ``side`` caps their sides."""
+def read(spark: SparkSession, path: str, glob: str = "*.{ppm,bmp,png}", side: int | None = None) -> DataFrame:
+    """Planes (image_id = path, c = 0, 1, ..., alpha last) of the image files at ``path``, whole unless ``side`` caps their sides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, data in zip(b["path"].to_pylist(), b["content"].to_pylist(), strict=True):
-                image = decode_bmp(data) if data[:2] == b"BM" else decode_ppm(data)
+                image = decode(data)
                 image = image if side is None else fitted(image, side)
                 h, w, n = image.shape
                 yield pa.RecordBatch.from_pydict({"image_id": [name] * n, "c": pa.array(range(n), pa.int32()), "w": pa.array([w] * n, pa.int32()), "h": pa.array([h] * n, pa.int32()), "v": pa.array([image[:, :, c].reshape(-1).astype(float) for c in range(n)], pa.list_(pa.float64()))})
@@ -75,8 +188,13 @@ def read(spark: SparkSession, path: str, glob: str = "*.{ppm,bmp}", side: int |
 
 
 def interleaved(planes: DataFrame) -> DataFrame:
-    """(image_id, w, h, px): the planes of each image as one array of samples, channel by channel in each pixel."""
+    """(image_id, w, h, px): the planes of each image as one array of samples, channel by channel in each pixel.
+
+    An image has 1, 3 or 4 channels, from 0 on; others fail.
+    """
     rows = planes.groupBy("image_id", "w", "h").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("p"))
+    whole = F.size("p").isin(1, 3, 4) & F.forall(F.transform("p", lambda p, i: p["c"] == i), lambda same: same)
+    rows = rows.withColumn("p", F.when(whole, F.col("p")).otherwise(F.raise_error(F.lit("an image has other channels than 1, 3 or 4 from 0 on")).cast(rows.schema["p"].dataType)))
     return rows.select("image_id", "w", "h", F.flatten(F.transform(F.sequence(F.lit(0), F.col("w") * F.col("h") - 1), lambda i: F.transform("p", lambda p: F.get(p["v"], i)))).alias("px"))
 
 
@@ -87,18 +205,11 @@ def deinterleaved(images: DataFrame, channels: int) -> DataFrame:
 
 
 def write(planes: DataFrame, folder: str, form: str = "ppm") -> None:
-    """One file for each image of three byte planes, in a folder that all executors share."""
-    import os
-
-    def save(rows: Iterator) -> None:
-        os.makedirs(folder, exist_ok=True)
-        for r in rows:
-            image = np.array(r["px"], np.uint8).reshape(r["h"], r["w"], 3)
-            stem = os.path.splitext(os.path.basename(str(r["image_id"])))[0]
-            with open(os.path.join(folder, f"{stem}.{form}"), "wb") as f:
-                f.write(encode_bmp(image) if form == "bmp" else encode_ppm(image))
+    """One file for each image of byte planes (1, 3 or 4 channels), all or none: see ``datasource``."""
+    from .datasource import register
 
-    interleaved(planes).foreachPartition(save)
+    register(planes.sparkSession)
+    interleaved(planes).select(F.col("image_id").cast("string").alias("image_id"), "w", "h", F.transform("px", lambda v: v.cast("int")).alias("px")).write.format(form).mode("append").option("path", folder).save()
 
 
 def write_tiles(tiles: DataFrame, folder: str, scale: int) -> None:

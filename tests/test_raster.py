@@ -1,5 +1,6 @@
 """Contracts of the raster operators: exact sums, residuals, fixed points, tiles, bursts, both paths."""
 
+import zlib
 from fractions import Fraction
 
 import numpy as np
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 from gridloom.functions.kernels import Kernel, phases
 from gridloom.operators import descriptors, forward, metrics, mosaic, quantize, regularize, resample
 from gridloom.plans import numeric, reconstruct, tiled
+from gridloom.plans.bursts import estimate_shift
 from gridloom.operators.tiling import stitch
-from gridloom.plans.upscale import enlarged, estimate_shift, fuse, fuse_burst, upscale, upscale_tiled, worst_residual
-from gridloom.sources import images, rasters
+from gridloom.plans.upscale import enlarged, fuse_burst, upscale, upscale_tiled, worst_residual
+from gridloom.sources import datasource, images, rasters
 
 W, H = "w", "h"
 
@@ -263,12 +265,42 @@ def test_burst_contracts(spark):
     assert fuse_burst(frames, 2).first()["v"] == upscale(frame(spark, p), 2, deblocking=None).first()["v"]
     stripes = np.where((np.arange(64) >> 2) & 1, 0.0, 255.0)[None].repeat(64, 0)
     near = np.stack([stripes, np.roll(stripes, 1, 1)])
-    _, told, residual = fuse(numeric.box_mean(near, 2), 2, 4)
-    assert [t[3] for t in told] == [True, False] and residual < 1e-5
+    low = numeric.box_mean(near, 2)
+    got = fuse_burst(spark.createDataFrame([(2, k, 0, 32, 32, p.reshape(-1).tolist()) for k, p in enumerate(low)], frames.schema), 2).first()
+    assert [t["kept"] for t in got["shifts"]] == [True, False] and got["residual"] < 1e-5
     with pytest.raises(Exception, match="not finite"):
         fuse_burst(frames, 2, shifts=spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, float("nan"), 0.0)], "burst_id long, frame int, dx double, dy double")).collect()
 
 
+def test_bursts_are_relations_of_frames(spark):
+    rng = np.random.default_rng(4)
+    base = numeric.upsample(rng.integers(0, 256, (1, 6, 7)).astype(float), 2, Kernel.LANCZOS3)
+    rows = []
+    for b, (h, w) in enumerate(((12, 14), (12, 14), (9, 11))):
+        for k in range(1 + b):
+            p = numeric.shift(base[:, :h, :w], 0.5 * k, -0.25 * k)[0]
+            rows += [(b if b else None, k, c, w, h, np.clip(np.rint(p + c), 0, 255).reshape(-1).tolist()) for c in range(2)]
+    frames = spark.createDataFrame(rows, "burst_id long, frame int, c int, w int, h int, v array<double>").repartition(3)
+    out = fuse_burst(frames, 2, floats=True)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "CoGroup" not in plan
+    got = {(r["burst_id"], r["c"]): r for r in out.collect()}
+    assert set(got) == {(b, c) for b in (None, 1, 2) for c in range(2)}
+    ref = np.array(rows[0][5]).reshape(1, 12, 14)
+    x = numeric.upsample(ref, 2, Kernel.LANCZOS3)
+    for _ in range(4):
+        x = np.clip(x + numeric.upsample(ref - numeric.box_mean(x, 2), 2, Kernel.BILINEAR), ref.min(), ref.max())
+        x = x + numeric.blocks(ref - numeric.box_mean(x, 2), 2)
+    assert np.abs(plane(got[None, 0]) - x.reshape(-1)).max() < 1e-9
+    assert all(len(r["shifts"]) == (b or 0) + 1 and r["residual"] < 1e-5 and r["shifts"][0]["kept"] for (b, c), r in got.items())
+    x, dx, dy = rng.random((5, 7, 6)), rng.uniform(-2, 2, 5), rng.uniform(-2, 2, 5)
+    assert np.abs(numeric.shift_each(x, dx, dy) - np.concatenate([numeric.shift(x[k : k + 1], dx[k], dy[k]) for k in range(5)])).max() < 1e-12
+    large = spark.createDataFrame([(1, k, 0, 1024, 1, [1.0] * 1024) for k in range(9)], frames.schema)
+    with pytest.raises(Exception, match="too many"):
+        fuse_burst(large, 2).collect()
+    assert fuse_burst(frames.limit(0), 2).count() == 0
+
+
 def test_bad_arguments(spark):
     planes = frame(spark, step(4, 2)[0])
     for bad in ({"scale": 5}, {"scale": 8}, {"scale": 2, "passes": -1}, {"scale": 2, "dither": 99}, {"scale": 2, "mode": "other"}, {"scale": 4, "iters": "auto"}):
@@ -308,6 +340,82 @@ def test_image_files(spark, tmp_path):
     assert images.deinterleaved(images.interleaved(planes), 3).orderBy("c").select("v").collect() == planes.orderBy("c").select("v").collect()
 
 
+def test_png_is_lossless():
+    rng = np.random.default_rng(3)
+    y, x = np.mgrid[:23, :31]
+    smooth = np.stack([(x * 8) % 256, (y * 11) % 256, (x + y) * 4 % 256, 255 - x], 2).astype(np.uint8)
+    for n in (1, 2, 3, 4):
+        for image in (smooth[:, :, :n], rng.integers(0, 256, (9, 14, n), np.uint8), np.zeros((1, 1, n), np.uint8), np.full((5, 3, n), 200, np.uint8)):
+            assert (images.decode_png(images.encode_png(image)) == image).all()
+    raw = images.encode_png(smooth)
+    assert len(raw) < len(smooth.tobytes()) / 4
+    used = {zlib.decompress(raw[raw.index(b"IDAT") + 4 : raw.index(b"IEND") - 8])[k * (31 * 4 + 1)] for k in range(23)}
+    assert len(used) > 1  # rows choose their filters
+    for way in range(5):  # every filter is undone, whatever encoders choose
+        rows, up = smooth[:, :, :3], np.zeros((31, 3), np.uint8)
+        for row in rows:
+            left = np.concatenate([np.zeros((1, 3), np.uint8), row[:-1]])
+            corner = np.concatenate([np.zeros((1, 3), np.uint8), up[:-1]])
+            guess = [0, left, up, ((left.astype(int) + up) // 2).astype(np.uint8), images._paeth(left, up, corner)][way]
+            assert (images._unfiltered(way, row - np.uint8(0) if way == 0 else row - guess, up, 3) == row).all()
+            up = row
+    palette = images._SIGNATURE + images._chunk(b"IHDR", bytes((0, 0, 0, 2, 0, 0, 0, 1, 8, 3, 0, 0, 0))) + images._chunk(b"PLTE", bytes((1, 2, 3, 4, 5, 6))) + images._chunk(b"tRNS", bytes((9,))) + images._chunk(b"IDAT", zlib.compress(bytes((0, 1, 0)))) + images._chunk(b"IEND", b"")
+    assert images.decode_png(palette).tolist() == [[[4, 5, 6, 255], [1, 2, 3, 9]]]
+    for bad in (raw[:-20], raw[:60] + b"x" + raw[61:], b"P6", raw.replace(b"\x08\x06", b"\x10\x06", 1)):
+        with pytest.raises((ValueError, KeyError)):
+            images.decode_png(bad)
+    assert images.over_white(np.array([[[10, 20, 30, 0], [10, 20, 30, 255]]], np.uint8)).tolist() == [[[255] * 3, [10, 20, 30]]]
+
+
+def test_data_sources(spark, tmp_path):
+    datasource.register(spark)
+    rng = np.random.default_rng(6)
+    rows = [(f"i{k}", c, 5 + k, 7, rng.integers(0, 256, 7 * (5 + k)).astype(float).tolist()) for k in range(6) for c in range(4 if k % 2 else 3)]
+    planes = spark.createDataFrame(rows, datasource.PLANES).repartition(4)
+    want = sorted((i, c, v) for i, c, _, _, v in rows)
+    images.write(planes, str(tmp_path / "png"), "png")
+    name = F.regexp_extract("image_id", r"([^/]*)\.\w+$", 1).alias("i")
+    back = spark.read.format("png").load(str(tmp_path / "png")).select(name, "c", "v").collect()
+    assert sorted((r[0], r[1], r[2]) for r in back) == want
+    assert sorted((r[0], r[1], r[2]) for r in images.read(spark, str(tmp_path / "png")).select(name, "c", "v").collect()) == want
+    opaque = planes.where("image_id in ('i0', 'i2', 'i4')")
+    images.write(opaque, f"file://{tmp_path}/ppm", "ppm")
+    images.write(planes, str(tmp_path / "bmp"), "bmp")
+    ppm = spark.read.format("ppm").load(str(tmp_path / "ppm"))
+    assert sorted((r[0], r[1], r[2]) for r in ppm.select(name, "c", "v").collect()) == [w for w in want if w[0] in ("i0", "i2", "i4")]
+    white = [r["v"] for r in spark.read.format("bmp").load(str(tmp_path / "bmp")).where("image_id like '%i1.bmp' and c = 0").collect()][0]
+    a, v = (np.array(next(r[4] for r in rows if r[0] == "i1" and r[1] == c)) for c in (3, 0))
+    assert white == np.floor(v * a / 255 + 255 * (1 - a / 255) + 0.5).tolist()
+    # Tiles come line by line of tiles, from only the bytes that they need.
+    tiles = spark.read.format("ppm").option("tile", 4).load(str(tmp_path / "ppm"))
+    assert tiles.rdd.getNumPartitions() == 3 * 2 and tiles.columns == [*mosaic.KEYS, "w", "h", "v"]
+    assert sorted((r[0], r[1], r[2], r[3], r[4]) for r in mosaic.pixels(tiles, 4).collect()) == sorted((r[0], r[1], r[2], r[3], r[4]) for r in metrics.pixels(ppm).collect())
+    # A task that fails leaves no file, nor the others of its job.
+    bad = opaque.unionByName(planes.where("image_id = 'i1' and c < 3").withColumn("v", F.transform("v", lambda x: x + 999)))
+    with pytest.raises(Exception, match="no bytes"):
+        images.write(bad, str(tmp_path / "none"), "ppm")
+    assert not (tmp_path / "none").exists() or not [p for p in (tmp_path / "none").rglob("*")]
+    with pytest.raises(Exception, match="channels"):
+        images.write(planes.where("c < 2"), str(tmp_path / "two"), "png")
+    with pytest.raises(Exception, match="ends early|no 8-bit"):
+        (tmp_path / "short.ppm").write_bytes(b"P6 9 9 255\n123")
+        spark.read.format("ppm").option("tile", 4).load(str(tmp_path / "short.ppm")).collect()
+
+
+def test_light_of_four_channels(spark, tmp_path):
+    """A picture with alpha goes from a PNG file through linear light and back, each channel as a plane of its own, alpha too."""
+    y, x = np.mgrid[:12, :16]
+    image = np.stack([x * 15, y * 20, (x + y) * 8, 255 - x * 10], 2).astype(np.uint8)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.png").write_bytes(images.encode_png(image))
+    planes = images.read(spark, str(tmp_path / "in"))
+    out = upscale(planes, 2, working_space="linear")
+    images.write(out.select("image_id", "c", "w", "h", "v"), str(tmp_path / "out"), "png")
+    big = images.decode_png((tmp_path / "out" / "a.png").read_bytes()).astype(int)
+    assert big.shape == (24, 32, 4) and (big.reshape(12, 2, 16, 2, 4).sum((1, 3)) == 4 * image.astype(int)).all()
+    assert (big[:, :, 3].reshape(-1) == upscale(planes.where("c = 3"), 2, working_space="linear").first()["v"]).all()
+
+
 def test_large_image_files_stay_whole(spark, tmp_path):
     from gridloom import cli
 
