@@ -12,8 +12,7 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.operators.tiling import needs_tiling
-from gridloom.plans.upscale import fuse_burst, upscale, upscaled_tiles
+from gridloom.plans.upscale import dispatched, fuse_burst
 from gridloom.sources import images
 
 
@@ -30,11 +29,10 @@ def main(args: list[str]) -> int:
     scale = int(args[2])
     named = F.concat(F.regexp_replace(F.element_at(F.split("image_id", "/"), -1), r"\.[^.]*$", ""), F.lit(f"-{scale}x.ppm"))
     if args[0] == "upscale":
-        planes, large = images.read(spark, args[1]), needs_tiling(F.col("w"), F.col("h"), scale)
-        done = upscale(planes.where(~large), scale, mode="progressive" if scale == 8 else "direct")
+        done, tiles = dispatched(images.read(spark, args[1]), scale)
         images.write(done.withColumn("image_id", named), args[3])
         if scale != 8:
-            images.write_tiles(upscaled_tiles(planes.where(large), scale).withColumn("image_id", named), args[3], scale)
+            images.write_tiles(tiles.withColumn("image_id", named), args[3], scale)
     else:
         frames = None
         for k, path in enumerate(args[3:]):

@@ -65,3 +65,10 @@ def alpha_used(v: Column) -> Column:
 def regressions(measured: dict[str, float], baseline: dict[str, float], tolerance: float = 0.1) -> list[str]:
     """Names whose PSNR is more than ``tolerance`` below the baseline; names without one are skipped."""
     return sorted(k for k, v in measured.items() if k in baseline and v < baseline[k] - tolerance)
+
+
+def regressed(measured: DataFrame, baseline: DataFrame, name: str = "image_id", tolerance: float = 0.1) -> DataFrame:
+    """(name, psnr, before): rows of ``measured`` (name, psnr) more than ``tolerance`` below their row of ``baseline``; names without one are skipped."""
+    before = baseline.select(F.col(name).alias("_name"), F.col("psnr").alias("before"))
+    met = measured.join(before, F.col(name) == F.col("_name"))
+    return met.where(F.col("psnr") < F.col("before") - tolerance).select(name, "psnr", "before")

@@ -5,18 +5,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet and read again, which cuts its lineage and outlives executors.
-
-    The folder is the session's spark.checkpoint.dir; a local one is set only
-    where the session names none, as in tests.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; a local folder is set only where the session names none, as in tests."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-"))
-    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4()}"
+    return spark.sparkContext.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet and read again, which cuts its lineage and outlives executors."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)

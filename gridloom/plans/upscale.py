@@ -7,7 +7,7 @@ a shuffle; bursts are relations of frames, see ``bursts``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,41 +51,8 @@ def _srgb(v: np.ndarray, back: bool) -> np.ndarray:
     return np.where(v <= 0, 0.0, np.where(v <= 0.04045, v / 12.92, ((np.maximum(v, 0) + 0.055) / 1.055) ** 2.4))
 
 
-def upscale(planes: DataFrame, scale: int, passes: int = PASSES, mode: str = "direct", clamp: DataFrame | None = None, dither: Dither | int = Dither.NONE, amplitude: float = AMPLITUDE, iters: str = "fixed", working_space: str = "gamma", deblocking: Deblock | None = DEBLOCK, floats: bool = False, grain: int | None = None) -> DataFrame:
-    """Planes ``scale`` times as large in bytes whose block sums are exact, with residual and passes used.
-
-    ``mode`` is direct (2, 3, 4; 4 in stages) or progressive (2, 4, 8);
-    ``clamp`` (one row for each plane), or columns lo and hi, have a range in place of each plane's own;
-    ``iters`` auto stops early, without deblocking or the short way of
-    constant planes; ``working_space`` linear works on light, with ranges given
-    in bytes and statistics, if given, of the light. ``floats``
-    returns the float planes before bytes; with ``grain`` those are rounded to
-    so many bits behind the point first, so that samples that are equal but
-    for rounding are equal, and other engines make the same bytes. Empty relations give empty ones;
-    planes with null or non-finite samples fail.
-    """
-    _valid(scale, (2, 4, 8) if mode == "progressive" else (2, 3, 4), passes)
-    dither = Dither(dither)
-    if mode not in ("direct", "progressive") or iters not in ("fixed", "auto") or working_space not in ("gamma", "linear"):
-        raise ValueError("unknown mode, iters or working_space")
-    if iters == "auto" and scale not in (2, 3):
-        raise ValueError("iters auto takes scale 2 or 3")
-    df = _checked(planes)
-    if clamp is not None:
-        bad = F.col("lo").isNull() | F.col("hi").isNull() | F.isnan("lo") | F.isnan("hi") | (F.col("lo") > F.col("hi")) | (F.abs("lo") == float("inf")) | (F.abs("hi") == float("inf"))
-        given = clamp.groupBy("image_id", "c").agg(F.count("*").alias("_given"), F.first(F.col("lo").cast("double")).alias("lo"), F.first(F.col("hi").cast("double")).alias("hi"))
-        given = given.select("image_id", "c", "_given", F.when(bad, F.raise_error(F.lit("clamp range is not finite and ascending")).cast("double")).otherwise(F.col("lo")).alias("_lo"), F.col("hi").alias("_hi"))
-        alone = F.when(F.col("_given").isNull(), F.raise_error(F.lit("plane has no clamp range")).cast("double")).when(F.col("_given") > 1, F.raise_error(F.lit("plane has several clamp ranges")).cast("double")).otherwise(F.col("_lo"))
-        df = df.join(given, ["image_id", "c"], "left").withColumn("_lo", alone).drop("_given")
-    elif {"lo", "hi"} <= set(df.columns):
-        df = df.withColumnsRenamed({"lo": "_lo", "hi": "_hi"})
-    else:
-        df = df.withColumns({"_lo": F.lit(None).cast("double"), "_hi": F.lit(None).cast("double")})
-    if "stats" not in df.columns:
-        df = df.withColumn("stats", F.lit(None).cast("struct<strength double, phase_x int, phase_y int>"))
-    keep = [c for c in df.columns if c not in ("w", "h", "v", "_lo", "_hi", "stats")]
-    kind = "double" if floats else "int"
-    schema = f"{_fields(df, keep)}, {_OUT.replace('array<int>', f'array<{kind}>')}"
+def _worker(keep: list[str], scale: int, passes: int, mode: str, dither: Dither, amplitude: float, iters: str, working_space: str, deblocking: Deblock | None, floats: bool, grain: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What ``upscale`` does with batches of planes, which have columns ``keep``, w, h, v, _lo, _hi and stats."""
 
     def stack(rows: list[int], b: pa.RecordBatch, w: int, h: int):
         src = np.stack([np.asarray(b["v"][i].values) for i in rows]).reshape(-1, h, w)
@@ -138,6 +105,48 @@ def upscale(planes: DataFrame, scale: int, passes: int = PASSES, mode: str = "di
                 for_out = [pa.array([w * scale for w in b["w"].to_pylist()], pa.int32()), pa.array([h * scale for h in b["h"].to_pylist()], pa.int32()), pa.array([d[0] for d in done], pa.list_(pa.float64() if floats else pa.int32())), pa.array([d[1] for d in done], pa.float64()), pa.array([d[2] for d in done], pa.int32())]
                 yield pa.RecordBatch.from_arrays([*cols, *for_out], names=[*keep, "w", "h", "v", "residual", "iters"])
 
+    return run
+
+
+def upscale(planes: DataFrame, scale: int, passes: int = PASSES, mode: str = "direct", clamp: DataFrame | None = None, dither: Dither | int = Dither.NONE, amplitude: float = AMPLITUDE, iters: str = "fixed", working_space: str = "gamma", deblocking: Deblock | None = DEBLOCK, floats: bool = False, grain: int | None = None, limits: bool = True) -> DataFrame:
+    """Planes ``scale`` times as large in bytes whose block sums are exact, with residual and passes used.
+
+    ``mode`` is direct (2, 3, 4; 4 in stages) or progressive (2, 4, 8);
+    ``clamp`` (one row for each plane), or columns lo and hi, have a range in place of each plane's own;
+    ``iters`` auto stops early, without deblocking or the short way of
+    constant planes; ``working_space`` linear works on light, with ranges given
+    in bytes and statistics, if given, of the light. ``floats``
+    returns the float planes before bytes; with ``grain`` those are rounded to
+    so many bits behind the point first, so that samples that are equal but
+    for rounding are equal, and other engines make the same bytes. Empty relations give empty ones;
+    planes with null or non-finite samples fail.
+    """
+    _valid(scale, (2, 4, 8) if mode == "progressive" else (2, 3, 4), passes)
+    dither = Dither(dither)
+    if mode not in ("direct", "progressive") or iters not in ("fixed", "auto") or working_space not in ("gamma", "linear"):
+        raise ValueError("unknown mode, iters or working_space")
+    if iters == "auto" and scale not in (2, 3):
+        raise ValueError("iters auto takes scale 2 or 3")
+    df = _checked(planes)
+    if limits:
+        df = df.withColumn("w", F.when(admitted(F.col("w"), F.col("h"), scale), F.col("w")).otherwise(F.raise_error(F.lit("plane is over the limits of admission")).cast("int")))
+    if clamp is not None:
+        bad = F.col("lo").isNull() | F.col("hi").isNull() | F.isnan("lo") | F.isnan("hi") | (F.col("lo") > F.col("hi")) | (F.abs("lo") == float("inf")) | (F.abs("hi") == float("inf"))
+        given = clamp.groupBy("image_id", "c").agg(F.count("*").alias("_given"), F.first(F.col("lo").cast("double")).alias("lo"), F.first(F.col("hi").cast("double")).alias("hi"))
+        given = given.select("image_id", "c", "_given", F.when(bad, F.raise_error(F.lit("clamp range is not finite and ascending")).cast("double")).otherwise(F.col("lo")).alias("_lo"), F.col("hi").alias("_hi"))
+        alone = F.when(F.col("_given").isNull(), F.raise_error(F.lit("plane has no clamp range")).cast("double")).when(F.col("_given") > 1, F.raise_error(F.lit("plane has several clamp ranges")).cast("double")).otherwise(F.col("_lo"))
+        df = df.join(given, ["image_id", "c"], "left").withColumn("_lo", alone).drop("_given")
+    elif {"lo", "hi"} <= set(df.columns):
+        df = df.withColumnsRenamed({"lo": "_lo", "hi": "_hi"})
+    else:
+        df = df.withColumns({"_lo": F.lit(None).cast("double"), "_hi": F.lit(None).cast("double")})
+    if "stats" not in df.columns:
+        df = df.withColumn("stats", F.lit(None).cast("struct<strength double, phase_x int, phase_y int>"))
+    keep = [c for c in df.columns if c not in ("w", "h", "v", "_lo", "_hi", "stats")]
+    kind = "double" if floats else "int"
+    schema = f"{_fields(df, keep)}, {_OUT.replace('array<int>', f'array<{kind}>')}"
+
+    run = _worker(keep, scale, passes, mode, dither, amplitude, iters, working_space, deblocking, floats, grain)
     return df.select(*keep, "w", "h", "v", "_lo", "_hi", "stats").mapInArrow(run, schema)
 
 
@@ -161,20 +170,22 @@ def worst_residual(tiles: DataFrame) -> DataFrame:
     return tiles.groupBy("image_id", "c").agg(F.max("residual").alias("residual"))
 
 
-def enlarged(planes: DataFrame, scale: int, tile: int = TILE, halo: int = HALO, **options) -> DataFrame:
-    """Output tiles as ``upscaled_tiles`` gives them: planes that need tiling are cut, others are one tile each.
+def dispatched(planes: DataFrame, scale: int, tile: int = TILE, halo: int = HALO, **options) -> tuple[DataFrame, DataFrame]:
+    """Planes that need no tiling enlarged whole, and the output tiles of the others; a plane over the limits of admission fails."""
+    large = needs_tiling(F.col("w"), F.col("h"), scale)
+    mode = options.pop("mode", "progressive" if scale == 8 else "direct")
+    tiles = upscaled_tiles(planes.where(large), min(scale, 4), tile, halo, **options)  # at scale 8 no plane is large
+    return upscale(planes.where(~large), scale, mode=mode, **options), tiles
 
-    A plane that is neither cut nor within the limits of admission fails.
-    """
-    w, h = F.col("w"), F.col("h")
-    large = needs_tiling(w, h, scale)
-    refused = F.raise_error(F.lit("plane is over the limits of admission")).cast("int")
-    whole = planes.where(~large).withColumn("w", F.when(admitted(w, h, scale), w).otherwise(refused))
+
+def enlarged(planes: DataFrame, scale: int, tile: int = TILE, halo: int = HALO, **options) -> DataFrame:
+    """Output tiles as ``upscaled_tiles`` gives them: planes that need tiling are cut, others are one tile each; see ``dispatched``."""
     zero = F.lit(0)
+    whole, tiles = dispatched(planes.select("image_id", "c", "w", "h", "v"), scale, tile, halo, **options)
+    w, h = (F.call_function("div", F.col(k), F.lit(scale)).cast("int") for k in ("w", "h"))
     box = F.struct(*(c.cast("int").alias(n) for n, c in {"tile_id": zero, "vx0": zero, "vy0": zero, "vx1": w, "vy1": h, "px0": zero, "py0": zero, "pw": w, "ph": h}.items()))
-    named = whole.select(F.struct("image_id", "c", F.struct("w", "h").alias("size"), box.alias("t")).alias("image_id"), F.lit(0).alias("c"), "w", "h", "v")
-    small = upscale(named, scale, **options).select("image_id.*", "v", "residual")
-    return small if scale == 8 else small.unionByName(upscaled_tiles(planes.where(large), scale, tile, halo, **options))
+    small = whole.select("image_id", "c", F.struct(w.alias("w"), h.alias("h")).alias("size"), box.alias("t"), "v", "residual")
+    return small if scale == 8 else small.unionByName(tiles)
 
 
 def upscale_tiled(planes: DataFrame, scale: int, tile: int = TILE, halo: int = HALO, **options) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -12,13 +13,15 @@ from .functions import color
 from .functions.arrays import at
 from .functions.kernels import Kernel, phases
 from .operators import descriptors as desc
-from .operators import forward, metrics, mosaic, quantize, regularize, resample, tiling
+from . import sql
+from .operators import forward, metrics, mosaic, quantize, regularize, resample, rows, tiling
 from .operators.numbering import numbered
 from .plans import numeric, tiled
+from .plans.rounds import shared_folder
 from .plans.stacks import mapped
 from .operators.tiling import stitch as stitch_tiles
 from .plans.upscale import BURST_CONFIDENCE, DEBLOCK, enlarged, fuse_burst, upscale, upscale_tiled, upscaled_tiles, worst_residual
-from .sources import rasters
+from .sources import images, rasters
 
 
 def W() -> Column:  # noqa: N802  columns need a session, which importing must not
@@ -674,6 +677,113 @@ def _heat_colors(s: SparkSession, d: str) -> DataFrame:
 _add("heat_colors", _heat_colors, f"with {_EMB}, {_up_cte('emb', Kernel.BICUBIC, 2, 8, 8, 'u')}, l as (select u.image_id, u.y, u.x, cast(floor(round(least(255.0, 8 * 3 * abs(u.v - e.v) / 3), 4)) as integer) as level from u join emb e on e.image_id = u.image_id and e.y = u.y // 2 and e.x = u.x // 2) select image_id, y, x, cast(case when level < 64 then 0 when level < 128 then (level - 64) * 4 else 255 end as integer) as red, cast(case when level < 64 then level * 4 when level < 128 then 255 else greatest(0, 255 - (level - 128) * 2) end as integer) as green, cast(case when level < 64 then 128 + level * 2 when level < 128 then 255 - (level - 64) * 4 else 0 end as integer) as blue from l")
 _add("alpha_over_white", lambda s, d: _pixels(_emb(s, d), F.transform("v", lambda v, i: color.over_white(v, (i * 4).cast("double")))), f"with {_EMB} select image_id, y, x, round(v * ((y * 8 + x) * 4.0::double) / 255 + 255 * (1 - ((y * 8 + x) * 4.0::double) / 255), 4) as v from emb")
 
+
+# --- files, SQL text, rows
+
+
+def _written(df: DataFrame, form: str) -> str:
+    """The folder of image files of planes, in the folder that executors share."""
+    folder = f"{shared_folder(df.sparkSession)}/{form}-{uuid.uuid4()}"
+    images.write(df, folder, form)
+    return folder
+
+
+def _file_id() -> Column:
+    return F.regexp_extract("image_id", r"([^/]*)\.\w+$", 1).cast("long").alias("image_id")
+
+
+def _ppm(s: SparkSession, d: str) -> DataFrame:
+    """Pages of embeddings as three-channel files, written and read back by lines of tiles."""
+    grey = _page_tiles(s, d, tile=64).select("image_id", F.explode(F.array(*map(F.lit, range(3)))).alias("c"), "w", "h", "v")
+    folder = _written(grey.withColumn("v", F.transform("v", lambda x: F.greatest(F.lit(0.0), x - F.col("c")))), "ppm")
+    tiles = s.read.format("ppm").option("tile", _TILE).load(folder)
+    return mosaic.pixels(tiles, _TILE).select(_file_id(), "c", "y", "x", "v")
+
+
+def _rgba(s: SparkSession, d: str) -> DataFrame:
+    """Four vectors in a row as the channels of a picture with alpha, written as PNG files and read back."""
+    four = _emb(s, d).select(F.call_function("div", F.col("image_id"), F.lit(4)).alias("image_id"), (F.col("image_id") % 4).cast("int").alias("c"), "w", "h", "v")
+    full = four.groupBy("image_id").count().where("count = 4").select("image_id")
+    folder = _written(four.join(full, "image_id"), "png")
+    return s.read.format("png").load(folder).select(_file_id(), "c", "w", "h", "v")
+
+
+_RGBA = f"{_EMB}, rgba as materialized (select image_id // 4 as image_id, cast(image_id % 4 as integer) as c, y, x, v from emb where image_id // 4 in (select vec_id // 4 from embeddings where len(embedding) = 64 group by 1 having count(*) = 4))"
+
+
+def _white(s: SparkSession, d: str) -> DataFrame:
+    rgba = _rgba(s, d)
+    alpha = rgba.where("c = 3").select("image_id", F.col("v").alias("a"))
+    over = rgba.where("c < 3").join(alpha, "image_id").withColumn("v", F.zip_with("v", "a", color.over_white))
+    return metrics.pixels(over).withColumn("v", F.round("v", 4))
+
+
+_add("ppm_tiles", _ppm, f"with {_PAGES} select image_id, cast(c as integer) as c, y, x, greatest(0.0, v - c) as v from pg, range(3) z(c)")
+_add("png_rgba", lambda s, d: metrics.pixels(_rgba(s, d)), f"with {_RGBA} select * from rgba")
+_add("rgba_over_white", _white, f"with {_RGBA} select p.image_id, p.c, p.y, p.x, round(p.v * a.v / 255 + 255 * (1 - a.v / 255), 4) as v from rgba p join rgba a using (image_id, y, x) where p.c < 3 and a.c = 3")
+_add("rgba_alpha", lambda s, d: _rgba(s, d).where("c = 3").select("image_id", metrics.alpha_used(V()).alias("alpha")), f"with {_RGBA} select image_id, bool_or(v < 255) as alpha from rgba where c = 3 group by image_id")
+_add("rgba_linear", lambda s, d: metrics.pixels(upscale(_rgba(s, d), 2, working_space="linear", passes=1, floats=True)).withColumn("v", F.round("v", 5)), f"with {_single_sql(_RGBA + ', flat as materialized (select image_id * 4 + c as image_id, y, x, 255 * (case when v <= 0 then 0 when v / 255 <= 0.04045 then v / 255 / 12.92 else pow((v / 255 + 0.055) / 1.055, 2.4) end) as v from rgba)', 'flat', 8, 8, 2, 1)} select image_id // 4 as image_id, cast(image_id % 4 as integer) as c, y, x, round(255 * (case when v <= 0 then 0 when v >= 255 then 1 when v / 255 <= 0.0031308 then 12.92 * v / 255 else 1.055 * pow(v / 255, 1 / 2.4::double) - 0.055 end), 5) as v from done")
+
+
+def _by_text(s: SparkSession, d: str) -> DataFrame:
+    sql.register(s)
+    _emb(s, d).createOrReplaceTempView("gridloom_planes")
+    return s.sql("""
+        WITH big AS (SELECT * FROM gridloom_upscale_floats(TABLE(SELECT CAST(image_id AS STRING) AS image_id, c, w, h, v FROM gridloom_planes), 2))
+        SELECT CAST(image_id AS BIGINT) AS image_id, CAST(p.pos DIV w AS INT) AS y, CAST(p.pos % w AS INT) AS x, ROUND(p.col, 5) AS v FROM big, LATERAL posexplode(v) AS p""")
+
+
+def _measured_by_text(s: SparkSession, d: str) -> DataFrame:
+    sql.register(s)
+    _up(_emb(s, d)).createOrReplaceTempView("gridloom_big")
+    return s.sql("SELECT image_id, ROUND(gridloom_psnr(gridloom_box_mean(x, w * 2, h * 2, 2), v), 4) AS psnr, ROUND(gridloom_max_difference(gridloom_box_mean(x, w * 2, h * 2, 2), v), 4) AS worst FROM gridloom_big")
+
+
+_add("sql_upscale", _by_text, SQL["upscale_2x"])
+_add("sql_measures", _measured_by_text, f"with {_U}, m as (select image_id, avg(v * v) as e, max(abs(v)) as worst from r group by image_id) select image_id, round(case when e = 0 then 1e9 else 10 * log10(65025.0 / e) end, 4) as psnr, round(worst, 4) as worst from m")
+
+
+def _regression(s: SparkSession, d: str) -> DataFrame:
+    """Images that one kernel brings back worse than another by over 0.1 dB."""
+    def measured(kernel: Kernel) -> DataFrame:
+        return mapped(_emb(s, d), lambda p: {"x": numeric.upsample(numeric.box_mean(p, 2), 2, kernel)}, ["x"]).select("image_id", metrics.psnr(F.col("x"), V()).alias("psnr"))
+
+    return metrics.regressed(measured(Kernel.BILINEAR), measured(Kernel.LANCZOS3)).select("image_id", F.round("psnr", 4).alias("psnr"), F.round("before", 4).alias("before"))
+
+
+def _psnr_cte(kernel: Kernel, name: str) -> str:
+    return f"{_up_cte('half', kernel, 2, 4, 4, f'u{name}')}, {name} as (select image_id, 10 * log10(65025.0 / avg(pow(u{name}.v - emb.v, 2))) as psnr from u{name} join emb using (image_id, y, x) group by image_id)"
+
+
+_add("regression_gate", _regression, f"with {_EMB}, half as materialized (select image_id, cast(y // 2 as integer) as y, cast(x // 2 as integer) as x, avg(v) as v from emb group by all), {_psnr_cte(Kernel.BILINEAR, 'm')}, {_psnr_cte(Kernel.LANCZOS3, 'b')} select image_id, round(m.psnr, 4) as psnr, round(b.psnr, 4) as before from m join b using (image_id) where m.psnr < b.psnr - 0.1")
+
+_TILED_ROWS = ("image_id", "c", "t")
+
+
+def _row_passes(s: SparkSession, d: str) -> DataFrame:
+    """Four stencils in a chain on rows of padded tiles: mean, Laplacian, mean, L1 gradient."""
+    r = rows.rows_of(mosaic.padded(_page_tiles(s, d), _TILE, 8), _TILED_ROWS)
+    for work in (rows.mean, rows.laplacian, rows.mean, rows.gradient_l1):
+        r = work(r, _TILED_ROWS)
+    return rows.valid(r).select("image_id", "y", "x", F.round("v", 4).alias("v"))
+
+
+def _chain_sql(source: str, w: int, h: int) -> str:
+    mean = f"({_SUM}) / 9.0::double"
+    steps = [mean, "4 * n11.v - n10.v - n12.v - n01.v - n21.v", mean, "abs(n12.v - n10.v) + abs(n21.v - n01.v)"]
+    out, before = [], source
+    for k, step in enumerate(steps):
+        out.append(f"k{k} as materialized (select a.image_id, a.y, a.x, {step} as v {_cells(before, w, h)})")
+        before = f"k{k}"
+    return ", ".join(out)
+
+
+_add("rows_chain", _row_passes, f"with {_PAGES}, {_chain_sql('pg', 64, 32)} select image_id, y, x, round(v, 4) as v from k3")
+for _name, _work, _expr in (("min", lambda r, k: rows.extreme(r, k, False), f"least({', '.join(_ALL)})"), ("max", lambda r, k: rows.extreme(r, k, True), f"greatest({', '.join(_ALL)})")):
+    _add(f"rows_{_name}", lambda s, d, f=_work: rows.valid(f(rows.rows_of(mosaic.padded(_page_tiles(s, d), _TILE, 8), _TILED_ROWS), _TILED_ROWS)).select("image_id", "y", "x", "v"), f"with {_PAGES} select a.image_id, a.y, a.x, {_expr} as v {_cells('pg', 64, 32)}")
+_add("rows_box_mean", lambda s, d: rows.shrunk(rows.rows_of(_evt(s, d)), ("image_id", "c"), 2).select("image_id", "y", F.posexplode("row").alias("x", "v")).withColumn("v", F.round("v", 4)), f"with {_EVT} select image_id, cast(y // 2 as integer) as y, cast(x // 2 as integer) as x, round(avg(v), 4) as v from evt group by image_id, y // 2, x // 2")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embedding rasters at twice their size: bytes with exact block sums, and the loop's residual."""
     return upscale(_emb(spark, sf_dir), 2).select("image_id", "w", "h", "v", "residual", "iters")

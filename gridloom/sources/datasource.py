@@ -31,7 +31,8 @@ TILES = "image_id string, c int, ty int, tx int, w int, h int, v array<double>"
 
 
 def _opened(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    path = re.sub(r"^file:/+", "/", path)  # as Spark writes local paths
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
 def header(store: fs.FileSystem, name: str) -> tuple[int, int, int]:

@@ -1,5 +1,6 @@
 """Contracts of the raster operators: exact sums, residuals, fixed points, tiles, bursts, both paths."""
 
+import re
 import zlib
 from fractions import Fraction
 
@@ -8,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions.kernels import Kernel, phases
-from gridloom.operators import descriptors, forward, metrics, mosaic, quantize, regularize, resample
-from gridloom.plans import numeric, reconstruct, tiled
+from gridloom.operators import descriptors, forward, metrics, mosaic, quantize, regularize, resample, rows
+from gridloom import sql
+from gridloom.plans import jobs, numeric, reconstruct, tiled
 from gridloom.plans.bursts import estimate_shift
 from gridloom.operators.tiling import stitch
 from gridloom.plans.upscale import enlarged, fuse_burst, upscale, upscale_tiled, worst_residual
@@ -241,6 +243,9 @@ def test_golden_step(spark):
     x, *_ = numeric.reconstruct(low, 2, 4, low.min((1, 2)), low.max((1, 2)))
     psnr = 10 * np.log10(65025 / ((x - truth) ** 2).mean())
     assert abs(psnr - 47.62) < 0.15
+    x, *_ = numeric.reconstruct(low, 2, 7, low.min((1, 2)), low.max((1, 2)))  # what an automatic step may take
+    psnr = 10 * np.log10(65025 / ((x - truth) ** 2).mean())
+    assert abs(psnr - 65.68) < 0.15
 
 
 def test_a_burst_has_its_reference_once_and_a_bounded_side(spark):
@@ -445,10 +450,99 @@ def test_stencils_do_not_shuffle(spark):
     assert "Exchange" not in planes._jdf.queryExecution().executedPlan().toString()
 
 
+def test_row_stencils_take_one_exchange(spark):
+    rng = np.random.default_rng(5)
+    p = rng.integers(0, 256, (2, 11, 9)).astype(float)
+    keys = ("image_id", "c")
+    r = rows.rows_of(frame(spark, *p))
+    for work in (rows.mean, rows.laplacian, rows.mean, rows.laplacian):
+        r = work(r, keys)
+    plan = r._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and len(re.findall(r"\bSort \[", plan)) == 1 and plan.count("+- Window") + plan.count("Window [") >= 4
+    cells = lambda x: sum(numeric._cells(x)) / 9.0
+    want = numeric.laplacian(cells(numeric.laplacian(cells(p))))
+    for row in r.collect():
+        assert np.abs(np.array(row["row"]) - want[row["image_id"], row["y"]]).max() < 1e-9
+    one = rows.rows_of(frame(spark, np.array([[3.0, 5.0]])))
+    assert rows.extreme(one, keys, True).first()["row"] == [5.0, 5.0] and rows.gradient_l1(one, keys).first()["row"] == [2.0, 2.0]
+
+
+def test_large_planes_are_refused_unless_tiled(spark):
+    wide = spark.createDataFrame([(1, 0, 513, 2, [1.0] * 1026)], "image_id long, c int, w int, h int, v array<double>")
+    with pytest.raises(Exception, match="admission"):
+        upscale(wide, 8, mode="progressive").collect()
+    with pytest.raises(Exception, match="admission"):
+        enlarged(wide, 8).collect()
+    assert upscale(wide, 8, mode="progressive", limits=False).count() == 1 and enlarged(wide, 2).count() == 2
+    huge = wide.select("image_id", "c", F.lit(4000).alias("w"), F.lit(1500).alias("h"), F.expr("transform(sequence(1, 6000000), x -> 0D)").alias("v"))
+    with pytest.raises(Exception, match="admission"):
+        upscale(huge, 2).select("w").collect()
+
+
+def test_sql_text(spark):
+    sql.register(spark)
+    planes = frame(spark, np.rint(texture(12))[0], step(12, 5)[0], np.full((3, 4), 9.0))
+    planes.createOrReplaceTempView("some_planes")
+    for scale, mode in ((2, "direct"), (3, "direct"), (8, "progressive")):
+        got = spark.sql(f"SELECT * FROM gridloom_upscale(TABLE(SELECT CAST(image_id AS STRING) AS image_id, c, w, h, v FROM some_planes), {scale})").collect()
+        want = upscale(planes, scale, mode=mode).collect()
+        assert sorted((r["image_id"], r["w"], r["v"], r["residual"], r["iters"]) for r in got) == sorted((str(r["image_id"]), r["w"], r["v"], r["residual"], r["iters"]) for r in want)
+    for bad in ("TABLE(SELECT 'a' AS image_id, 0 AS c, 2 AS w, 2 AS h, array(1D) AS v), 2", "TABLE(SELECT 'a' AS image_id, 0 AS c, 1 AS w, 1 AS h, array(double('NaN')) AS v), 2", "TABLE(SELECT 'a' AS image_id, 0 AS c, 1 AS w, 1 AS h, array(1D) AS v), 5"):
+        with pytest.raises(Exception, match="finite|scale"):
+            spark.sql(f"SELECT * FROM gridloom_upscale({bad})").collect()
+    one = spark.sql("SELECT gridloom_psnr(array(1D, 2D), array(1D, 2D)) AS a, gridloom_psnr(array(0D), array(255D)) AS b, gridloom_to_srgb(gridloom_to_linear(0.5D)) AS c, gridloom_over_white(10D, 0D) AS d").first()
+    assert one["a"] == 1e9 and abs(one["b"]) < 1e-9 and abs(one["c"] - 0.5) < 1e-9 and one["d"] == 255
+
+
+def test_work_is_called_off(spark):
+    import threading
+    import time
+
+    told = []
+
+    def work():
+        with jobs.tagged(spark, "gridloom-test"):
+            try:
+                spark.range(4).repartition(2).mapInArrow(lambda batches: (time.sleep(30) or b for b in batches), "id long").collect()
+            except Exception as e:
+                told.append(type(e).__name__)
+
+    thread = threading.Thread(target=work)
+    thread.start()
+    began = time.time()
+    while thread.is_alive() and time.time() - began < 25:
+        jobs.cancel(spark, "gridloom-test")
+        time.sleep(0.3)
+    thread.join(20)
+    assert told and time.time() - began < 28 and spark.range(3).count() == 3
+
+
+def test_burst_command(spark, tmp_path):
+    from gridloom import cli
+
+    rng = np.random.default_rng(2)
+    image = rng.integers(0, 256, (10, 12, 3), np.uint8)
+    frames = [tmp_path / f"f{k}.ppm" for k in range(3)]
+    for f in frames:
+        f.write_bytes(images.encode_ppm(image))
+    assert cli.main(["burst", str(tmp_path / "out" / "fused.ppm"), "2", *map(str, frames)]) == 0
+    got = images.decode_ppm((tmp_path / "out" / "fused-2x.ppm").read_bytes()).astype(int)
+    assert got.shape == (20, 24, 3) and (got.reshape(10, 2, 12, 2, 3).sum((1, 3)) == 4 * image.astype(int)).all()
+    assert cli.main(["burst"]) == 2
+    frames[2].write_bytes(images.encode_ppm(image[:9]))
+    with pytest.raises(Exception, match="differ in size"):
+        cli.main(["burst", str(tmp_path / "out" / "other.ppm"), "2", *map(str, frames)])
+
+
 def test_regression_gate():
     assert metrics.regressions({"a": 40.0, "b": 30.0, "new": 1.0}, {"a": 40.05, "b": 30.2}) == ["b"]
 
 
+def test_regression_gate_of_tables(spark):
+    table = lambda data: spark.createDataFrame(list(data.items()), "image_id string, psnr double")
+    assert metrics.regressed(table({"a": 40.0, "b": 30.0, "new": 1.0}), table({"a": 40.05, "b": 30.2, "gone": 9.0})).collect() == [("b", 30.0, 30.2)]
+
+
 def test_stream(spark, tmp_path):
     from gridloom.streaming.images import arriving, enlarged
 
