@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 #: Symbols of a word beyond which a heap replaces the scan, and words kept.
 LONG, KEPT_WORDS = 128, 100_000
 _NONE = 1 << 60
@@ -177,6 +179,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
 
     With ``decoded`` also the text that the ids decode to, from the same pass.
     Null texts are empty and have no ids; every other text is encoded whole.
+    Rows that repeat are each encoded; the lowest rank, then the leftmost place
+    decides between merges; no documents give no rows; columns other than
+    ``keep`` are not read, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,6 +195,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
                     out.append(pa.array([t.decode(x) for x in ids], pa.binary()).cast(pa.string()))
                 yield pa.RecordBatch.from_arrays(out, names=[*b.schema.names[:-1], "ids", "decoded"][: len(out)])
 
+    small_batches(docs.sparkSession)
     cut = docs.select(*keep, F.col(text).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields[:-1])
     return cut.mapInArrow(run, f"{schema}, ids binary" + ", decoded string" * decoded)
@@ -204,6 +210,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...
             texts = [t.decode(array("I", x or b"")) for x in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.binary()).cast(pa.string())], names=[*b.schema.names[:-1], "decoded"])
 
+    small_batches(encoded.sparkSession)
     cut = encoded.select(*keep, F.col(ids).alias("_ids"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields[:-1])
     return cut.mapInArrow(run, f"{schema}, decoded string")

@@ -4,7 +4,9 @@ The model has single words, pairs and triples. Every fifth document (by crc32
 of its id) is held out; all others train. Blocks send their words and then
 their triples to shards, which count over all training documents. Words
 are numbered by their shards, frequent ones first, and go by number from then
-on, which names them without collisions and packs well. A triple goes with its last two words, so that one message serves pairs and triples.
+on, which packs well; a shard tells words apart by 64-bit hashes, so that two
+words of one hash would count as one. A triple goes with its last two words, so
+that one message serves pairs and triples.
 Each shard keeps them in memory-mapped tries (word, its successor, the word
 before both) and answers with quantised probabilities of pairs and counts of
 triples. Contexts that are frequent are split over shards, and the words

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, contamination, hard_negatives, language_model, licenses, minhash, packing, quality, recompress, simhash, substrings, target_sampling, topk
+from .shared import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +29,7 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    coded = bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), decoded=True)
+    coded = bpe.encode(spread(_table(spark, sf_dir, "documents")), public_tokenizers.path("word_bpe_49k.json"), decoded=True)
     return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -42,7 +43,7 @@ def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(_table(spark, sf_dir, "documents"))
+    return licenses.scan(spread(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
