@@ -551,3 +551,45 @@ def test_stream(spark, tmp_path):
     query = enlarged(arriving(spark, str(tmp_path / "in"), planes.schema), 2).writeStream.format("memory").queryName("enlarged").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert spark.table("enlarged").first()["v"] == upscale(planes, 2).first()["v"]
+
+
+def test_bursts_from_a_stream(spark, tmp_path):
+    """Frames of three bursts in four runs from one checkpoint: bursts close when complete or after their time, late and doubled frames are told."""
+    import time
+
+    from gridloom.streaming import bursts
+
+    rng = np.random.default_rng(1)
+    rows = [(f"b{b}", k, c, 6, 6, rng.integers(0, 256, 36).astype(float).tolist(), 3) for b in range(3) for k in range(3) for c in range(2)]
+    schema = "burst_id string, frame int, c int, w int, h int, v array<double>, n_frames int"
+    add = lambda some: spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run(wait_ms):
+        # Timers keep a query going, so that it is stopped once it has read what is there.
+        stream = bursts.collected(bursts.arriving(spark, str(tmp_path / "in")), wait_ms)
+        query = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="1 second").start(str(tmp_path / "out"))
+        began = time.time()
+        while time.time() - began < 60 and not any(p["numInputRows"] for p in query.recentProgress):
+            time.sleep(0.5)
+        query.stop()
+
+    collected = lambda: spark.read.parquet(str(tmp_path / "out"))
+    told = lambda late: sorted((r["burst_id"], r["c"], r["frame"]) for r in collected().where(F.col("late") == late).collect())
+    out = lambda: {(r["burst_id"], r["c"]): r["v"] for r in fuse_burst(collected().where("not late"), 2).collect()}
+    add([r for r in rows if r[1] < 2] + [rows[0]])
+    run(600_000)
+    assert not told(False) and told(True) == [("b0", 0, 0)]
+    add([r for r in rows if r[1] == 2 and r[0] != "b2"])
+    run(600_000)  # state comes back from the checkpoint
+    want = {(r["burst_id"], r["c"]): r["v"] for r in fuse_burst(spark.createDataFrame(rows, schema).drop("n_frames"), 2).collect()}
+    assert out() == {k: v for k, v in want.items() if k[0] != "b2"}
+    add([rows[2]])
+    run(600_000)
+    assert told(True) == [("b0", 0, 0), ("b0", 0, 1)] and len(out()) == 4
+    add([rows[0]])
+    run(1)
+    add([(f"x{k}", 0, 0, 2, 2, [1.0, 2.0, 3.0, 4.0], 2) for k in range(2)])
+    run(1)  # their second frames never come
+    add([("y", 0, 0, 2, 2, [1.0, 2.0, 3.0, 4.0], 1)])
+    run(1)
+    assert {("x0", 0, 0), ("x1", 0, 0), ("y", 0, 0)} < set(told(False))
