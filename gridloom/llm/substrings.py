@@ -28,6 +28,8 @@ from .words import mix, range_hashes, utf8
 SPAN, KEY_BYTES, KEY_BITS, BLOCK_BYTES, SHARD_BYTES = 50, 20, 48, 1 << 20, 1 << 22
 #: Bytes of segments that differ, over all blocks, beyond which the windows of a key are dealt over several shards.
 HOT_BYTES = 1 << 18
+#: Bytes of a step in which sizes of segments are told.
+SIZE_STEP = 64
 _END = 0xFF  # never in UTF-8
 #: Windows whose keys are made at once.
 _PIECE = 1 << 14
@@ -152,7 +154,7 @@ def _in_two(payloads: list[bytes], hot_bytes: int) -> list[bytes]:
     # A segment that many blocks have counts once; 16 bits tell a key's segments apart well enough to see that it is hot.
     owner = np.repeat(inverse, np.concatenate([p["c"] for p in parts]))
     _, once = np.unique(owner << 16 | np.concatenate([p["h"] for p in parts]), return_index=True)
-    total = np.bincount(owner[once], np.concatenate([p["b"] for p in parts])[once], len(every)).astype(np.int64)
+    total = np.bincount(owner[once], np.concatenate([p["b"] for p in parts])[once], len(every)).astype(np.int64) * SIZE_STEP
     fan = np.where(shared, np.minimum(total // hot_bytes + 1, (1 << 32) - 1), 0).astype(np.uint32)[inverse]
     at, out = 0, []
     for k in keys:
@@ -268,7 +270,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     def name(t: pa.Table, _: list) -> pa.Table:
         x = _Block(t, span)
         cuts, (of, size, name_) = mail.by_shard(x.unique, shards, KEY_BITS), x.distinct()
-        at, size = np.searchsorted(of, np.arange(len(x.unique) + 1)), size.astype(np.uint32)
+        # Sizes go in whole steps, which hardly take any room and see hot keys as well.
+        at, size = np.searchsorted(of, np.arange(len(x.unique) + 1)), (-(-size // SIZE_STEP)).astype(np.uint32)
         count = np.diff(at).astype(np.uint32)
 
         def make(lo: int, hi: int) -> bytes:

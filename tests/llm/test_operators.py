@@ -445,7 +445,7 @@ def test_a_hot_key_is_dealt_over_shards(spark):
 
     def told(x, salt=0):
         of, size, name = x.distinct()
-        return mail.pack(d=mail.deltas(x.unique), m=np.packbits(x.many), i=x.low, c=np.bincount(of, minlength=len(x.unique)).astype(np.uint32), b=size.astype(np.uint32), h=name + np.uint16(salt))
+        return mail.pack(d=mail.deltas(x.unique), m=np.packbits(x.many), i=x.low, c=np.bincount(of, minlength=len(x.unique)).astype(np.uint32), b=(size // substrings.SIZE_STEP + 1).astype(np.uint32), h=name + np.uint16(salt))
 
     fans = lambda payloads: {int(f) for p in substrings._in_two(payloads, 2000) for f in mail.unpack(p)["f"]}
     assert fans([told(x) for x in blocks_]) == {1} and min(fans([told(x, k) for k, x in enumerate(blocks_)])) > 1
