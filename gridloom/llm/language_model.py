@@ -8,8 +8,8 @@ on, which packs well; a shard tells words apart by 64-bit hashes, so that two
 words of one hash would count as one. A triple goes with its last two words, so
 that one message serves pairs and triples.
 Each shard keeps them in memory-mapped tries (word, its successor, the word
-before both) and answers with quantised probabilities of pairs and counts of
-triples. Contexts that are frequent are split over shards, and the words
+before both) and answers with quantised probabilities of pairs, counts of
+triples, and rests that make both counts exact. Contexts that are frequent are split over shards, and the words
 before a pair of frequent words are a context of their own, split alike.
 Weights between pairs and single words, one for each power of 2 of a context's
 count, come from leave-one-out expectation maximisation over all training
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import mail
-from .trie import NONE, Trie, at_most, count_codes, counts, probability, quantised
+from .trie import NONE, Trie, at_least, count_codes, counts, probability, quantised
 from .words import Texts, mix, pair, sums_by, utf8, words
 
 #: One document of FOLDS is held out; bytes of text for each shard; occurrences of a context that one shard holds.
@@ -133,17 +133,20 @@ class _Block:
             s=_narrow(_gaps(self.s[lo:hi], at)), u=u, y=_narrow(y), w=_narrow(_gaps(self.w[t], pairs)), k=_narrow(self.k[t]),
         )
 
-    def likely(self, codes: np.ndarray, seen: np.ndarray, weights: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
-        """Probabilities of all tokens by single words and by all levels, from codes of pairs and of triples."""
+    def likely(self, codes: np.ndarray, rests: np.ndarray, seen: np.ndarray, weights: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of all tokens by single words and by all levels, from codes and rests of pairs and counts of triples."""
         n, single = len(self.tokens), self.p[self.of]
         q = codes[self.pair_of]
         w = np.where(self.history > 0, weights[_power(self.history)], 1.0)
-        two = (1 - w) * probability(q[:n]) + w * single
-        k = counts(seen[self.triple_of[:n]])
-        k[self.frequent] = probability(q[n:]) * self.size[n:]
-        # The pair before has the context's count, rounded up, so that shares of triples add up to at most 1.
+        pairs = at_least(q, self.size) + rests[self.pair_of]
+        # Shares too small for a code are told by the rest alone.
+        share = np.where(q[:n] == NONE, pairs[:n] / np.maximum(self.history, 1), probability(q[:n]))
+        two = (1 - w) * share + w * single
+        k = seen[self.triple_of[:n]]
+        k[self.frequent] = pairs[n:]
+        # The pair before has the context's count.
         c = self.history.astype(float)
-        c[1:] = np.minimum(c[1:], at_most(q[: n - 1], self.history[:-1]))
+        c[1:] = pairs[: n - 1]
         c[self.at[:-1]] = self.history[self.at[:-1]]
         return single, (k + prior * two) / (c + prior)
 
@@ -208,7 +211,7 @@ def _merged(upper: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _score_triples(_: int, payloads: list[bytes]) -> list[bytes]:
-    """Codes of each block's pairs and triples from tries of the shard's training text, and evidence for the weights."""
+    """Codes and rests of each block's pairs and triples from tries of the shard's training text, and evidence for the weights."""
     parts = [mail.unpack(p) for p in payloads]
     join = lambda f: np.concatenate([f(p) for p in parts])
     # Mixed, contexts are even over all values, as the trie's sequences like them.
@@ -222,16 +225,21 @@ def _score_triples(_: int, payloads: list[bytes]) -> list[bytes]:
     c, evident, u = np.repeat(join(lambda p: p["c"]), sizes)[first].astype(np.int64), np.repeat(join(lambda p: p["e"]), sizes)[first] > 0, join(lambda p: p["u"])[first]
     two, three = k > 0, k3 > 0
     known, starts = np.unique(x[two], return_index=True)
-    pairs = Trie(every[known], np.append(starts, two.sum()), s[two], quantised(k[two] / np.maximum(c[two], 1)))
+    share = quantised(k[two] / np.maximum(c[two], 1))
+    pairs = Trie(every[known], np.append(starts, two.sum()), s[two], share, _narrow(k[two] - at_least(share, c[two])))
     codes, node = pairs.find(every, s, np.bincount(x, minlength=len(every)))
+    rests = pairs.rest(node)
     pairs.close()
     known, starts = np.unique(node[of[three]], return_index=True)
-    triples = Trie(known, np.append(starts, three.sum()), w[three], count_codes(k3[three]))
-    seen, _ = triples.find(node, w, np.bincount(of, minlength=len(x)))
+    rough = count_codes(k3[three])
+    triples = Trie(known, np.append(starts, three.sum()), w[three], rough, _narrow(k3[three] - counts(rough)))
+    seen, leaf = triples.find(node, w, np.bincount(of, minlength=len(x)))
+    seen_rests = triples.rest(leaf)
     triples.close()
     out, done, past = [], 0, 0
     for p in parts:
-        out.append(mail.pack(q=codes[pair_of[done : done + len(p["s"])]], r=seen[triple_of[past : past + len(p["w"])]]))
+        two_of, three_of = pair_of[done : done + len(p["s"])], triple_of[past : past + len(p["w"])]
+        out.append(mail.pack(q=codes[two_of], a=_narrow(rests[two_of]), r=seen[three_of], b=_narrow(seen_rests[three_of])))
         done, past = done + len(p["s"]), past + len(p["w"])
     again = two & evident & (c > 1)
     ratio = (k[again] - 1) / (c[again] - 1) / probability(u[again]).clip(1e-12)
@@ -262,8 +270,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", prior: fl
     the end alone; a null id trains; rows that repeat count each. Without
     training documents all tokens are unknown. ``prior`` is how many occurrences
     the pairs are worth against a triple's context, ``whole`` how many occurrences
-    of a context one shard holds; beyond, counts of triples are rounded down by up
-    to a tenth. The documents' table stays until ``mail.release`` or the end of Python.
+    of a context one shard holds; scores do not depend on it. The documents' table stays until ``mail.release`` or the end of Python.
     """
     corpus = mail.Corpus(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")), "_text", ["_id"])
     shards = max(1, corpus.bytes // SHARD_BYTES)
@@ -294,12 +301,13 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", prior: fl
         b.counted(got[0], shards)
         b.triples(total, kinds, texts, whole)
         cuts = mail.by_shard(b.route, shards)
-        codes, seen = np.full(len(b.first), NONE, np.uint8), np.full(len(b.w), NONE, np.uint8)
+        codes, rests, seen = np.full(len(b.first), NONE, np.uint8), np.zeros(len(b.first)), np.zeros(len(b.w))
         for s, payload in got[1].items():
             told = mail.unpack(payload)
             codes[cuts[s] : cuts[s + 1]] = told["q"]
-            seen[b.begin[cuts[s]] : b.begin[cuts[s + 1]]] = told["r"]
-        single, all_levels = b.likely(codes, seen, weights, prior)
+            rests[cuts[s] : cuts[s + 1]] = told["a"]
+            seen[b.begin[cuts[s]] : b.begin[cuts[s + 1]]] = counts(told["r"]) + told["b"]
+        single, all_levels = b.likely(codes, rests, seen, weights, prior)
         n = len(b.counts)
         return pa.table(
             {

@@ -5,7 +5,8 @@ context behind one another, made one ascending sequence by their context's
 place; successors are places in the shard's own list of words. Monotone
 pointers say where a context's successors begin, and a successor is searched
 for in its context's range alone. Each has a code of one byte, for a quantised
-probability or count. The places of successors are the contexts of a next level.
+probability or count, and a rest, mostly 0, that makes the count exact. The
+places of successors are the contexts of a next level.
 """
 
 from __future__ import annotations
@@ -109,16 +110,16 @@ class EliasFano:
 
 
 class Trie:
-    """Successors of contexts with one-byte codes; ``close`` lets the file go."""
+    """Successors of contexts with one-byte codes and rests; ``close`` lets the file go."""
 
-    def __init__(self, contexts: np.ndarray, starts: np.ndarray, successors: np.ndarray, codes: np.ndarray):
-        """contexts ascending uint64; successors (uint64) ascending in each; starts: where each context's begin, and the end."""
+    def __init__(self, contexts: np.ndarray, starts: np.ndarray, successors: np.ndarray, codes: np.ndarray, rests: np.ndarray | None = None):
+        """contexts ascending uint64; successors (uint64) ascending in each; starts: where each context's begin, and the end; rests: unsigned, else 0."""
         of = np.repeat(np.arange(len(contexts), dtype=np.uint64), np.diff(starts))
         kinds = np.unique(successors)
         self.kinds = np.uint64(max(1, len(kinds)))
         relative = of * self.kinds + np.searchsorted(kinds, successors).astype(np.uint64)
         levels = [EliasFano.arrays(x) for x in (contexts, starts.astype(np.uint64), relative, kinds)]
-        arrays = [a for _, _, *three in levels for a in three] + [codes.astype(np.uint8)]
+        arrays = [a for _, _, *three in levels for a in three] + [np.zeros(len(codes), np.uint8) if rests is None else rests, codes.astype(np.uint8)]
         self.file = tempfile.TemporaryFile(prefix="gridloom-")  # noqa: SIM115  held open while it is mapped
         places = []
         for a in arrays:
@@ -128,7 +129,7 @@ class Trie:
         self.file.flush()
         mapped = [np.memmap(self.file, a.dtype, "r", p, a.shape) if a.size else a for p, a in zip(places, arrays, strict=True)]
         self.contexts, self.pointers, self.successors, self.words = (EliasFano(n, bits, *mapped[3 * k : 3 * k + 3]) for k, (n, bits, *_) in enumerate(levels))
-        self.codes = mapped[-1]
+        self.rests, self.codes = mapped[-2:]
 
     def find(self, contexts: np.ndarray, successors: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes and places of successors (uint64) of contexts, ``size`` of them for each; NONE and the number of places where the trie has none.
@@ -149,8 +150,14 @@ class Trie:
         places[live[found]] = at[found]
         return out, places
 
+    def rest(self, places: np.ndarray) -> np.ndarray:
+        """Rests of the successors at the places that ``find`` gives; 0 where the trie has none."""
+        out, here = np.zeros(len(places), self.rests.dtype), np.flatnonzero(places < self.successors.n)
+        out[here] = self.rests[places[here].astype(np.int64)]
+        return out
+
     def close(self) -> None:
-        del self.contexts, self.pointers, self.successors, self.words, self.codes
+        del self.contexts, self.pointers, self.successors, self.words, self.rests, self.codes
         self.file.close()
 
 
@@ -164,9 +171,9 @@ def probability(codes: np.ndarray) -> np.ndarray:
     return np.where(codes == NONE, 0.0, 2.0 ** (-codes.astype(float) / STEPS))
 
 
-def at_most(codes: np.ndarray, whole: np.ndarray) -> np.ndarray:
-    """The largest count that has this code as its share of ``whole``; ``whole`` itself at most."""
-    return np.minimum(np.floor(2.0 ** ((1 - codes.astype(float)) / STEPS) * whole + 1e-6), whole)
+def at_least(codes: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """A count that no count with this code as its share of ``whole`` is below; without a code 0."""
+    return np.ceil(probability(codes) * whole * (1 - 2.0**-30))
 
 
 def count_codes(k: np.ndarray) -> np.ndarray:
@@ -175,4 +182,4 @@ def count_codes(k: np.ndarray) -> np.ndarray:
 
 
 def counts(codes: np.ndarray) -> np.ndarray:
-    return np.where(codes == NONE, 0.0, np.ceil(2.0 ** (codes.astype(float) / STEPS) - 1e-6))
+    return np.where(codes == NONE, 0.0, np.ceil(2.0 ** (codes.astype(float) / STEPS) * (1 - 2.0**-30)))

@@ -219,7 +219,11 @@ def test_elias_fano_and_trie():
     k = np.array([0, *range(1, 12), 500, 1 << 31, 1 << 40])
     back = trie.counts(trie.count_codes(k))
     assert (back[:12] == k[:12]).all() and (back <= k).all() and (back[:-1] >= 0.9 * k[:-1]).all()
-    assert (trie.at_most(trie.quantised(k[1:13] / 700), np.full(12, 700)) >= k[1:13]).all()
+    many = np.random.default_rng(5).integers(1, 1 << 40, 5000)
+    many = np.unique(np.concatenate([many, many % 1000 + 1, 1 << np.arange(40)]))
+    for whole in (1 << 41, many, 3 * many):
+        assert (trie.at_least(trie.quantised(many / whole), whole) <= many).all()
+    assert (trie.counts(trie.count_codes(many)) <= many).all()
     p = np.array([1.0, 0.5, 0.3, 1e-12, 0.0])
     back = trie.probability(trie.quantised(p))
     assert (back <= p + 1e-12).all() and (back[:3] >= p[:3] * 0.9).all()
@@ -254,10 +258,8 @@ def test_language_model(spark, docs, whole):
         for a, b, d in grams(t):
             w = weights[int(language_model._power(np.array([c[b]]))[0])] if c[b] else 1.0
             two = (1 - w) * told(pairs[b, d], c[b]) + w * single[d]
-            least = min(c[b], c[d])
-            k = told(triples[a, b, d], least) * least if least >= whole else float(trie.counts(trie.count_codes(np.array([triples[a, b, d]])))[0])
-            of = c[b] if b == b"<" else min(c[b], float(trie.at_most(code(pairs[a, b], c[a]), np.array([c[a]]))[0]))
-            assert triples[a, b, d] <= of + 1e-9
+            k, of = triples[a, b, d], c[b] if b == b"<" else pairs[a, b]
+            assert k <= of
             base += math.log10(single[d])
             every += math.log10((k + language_model.PRIOR * two) / (of + language_model.PRIOR))
         want[i, held[i], len(t), sum(c[w] > 0 for w in t), n, round(base, 6), round(every, 6)] += 1
