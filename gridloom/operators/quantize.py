@@ -16,6 +16,8 @@ class Dither(IntEnum):
 
 
 AMPLITUDE = 0.5
+#: Largest sample of bytes, and of planes of counts that are no bytes.
+BYTE, COUNT = 255, 2**31 - 1
 
 
 def bayer(n: int = 8) -> list[int]:

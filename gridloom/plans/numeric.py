@@ -10,7 +10,7 @@ import numpy as np
 
 from ..functions.kernels import Kernel, phases
 from ..operators.descriptors import COHERENCE_FLOOR, DETAIL_SCALE, EDGE_SCALE, PERIOD, RATIO_ALONE, RATIO_GATE, VARIANCE_SCALE
-from ..operators.quantize import AMPLITUDE, bayer
+from ..operators.quantize import AMPLITUDE, BYTE, bayer
 from ..operators.regularize import ETA_EDGE, Deblock
 
 
@@ -261,13 +261,13 @@ def progressive(y: np.ndarray, scale: int, passes: int, lo: np.ndarray, hi: np.n
     return x, ends
 
 
-def quantise(x: np.ndarray, y: np.ndarray, s: int, dither: int = 0, amplitude: float = AMPLITUDE) -> np.ndarray:
-    """Bytes with exact block sums, blocks of the whole stack at once."""
+def quantise(x: np.ndarray, y: np.ndarray, s: int, dither: int = 0, amplitude: float = AMPLITUDE, peak: int = BYTE) -> np.ndarray:
+    """Whole samples from 0 to ``peak`` with exact block sums, blocks of the whole stack at once."""
     if dither:
         table = (np.array(bayer()).reshape(8, 8) / 64.0 - 0.5) * amplitude
         h, w = x.shape[1:]
         x = x + np.tile(table, (-(-h // 8), -(-w // 8)))[:h, :w]
-    c = np.clip(x, 0.0, 255.0)
+    c = np.clip(x, 0.0, float(peak))
     n, h, w = y.shape
     flat = c.reshape(n, h, s, w, s).transpose(0, 1, 3, 2, 4).reshape(-1, s * s)
     q = np.floor(flat + 0.5)
@@ -279,7 +279,7 @@ def quantise(x: np.ndarray, y: np.ndarray, s: int, dither: int = 0, amplitude: f
         if not len(act):
             break
         up = err[act] > 0
-        room = np.where(up[:, None], q[act] < 255, q[act] > 0)
+        room = np.where(up[:, None], q[act] < peak, q[act] > 0)
         key = np.where(room, np.where(up[:, None], frac[act], -frac[act]), -np.inf)
         i = key.argmax(1)
         ok = room[np.arange(len(act)), i]

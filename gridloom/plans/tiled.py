@@ -19,7 +19,7 @@ from ..functions.color import srgb_to_linear
 from ..functions.kernels import Kernel
 from ..operators import mosaic
 from ..operators.mosaic import KEYS
-from ..operators.quantize import AMPLITUDE, Dither
+from ..operators.quantize import AMPLITUDE, BYTE, Dither
 from ..operators.tiling import HALO, TILE
 from . import numeric
 from .rounds import stored
@@ -40,9 +40,9 @@ def enlarged_tiles(tiles: DataFrame, scale: int, tile: int = TILE, halo: int = H
     from .upscale import upscale
 
     if options.get("iters", "fixed") == "auto":
-        plain = {k: v for k, v in options.items() if k in ("floats", "dither", "amplitude")}
+        plain = {k: v for k, v in options.items() if k in ("floats", "dither", "amplitude", "peak")}
         if len(plain) + 1 < len(options):
-            raise ValueError("adaptive tiles take floats, dither and amplitude alone")
+            raise ValueError("adaptive tiles take floats, dither, amplitude and peak alone")
         return adaptive(tiles, scale, tile, **plain).drop("iters")
     out = upscale(ready(tiles, tile, halo, options.get("working_space") == "linear"), scale, **options).select("image_id.*", "v", "residual")
     return out.select("image_id", "c", F.call_function("div", F.col("t.vy0"), F.lit(tile)).cast("int").alias("ty"), F.call_function("div", F.col("t.vx0"), F.lit(tile)).cast("int").alias("tx"), "size.w", "size.h", cropped(out, scale).alias("v"), "residual")
@@ -94,7 +94,7 @@ def _residuals(state: DataFrame) -> DataFrame:
     return sums.select("image_id", "c", root("n", *names).alias("now"))
 
 
-def adaptive(tiles: DataFrame, scale: int, tile: int = TILE, policy: tuple[int, int, float] = AUTO, floats: bool = False, dither: Dither | int = Dither.NONE, amplitude: float = AMPLITUDE) -> DataFrame:
+def adaptive(tiles: DataFrame, scale: int, tile: int = TILE, policy: tuple[int, int, float] = AUTO, floats: bool = False, dither: Dither | int = Dither.NONE, amplitude: float = AMPLITUDE, peak: int = BYTE) -> DataFrame:
     """Output tiles (image_id, c, ty, tx, w, h, v, residual, iters): each image stops where the whole image would.
 
     ``policy`` is the least and the most passes and the relative gain that is
@@ -183,7 +183,7 @@ def adaptive(tiles: DataFrame, scale: int, tile: int = TILE, policy: tuple[int,
                 own_high, own_wide = min(tile, h - ty * tile), min(tile, w - tx * tile)
                 y = inner(np.asarray(b["around"][i].values).reshape(high, wide), top, left, own_high, own_wide)
                 x = np.asarray(b["v"][i].values).reshape(1, own_high * scale, own_wide * scale)
-                v.append((x if floats else numeric.quantise(x, y[None], scale, dither, amplitude))[0].reshape(-1))
+                v.append((x if floats else numeric.quantise(x, y[None], scale, dither, amplitude, peak))[0].reshape(-1))
             kind = pa.float64() if floats else pa.int32()
             yield pa.RecordBatch.from_pydict({k: b[k] for k in (*KEYS, "w", "h")} | {"v": pa.array(v, pa.list_(kind)), "residual": b["residual"], "iters": b["iters"]})
 

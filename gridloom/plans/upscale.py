@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import Kernel
 from ..operators import mosaic
-from ..operators.quantize import AMPLITUDE, Dither
+from ..operators.quantize import AMPLITUDE, BYTE, Dither
 from ..operators.regularize import Deblock
 from ..operators.tiling import HALO, TILE, admitted, needs_tiling, stitch
 from . import bursts, numeric
@@ -51,7 +51,7 @@ def _srgb(v: np.ndarray, back: bool) -> np.ndarray:
     return np.where(v <= 0, 0.0, np.where(v <= 0.04045, v / 12.92, ((np.maximum(v, 0) + 0.055) / 1.055) ** 2.4))
 
 
-def _worker(keep: list[str], scale: int, passes: int, mode: str, dither: Dither, amplitude: float, iters: str, working_space: str, deblocking: Deblock | None, floats: bool, grain: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _worker(keep: list[str], scale: int, passes: int, mode: str, dither: Dither, amplitude: float, iters: str, working_space: str, deblocking: Deblock | None, floats: bool, grain: int | None, peak: int = BYTE) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """What ``upscale`` does with batches of planes, which have columns ``keep``, w, h, v, _lo, _hi and stats."""
 
     def stack(rows: list[int], b: pa.RecordBatch, w: int, h: int):
@@ -92,13 +92,13 @@ def _worker(keep: list[str], scale: int, passes: int, mode: str, dither: Dither,
                     for i in flat:  # a constant plane stays what it is
                         p = np.asarray(b["v"][i].values).reshape(1, h, w)
                         x = numeric.blocks(p, scale)
-                        done[i] = ((x if floats else numeric.quantise(x, p, scale, dither, amplitude))[0].reshape(-1), 0.0, 0)
+                        done[i] = ((x if floats else numeric.quantise(x, p, scale, dither, amplitude, peak))[0].reshape(-1), 0.0, 0)
                     rest = [i for i in rows if done[i] is None]
                     step = max(1, (1 << 22) // max(1, w * h * scale * scale))
                     for k in range(0, len(rest), step):
                         part = rest[k : k + step]
                         src, x, worst, used = stack(part, b, w, h)
-                        out = x if floats else numeric.quantise(x, src, scale, dither, amplitude)
+                        out = x if floats else numeric.quantise(x, src, scale, dither, amplitude, peak)
                         for i, v, r, n in zip(part, _lists(out), worst, used, strict=True):
                             done[i] = (v, float(r), int(n))
                 cols = [b[c] for c in keep]
@@ -108,7 +108,7 @@ def _worker(keep: list[str], scale: int, passes: int, mode: str, dither: Dither,
     return run
 
 
-def upscale(planes: DataFrame, scale: int, passes: int = PASSES, mode: str = "direct", clamp: DataFrame | None = None, dither: Dither | int = Dither.NONE, amplitude: float = AMPLITUDE, iters: str = "fixed", working_space: str = "gamma", deblocking: Deblock | None = DEBLOCK, floats: bool = False, grain: int | None = None, limits: bool = True) -> DataFrame:
+def upscale(planes: DataFrame, scale: int, passes: int = PASSES, mode: str = "direct", clamp: DataFrame | None = None, dither: Dither | int = Dither.NONE, amplitude: float = AMPLITUDE, iters: str = "fixed", working_space: str = "gamma", deblocking: Deblock | None = DEBLOCK, floats: bool = False, grain: int | None = None, limits: bool = True, peak: int = BYTE) -> DataFrame:
     """Planes ``scale`` times as large in bytes whose block sums are exact, with residual and passes used.
 
     ``mode`` is direct (2, 3, 4; 4 in stages) or progressive (2, 4, 8);
@@ -118,7 +118,8 @@ def upscale(planes: DataFrame, scale: int, passes: int = PASSES, mode: str = "di
     in bytes and statistics, if given, of the light. ``floats``
     returns the float planes before bytes; with ``grain`` those are rounded to
     so many bits behind the point first, so that samples that are equal but
-    for rounding are equal, and other engines make the same bytes. Empty relations give empty ones;
+    for rounding are equal, and other engines make the same bytes. ``peak`` is the largest
+    sample of planes that are no bytes, as counts are. Empty relations give empty ones;
     planes with null or non-finite samples fail.
     """
     _valid(scale, (2, 4, 8) if mode == "progressive" else (2, 3, 4), passes)
@@ -146,7 +147,7 @@ def upscale(planes: DataFrame, scale: int, passes: int = PASSES, mode: str = "di
     kind = "double" if floats else "int"
     schema = f"{_fields(df, keep)}, {_OUT.replace('array<int>', f'array<{kind}>')}"
 
-    run = _worker(keep, scale, passes, mode, dither, amplitude, iters, working_space, deblocking, floats, grain)
+    run = _worker(keep, scale, passes, mode, dither, amplitude, iters, working_space, deblocking, floats, grain, peak)
     return df.select(*keep, "w", "h", "v", "_lo", "_hi", "stats").mapInArrow(run, schema)
 
 

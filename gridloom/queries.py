@@ -494,7 +494,7 @@ def _sums(df: DataFrame, scale: int) -> DataFrame:
 
 
 # Where the adaptive loop stops depends on the last bits of residuals near 0; a test compares its planes with as many fixed passes.
-_add("upscale_auto", lambda s, d: _sums(upscale(_evt(s, d), 2, iters="auto"), 2), f"with {_EVT} select image_id, y, x, cast(4 * v as bigint) as block_sum from evt")
+_add("upscale_auto", lambda s, d: _sums(upscale(_evt(s, d), 2, iters="auto", peak=quantize.COUNT), 2), f"with {_EVT} select image_id, y, x, cast(4 * v as bigint) as block_sum from evt")
 _add("residual_start", lambda s, d: upscale(_emb(s, d), 2, passes=0, floats=True).select("image_id", F.round("residual", 5).alias("residual")), f"with {_single_sql(_EMB, 'emb', 8, 8, 2, 0)}, {_box_rest('emb', 'done', 2, 'rest')} select image_id, round(case when min(emb.v) = max(emb.v) then 0 else sqrt(avg(rest.v * rest.v)) end, 5) as residual from rest join emb using (image_id, y, x) group by image_id")
 _add("residual_small", lambda s, d: upscale(_emb(s, d), 2).select("image_id", (F.col("residual") < 1e-5).alias("ok"), "iters"), f"with {_single_sql(_EMB, 'emb', 8, 8, 2)}, {_box_rest('emb', 'done', 2, 'rest')} select image_id, sqrt(avg(rest.v * rest.v)) < 1e-5 as ok, cast(case when min(emb.v) = max(emb.v) then 0 else 4 end as integer) as iters from rest join emb using (image_id, y, x) group by image_id")
 
@@ -593,8 +593,8 @@ _add("tile_stitch", lambda s, d: tiling.stitch(tiling.split(_evt(s, d), 16, 8),
 
 
 def _agree(s: SparkSession, d: str) -> DataFrame:
-    whole = metrics.pixels(upscale(_evt(s, d), 2)).select("image_id", "y", "x", F.col("v").alias("a"))
-    tiled = upscale_tiled(_evt(s, d), 2, 8, 24).select("image_id", "y", "x", F.col("v").alias("b"))
+    whole = metrics.pixels(upscale(_evt(s, d), 2, peak=quantize.COUNT)).select("image_id", "y", "x", F.col("v").alias("a"))
+    tiled = upscale_tiled(_evt(s, d), 2, 8, 24, peak=quantize.COUNT).select("image_id", "y", "x", F.col("v").alias("b"))
     return whole.join(tiled, ["image_id", "y", "x"], "full").groupBy("image_id").agg(F.max(F.abs(F.col("a") - F.col("b"))).alias("worst"), F.count("*").alias("n"), F.count("b").alias("matched"))
 
 

@@ -97,6 +97,17 @@ def test_block_sums_are_exact(spark, options):
     assert out.where("residual >= 1e-5").count() == 0 and out.count() == 3
 
 
+@pytest.mark.parametrize("options", [{}, {"iters": "auto"}])
+def test_block_sums_of_counts_above_bytes_are_exact(spark, options):
+    counts = np.floor(20 * texture(16))[0]
+    assert counts.max() > 255
+    out = upscale(frame(spark, counts), 2, peak=quantize.COUNT, **options).first()
+    got = plane(out).reshape(16, 2, 16, 2).sum((1, 3))
+    assert (got == 4 * counts).all() and plane(out).min() >= 0
+    tiles = upscale_tiled(frame(spark, counts), 2, 8, 24, peak=quantize.COUNT, **options).collect()
+    assert all(r["v"] == plane(out).reshape(32, 32)[r["y"], r["x"]] for r in tiles)
+
+
 def test_same_bytes_twice_and_in_any_batch(spark):
     a, b = texture(12)[0].round(), step(12, 5)[0]
     both = {r["image_id"]: r["v"] for r in upscale(frame(spark, a, b), 2).collect()}
