@@ -6,8 +6,9 @@ within one bit of either. Every distinct fingerprint emits itself and its
 can link, at most 65 fingerprints on one variant, whatever the data.
 
 ``drop_near_duplicates`` asks for a likeness of word shingles instead, at
-which fingerprints differ in more than 2 bits. There MinHash bands bring
-texts together as well, and each link is verified on the shingles themselves.
+which fingerprints differ in more than 2 bits. There prefixes of the sets, in
+an order common to all, bring every such pair together, and each link is
+verified on the shingles themselves.
 """
 
 from __future__ import annotations
@@ -16,19 +17,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .minhash import minima, shingle_hashes
+from .minhash import shingle_hashes
 from .shared import connected_components, settle, shuffle_partitions, small_batches, stored
 from .words import Texts, blocks, mix, pair, sums_by, words
 from .xxh64 import xxh64
 
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 2
 
-#: Least Jaccard likeness, in hundredths, of texts that ``drop_near_duplicates`` links; bands and minima of each band,
-#: of which texts at 0.8 share one with a probability of 1 - (1 - 0.8 ** 5) ** 24 = 0.9999.
-LIKE, BANDS, BAND_ROWS = 80, 24, 5
+#: Least Jaccard likeness, in hundredths, of texts that ``drop_near_duplicates`` links.
+LIKE = 80
+#: One text in so many is asked which shingles are frequent, how many of those have one, and the most that are told. They
+#: say which shingles come last in the order of all, which is right whatever it is, and so steer work alone.
+ASKED, FREQUENT, TOLD = 16, 4, 1 << 16
 #: Texts that are worked on at once.
 _ROWS = 256
 _codec = pa.Codec("zstd", compression_level=1)
@@ -133,34 +137,70 @@ def _unpacked(packed: pa.Array) -> pa.Array:
     return pa.array([_codec.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True) for x in packed.to_pylist()], pa.large_binary())
 
 
+def frequent(docs: DataFrame, shingle_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that many texts of rows (doc_id, at, text) have, ascending, and how many of the texts asked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, _ROWS):
+                for h in _sets(whole.slice(first, _ROWS).column(0), shingle_words):
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["key"])
+
+    some = docs.where(F.pmod("at", F.lit(ASKED)) == 0).dropDuplicates(["at"]).select("text")
+    counts = some.mapInArrow(run, "key long").groupBy("key").count().where(F.col("count") >= FREQUENT)
+    told = counts.orderBy(F.desc("count"), "key").limit(TOLD).toArrow()
+    keys = told["key"].to_numpy().view(np.uint64)
+    order = keys.argsort()
+    return keys[order], told["count"].to_numpy()[order]
+
+
+def prefixes(h: np.ndarray, doc: np.ndarray, n: int, often: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of n texts' distinct shingles (h, doc) the first of each text in the order of all, where each text's begin, and the sizes of sets.
+
+    Shingles go by how ``often`` they are found, then by hash. A text of m
+    shingles has so many in its prefix that at most ceil(0.8 m) - 1 are left.
+    """
+    keys, counts = often
+    rank = np.zeros(len(h), np.int64)
+    if len(keys):
+        at = np.searchsorted(keys, h).clip(max=len(keys) - 1)
+        rank = np.where(keys[at] == h, counts[at], 0)
+    order = np.lexsort((h, rank, doc))
+    h, doc = h[order], doc[order]
+    start = np.searchsorted(doc, np.arange(n + 1))
+    size = np.diff(start)
+    most = np.where(size > 0, size + (-LIKE * size // 100) + 1, 0)
+    inside = np.arange(len(h)) - start[doc] < most[doc]
+    return h[inside], np.concatenate([[0], np.cumsum(most)]), size
+
+
 def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """doc_id, at, fp, name, bands, packed of rows (doc_id, at, text).
+    """doc_id, at, fp, name, size, prefix, packed of rows (doc_id, at, text).
 
     ``name`` is a hash of a text's set of shingles, so that texts of one name
-    are alike; ``bands`` are hashes of its minima, none for a text without words.
+    are alike, ``size`` the size of the set and ``prefix`` its first shingles,
+    see ``prefixes``; a text without words has none.
     """
+    often = frequent(docs, shingle_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for first in range(0, whole.num_rows, _ROWS):
                 b = whole.slice(first, _ROWS)
-                fps, names, bands, sizes = [], [], [], []
+                fps, names, sizes, keys, counts = [], [], [], [], []
                 for block in blocks(b.column(2)):
                     h, doc = _distinct(*shingle_hashes(words(block.lower()), shingle_words))
-                    at = np.searchsorted(doc, np.arange(len(block) + 1))
-                    least, some = minima(h, doc, len(block), BANDS * BAND_ROWS)
-                    key = np.tile(np.arange(BANDS, dtype=np.uint64), (len(block), 1))
-                    for k in range(BAND_ROWS):
-                        key = pair(key, least[:, k::BAND_ROWS], 2)
+                    key, at, size = prefixes(h, doc, len(block), often)
                     fps.append(simhash(block, shingle_words))
-                    names.append(sums_by(at, mix(h + np.uint64(SEED))))
-                    bands.append(key[some].reshape(-1))
-                    sizes.append(np.where(some, BANDS, 0))
-                ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(bands).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate(fps).view(np.int64)), pa.array(np.concatenate(names).view(np.int64)), lists, _packed(b.column(2))], names=["doc_id", "at", "fp", "name", "bands", "packed"])
+                    names.append(sums_by(np.searchsorted(doc, np.arange(len(block) + 1)), mix(h + np.uint64(SEED))))
+                    sizes.append(size)
+                    keys.append(key)
+                    counts.append(np.diff(at))
+                ends = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate(fps).view(np.int64)), pa.array(np.concatenate(names).view(np.int64)), pa.array(np.concatenate(sizes).astype(np.int32)), lists, _packed(b.column(2))], names=["doc_id", "at", "fp", "name", "size", "prefix", "packed"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, at long, fp long, name long, bands array<long>, packed binary")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, at long, fp long, name long, size int, prefix array<long>, packed binary")
 
 
 def like_pairs(pairs: DataFrame, shingle_words: int) -> DataFrame:
@@ -177,12 +217,29 @@ def like_pairs(pairs: DataFrame, shingle_words: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _can_be_like(a: Column, b: Column) -> Column:
+    """Whether texts (size, pos) of a shared shingle can be alike, if it is the first they share: no more than what follows in both is shared."""
+    return (100 + LIKE) * F.least(a["size"] - a["pos"], b["size"] - b["pos"]) >= LIKE * (a["size"] + b["size"])
+
+
+def _linked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle_words: int) -> DataFrame:
+    """The ``pairs`` of names that are alike."""
+    asked = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct()
+    asked = nodes.select("name", "at").join(asked, "name", "left_semi")
+    texts = stored(rows.select("at", "packed").join(asked, "at").groupBy("name").agg(F.first("packed").alias("packed")))
+    both = pairs.join(texts.select(F.col("name").alias("a"), F.col("packed").alias("packed_a")), "a").join(texts.select(F.col("name").alias("b"), F.col("packed").alias("packed_b")), "b")
+    return stored(like_pairs(both.select("a", "b", "packed_a", "packed_b"), shingle_words))
+
+
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle_words: int = 5) -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of their group: one document of each group stays.
 
     Groups are components of texts whose sets of word shingles have a Jaccard
-    likeness of 0.8 or more. Texts of one band, or within 2 bits of one
-    another, are compared with the smallest name among them. Rows equal to the
+    likeness of 0.8 or more. Two such texts share a shingle of both their
+    prefixes. Texts that share one, or are within 2 bits of one another, are
+    first compared with the smallest name among them; where a shingle's texts
+    are in several groups after that, all pairs across groups that sizes allow
+    are compared, so that no link is left out. Rows equal to the
     kept one in id and text stay with it; rows with a null doc_id stay only
     where no others are in their group. Null and blank texts are one group; an
     empty table gives an empty one.
@@ -191,22 +248,27 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     small_batches(docs.sparkSession)
     rows = stored(sketches(whole, shingle_words))
     # The row of the smallest id stands for its name, one without an id only for lack of others.
-    nodes = stored(rows.groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at", "fp", "bands")).alias("one")).select("name", "one.*"))
+    nodes = stored(rows.groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at", "fp", "size", "prefix")).alias("one")).select("name", "one.*"))
 
-    keys = nodes.select("name", F.explode("bands").alias("key"))
-    met = keys.groupBy("key").agg(F.min("name").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    pairs = keys.join(met, "key").select("a", F.col("name").alias("b"))
+    keys = nodes.select("name", "size", F.posexplode("prefix").alias("pos", "key")).select("key", F.struct("name", "size", "pos").alias("it"))
+    of_key = W.partitionBy("key")
+    shared = keys.withColumns({"least": F.min("it").over(of_key), "n": F.count("*").over(of_key)}).where("n > 1")
+    shared = stored(shared.select("key", "it", "least"))
+    pairs = shared.where((F.col("it.name") != F.col("least.name")) & _can_be_like(F.col("it"), F.col("least"))).select(F.col("least.name").alias("a"), F.col("it.name").alias("b"))
     least = nodes.groupBy("fp").agg(F.min("name").alias("a"))
     pairs = pairs.unionByName(nodes.join(least, "fp").select("a", F.col("name").alias("b")))
     near = near_pairs(least.select("fp")).withColumnsRenamed({"a": "x", "b": "y"})
     near = near.join(least.withColumnRenamed("fp", "x"), "x").join(least.select(F.col("fp").alias("y"), F.col("a").alias("b")), "y")
     pairs = stored(pairs.unionByName(near.select("a", "b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-
-    asked = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct()
-    asked = nodes.select("name", "at").join(asked, "name", "left_semi")
-    texts = stored(rows.select("at", "packed").join(asked, "at").groupBy("name").agg(F.first("packed").alias("packed")))
-    both = pairs.join(texts.select(F.col("name").alias("a"), F.col("packed").alias("packed_a")), "a").join(texts.select(F.col("name").alias("b"), F.col("packed").alias("packed_b")), "b")
-    links = like_pairs(both.select("a", "b", "packed_a", "packed_b"), shingle_words)
+    links = _linked(pairs, rows, nodes, shingle_words)
+
+    first = connected_components(links)
+    placed = shared.join(first, F.col("it.name") == F.col("node"), "left").select("key", "it", F.coalesce("component", "it.name").alias("group"))
+    placed = placed.withColumns({"low": F.min("group").over(of_key), "high": F.max("group").over(of_key)}).where("low <> high").select("key", "it", "group")
+    across = placed.alias("p").join(placed.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.group") < F.col("q.group")) & _can_be_like(F.col("p.it"), F.col("q.it")))
+    more = across.select(F.least("p.it.name", "q.it.name").alias("a"), F.greatest("p.it.name", "q.it.name").alias("b")).distinct()
+    more = stored(more.join(pairs, ["a", "b"], "left_anti"))
+    links = links.unionByName(_linked(more, rows, nodes, shingle_words))
 
     groups = connected_components(links).withColumnRenamed("node", "name")
     best = F.min(F.struct("none", "doc_id", "at")).alias("best")

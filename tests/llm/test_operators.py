@@ -563,6 +563,18 @@ def test_simhash_components(docs, empty):
     assert simhash.drop_near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_beside_texts_that_are_nearly_so(spark):
+    """Two texts at 0.8 whose common shingles 60 others have too, which are at 0.76 from both and all others."""
+    texts = []
+    for family in range(6):
+        base = [f"f{family}w{k}" for k in range(49)]
+        texts += [" ".join([*base[:20], f"f{family}{x}", *base[21:]]) for x in "ab"]
+        texts += [" ".join([*base[:20], f"f{family}x{k}", f"f{family}y{k}", *base[22:]]) for k in range(60)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r[0] for r in simhash.drop_near_duplicates(table).collect()}
+    assert set(range(len(texts))) - kept == {62 * family + 1 for family in range(6)}
+
+
 def test_near_duplicates_at_four_fifths(spark):
     rng = random.Random(5)
     shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
