@@ -1,9 +1,9 @@
 """Image files as Spark data sources: ``ppm``, ``png`` and ``bmp``.
 
-``spark.read.format("ppm").load(path)`` gives planes, one file a partition at
-least. With the option ``tile`` a PPM file gives tiles instead, a partition for
+``spark.read.format("ppm").load(path)`` gives planes; small files share a
+partition. With the option ``tile`` a PPM file gives tiles instead, a partition for
 each line of tiles, which reads only its own lines of the file: no row and no
-task has a whole plane. ``write`` takes interleaved images; tasks write into a
+task has a whole plane. Lines of small files share a partition too. ``write`` takes interleaved images; tasks write into a
 folder of their own, a job's commit moves the files to their names, and
 its abort leaves nothing. Paths are local ones or URIs that ``pyarrow.fs`` opens.
 """
@@ -26,6 +26,11 @@ from pyspark.sql.types import StructType
 
 from .images import decode, encode, fitted
 
+#: Partitions that small files are dealt over at least, and the most files and bytes that share one.
+SPREAD, TOGETHER, TOGETHER_BYTES = 64, 256, 16 << 20
+#: Samples of a batch that a reader gives at most, unless one row has more.
+BATCH_SAMPLES = 1 << 18
+
 PLANES = "image_id string, c int, w int, h int, v array<double>"
 TILES = "image_id string, c int, ty int, tx int, w int, h int, v array<double>"
 
@@ -47,6 +52,32 @@ def header(store: fs.FileSystem, name: str) -> tuple[int, int, int]:
     return w, h, start
 
 
+def together(sizes: list[int]) -> list[range]:
+    """Runs of files of these sizes that share a partition: as many as their number and bytes allow."""
+    most = max(1, min(TOGETHER, len(sizes) // SPREAD))
+    out, start, held = [], 0, 0
+    for k, n in enumerate(sizes):
+        if k > start and (k - start == most or held + n > TOGETHER_BYTES):
+            out.append(range(start, k))
+            start, held = k, 0
+        held += n
+    return [*out, range(start, len(sizes))] if sizes else []
+
+
+def batches(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows with samples ``v`` as batches of up to ``BATCH_SAMPLES``."""
+    held: list[dict] = []
+    n = 0
+    for r in rows:
+        if held and n + len(r["v"]) > BATCH_SAMPLES:
+            yield pa.RecordBatch.from_pydict({f.name: pa.array([x[f.name] for x in held], f.type) for f in schema})
+            held, n = [], 0
+        held.append(r)
+        n += len(r["v"])
+    if held:
+        yield pa.RecordBatch.from_pydict({f.name: pa.array([x[f.name] for x in held], f.type) for f in schema})
+
+
 @dataclass
 class Files(InputPartition):
     """Whole files, or with ``line`` a line of tiles of one file."""
@@ -76,36 +107,45 @@ class Reader(DataSourceReader):
         if info.type == fs.FileType.NotFound:
             raise FileNotFoundError(self.path)
         found = [info] if info.is_file else [x for x in store.get_file_info(fs.FileSelector(path, recursive=True)) if x.is_file and fnmatch.fnmatch(x.base_name, self.glob) and not x.base_name.startswith((".", "_"))]
-        names = sorted(x.path for x in found)
-        if self.tile is None:
-            return [Files([n]) for n in names] or [Files([])]
+        found = sorted(found, key=lambda x: x.path)
         out = []
-        for n in names:
-            size = header(store, n)
-            out += [Files([n], line, size) for line in range(-(-size[1] // self.tile))]
+        if self.tile is not None:
+            few = len(found) < SPREAD
+            for x in found:
+                if few or x.size > TOGETHER_BYTES:  # of many small ones a task takes all lines
+                    size = header(store, x.path)
+                    out += [Files([x.path], line, size) for line in range(-(-size[1] // self.tile))]
+            found = [] if few else [x for x in found if x.size <= TOGETHER_BYTES]
+        out += [Files([found[k].path for k in part]) for part in together([x.size for x in found])]
         return out or [Files([])]
 
     def read(self, part: Files) -> Iterator[pa.RecordBatch]:
         store, _ = _opened(self.path)
-        for name in part.names:
-            if part.line is None:
-                with store.open_input_file(name) as f:
-                    image = decode(f.read())
-                image = image if self.side is None else fitted(image, int(self.side))
-                h, w, n = image.shape
-                yield pa.RecordBatch.from_pydict({"image_id": [name] * n, "c": pa.array(range(n), pa.int32()), "w": pa.array([w] * n, pa.int32()), "h": pa.array([h] * n, pa.int32()), "v": pa.array([image[:, :, c].reshape(-1).astype(float) for c in range(n)], pa.list_(pa.float64()))})
-                continue
-            w, h, start = part.size
-            first = part.line * self.tile
-            lines = min(self.tile, h - first)
-            with store.open_input_file(name) as f:
+        kinds = {"image_id": pa.string(), "v": pa.list_(pa.float64())}
+        names = [f.split()[0] for f in (PLANES if self.tile is None else TILES).split(", ")]
+        schema = pa.schema([(n, kinds.get(n, pa.int32())) for n in names])
+        rows = self._planes if self.tile is None else self._tiles
+        yield from batches((r for name in part.names for r in rows(store, name, part)), schema)
+
+    def _planes(self, store: fs.FileSystem, name: str, part: Files) -> Iterator[dict]:
+        with store.open_input_file(name) as f:
+            image = decode(f.read())
+        image = image if self.side is None else fitted(image, int(self.side))
+        h, w, n = image.shape
+        for c in range(n):
+            yield {"image_id": name, "c": c, "w": w, "h": h, "v": image[:, :, c].reshape(-1).astype(float)}
+
+    def _tiles(self, store: fs.FileSystem, name: str, part: Files) -> Iterator[dict]:
+        w, h, start = part.size or header(store, name)
+        with store.open_input_file(name) as f:
+            for line in range(-(-h // self.tile)) if part.line is None else [part.line]:
+                first = line * self.tile
+                lines = min(self.tile, h - first)
                 f.seek(start + 3 * w * first)
                 band = np.frombuffer(f.read(3 * w * lines), np.uint8).reshape(lines, w, 3)
-            cuts = range(0, w, self.tile)
-            n = len(cuts)
-            for c in range(3):
-                v = [band[:, x : x + self.tile, c].reshape(-1).astype(float) for x in cuts]
-                yield pa.RecordBatch.from_pydict({"image_id": [name] * n, "c": pa.array([c] * n, pa.int32()), "ty": pa.array([part.line] * n, pa.int32()), "tx": pa.array(range(n), pa.int32()), "w": pa.array([w] * n, pa.int32()), "h": pa.array([h] * n, pa.int32()), "v": pa.array(v, pa.list_(pa.float64()))})
+                for c in range(3):
+                    for tx, x in enumerate(range(0, w, self.tile)):
+                        yield {"image_id": name, "c": c, "ty": line, "tx": tx, "w": w, "h": h, "v": band[:, x : x + self.tile, c].reshape(-1).astype(float)}
 
 
 class Writer(DataSourceWriter):

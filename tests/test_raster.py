@@ -604,3 +604,16 @@ def test_bursts_from_a_stream(spark, tmp_path):
     add([("y", 0, 0, 2, 2, [1.0, 2.0, 3.0, 4.0], 1)])
     run(1)
     assert {("x0", 0, 0), ("x1", 0, 0), ("y", 0, 0)} < set(told(False))
+
+
+@pytest.mark.parametrize("options", [{}, {"tile": "8"}])
+def test_small_files_share_partitions(tmp_path, options):
+    image = np.random.default_rng(4).integers(0, 256, (12, 9, 3)).astype(np.uint8)
+    for k in range(1000):
+        (tmp_path / f"{k}.ppm").write_bytes(images.encode_ppm(image + np.uint8(k % 5)))
+    reader = datasource.Reader("ppm", {"path": str(tmp_path)} | options)
+    parts = reader.partitions()
+    assert len(parts) < 100 and sorted(n for p in parts for n in p.names) == sorted(str(tmp_path / f"{k}.ppm") for k in range(1000))
+    rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert len(rows) == 3 * 1000 * (4 if options else 1)
+    assert all(sum(r["v"]) == (image + np.uint8(int(re.search(r"(\d+)\.ppm", r["image_id"])[1]) % 5))[8 * r.get("ty", 0) :, 8 * r.get("tx", 0) :, r["c"]][: 8 if options else None, : 8 if options else None].astype(float).sum() for r in rows)
