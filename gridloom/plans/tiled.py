@@ -22,7 +22,7 @@ from ..operators.mosaic import KEYS
 from ..operators.quantize import AMPLITUDE, BYTE, Dither
 from ..operators.tiling import HALO, TILE
 from . import numeric
-from .rounds import stored
+from .rounds import small_batches, stored
 
 AUTO = (2, 8, 1e-6)
 #: Source samples around a tile that its start and its descriptors read.
@@ -106,6 +106,7 @@ def adaptive(tiles: DataFrame, scale: int, tile: int = TILE, policy: tuple[int,
         raise ValueError("iters auto takes scale 2 or 3")
     if tile < START_HALO or tile * scale % 8:
         raise ValueError("tiles are smaller than what a start reads around them, or off the grid of the dither table")
+    small_batches(tiles.sparkSession)
     kinds = mosaic._kinds(tiles, ["image_id", "c"])
     ranges = tiles.groupBy("image_id", "c").agg(F.min(F.array_min("v")).alias("lo"), F.max(F.array_max("v")).alias("hi"))
     schema = f"{kinds}, ty int, tx int, w int, h int, around array<double>, lo double, hi double, v array<double>, limbs array<long>"

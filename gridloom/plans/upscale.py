@@ -20,6 +20,8 @@ from ..operators.quantize import AMPLITUDE, BYTE, Dither
 from ..operators.regularize import Deblock
 from ..operators.tiling import HALO, TILE, admitted, needs_tiling, stitch
 from . import bursts, numeric
+from .rounds import small_batches
+from .stacks import STACK_SAMPLES
 
 PASSES, AUTO, DEBLOCK, BURST_CONFIDENCE = 4, (2, 8, 1e-6), Deblock(), 0.05
 _OUT = "w int, h int, v array<int>, residual double, iters int"
@@ -51,6 +53,19 @@ def _srgb(v: np.ndarray, back: bool) -> np.ndarray:
     return np.where(v <= 0, 0.0, np.where(v <= 0.04045, v / 12.92, ((np.maximum(v, 0) + 0.055) / 1.055) ** 2.4))
 
 
+def sliced(whole: pa.RecordBatch, scale: int) -> Iterator[pa.RecordBatch]:
+    """Runs of at most 256 planes of a batch, of no more than ``STACK_SAMPLES`` output samples unless one plane has more."""
+    start = held = 0
+    for i, (w, h) in enumerate(zip(whole["w"].to_pylist(), whole["h"].to_pylist(), strict=True)):
+        n = w * h * scale * scale
+        if i > start and (i - start == 256 or held + n > STACK_SAMPLES):
+            yield whole.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if whole.num_rows:
+        yield whole.slice(start)
+
+
 def _worker(keep: list[str], scale: int, passes: int, mode: str, dither: Dither, amplitude: float, iters: str, working_space: str, deblocking: Deblock | None, floats: bool, grain: int | None, peak: int = BYTE) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """What ``upscale`` does with batches of planes, which have columns ``keep``, w, h, v, _lo, _hi and stats."""
 
@@ -81,8 +96,7 @@ def _worker(keep: list[str], scale: int, passes: int, mode: str, dither: Dither,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
+            for b in sliced(whole, scale):
                 sizes: dict[tuple[int, int, bool], list[int]] = {}
                 for i, (w, h) in enumerate(zip(b["w"].to_pylist(), b["h"].to_pylist(), strict=True)):
                     sizes.setdefault((w, h), []).append(i)
@@ -94,7 +108,7 @@ def _worker(keep: list[str], scale: int, passes: int, mode: str, dither: Dither,
                         x = numeric.blocks(p, scale)
                         done[i] = ((x if floats else numeric.quantise(x, p, scale, dither, amplitude, peak))[0].reshape(-1), 0.0, 0)
                     rest = [i for i in rows if done[i] is None]
-                    step = max(1, (1 << 22) // max(1, w * h * scale * scale))
+                    step = max(1, STACK_SAMPLES // max(1, w * h * scale * scale))
                     for k in range(0, len(rest), step):
                         part = rest[k : k + step]
                         src, x, worst, used = stack(part, b, w, h)
@@ -128,6 +142,7 @@ def upscale(planes: DataFrame, scale: int, passes: int = PASSES, mode: str = "di
         raise ValueError("unknown mode, iters or working_space")
     if iters == "auto" and scale not in (2, 3):
         raise ValueError("iters auto takes scale 2 or 3")
+    small_batches(planes.sparkSession)
     df = _checked(planes)
     if limits:
         df = df.withColumn("w", F.when(admitted(F.col("w"), F.col("h"), scale), F.col("w")).otherwise(F.raise_error(F.lit("plane is over the limits of admission")).cast("int")))
@@ -203,4 +218,5 @@ def fuse_burst(frames: DataFrame, scale: int, passes: int = PASSES, shifts: Data
     float planes before bytes.
     """
     _valid(scale, (2, 4), passes)
+    small_batches(frames.sparkSession)
     return bursts.fused(_checked(frames), scale, passes, shifts, confidence, floats)

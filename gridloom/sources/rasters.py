@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from ..functions.arrays import grid
 
 
+#: Most rows of a partition of vectors on average, so that tasks do not grow with the input.
+ROWS = 4096
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores if it has fewer partitions, as one small file has; larger inputs stay as they are read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """``df`` over all cores, and over partitions of ``ROWS`` rows on average, if it has fewer; others stay as they are read."""
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS))
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
 
 
 def from_embeddings(embeddings: DataFrame, side: int = 8) -> DataFrame:

@@ -617,3 +617,15 @@ def test_small_files_share_partitions(tmp_path, options):
     rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
     assert len(rows) == 3 * 1000 * (4 if options else 1)
     assert all(sum(r["v"]) == (image + np.uint8(int(re.search(r"(\d+)\.ppm", r["image_id"])[1]) % 5))[8 * r.get("ty", 0) :, 8 * r.get("tx", 0) :, r["c"]][: 8 if options else None, : 8 if options else None].astype(float).sum() for r in rows)
+
+
+def test_stacks_and_partitions_are_bounded(spark):
+    import pyarrow as pa
+
+    from gridloom.plans.stacks import STACK_SAMPLES
+    from gridloom.plans.upscale import sliced
+
+    whole = pa.RecordBatch.from_pydict({"w": pa.array([64] * 1000, pa.int32()), "h": pa.array([32] * 1000, pa.int32())})
+    parts = list(sliced(whole, 3))
+    assert sum(p.num_rows for p in parts) == 1000 and max(p.num_rows for p in parts) * 64 * 32 * 9 <= STACK_SAMPLES
+    assert rasters.spread(spark.range(50_000)).rdd.getNumPartitions() >= 50_000 // rasters.ROWS
