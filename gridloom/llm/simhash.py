@@ -33,6 +33,10 @@ LIKE = 80
 #: One text in so many is asked which shingles are frequent, how many of those have one, and the most that are told. They
 #: say which shingles come last in the order of all, which is right whatever it is, and so steer work alone.
 ASKED, FREQUENT, TOLD = 16, 4, 1 << 16
+#: Rounds of comparison with pivots go on while a row of a shingle meets more others than this, at most so many rounds.
+MEETINGS, ROUNDS = 64, 8
+#: Bits of the map of a set of shingles (a multiple of 64).
+MAP_BITS = 1024
 #: Texts that are worked on at once.
 _ROWS = 256
 _codec = pa.Codec("zstd", compression_level=1)
@@ -154,8 +158,8 @@ def frequent(docs: DataFrame, shingle_words: int) -> tuple[np.ndarray, np.ndarra
     return keys[order], told["count"].to_numpy()[order]
 
 
-def prefixes(h: np.ndarray, doc: np.ndarray, n: int, often: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of n texts' distinct shingles (h, doc) the first of each text in the order of all, where each text's begin, and the sizes of sets.
+def prefixes(h: np.ndarray, doc: np.ndarray, n: int, often: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of n texts' distinct shingles (h, doc) the first of each text in the order of all, where each text's begin, the sizes of sets and how many of each are not ``often`` found.
 
     Shingles go by how ``often`` they are found, then by hash. A text of m
     shingles has so many in its prefix that at most ceil(0.8 m) - 1 are left.
@@ -171,15 +175,27 @@ def prefixes(h: np.ndarray, doc: np.ndarray, n: int, often: tuple[np.ndarray, np
     size = np.diff(start)
     most = np.where(size > 0, size + (-LIKE * size // 100) + 1, 0)
     inside = np.arange(len(h)) - start[doc] < most[doc]
-    return h[inside], np.concatenate([[0], np.cumsum(most)]), size
+    return h[inside], np.concatenate([[0], np.cumsum(most)]), size, np.bincount(doc[rank[order] == 0], minlength=n)
+
+
+def maps(h: np.ndarray, doc: np.ndarray, n: int) -> pa.Array:
+    """For each of n texts with distinct shingles (h, doc) whether an even or odd number of them falls to each of ``MAP_BITS`` bits.
+
+    Sets differ in as many shingles as their maps do in bits, or in more.
+    """
+    at = doc * MAP_BITS + (h >> np.uint64(64 - (MAP_BITS.bit_length() - 1))).astype(np.int64)
+    odd = (np.bincount(at, minlength=n * MAP_BITS) & 1).astype(np.uint8)
+    words_ = MAP_BITS // 64
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * words_), pa.array(np.packbits(odd).view(np.int64)))
 
 
 def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """doc_id, at, fp, name, size, prefix, packed of rows (doc_id, at, text).
+    """doc_id, at, fp, name, size, rare, prefix, bits, packed of rows (doc_id, at, text).
 
     ``name`` is a hash of a text's set of shingles, so that texts of one name
-    are alike, ``size`` the size of the set and ``prefix`` its first shingles,
-    see ``prefixes``; a text without words has none.
+    are alike, ``size`` the size of the set, ``rare`` how many of it are not
+    frequent and ``prefix`` its first shingles, see ``prefixes``; a text
+    without words has none. ``bits`` is the set's map, see ``maps``.
     """
     often = frequent(docs, shingle_words)
 
@@ -187,20 +203,24 @@ def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
         for whole in batches:
             for first in range(0, whole.num_rows, _ROWS):
                 b = whole.slice(first, _ROWS)
-                fps, names, sizes, keys, counts = [], [], [], [], []
+                fps, names, sizes, rares, keys, counts, bits = [], [], [], [], [], [], []
                 for block in blocks(b.column(2)):
                     h, doc = _distinct(*shingle_hashes(words(block.lower()), shingle_words))
-                    key, at, size = prefixes(h, doc, len(block), often)
+                    key, at, size, rare = prefixes(h, doc, len(block), often)
                     fps.append(simhash(block, shingle_words))
                     names.append(sums_by(np.searchsorted(doc, np.arange(len(block) + 1)), mix(h + np.uint64(SEED))))
                     sizes.append(size)
+                    rares.append(rare)
+                    bits.append(maps(h, doc, len(block)))
                     keys.append(key)
                     counts.append(np.diff(at))
                 ends = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate(fps).view(np.int64)), pa.array(np.concatenate(names).view(np.int64)), pa.array(np.concatenate(sizes).astype(np.int32)), lists, _packed(b.column(2))], names=["doc_id", "at", "fp", "name", "size", "prefix", "packed"])
+                columns = {"doc_id": b.column(0), "at": b.column(1), "fp": pa.array(np.concatenate(fps).view(np.int64)), "name": pa.array(np.concatenate(names).view(np.int64))}
+                columns |= {"size": pa.array(np.concatenate(sizes).astype(np.int32)), "rare": pa.array(np.concatenate(rares).astype(np.int32)), "prefix": lists, "bits": pa.concat_arrays(bits), "packed": _packed(b.column(2))}
+                yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, at long, fp long, name long, size int, prefix array<long>, packed binary")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, at long, fp long, name long, size int, rare int, prefix array<long>, bits array<long>, packed binary")
 
 
 def like_pairs(pairs: DataFrame, shingle_words: int) -> DataFrame:
@@ -218,8 +238,14 @@ def like_pairs(pairs: DataFrame, shingle_words: int) -> DataFrame:
 
 
 def _can_be_like(a: Column, b: Column) -> Column:
-    """Whether texts (size, pos) of a shared shingle can be alike, if it is the first they share: no more than what follows in both is shared."""
-    return (100 + LIKE) * F.least(a["size"] - a["pos"], b["size"] - b["pos"]) >= LIKE * (a["size"] + b["size"])
+    """Whether texts (less, pos) of a shared shingle can be alike, if it is the first they share: no more than what follows in both is shared."""
+    return (100 + LIKE) * F.least(-a["less"] - a["pos"], -b["less"] - b["pos"]) >= LIKE * (-a["less"] - b["less"])
+
+
+def _maps_allow(a: Column, b: Column, less_a: Column, less_b: Column) -> Column:
+    """Whether texts of maps a and b can be alike: sets differ in as many shingles as maps do in bits, or in more."""
+    differ = sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(1, MAP_BITS // 64)), F.bit_count(a[0].bitwiseXOR(b[0])))
+    return (100 + LIKE) * (-less_a - less_b - differ) >= 2 * LIKE * (-less_a - less_b)
 
 
 def _linked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle_words: int) -> DataFrame:
@@ -231,15 +257,50 @@ def _linked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle_words:
     return stored(like_pairs(both.select("a", "b", "packed_a", "packed_b"), shingle_words))
 
 
+def _placed(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """key, it, group, inside, n of the rows (key, it) of keys with n rows in several groups of ``links``; ``inside`` says whether a row is in the key's largest group."""
+    first = connected_components(links)
+    placed = shared.join(first, F.col("it.name") == F.col("node"), "left").select("key", "it", F.coalesce("component", "it.name").alias("group"))
+    groups = placed.groupBy("key", "group").agg(F.count("*").alias("size"))
+    groups = groups.groupBy("key").agg(F.max(F.struct("size", "group")).alias("main"), F.sum("size").alias("n"), F.count("*").alias("groups")).where("groups > 1")
+    return stored(placed.join(groups, "key").select("key", "it", "group", (F.col("group") == F.col("main.group")).alias("inside"), "n"))
+
+
+def _with_pivots(placed: DataFrame, shift: float) -> DataFrame:
+    """Pairs (a, b) of texts and the pivot of their shingle and size, the most typical text outside the shingle's largest group.
+
+    Sizes go by steps of a quarter from ``shift`` of a step on.
+    """
+    banded = placed.withColumn("band", F.floor(F.log(-F.col("it.less")) / F.log(F.lit(100 / LIKE)) + F.lit(shift)))
+    pivots = banded.where("not inside").groupBy("key", "band").agg(F.min(F.struct("it", "group")).alias("pivot"))
+    both = banded.join(pivots, ["key", "band"]).where((F.col("group") != F.col("pivot.group")) & _can_be_like(F.col("it"), F.col("pivot.it")))
+    return both.select(F.least("it.name", "pivot.it.name").alias("a"), F.greatest("it.name", "pivot.it.name").alias("b")).distinct()
+
+
+def _across(placed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All pairs (a, b) of texts that share a shingle, are in two groups and can be alike by sizes, places and maps.
+
+    Texts outside a shingle's largest group meet all of its texts, those inside do not meet one another.
+    """
+    mapped = placed.join(nodes.select("name", "bits"), F.col("it.name") == F.col("name")).select("key", "it", "group", "inside", "bits")
+    p, q = mapped.where("not inside").alias("p"), mapped.alias("q")
+    apart = F.col("q.inside") | (F.col("p.group") < F.col("q.group"))
+    alike = _can_be_like(F.col("p.it"), F.col("q.it")) & _maps_allow(F.col("p.bits"), F.col("q.bits"), F.col("p.it.less"), F.col("q.it.less"))
+    met = p.join(q, (F.col("p.key") == F.col("q.key")) & apart & alike)
+    return met.select(F.least("p.it.name", "q.it.name").alias("a"), F.greatest("p.it.name", "q.it.name").alias("b")).distinct()
+
+
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle_words: int = 5) -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of their group: one document of each group stays.
 
     Groups are components of texts whose sets of word shingles have a Jaccard
     likeness of 0.8 or more. Two such texts share a shingle of both their
-    prefixes. Texts that share one, or are within 2 bits of one another, are
-    first compared with the smallest name among them; where a shingle's texts
-    are in several groups after that, all pairs across groups that sizes allow
-    are compared, so that no link is left out. Rows equal to the
+    prefixes. Texts that share one are first compared with a pivot, the most
+    typical of them (fewest rare shingles, then the largest set), those within
+    2 bits of one another with the smallest name; while many pairs are left,
+    rounds of other pivots follow. Where a shingle's texts are in several
+    groups after that, all pairs across groups that sizes, places and maps
+    allow are compared, so that no link is left out. Rows equal to the
     kept one in id and text stay with it; rows with a null doc_id stay only
     where no others are in their group. Null and blank texts are one group; an
     empty table gives an empty one.
@@ -248,9 +309,9 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     small_batches(docs.sparkSession)
     rows = stored(sketches(whole, shingle_words))
     # The row of the smallest id stands for its name, one without an id only for lack of others.
-    nodes = stored(rows.groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at", "fp", "size", "prefix")).alias("one")).select("name", "one.*"))
+    nodes = stored(rows.groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at", "fp", "size", "rare", "prefix", "bits")).alias("one")).select("name", "one.*"))
 
-    keys = nodes.select("name", "size", F.posexplode("prefix").alias("pos", "key")).select("key", F.struct("name", "size", "pos").alias("it"))
+    keys = nodes.select("rare", "size", "name", F.posexplode("prefix").alias("pos", "key")).select("key", F.struct("rare", (-F.col("size")).alias("less"), "name", "pos").alias("it"))
     of_key = W.partitionBy("key")
     shared = keys.withColumns({"least": F.min("it").over(of_key), "n": F.count("*").over(of_key)}).where("n > 1")
     shared = stored(shared.select("key", "it", "least"))
@@ -262,12 +323,16 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     pairs = stored(pairs.unionByName(near.select("a", "b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = _linked(pairs, rows, nodes, shingle_words)
 
-    first = connected_components(links)
-    placed = shared.join(first, F.col("it.name") == F.col("node"), "left").select("key", "it", F.coalesce("component", "it.name").alias("group"))
-    placed = placed.withColumns({"low": F.min("group").over(of_key), "high": F.max("group").over(of_key)}).where("low <> high").select("key", "it", "group")
-    across = placed.alias("p").join(placed.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.group") < F.col("q.group")) & _can_be_like(F.col("p.it"), F.col("q.it")))
-    more = across.select(F.least("p.it.name", "q.it.name").alias("a"), F.greatest("p.it.name", "q.it.name").alias("b")).distinct()
-    more = stored(more.join(pairs, ["a", "b"], "left_anti"))
+    placed, left = _placed(shared.select("key", "it"), links), None
+    for k in range(ROUNDS):
+        before = left
+        n, left = placed.agg(F.count("*"), F.coalesce(F.sum(F.when(~F.col("inside"), F.col("n"))), F.lit(0))).first()
+        if left <= MEETINGS * n or before is not None and 10 * left > 9 * before:
+            break
+        more = stored(_with_pivots(placed, k % 2 / 2).join(pairs, ["a", "b"], "left_anti"))
+        pairs, links = pairs.unionByName(more), links.unionByName(_linked(more, rows, nodes, shingle_words))
+        placed = _placed(placed.select("key", "it"), links)
+    more = stored(_across(placed, nodes).join(pairs, ["a", "b"], "left_anti"))
     links = links.unionByName(_linked(more, rows, nodes, shingle_words))
 
     groups = connected_components(links).withColumnRenamed("node", "name")

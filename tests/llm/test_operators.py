@@ -599,6 +599,55 @@ def test_near_duplicates_at_four_fifths(spark):
     assert sorted(r[0] for r in simhash.drop_near_duplicates(table).collect()) == sorted(set(group))
 
 
+def test_near_duplicates_of_one_text_are_compared_with_it(spark, monkeypatch):
+    """Of 300 edited copies of a text, alike and unlike one another, few pairs are compared, and no link is left out."""
+    rng = random.Random(9)
+    base = [f"b{k}" for k in range(120)]
+    texts = []
+    for k in range(300):
+        w = list(base)
+        for at in rng.sample(range(4, 116), 1 + k % 4):
+            w[at] = f"e{k}x{at}" if k % 3 else "same"
+        texts.append(" ".join(w))
+    texts.append(" ".join(base))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    group = list(range(len(texts)))
+    alike = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                alike += 1
+                if group[a] != group[b]:
+                    group = [min(group[a], group[b]) if g in (group[a], group[b]) else g for g in group]
+    assert 2 < len(set(group)) < 150 and alike > 10 * len(texts)
+    compared, linked = [], simhash._linked
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return linked(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "_linked", counted)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for meetings in (64, 1):  # without rounds of pivots and with some
+        monkeypatch.setattr(simhash, "MEETINGS", meetings, raising=False)
+        compared.clear()
+        assert sorted(r[0] for r in simhash.drop_near_duplicates(table).collect()) == sorted(set(group))
+        assert sum(compared) < 8 * len(texts)
+    assert len(compared) > 2
+
+
+def test_maps_allow_all_that_are_alike(spark):
+    """Bits in which maps differ are no more than shingles in which sets differ, and nearly as many for small sets."""
+    rng = np.random.default_rng(4)
+    for size, most in ((5, 1), (150, 30), (3000, 600)):
+        base = rng.integers(0, 1 << 64, size + most, np.uint64, endpoint=False)
+        sets = [np.unique(base[k : k + size]) for k in range(0, most + 1, max(1, most // 10))]
+        h, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        bits = [np.array(x, np.int64).view(np.uint8) for x in simhash.maps(h, doc, len(sets)).to_pylist()]
+        differ = [(len(np.setxor1d(sets[0], x)), int(np.unpackbits(bits[0] ^ y).sum())) for x, y in zip(sets, bits, strict=True)]
+        assert all(got <= want for want, got in differ) and (size > 150 or all(got >= 0.8 * want for want, got in differ))
+
+
 def test_chains_of_links(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 105), (105, 103), (7, 7)], "a long, b long")
     assert {tuple(r) for r in connected_components(chain).collect()} == {(i, 0) for i in range(61)} | {(100, 100), (103, 100), (105, 100)}
