@@ -1,9 +1,11 @@
-"""What operators share: settled tables and connected components."""
+"""What operators share: settled and scratch tables, connected components."""
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -27,6 +29,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries planned inside remove their shuffle files when they end, not when the driver's garbage is collected; a session that has a setting for it keeps that."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    if name in spark.conf.getAll:
+        yield
+        return
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder that all executors share.
 
@@ -34,7 +50,8 @@ def settle(df: DataFrame) -> DataFrame:
     where the session names none, as in tests.
     """
     shared_folder(df.sparkSession)
-    return df.checkpoint(True)
+    with shuffles_removed(df.sparkSession):
+        return df.select("*").checkpoint(True)  # planned anew, so that the setting holds for it
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,10 +65,30 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
-    df.write.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A function that writes a table and gives it back as read; at the end the tables are dropped, so that no result may read them."""
+    tables: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        tables.append(f"gridloom_{uuid.uuid4().hex}")
+        spark.catalog.createTable(tables[-1], source="parquet", schema=df.schema)
+        with shuffles_removed(spark):  # which does not reach the query inside saveAsTable
+            df.write.insertInto(tables[-1])
+        return spark.table(tables[-1])
+
+    try:
+        yield keep
+    finally:
+        for table in tables:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

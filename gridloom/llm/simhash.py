@@ -13,7 +13,7 @@ verified on the shingles themselves.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .minhash import shingle_hashes
-from .shared import connected_components, settle, shuffle_partitions, small_batches, stored
+from .shared import connected_components, scratch, settle, shuffle_partitions, small_batches, stored
 from .words import Texts, blocks, mix, pair, sums_by, words
 from .xxh64 import xxh64
 
@@ -41,6 +41,9 @@ MAP_BITS = 1024
 _ROWS = 256
 _codec = pa.Codec("zstd", compression_level=1)
 
+#: Writes a table that is dropped when the work is done, see ``scratch``.
+Keep = Callable[[DataFrame], DataFrame]
+
 
 def simhash(texts: Texts, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
     """The 64-bit fingerprint of each text, as uint64.
@@ -248,22 +251,23 @@ def _maps_allow(a: Column, b: Column, less_a: Column, less_b: Column) -> Column:
     return (100 + LIKE) * (-less_a - less_b - differ) >= 2 * LIKE * (-less_a - less_b)
 
 
-def _linked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle_words: int) -> DataFrame:
+def _linked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle_words: int, keep: Keep) -> DataFrame:
     """The ``pairs`` of names that are alike."""
     asked = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct()
     asked = nodes.select("name", "at").join(asked, "name", "left_semi")
-    texts = stored(rows.select("at", "packed").join(asked, "at").groupBy("name").agg(F.first("packed").alias("packed")))
-    both = pairs.join(texts.select(F.col("name").alias("a"), F.col("packed").alias("packed_a")), "a").join(texts.select(F.col("name").alias("b"), F.col("packed").alias("packed_b")), "b")
-    return stored(like_pairs(both.select("a", "b", "packed_a", "packed_b"), shingle_words))
+    with scratch(pairs.sparkSession) as briefly:
+        texts = briefly(rows.select("at", "packed").join(asked, "at").groupBy("name").agg(F.first("packed").alias("packed")))
+        both = pairs.join(texts.select(F.col("name").alias("a"), F.col("packed").alias("packed_a")), "a").join(texts.select(F.col("name").alias("b"), F.col("packed").alias("packed_b")), "b")
+        return keep(like_pairs(both.select("a", "b", "packed_a", "packed_b"), shingle_words))
 
 
-def _placed(shared: DataFrame, links: DataFrame) -> DataFrame:
+def _placed(shared: DataFrame, links: DataFrame, keep: Keep) -> DataFrame:
     """key, it, group, inside, n of the rows (key, it) of keys with n rows in several groups of ``links``; ``inside`` says whether a row is in the key's largest group."""
     first = connected_components(links)
     placed = shared.join(first, F.col("it.name") == F.col("node"), "left").select("key", "it", F.coalesce("component", "it.name").alias("group"))
     groups = placed.groupBy("key", "group").agg(F.count("*").alias("size"))
     groups = groups.groupBy("key").agg(F.max(F.struct("size", "group")).alias("main"), F.sum("size").alias("n"), F.count("*").alias("groups")).where("groups > 1")
-    return stored(placed.join(groups, "key").select("key", "it", "group", (F.col("group") == F.col("main.group")).alias("inside"), "n"))
+    return keep(placed.join(groups, "key").select("key", "it", "group", (F.col("group") == F.col("main.group")).alias("inside"), "n"))
 
 
 def _with_pivots(placed: DataFrame, shift: float) -> DataFrame:
@@ -290,52 +294,59 @@ def _across(placed: DataFrame, nodes: DataFrame) -> DataFrame:
     return met.select(F.least("p.it.name", "q.it.name").alias("a"), F.greatest("p.it.name", "q.it.name").alias("b")).distinct()
 
 
-def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle_words: int = 5) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of their group: one document of each group stays.
-
-    Groups are components of texts whose sets of word shingles have a Jaccard
-    likeness of 0.8 or more. Two such texts share a shingle of both their
-    prefixes. Texts that share one are first compared with a pivot, the most
-    typical of them (fewest rare shingles, then the largest set), those within
-    2 bits of one another with the smallest name; while many pairs are left,
-    rounds of other pivots follow. Where a shingle's texts are in several
-    groups after that, all pairs across groups that sizes, places and maps
-    allow are compared, so that no link is left out. Rows equal to the
-    kept one in id and text stay with it; rows with a null doc_id stay only
-    where no others are in their group. Null and blank texts are one group; an
-    empty table gives an empty one.
-    """
-    whole = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("at"), F.col(text).alias("text"))
-    small_batches(docs.sparkSession)
-    rows = stored(sketches(whole, shingle_words))
+def _kept(whole: DataFrame, shingle_words: int, keep: Keep) -> DataFrame:
+    """doc_id, at of the row that stays of each group of rows (doc_id, at, text), see ``drop_near_duplicates``."""
+    rows = keep(sketches(whole, shingle_words))
     # The row of the smallest id stands for its name, one without an id only for lack of others.
-    nodes = stored(rows.groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at", "fp", "size", "rare", "prefix", "bits")).alias("one")).select("name", "one.*"))
+    nodes = keep(rows.groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at", "fp", "size", "rare", "prefix", "bits")).alias("one")).select("name", "one.*"))
 
     keys = nodes.select("rare", "size", "name", F.posexplode("prefix").alias("pos", "key")).select("key", F.struct("rare", (-F.col("size")).alias("less"), "name", "pos").alias("it"))
     of_key = W.partitionBy("key")
     shared = keys.withColumns({"least": F.min("it").over(of_key), "n": F.count("*").over(of_key)}).where("n > 1")
-    shared = stored(shared.select("key", "it", "least"))
+    shared = keep(shared.select("key", "it", "least"))
     pairs = shared.where((F.col("it.name") != F.col("least.name")) & _can_be_like(F.col("it"), F.col("least"))).select(F.col("least.name").alias("a"), F.col("it.name").alias("b"))
     least = nodes.groupBy("fp").agg(F.min("name").alias("a"))
     pairs = pairs.unionByName(nodes.join(least, "fp").select("a", F.col("name").alias("b")))
     near = near_pairs(least.select("fp")).withColumnsRenamed({"a": "x", "b": "y"})
     near = near.join(least.withColumnRenamed("fp", "x"), "x").join(least.select(F.col("fp").alias("y"), F.col("a").alias("b")), "y")
-    pairs = stored(pairs.unionByName(near.select("a", "b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = _linked(pairs, rows, nodes, shingle_words)
+    pairs = keep(pairs.unionByName(near.select("a", "b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links = _linked(pairs, rows, nodes, shingle_words, keep)
 
-    placed, left = _placed(shared.select("key", "it"), links), None
+    placed, left = _placed(shared.select("key", "it"), links, keep), None
     for k in range(ROUNDS):
         before = left
         n, left = placed.agg(F.count("*"), F.coalesce(F.sum(F.when(~F.col("inside"), F.col("n"))), F.lit(0))).first()
         if left <= MEETINGS * n or before is not None and 10 * left > 9 * before:
             break
-        more = stored(_with_pivots(placed, k % 2 / 2).join(pairs, ["a", "b"], "left_anti"))
-        pairs, links = pairs.unionByName(more), links.unionByName(_linked(more, rows, nodes, shingle_words))
-        placed = _placed(placed.select("key", "it"), links)
-    more = stored(_across(placed, nodes).join(pairs, ["a", "b"], "left_anti"))
-    links = links.unionByName(_linked(more, rows, nodes, shingle_words))
+        more = keep(_with_pivots(placed, k % 2 / 2).join(pairs, ["a", "b"], "left_anti"))
+        pairs, links = pairs.unionByName(more), links.unionByName(_linked(more, rows, nodes, shingle_words, keep))
+        placed = _placed(placed.select("key", "it"), links, keep)
+    more = keep(_across(placed, nodes).join(pairs, ["a", "b"], "left_anti"))
+    links = links.unionByName(_linked(more, rows, nodes, shingle_words, keep))
 
     groups = connected_components(links).withColumnRenamed("node", "name")
     best = F.min(F.struct("none", "doc_id", "at")).alias("best")
-    kept = nodes.join(groups, "name", "left").groupBy(F.coalesce("component", "name").alias("component")).agg(best).select("best.doc_id", "best.at")
+    return nodes.join(groups, "name", "left").groupBy(F.coalesce("component", "name").alias("component")).agg(best).select("best.doc_id", "best.at")
+
+
+def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle_words: int = 5) -> DataFrame:
+    """The rows of ``docs`` with the smallest doc_id of their group: one document of each group stays.
+
+    Groups are components of texts whose sets of word shingles have a Jaccard
+    likeness of 0.8 or more. Two such texts share a shingle of both their
+    prefixes. Texts that share one are first compared with a pivot, the most
+    typical of them (fewest rare shingles, then the largest set), those within
+    2 bits of one another with the smallest name; while many pairs are left,
+    rounds of other pivots follow. Where a shingle's texts are in several
+    groups after that, all pairs across groups that sizes, places and maps
+    allow are compared, so that no link is left out. Rows equal to the
+    kept one in id and text stay with it; rows with a null doc_id stay only
+    where no others are in their group. Null and blank texts are one group; an
+    empty table gives an empty one.
+    """
+    whole = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("at"), F.col(text).alias("text"))
+    small_batches(docs.sparkSession)
+    # Only what is kept outlives this: texts and prefixes are off the disk when the next operator runs.
+    with scratch(docs.sparkSession) as keep:
+        kept = stored(_kept(whole, shingle_words, keep))
     return docs.join(kept, docs[doc_id].eqNullSafe(kept["doc_id"]) & (F.xxhash64(docs[text]) == kept["at"]), "left_semi")

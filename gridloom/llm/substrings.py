@@ -338,10 +338,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 def clean(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", span: int = SPAN) -> DataFrame:
     """``docs`` with repeats taken out of their texts, in whole characters; a null text stays null."""
-    out = remove_repeats(docs, text, doc_id, docs.columns, span, whole_characters=True)
+    # The text itself is not carried beside its own block, only whether it is there.
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    rest = [n for c, n in names.items() if c != text]
+    plain = docs.toDF(*names.values()).withColumn("_has", F.col(names[text]).isNotNull())
+    out = remove_repeats(plain, names[text], names[doc_id], ["_has", *rest], span, whole_characters=True)
     columns = []
-    for i, c in enumerate(docs.columns):
-        value = F.when(F.col(f"k{i}").isNotNull(), F.col("kept").cast("string")) if c == text else F.col(f"k{i}")
+    for c, n in names.items():
+        value = F.when(F.col("k0"), F.col("kept").cast("string")) if c == text else F.col(f"k{1 + rest.index(n)}")
         columns.append(value.alias(c))
     return out.select(*columns)
 
