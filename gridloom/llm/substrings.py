@@ -25,7 +25,9 @@ from .suffixes import gathered, suffix_array
 from .words import mix, range_hashes, utf8
 
 #: Bytes of a repeat, of the substrings that key it, bits of a key in the first exchange, bytes of text of a block and for each shard.
-SPAN, KEY_BYTES, KEY_BITS, BLOCK_BYTES, SHARD_BYTES = 50, 20, 48, 1 << 20, 1 << 22
+SPAN, KEY_BYTES, KEY_BITS, BLOCK_BYTES, SHARD_BYTES = 50, 20, 48, 1 << 22, 1 << 25
+#: A shard works on so many keys and on segments of so many bytes at once; these bound its memory, its own size the number of messages.
+PART_KEYS, PART_BYTES = 1 << 18, 1 << 21
 #: Bytes of segments that differ, over all blocks, beyond which the windows of a key are dealt over several shards.
 HOT_BYTES = 1 << 18
 #: Bytes of a step in which sizes of segments are told.
@@ -140,27 +142,39 @@ def _fans(answers: dict[int, bytes], cuts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _in_two(payloads: list[bytes], hot_bytes: int) -> list[bytes]:
+def shard_count(size: int, buckets: int, cores: int) -> int:
+    """Shards of ``size`` bytes of text. Messages are blocks times shards: no more than their size asks for, or than keep all cores busy."""
+    return max(1, min(buckets, 8 * cores), size // SHARD_BYTES)
+
+
+def _in_two(payloads: list[bytes], hot_bytes: int, part_keys: int = PART_KEYS) -> list[bytes]:
     """For each of a block's keys 0 if one document alone has it, else over how many keys its windows are dealt."""
     parts = [mail.unpack(p) for p in payloads]
-    keys = [mail.undo_deltas(p["d"]) for p in parts]
-    every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    many, ids = np.concatenate([np.unpackbits(p["m"])[: len(k)] for p, k in zip(parts, keys, strict=True)]).astype(bool), np.concatenate([p["i"] for p in parts])
-    low, high = np.full(len(every), np.iinfo(np.int64).max), np.full(len(every), np.iinfo(np.int64).min)
-    np.minimum.at(low, inverse, ids)
-    np.maximum.at(high, inverse, ids)
-    shared = low != high
-    shared[inverse[many]] = True
-    # A segment that many blocks have counts once; 16 bits tell a key's segments apart well enough to see that it is hot.
-    owner = np.repeat(inverse, np.concatenate([p["c"] for p in parts]))
-    _, once = np.unique(owner << 16 | np.concatenate([p["h"] for p in parts]), return_index=True)
-    total = np.bincount(owner[once], np.concatenate([p["b"] for p in parts])[once], len(every)).astype(np.int64) * SIZE_STEP
-    fan = np.where(shared, np.minimum(total // hot_bytes + 1, (1 << 32) - 1), 0).astype(np.uint32)[inverse]
-    at, out = 0, []
-    for k in keys:
-        out.append(mail.pack(f=fan[at : at + len(k)]))
-        at += len(k)
-    return out
+    counts = [len(p["d"]) for p in parts]
+    key = np.concatenate([mail.undo_deltas(p["d"]) for p in parts])
+    many, ids = np.concatenate([np.unpackbits(p["m"])[:n] for p, n in zip(parts, counts, strict=True)]).astype(bool), np.concatenate([p["i"] for p in parts])
+    count, size, name = (np.concatenate([p[c] for p in parts]) for c in "cbh")
+    del parts
+    count = count.astype(np.int64)
+    begin = np.cumsum(count) - count
+    fan = np.zeros(len(key), np.uint32)
+    turns = -(-len(key) // part_keys)
+    turn = (key % np.uint64(max(turns, 1))).astype(np.int64)
+    for k in range(turns):
+        here = np.flatnonzero(turn == k)
+        every, inverse = np.unique(key[here], return_inverse=True)
+        low, high = np.full(len(every), np.iinfo(np.int64).max), np.full(len(every), np.iinfo(np.int64).min)
+        np.minimum.at(low, inverse, ids[here])
+        np.maximum.at(high, inverse, ids[here])
+        shared = low != high
+        shared[inverse[many[here]]] = True
+        # A segment that many blocks have counts once; 16 bits tell a key's segments apart well enough to see that it is hot.
+        owner, segment = np.repeat(inverse, count[here]), _spans(begin[here], count[here])
+        _, once = np.unique(owner << 16 | name[segment], return_index=True)
+        total = np.bincount(owner[once], size[segment[once]], len(every)).astype(np.int64) * SIZE_STEP
+        fan[here] = np.where(shared, np.minimum(total // hot_bytes + 1, (1 << 32) - 1), 0)[inverse]
+    ends = np.cumsum(counts)
+    return [mail.pack(f=fan[e - n : e]) for e, n in zip(ends.tolist(), counts, strict=True)]
 
 
 def common_prefixes(t: np.ndarray, span: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -222,33 +236,47 @@ def repeated_in(segments: list[bytes], ids: np.ndarray, span: int) -> list[np.nd
     return [later[a : a + n - span + 1] for a, n in zip(at.tolist(), size.tolist(), strict=True)]
 
 
-def _smaller_has(span: int):
+def _marks(own: list[list[bytes]], ids: list[np.ndarray], keys: list[np.ndarray], span: int) -> list[np.ndarray]:
+    """Of each block's segments, with all others of their keys beside them: for each window, whether a smaller document than the segment's first has it."""
+    best: dict[bytes, int] = {}
+    key_of: dict[bytes, int] = {}
+    for segments, first, key in zip(own, ids, keys, strict=True):
+        for s, i, k in zip(segments, first.tolist(), key.tolist(), strict=True):
+            key_of[s] = k
+            if best.get(s, i) >= i:
+                best[s] = i
+    # The only segment with a key shares its substrings with none: its smallest document is theirs too.
+    kinds = Counter(key_of.values())
+    marks = {s: np.zeros(len(s) - span + 1, bool) for s, k in key_of.items() if kinds[k] == 1}
+    names = [s for s, k in key_of.items() if kinds[k] > 1]
+    if names:
+        marks.update(zip(names, repeated_in(names, np.array([best[s] for s in names], np.int64), span), strict=True))
+    return [np.concatenate([np.zeros(0, bool), *(marks[s] if best[s] == i else np.ones(len(s) - span + 1, bool) for s, i in zip(segments, first.tolist(), strict=True))]) for segments, first in zip(own, ids, strict=True)]
+
+
+def _smaller_has(span: int, part_bytes: int = PART_BYTES):
     def work(_: int, payloads: list[bytes]) -> list[bytes]:
         """For each window of each block's segments, whether a smaller document than the segment's first has it."""
-        best: dict[bytes, int] = {}
-        key_of: dict[bytes, int] = {}
-        parts = []
-        for p in payloads:
-            x = mail.unpack(p)
-            ends = np.cumsum(x["size"].astype(np.int64))
-            raw = x["text"].tobytes()
-            own = [raw[e - n : e] for e, n in zip(ends.tolist(), x["size"].tolist(), strict=True)]
-            parts.append((own, x["ids"]))
-            for s, i, k in zip(own, x["ids"].tolist(), mail.undo_deltas(x["d"]).tolist(), strict=True):
-                key_of[s] = k
-                if best.get(s, i) >= i:
-                    best[s] = i
-        # The only segment with a key shares its substrings with none: its smallest document is theirs too.
-        kinds = Counter(key_of.values())
-        marks = {s: np.zeros(len(s) - span + 1, bool) for s, k in key_of.items() if kinds[k] == 1}
-        names = [s for s, k in key_of.items() if kinds[k] > 1]
-        if names:
-            marks.update(zip(names, repeated_in(names, np.array([best[s] for s in names], np.int64), span), strict=True))
-        out = []
-        for own, ids in parts:
-            bits = [marks[s] if best[s] == i else np.ones(len(s) - span + 1, bool) for s, i in zip(own, ids.tolist(), strict=True)]
-            out.append(np.packbits(np.concatenate(bits)).tobytes())
-        return out
+        parts = [mail.unpack(p) for p in payloads]
+        keys = [mail.undo_deltas(x["d"]) for x in parts]
+        ends = [np.concatenate([[0], np.cumsum(x["size"], dtype=np.int64)]) for x in parts]
+        # Ranges of keys, which are hashes, one after another.
+        turns = sum(int(e[-1]) for e in ends) // part_bytes + 1
+        low, high = min(int(k[0]) for k in keys), max(int(k[-1]) for k in keys) + 1
+        edges = np.array([low + (high - low) * j // turns for j in range(1, turns)], np.uint64)
+        cuts = [[0, *np.searchsorted(k, edges).tolist(), len(k)] for k in keys]
+        bits: list[list[np.ndarray]] = [[] for _ in payloads]
+        for j in range(turns):
+            own = []
+            for x, e, c in zip(parts, ends, cuts, strict=True):
+                at = e[c[j] : c[j + 1] + 1]
+                raw = x["text"][at[0] : at[-1]].tobytes()
+                at = (at - at[0]).tolist()
+                own.append([raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])
+            here = [slice(c[j], c[j + 1]) for c in cuts]
+            for held, more in zip(bits, _marks(own, [x["ids"][h] for x, h in zip(parts, here, strict=True)], [k[h] for k, h in zip(keys, here, strict=True)], span), strict=True):
+                held.append(more)
+        return [np.packbits(np.concatenate(held)).tobytes() for held in bits]
 
     return work
 
@@ -265,7 +293,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     extra = keep or []
     slim = docs.select(F.col(doc_id).cast("long").alias("_id"), *(docs[f"`{c}`"].alias(f"_k{i}") for i, c in enumerate(extra)), F.col(text).alias("_text"))
     corpus = mail.Corpus(slim, "_text", ["_id", *(f"_k{i}" for i in range(len(extra)))], BLOCK_BYTES)
-    shards = max(1, corpus.buckets, corpus.bytes // SHARD_BYTES)
+    shards = shard_count(corpus.bytes, corpus.buckets, docs.sparkSession.sparkContext.defaultParallelism)
 
     def name(t: pa.Table, _: list) -> pa.Table:
         x = _Block(t, span)

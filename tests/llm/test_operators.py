@@ -459,6 +459,28 @@ def test_a_hot_key_is_dealt_over_shards(spark):
     assert len(np.unique(block.keys)) > 20 * few
 
 
+def test_messages_of_substrings_are_few_and_shards_work_in_parts():
+    # 6 GB of Parquet hold about 10 GB of text: with blocks of 1 MB and shards of 4 MB there were 26 million pairs.
+    assert -(-10_200_000_000 // substrings.BLOCK_BYTES) * substrings.shard_count(10_200_000_000, 600, 12) < 1_000_000
+    assert substrings.shard_count(0, 4, 4) == 4 and substrings.shard_count(1 << 30, 600, 2) == 32
+    rng = random.Random(21)
+    common = ["".join(rng.choice("abcdefgh") for _ in range(200)) for _ in range(20)]
+    text = lambda: "".join(rng.choice(common)[rng.randint(0, 60) :] + rng.choice("xyz") for _ in range(4))
+    blocks_ = [substrings._Block(pa.table({"block": [k] * 9, "c0": [9 * k + i for i in range(9)], "text": [text() for _ in range(9)]}), 50) for k in range(5)]
+    told = []
+    for x in blocks_:
+        of, size, name = x.distinct()
+        told.append(mail.pack(d=mail.deltas(x.unique), m=np.packbits(x.many), i=x.low, c=np.bincount(of, minlength=len(x.unique)).astype(np.uint32), b=(size // substrings.SIZE_STEP + 1).astype(np.uint32), h=name))
+    whole = substrings._in_two(told, 200)
+    assert substrings._in_two(told, 200, 7) == whole
+    sent = []
+    for x, p in zip(blocks_, whole, strict=True):
+        x.segments(mail.unpack(p)["f"].astype(np.int64))
+        sent.append(mail.pack(d=mail.deltas(x.keys), ids=x.first, size=x.size.astype(np.uint32), text=x.data[substrings._spans(x.where, x.size)]))
+    marks = substrings._smaller_has(50)(0, sent)
+    assert substrings._smaller_has(50, 300)(0, sent) == marks and any(any(m) for m in marks)
+
+
 # 8
 
 
