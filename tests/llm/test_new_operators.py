@@ -215,3 +215,44 @@ def test_bounds_rule_out_cells_of_clustered_rows(spark, monkeypatch):
     assert hard_negatives.mine(df, chunk_rows=32).count() == 0
     chunks = 1024 // 32
     assert sum(seen) < 8 * chunks / 2
+
+
+def test_hard_negatives_meet_shelves_not_chunks(spark, monkeypatch):
+    """Without structure every group meets every row: payloads go to shelves of many chunks, in rounds, and k rows come back from each."""
+    monkeypatch.setattr(hard_negatives, "FIRST", 4)
+    rng = np.random.default_rng(4)
+    rows = [(k, [int(x) for x in rng.integers(-40, 40, 6)], int(rng.integers(2)), k % 60 == 0) for k in range(600)]
+    seen, real = [], hard_negatives._pairs
+    monkeypatch.setattr(hard_negatives, "_pairs", lambda *a: seen.append(real(*a).count()) or real(*a))
+    df = spark.createDataFrame(rows, "vec_id long, vector array<long>, label long, anchor boolean")
+    assert Counter(map(tuple, hard_negatives.mine(df, chunk_rows=4).collect())) == brute_mined(rows, 5, 10)
+    chunks, groups = 600 // 4, 2
+    assert max(seen) < groups * chunks / 3
+    cells = {"leaf": np.array([0, 0, 1, 2, 2]), "n": np.array([3, 4, 2, 30, 1])}
+    first, number = hard_negatives._shelves(cells, 10)
+    assert first.tolist() == [0, 0, 0, 1, 1] and number.tolist() == [1, 1, 1, 4, 4]
+    monkeypatch.setattr(hard_negatives, "GROW", 2)
+    monkeypatch.setattr(hard_negatives, "SHELF_VALUES", 60)
+    assert Counter(map(tuple, hard_negatives.mine(df, chunk_rows=4).collect())) == brute_mined(rows, 5, 10)
+
+
+@pytest.mark.parametrize("kind", [np.float32, np.float64, np.int64])
+def test_rows_taken_from_a_shelf(monkeypatch, kind):
+    monkeypatch.setattr(hard_negatives, "HELD", 20)
+    monkeypatch.setattr(hard_negatives, "SCORED_ROWS", 16)
+    rng = np.random.default_rng(5)
+    m, label, n = rng.integers(-9, 9, (200, 3)), rng.integers(0, 3, 200), np.arange(200)
+    held = [(c, hard_negatives.pack(n=n[c::4], id=n[c::4] // 2, none=(n[c::4] > 190).astype(np.uint8), label=label[c::4], m=m[c::4].reshape(-1).astype(np.int16))) for c in range(4)]
+    shelf = hard_negatives._Shelf(held, 3, kind)
+    far = 1 << 62
+    who = np.repeat(np.arange(4), [1, 2, 3, 1]).astype(np.int32)
+    q = {"who": who, "n": n[:4], "m": m[:4].reshape(-1), "label": label[who], "least": np.array([-far, 5, -20, 0, 30, -far, 9]), "high": np.array([far, 60, 10, 50, 90, far, 9])}
+    for same in (True, False):
+        for cells in ([0, 1, 2, 3], [1, 3]):
+            row, place, score = hard_negatives._taken(shelf, np.array(cells), q, 3, kind, same, 4)
+            want = set()
+            for r, w in enumerate(who):
+                s = m @ m[w]
+                ok = [x for x in n if x % 4 in cells and x != w and (label[x] == label[w]) == same and q["least"][r] <= s[x] <= q["high"][r]]
+                want |= {(r, x, s[x]) for x in sorted(ok, key=lambda x: (-s[x], x > 190, x // 2, x))[:4]}
+            assert set(zip(row.tolist(), shelf.n[place].tolist(), score.tolist(), strict=True)) == want
